@@ -200,3 +200,82 @@ def rls_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
         F.col("r_name").alias("principal"), F.col("n_name").alias("country"))
+
+
+# ------------------------------------------------------------- change feed
+def order_row_schema():
+    from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
+                                   StructType)
+    return StructType([
+        StructField("id", LongType()), StructField("user_id", LongType()),
+        StructField("product_id", LongType()), StructField("supp_key", LongType()),
+        StructField("status", StringType()),
+        StructField("amount", StringType()),        # base64 unscaled decimal(10,2)
+        StructField("quantity", DoubleType()), StructField("discount", DoubleType()),
+        StructField("tax", DoubleType()),
+        StructField("order_date", IntegerType()),   # days since epoch
+        StructField("updated_at", LongType()),      # micros since epoch
+    ])
+
+
+ORDERS_TOPIC = "shop.public.orders"
+PRODUCTS_TOPIC = "shop.public.products"
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broker-shaped change records for the order-line log.
+
+    op = 'c' for a key's first version, 'u' for later ones, 'd' when the
+    version is a delete (then ``before`` carries the row); every delete is
+    followed by a tombstone (NULL value).  Product snapshot records ('r') on
+    a second topic exercise routing, and one malformed record exercises the
+    quarantine.  ``offset`` is the arrival order within a key.
+    """
+    from pyspark.sql import Window
+    from .functions.envelope import encode_date, encode_decimal, encode_micros
+    b = bronze_orders(spark, sf_dir)
+    w = Window.partitionBy("id").orderBy(*[F.col(c).asc() for c in ("updated_at",) + ORDER_TIEBREAK])
+    b = b.withColumn("seq", F.row_number().over(w))
+    row = F.struct(
+        "id", "user_id", "product_id", "supp_key", "status",
+        encode_decimal(F.col("amount"), 2).alias("amount"), "quantity", "discount", "tax",
+        encode_date(F.col("order_date")).alias("order_date"),
+        encode_micros(F.col("updated_at")).alias("updated_at"))
+    op = (F.when(F.col("_is_deleted") == 1, "d").when(F.col("seq") == 1, "c").otherwise("u"))
+    env = F.struct(F.when(op == "d", row).alias("before"), F.when(op != "d", row).alias("after"),
+                   op.alias("op"),
+                   F.floor(encode_micros(F.col("updated_at")) / 1000).cast("long").alias("ts_ms"),
+                   F.struct(F.lit("orders").alias("table")).alias("source"))
+    recs = b.select(F.lit(ORDERS_TOPIC).alias("topic"),
+                    (F.col("id") % 8).cast("int").alias("partition"),
+                    F.col("seq").cast("long").alias("offset"),
+                    F.col("id").cast("string").alias("key"),
+                    F.to_json(env).alias("value"),
+                    F.col("_synced_at").cast("timestamp").alias("timestamp"),
+                    op.alias("_op"))
+    tomb = (recs.where(F.col("_op") == "d")
+                .withColumn("value", F.lit(None).cast("string")))
+    p = bronze_products(spark, sf_dir)
+    prow = F.to_json(F.struct(F.struct("id", "name", "category", "price").alias("after"),
+                              F.lit("r").alias("op"), F.lit(0).cast("long").alias("ts_ms")))
+    prods = p.select(F.lit(PRODUCTS_TOPIC).alias("topic"),
+                     (F.col("id") % 8).cast("int").alias("partition"),
+                     F.lit(1).cast("long").alias("offset"),
+                     F.col("id").cast("string").alias("key"), prow.alias("value"),
+                     F.col("_synced_at").cast("timestamp").alias("timestamp"),
+                     F.lit("r").alias("_op"))
+    bad = spark.createDataFrame(
+        [(ORDERS_TOPIC, 0, 0, "-1", "{oops", None, "?")],
+        "topic string, partition int, offset long, key string, value string, "
+        "timestamp timestamp, _op string")
+    return recs.unionByName(tomb).unionByName(prods).unionByName(bad).drop("_op")
+
+
+def typed_orders(unwrapped: DataFrame) -> DataFrame:
+    """Decode connector-encoded values of unwrapped order rows."""
+    from .functions.envelope import decode_date, decode_decimal, decode_micros
+    return unwrapped.withColumns({
+        "amount": decode_decimal("amount", 2, 10).cast("double"),
+        "order_date": decode_date("order_date"),
+        "updated_at": decode_micros("updated_at"),
+    })

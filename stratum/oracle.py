@@ -213,3 +213,94 @@ SELECT category, CAST(date_trunc('month', order_date) AS DATE) AS orderDate_mont
        CAST(sum(gross_margin_usd) AS DOUBLE) / NULLIF(CAST(sum(amount_usd) AS DOUBLE), 0)
          AS marginRatio
 FROM fct_sales GROUP BY 1, 2""")
+
+# ------------------------------------------------------------------ step 4
+ORACLE["check_not_null"] = with_fixtures("""
+SELECT 'orders' AS "table", 'not_null' AS "check", 'id' AS "column",
+       count(*) FILTER (WHERE id IS NULL) AS failures FROM bronze_orders
+UNION ALL SELECT 'orders', 'not_null', 'amount', count(*) FILTER (WHERE amount IS NULL) FROM bronze_orders
+UNION ALL SELECT 'products', 'not_null', 'id', count(*) FILTER (WHERE id IS NULL) FROM bronze_products
+UNION ALL SELECT 'products', 'not_null', 'price', count(*) FILTER (WHERE price IS NULL) FROM bronze_products
+UNION ALL SELECT 'users', 'not_null', 'id', count(*) FILTER (WHERE id IS NULL) FROM bronze_users
+UNION ALL SELECT 'users', 'not_null', 'email', count(*) FILTER (WHERE email IS NULL) FROM bronze_users""")
+
+ORACLE["check_unique"] = with_fixtures("""
+SELECT 'bronze_orders' AS "table", 'unique' AS "check", 'id' AS "column",
+       (SELECT count(*) FROM (SELECT id FROM bronze_orders WHERE id IS NOT NULL
+                              GROUP BY id HAVING count(*) > 1)) AS failures
+UNION ALL SELECT 'stg_orders', 'unique', 'order_id',
+       (SELECT count(*) FROM (SELECT order_id FROM stg_orders GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'stg_products', 'unique', 'product_id',
+       (SELECT count(*) FROM (SELECT product_id FROM stg_products GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'stg_users', 'unique', 'user_id',
+       (SELECT count(*) FROM (SELECT user_id FROM stg_users GROUP BY 1 HAVING count(*) > 1))""")
+
+ORACLE["check_references"] = with_fixtures("""
+SELECT order_id, product_id FROM stg_orders
+WHERE product_id IS NOT NULL AND product_id % 10 = 0""")
+
+ORACLE["check_accepted"] = with_fixtures("""
+SELECT 'stg_orders' AS "table", 'accepted_values' AS "check", 'order_status' AS "column",
+       count(*) FILTER (WHERE order_status NOT IN ('completed','cancelled','pending','refunded'))
+         AS failures
+FROM stg_orders""")
+
+ORACLE["check_range"] = with_fixtures("""
+SELECT 'stg_orders' AS "table", 'in_range' AS "check", 'order_date' AS "column",
+       count(*) FILTER (WHERE order_date < DATE '1995-01-01' OR order_date > DATE '2000-12-31')
+         AS failures
+FROM stg_orders""")
+
+ORACLE["quality_report"] = with_fixtures("""
+SELECT 'stg_orders' AS "table", 'not_null' AS "check", 'order_id' AS "column",
+       count(*) FILTER (WHERE order_id IS NULL) AS failures FROM stg_orders
+UNION ALL SELECT 'stg_orders', 'not_null', 'amount_usd', count(*) FILTER (WHERE amount_usd IS NULL) FROM stg_orders
+UNION ALL SELECT 'stg_orders', 'unique', 'order_id',
+       (SELECT count(*) FROM (SELECT order_id FROM stg_orders GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'stg_orders', 'accepted_values', 'order_status',
+       count(*) FILTER (WHERE order_status NOT IN ('completed','cancelled','pending','refunded'))
+       FROM stg_orders
+UNION ALL SELECT 'stg_orders', 'in_range', 'order_date',
+       count(*) FILTER (WHERE order_date < DATE '1995-01-01' OR order_date > DATE '2000-12-31')
+       FROM stg_orders
+UNION ALL SELECT 'stg_orders', 'relationships', 'product_id',
+       count(*) FILTER (WHERE product_id % 10 = 0) FROM stg_orders
+UNION ALL SELECT 'stg_users', 'not_null', 'email', count(*) FILTER (WHERE email IS NULL) FROM stg_users""")
+
+# ------------------------------------------------------------------ step 5
+CHANGES = f"""
+, seq_orders AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at, product_id, supp_key, amount,
+                                 quantity, discount, tax, _is_deleted) AS seq
+  FROM bronze_orders),
+changes AS (
+  SELECT id, user_id, product_id, supp_key, status,
+         CAST(CAST(amount AS DECIMAL(10,2)) AS DOUBLE) AS amount, quantity, discount, tax,
+         order_date, updated_at,
+         CASE WHEN _is_deleted = 1 THEN 'd' WHEN seq = 1 THEN 'c' ELSE 'u' END AS op,
+         epoch_ms(updated_at) AS ts_ms, seq AS _offset, _is_deleted, _synced_at
+  FROM seq_orders)
+"""
+
+
+def with_changes(body: str) -> str:
+    return "WITH " + FIXTURES.strip() + CHANGES + body
+
+
+ORACLE["cdc_unwrap"] = with_changes("SELECT * FROM changes")
+
+ORACLE["cdc_quarantine"] = with_changes("""
+SELECT 'shop.public.orders' AS topic, '-1' AS key, '{oops' AS value""")
+
+ORACLE["cdc_soft_delete_latest"] = with_changes("""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, _offset DESC) AS rn
+  FROM changes) WHERE rn = 1 AND _is_deleted = 0""")
+
+ORACLE["cdc_drop_deletes"] = with_changes("SELECT * FROM changes WHERE op <> 'd'")
+
+ORACLE["decode_envelope_values"] = with_changes(
+    "SELECT id, _offset, amount, order_date, updated_at, ts_ms FROM changes")
+
+ORACLE["stream_latest"] = ORACLE["cdc_soft_delete_latest"]
+ORACLE["stream_bronze_sink"] = ORACLE["cdc_unwrap"]

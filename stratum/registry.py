@@ -25,8 +25,16 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def register(name: str):
+    """Add ``fn`` under ``name``.  Queries compare zone-less wall-clock values
+    and connector micros, so the session zone is pinned to UTC first."""
     def deco(fn):
-        REGISTRY[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = run
         return fn
     return deco
 
@@ -174,3 +182,141 @@ def q_rollup_answer_month(spark, d):
     table = build_rollup(fct, ORDERS, DAY_CATEGORY)
     return as_double(query(fct, ORDERS, ["count", "totalAmount", "avgOrderValue", "marginRatio"],
                            ["category"], ("orderDate", "month"), rollups=[table]))
+
+
+# ------------------------------------------------------------------ step 4
+from .operators import quality as Q  # noqa: E402
+
+
+def _checks_on_silver(spark, d):
+    o, p, u = silver(spark, d)
+    return o, p, u
+
+
+@register("check_not_null")
+def q_check_not_null(spark, d):
+    return Q.report(
+        Q.not_null(fx.bronze_orders(spark, d), ["id", "amount"], "orders"),
+        Q.not_null(fx.bronze_products(spark, d), ["id", "price"], "products"),
+        Q.not_null(fx.bronze_users(spark, d), ["id", "email"], "users"))
+
+
+@register("check_unique")
+def q_check_unique(spark, d):
+    o, p, u = silver(spark, d)
+    return Q.report(
+        Q.unique(fx.bronze_orders(spark, d), ["id"], "bronze_orders"),
+        Q.unique(o, ["order_id"], "stg_orders"),
+        Q.unique(p, ["product_id"], "stg_products"),
+        Q.unique(u, ["user_id"], "stg_users"))
+
+
+@register("check_references")
+def q_check_references(spark, d):
+    from .operators.joins import check_references
+    o = silver(spark, d)[0]
+    parents = staging.stg_products(fx.bronze_products_with_gaps(spark, d))
+    return check_references(o.select("order_id", "product_id"), parents, "product_id")
+
+
+@register("check_accepted")
+def q_check_accepted(spark, d):
+    o = silver(spark, d)[0]
+    return Q.accepted_values(o, "order_status", staging.ORDER_STATUSES, "stg_orders")
+
+
+@register("check_range")
+def q_check_range(spark, d):
+    o = silver(spark, d)[0]
+    return Q.in_range(o, "order_date", datetime.date(1995, 1, 1), datetime.date(2000, 12, 31),
+                      "stg_orders")
+
+
+@register("quality_report")
+def q_quality_report(spark, d):
+    o, p, u = silver(spark, d)
+    parents = staging.stg_products(fx.bronze_products_with_gaps(spark, d))
+    return Q.report(
+        Q.not_null(o, ["order_id", "amount_usd"], "stg_orders"),
+        Q.unique(o, ["order_id"], "stg_orders"),
+        Q.accepted_values(o, "order_status", staging.ORDER_STATUSES, "stg_orders"),
+        Q.in_range(o, "order_date", datetime.date(1995, 1, 1), datetime.date(2000, 12, 31),
+                   "stg_orders"),
+        Q.references(o, parents, "product_id", table="stg_orders"),
+        Q.not_null(u, ["email"], "stg_users"))
+
+
+# ------------------------------------------------------------------ step 5
+from .sources import cdc  # noqa: E402
+from .streaming import latest_stream as LS  # noqa: E402
+from .session import scratch_path  # noqa: E402
+
+CDC_COLS = ["id", "user_id", "product_id", "supp_key", "status", "amount", "quantity",
+            "discount", "tax", "order_date", "updated_at", "op", "ts_ms", "_offset",
+            "_is_deleted", "_synced_at"]
+
+
+def unwrapped_orders(changes: DataFrame) -> DataFrame:
+    routed = cdc.route(changes, ["orders"])
+    return fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema())).select(*CDC_COLS)
+
+
+@register("cdc_unwrap")
+def q_cdc_unwrap(spark, d):
+    return unwrapped_orders(fx.change_log(spark, d))
+
+
+@register("cdc_quarantine")
+def q_cdc_quarantine(spark, d):
+    return cdc.quarantine(fx.change_log(spark, d), fx.order_row_schema()).select(
+        "topic", "key", "value")
+
+
+@register("cdc_soft_delete_latest")
+def q_cdc_soft_delete_latest(spark, d):
+    rows = unwrapped_orders(fx.change_log(spark, d))
+    return latest_by_key(rows, ["id"], "updated_at", ["_offset"]).where("_is_deleted = 0")
+
+
+@register("cdc_drop_deletes")
+def q_cdc_drop_deletes(spark, d):
+    routed = cdc.route(fx.change_log(spark, d), ["orders"])
+    rows = fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema(), delete_mode="drop"))
+    return rows.select(*CDC_COLS)
+
+
+@register("decode_envelope_values")
+def q_decode_envelope_values(spark, d):
+    return unwrapped_orders(fx.change_log(spark, d)).select(
+        "id", "_offset", "amount", "order_date", "updated_at", "ts_ms")
+
+
+def _stream_change_files(spark, d, n_files: int = 4) -> str:
+    path = scratch_path(spark, "changes")
+    fx.change_log(spark, d).repartition(n_files, "key").write.mode("overwrite").json(path)
+    return path
+
+
+@register("stream_latest")
+def q_stream_latest(spark, d):
+    """Change files -> streaming unwrap -> keyed latest state -> batch dirs."""
+    LS.use_rocksdb_state(spark)
+    src = _stream_change_files(spark, d)
+    stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": "1"}, path=src,
+                              streaming=True)
+    rows = unwrapped_orders(stream)
+    out = scratch_path(spark, "stream-latest")
+    q = LS.write_versions(LS.latest_stream(rows, ["id"], "updated_at", ["_offset"]), out)
+    LS.await_done(q)
+    return LS.read_latest(spark, out, ["id"]).where("_is_deleted = 0").select(*CDC_COLS)
+
+
+@register("stream_bronze_sink")
+def q_stream_bronze_sink(spark, d):
+    """Exactly-once file sink of unwrapped changes (the bronze log)."""
+    src = _stream_change_files(spark, d)
+    stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": "2"}, path=src,
+                              streaming=True)
+    out = scratch_path(spark, "bronze")
+    LS.await_done(LS.write_bronze(unwrapped_orders(stream), out))
+    return spark.read.parquet(out).select(*CDC_COLS)
