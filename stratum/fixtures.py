@@ -129,13 +129,12 @@ def monthly_history_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counter samples: one series per (event_type, user); value = running sum.
-
-    The running sum is the counter a metrics exporter would expose.
-    """
+    """Counter samples: one series per (event type, user); the counter is the
+    running sum of event values, restarting every day (an exporter restart),
+    kept as DECIMAL so increases are exact."""
     from pyspark.sql import Window
     e = read(spark, sf_dir, "events")
-    w = (Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id")
+    w = (Window.partitionBy("event_type", "user_id", F.to_date("ts")).orderBy("ts", "event_id")
          .rowsBetween(Window.unboundedPreceding, 0))
     return e.select(
         F.col("ts"),
@@ -143,8 +142,7 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"),
         F.col("user_id").alias("series_id"),
         F.col("event_id"),
-        F.col("value").alias("gauge"),
-        F.sum(F.col("value").cast("decimal(18,2)")).over(w).cast("double").alias("value"),
+        F.sum(F.col("value").cast("decimal(18,2)")).over(w).alias("value"),
     )
 
 

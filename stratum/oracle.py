@@ -304,3 +304,82 @@ ORACLE["decode_envelope_values"] = with_changes(
 
 ORACLE["stream_latest"] = ORACLE["cdc_soft_delete_latest"]
 ORACLE["stream_bronze_sink"] = ORACLE["cdc_unwrap"]
+
+# ------------------------------------------------------------------ step 6
+SAMPLES = """
+WITH counters AS (
+  SELECT ts, event_type AS metric, user_id AS series_id, event_id,
+         sum(CAST(value AS DECIMAL(18,2))) OVER (
+           PARTITION BY event_type, user_id, CAST(ts AS DATE) ORDER BY ts, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+  FROM events),
+gauges AS (
+  SELECT ts, event_type AS metric, user_id AS series_id, event_id, value FROM events)
+"""
+
+ORACLE["counter_rate"] = SAMPLES + """
+, l AS (SELECT *, lag(value) OVER (PARTITION BY metric, series_id ORDER BY ts, event_id) AS prev
+        FROM counters),
+d AS (SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value
+                     ELSE value - prev END AS delta FROM l),
+r AS (SELECT *, sum(delta) OVER (PARTITION BY metric, series_id ORDER BY ts
+                 RANGE BETWEEN INTERVAL 300 SECONDS PRECEDING AND CURRENT ROW) AS increase FROM d)
+SELECT ts, metric, series_id, event_id, CAST(value AS DOUBLE) AS value,
+       CAST(delta AS DOUBLE) AS delta, CAST(increase AS DOUBLE) AS increase,
+       CAST(increase AS DOUBLE) / CAST(300 AS DOUBLE) AS rate
+FROM r"""
+
+ORACLE["alert_intervals"] = SAMPLES + """
+, s AS (SELECT *, coalesce(value > 30, false) AS on_ FROM gauges),
+l AS (SELECT *, lag(on_) OVER (PARTITION BY series_id ORDER BY ts, event_id) AS prev FROM s),
+c AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> on_ THEN 1 ELSE 0 END) OVER (
+        PARTITION BY series_id ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM l),
+i AS (SELECT series_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_samples,
+             CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE)
+               AS duration_s
+      FROM c WHERE on_ GROUP BY series_id, island)
+SELECT *, start_ts + INTERVAL 60 SECOND AS fired_at FROM i WHERE duration_s >= 60"""
+
+ORACLE["resample_grid"] = SAMPLES + """
+, s AS (SELECT *, epoch_us(ts) AS t FROM gauges),
+p AS (SELECT *, unnest(generate_series(
+        CAST(ceil(CAST(t AS DOUBLE) / CAST(15000000 AS DOUBLE)) AS BIGINT),
+        CAST(floor(CAST(t + 300000000 - 1 AS DOUBLE) / CAST(15000000 AS DOUBLE)) AS BIGINT))) AS g
+      FROM s)
+SELECT metric, series_id, make_timestamp(g * 15000000) AS eval_ts,
+       arg_max(value, (ts, event_id)) AS value, max(ts) AS sample_ts
+FROM p GROUP BY metric, series_id, g"""
+
+ORACLE["last_not_null"] = SAMPLES + """
+SELECT metric, series_id, arg_max(value, (ts, event_id)) AS last_value, max(ts) AS last_ts
+FROM gauges WHERE value IS NOT NULL GROUP BY metric, series_id"""
+
+ORACLE["threshold_step"] = """
+SELECT event_id, value,
+       CASE WHEN value >= 300 THEN 'red' WHEN value >= 100 THEN 'yellow' ELSE 'green' END AS colour
+FROM events"""
+
+ORACLE["label_match"] = """
+SELECT event_id, event_type AS metric, CAST(user_id AS VARCHAR) AS user
+FROM events WHERE regexp_full_match(CAST(user_id AS VARCHAR), '1[0-9]')"""
+
+ORACLE["time_range"] = """
+SELECT event_id, ts, event_type AS metric, value FROM events
+WHERE ts >= TIMESTAMP '2024-01-15 06:00:00' AND ts <= TIMESTAMP '2024-01-15 12:00:00'"""
+
+ORACLE["replication_lag"] = with_fixtures("""
+, u AS (SELECT 'orders' AS "table", _synced_at FROM bronze_orders
+        UNION ALL SELECT 'products', _synced_at FROM bronze_products
+        UNION ALL SELECT 'users', _synced_at FROM bronze_users)
+SELECT "table", max(_synced_at) AS last_synced_at,
+       CAST(epoch_us(TIMESTAMP '2002-01-01 00:00:00') - epoch_us(max(_synced_at)) AS DOUBLE)
+         / CAST(1000000 AS DOUBLE) AS lag_seconds
+FROM u GROUP BY "table\"""")
+
+ORACLE["rate_limit"] = """
+SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS requests
+FROM events GROUP BY 1, 2 HAVING count(*) > 2"""
+
+ORACLE["rate_limit_stream"] = ORACLE["rate_limit"]

@@ -320,3 +320,115 @@ def q_stream_bronze_sink(spark, d):
     out = scratch_path(spark, "bronze")
     LS.await_done(LS.write_bronze(unwrapped_orders(stream), out))
     return spark.read.parquet(out).select(*CDC_COLS)
+
+
+# ------------------------------------------------------------------ step 6
+from .operators import monitor as M  # noqa: E402
+
+SERIES = ["metric", "series_id"]
+FIXED_NOW = datetime.datetime(2002, 1, 1)
+
+
+@register("counter_rate")
+def q_counter_rate(spark, d):
+    r = M.counter_rate(fx.metric_samples(spark, d), SERIES, 300, tiebreak=["event_id"])
+    return r.select("ts", "metric", "series_id", "event_id",
+                    F.col("value").cast("double").alias("value"),
+                    F.col("delta").cast("double").alias("delta"),
+                    F.col("increase").cast("double").alias("increase"),
+                    (F.col("increase").cast("double") / F.lit(300.0)).alias("rate"))
+
+
+@register("alert_intervals")
+def q_alert_intervals(spark, d):
+    g = fx.gauge_samples(spark, d)
+    return M.alert_intervals(g, ["series_id"], F.col("value") > 30, 60,
+                             tiebreak=["event_id"]).select(
+        "series_id", "start_ts", "end_ts", "n_samples", "duration_s", "fired_at")
+
+
+@register("resample_grid")
+def q_resample_grid(spark, d):
+    return M.resample(fx.gauge_samples(spark, d), SERIES, step_s=15, lookback_s=300,
+                      tiebreak=["event_id"])
+
+
+@register("last_not_null")
+def q_last_not_null(spark, d):
+    return M.last_not_null(fx.gauge_samples(spark, d), SERIES, tiebreak=["event_id"])
+
+
+@register("threshold_step")
+def q_threshold_step(spark, d):
+    e = fx.read(spark, d, "events")
+    return e.select("event_id", "value",
+                    M.threshold_step("value", [(None, "green"), (100, "yellow"), (300, "red")])
+                    .alias("colour"))
+
+
+@register("label_match")
+def q_label_match(spark, d):
+    g = fx.gauge_samples(spark, d)
+    m = M.match_labels(g, {"user": ("=~", "1[0-9]"), "image": ("=", "")})
+    return m.select("event_id", "metric", F.element_at("labels", "user").alias("user"))
+
+
+@register("time_range")
+def q_time_range(spark, d):
+    g = fx.gauge_samples(spark, d)
+    return M.time_range(g, "ts", 6 * 3600, now=datetime.datetime(2024, 1, 15, 12, 0)).select(
+        "event_id", "ts", "metric", "value")
+
+
+@register("replication_lag")
+def q_replication_lag(spark, d):
+    parts = [fx.bronze_orders(spark, d).select(F.lit("orders").alias("table"), "_synced_at"),
+             fx.bronze_products(spark, d).select(F.lit("products").alias("table"), "_synced_at"),
+             fx.bronze_users(spark, d).select(F.lit("users").alias("table"), "_synced_at")]
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return M.replication_lag(u, ["table"], now=FIXED_NOW)
+
+
+@register("rate_limit")
+def q_rate_limit(spark, d):
+    e = fx.read(spark, d, "events")
+    return M.rate_limit_violations(e, ["user_id"], limit=2, window="1 hour")
+
+
+def _landing_in_time_order(df: DataFrame, ts: str, slices: int) -> str:
+    """Write ``df`` to a landing folder as ``slices`` appends in event-time
+    order, the way a live feed arrives (the file source reads oldest first)."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    path = scratch_path(df.sparkSession, "landing")
+    step = (hi - lo) / slices
+    for i in range(slices):
+        a = lo + step * i
+        part = df.where(F.col(ts) >= F.lit(a.isoformat(sep=" ")).cast(df.schema[ts].dataType))
+        if i < slices - 1:
+            b = lo + step * (i + 1)
+            part = part.where(F.col(ts) < F.lit(b.isoformat(sep=" ")).cast(df.schema[ts].dataType))
+        part.write.mode("append").parquet(path)
+    return path
+
+
+@register("rate_limit_stream")
+def q_rate_limit_stream(spark, d):
+    """Same check on the event stream: watermark bounds the window state;
+    update mode emits every changed window, the newest emission per window wins."""
+    events = fx.read(spark, d, "events")
+    landing = _landing_in_time_order(events, "ts", 4)
+    src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    src = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
+    counts = (src.groupBy("user_id", F.window("ts", "1 hour").alias("w"))
+                 .agg(F.count(F.lit(1)).alias("requests"))
+                 .select("user_id", F.col("w.start").alias("window_start"),
+                         F.col("w.end").alias("window_end"), "requests"))
+    out = scratch_path(spark, "rate-limit")
+    LS.use_rocksdb_state(spark)
+    LS.await_done(LS.write_versions(counts, out))
+    latest = latest_by_key(spark.read.parquet(out), ["user_id", "window_start"], "_batch_id")
+    return (latest.where(F.col("requests") > 2)
+                  .select("user_id",
+                          F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                          F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                          "requests"))
