@@ -383,3 +383,107 @@ SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
 FROM events GROUP BY 1, 2 HAVING count(*) > 2"""
 
 ORACLE["rate_limit_stream"] = ORACLE["rate_limit"]
+
+# ------------------------------------------------------------------ step 7
+AUDIT = """
+WITH req AS (
+  SELECT event_id AS request_id, ts AS "timestamp", 'user_' || CAST(user_id AS VARCHAR) AS user_name,
+         CASE WHEN user_id % 3 = 0 THEN 'admin' ELSE 'analyst' END AS role,
+         CASE event_type WHEN 'view' THEN 'list_dashboards' WHEN 'click' THEN 'get_dashboard_info'
+              WHEN 'purchase' THEN 'list_datasets' WHEN 'signup' THEN 'create_chart'
+              WHEN 'error' THEN 'delete_dataset' ELSE event_type END AS tool_name,
+         props AS arguments
+  FROM events),
+grants(role, tool_name) AS (VALUES ('admin', 'list_dashboards'), ('admin', 'get_dashboard_info'),
+                                   ('admin', 'list_datasets'), ('analyst', 'list_dashboards'),
+                                   ('analyst', 'get_dashboard_info')),
+dec AS (
+  SELECT r.*, CASE WHEN g.role IS NOT NULL THEN 'GRANTED' ELSE 'DENIED - RBAC' END AS status
+  FROM req r LEFT JOIN grants g ON r.role = g.role AND r.tool_name = g.tool_name),
+log AS (SELECT "timestamp", user_name, tool_name, arguments, status FROM dec)
+"""
+
+ORACLE["authorize"] = AUDIT + "SELECT request_id, user_name, role, tool_name, status FROM dec"
+ORACLE["audit_recent"] = AUDIT + """
+SELECT * FROM log ORDER BY "timestamp" DESC, user_name DESC, tool_name DESC LIMIT 50"""
+ORACLE["audit_total"] = AUDIT + "SELECT count(*) AS total FROM log"
+ORACLE["audit_by_status"] = AUDIT + "SELECT status, count(*) AS count FROM log GROUP BY status"
+ORACLE["audit_append"] = AUDIT + "SELECT * FROM log"
+
+HISTORY = """
+WITH hist AS (
+  SELECT CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS x,
+         sum(CAST(o_totalprice AS DECIMAL(18,2))) AS y
+  FROM orders GROUP BY 1),
+seg AS (
+  SELECT c_mktsegment AS segment,
+         CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS x,
+         sum(CAST(o_totalprice AS DECIMAL(18,2))) AS y
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+"""
+
+FIT = """
+  count(*) AS n, sum(CAST(x AS BIGINT)) AS sx, sum(y) AS sy,
+  sum(CAST(x AS BIGINT) * y) AS sxy, sum(CAST(x AS BIGINT) * x) AS sxx, max(x) AS max_x
+"""
+
+FIT_OUT = """
+  , f2 AS (SELECT *, CASE WHEN CAST(n * sxx - sx * sx AS DOUBLE) <> 0
+                          THEN CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE)
+                     END AS slope FROM f),
+  f3 AS (SELECT *, (CAST(sy AS DOUBLE) - slope * CAST(sx AS DOUBLE)) / CAST(n AS DOUBLE) AS intercept
+         FROM f2)
+"""
+
+ORACLE["forecast_next"] = HISTORY + ", f AS (SELECT " + FIT + " FROM hist)" + FIT_OUT + """
+SELECT slope, intercept, CAST(max_x + 1 AS BIGINT) AS next_x,
+       round_even((slope * CAST(max_x + 1 AS DOUBLE) + intercept) * 100.0, 0) / 100.0 AS prediction
+FROM f3"""
+
+ORACLE["forecast_by_segment"] = HISTORY + ", f AS (SELECT segment, " + FIT + \
+    " FROM seg GROUP BY segment)" + FIT_OUT + """
+SELECT segment, slope, intercept, CAST(max_x + 1 AS BIGINT) AS next_x,
+       round_even((slope * CAST(max_x + 1 AS DOUBLE) + intercept) * 100.0, 0) / 100.0 AS prediction
+FROM f3"""
+
+ORACLE["forecast_table"] = HISTORY + ", f AS (SELECT " + FIT + " FROM hist)" + FIT_OUT + """
+SELECT '2024-01-31' AS fecha_prediccion, CAST(max_x + 1 AS BIGINT) AS mes_simulado,
+       round_even((slope * CAST(max_x + 1 AS DOUBLE) + intercept) * 100.0, 0) / 100.0
+         AS prediccion_ventas,
+       'v1.1-dynamic' AS modelo_version
+FROM f3"""
+
+ORACLE["golden_sets"] = """
+SELECT u.text AS query, a.text AS expected_sql
+FROM conversations u JOIN conversations a
+  ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'"""
+
+ORACLE["nearest_examples"] = """
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings
+           WHERE vec_id < 20),
+e AS (SELECT vec_id AS example_id, CAST(embedding AS DOUBLE[]) AS ev, label FROM embeddings
+      WHERE vec_id >= 20),
+s AS (SELECT query_id, example_id, label, list_cosine_similarity(qv, ev) AS score FROM q, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_id) AS rank
+      FROM s)
+SELECT query_id, example_id, label, rank, round(score, 6) AS score FROM r WHERE rank <= 5"""
+
+# ------------------------------------------------------------------ step 8
+ORACLE["materialize_partitioned"] = with_fixtures(FCT_DOUBLE + """,
+         CAST(year(order_date) * 100 + month(order_date) AS INTEGER) AS order_ym
+FROM fct_sales WHERE year(order_date) * 100 + month(order_date) = 199806""")
+
+ORACLE["retention"] = with_fixtures("""
+SELECT CAST(year(order_date) * 100 + month(order_date) AS INTEGER) AS order_ym,
+       count(*) AS "rows", CAST(sum(amount_usd) AS DOUBLE) AS amount
+FROM fct_sales WHERE year(order_date) * 100 + month(order_date) >= 199901 GROUP BY 1""")
+
+ORACLE["compact"] = ORACLE["latest_by_key"]
+
+ORACLE["seed_if_empty"] = HISTORY + """
+SELECT x AS historico_mes, CAST(y AS DOUBLE) AS ventas_reales FROM hist"""
+
+ORACLE["run_medallion"] = ORACLE["sales_by_category_month"]
+
+ORACLE["run_incremental"] = ORACLE["orders_by_status"]

@@ -432,3 +432,159 @@ def q_rate_limit_stream(spark, d):
                           F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                           F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                           "requests"))
+
+
+# ------------------------------------------------------------------ step 7
+from .operators import audit as AU  # noqa: E402
+from .operators import forecast as FC  # noqa: E402
+from .operators.retrieval import nearest_examples  # noqa: E402
+from .sources import tables as T  # noqa: E402
+
+
+def _decisions(spark, d):
+    return AU.authorize(fx.audit_requests(spark, d), AU.grants_frame(spark))
+
+
+@register("authorize")
+def q_authorize(spark, d):
+    return _decisions(spark, d).select("request_id", "user_name", "role", "tool_name", "status")
+
+
+def _audit_log(spark, d):
+    return AU.audit_rows(_decisions(spark, d)).withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@register("audit_recent")
+def q_audit_recent(spark, d):
+    return AU.audit_recent(_audit_log(spark, d), 50, tiebreak=("user_name", "tool_name"))
+
+
+@register("audit_total")
+def q_audit_total(spark, d):
+    return AU.audit_total(_audit_log(spark, d))
+
+
+@register("audit_by_status")
+def q_audit_by_status(spark, d):
+    return AU.audit_by_status(_audit_log(spark, d))
+
+
+@register("audit_append")
+def q_audit_append(spark, d):
+    """Decisions appended in two writes to one log, read back whole."""
+    path = scratch_path(spark, "audit-log")
+    dec = _decisions(spark, d)
+    AU.append_audit(dec.where(F.col("request_id") % 2 == 0), path)
+    AU.append_audit(dec.where(F.col("request_id") % 2 == 1), path)
+    return spark.read.parquet(path).withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@register("forecast_next")
+def q_forecast_next(spark, d):
+    return FC.forecast_next(fx.monthly_history(spark, d), "historico_mes", "ventas_reales")
+
+
+@register("forecast_by_segment")
+def q_forecast_by_segment(spark, d):
+    return FC.forecast_next(fx.monthly_history_by_segment(spark, d), "historico_mes",
+                            "ventas_reales", groups=["segment"])
+
+
+@register("forecast_table")
+def q_forecast_table(spark, d):
+    fc = FC.forecast_next(fx.monthly_history(spark, d), "historico_mes", "ventas_reales")
+    return FC.prediction_table(fc, run_date=datetime.date(2024, 1, 31))
+
+
+@register("golden_sets")
+def q_golden_sets(spark, d):
+    """Pairs written as JSON lines (plus rows missing a key), read back."""
+    path = scratch_path(spark, "golden")
+    c = fx.read(spark, d, "conversations")
+    pairs = fx.golden_pairs(spark, d).select("query", "expected_sql")
+    partial = c.where(F.col("role") == "system").select(F.col("text").alias("query"))
+    pairs.unionByName(partial, allowMissingColumns=True).write.mode("overwrite").json(path)
+    return T.read_golden_sets(spark, path, multi_line=False)
+
+
+@register("nearest_examples")
+def q_nearest_examples(spark, d):
+    queries, examples = fx.example_vectors(spark, d)
+    nn = nearest_examples(queries, examples, k=5)
+    labels = examples.select(F.col("vec_id").alias("example_id"), "label")
+    return (nn.join(labels, "example_id")
+              .select("query_id", "example_id", "label", "rank",
+                      F.round("score", 6).alias("score")))
+
+
+# ------------------------------------------------------------------ step 8
+from .plans import materialize as MZ  # noqa: E402
+from .plans import medallion as MD  # noqa: E402
+from .functions.scalar import yyyymm  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+
+def _table_name(prefix: str) -> str:
+    return f"{prefix}_{_uuid.uuid4().hex[:10]}"
+
+
+@register("materialize_partitioned")
+def q_materialize_partitioned(spark, d):
+    fct = fct_sales(spark, d).withColumn("order_ym", yyyymm("order_date"))
+    t = MZ.materialize_table(fct, scratch_path(spark, "fct"), partition_by=["order_ym"],
+                             order_by=list(marts.FCT_SALES_ORDER), files_per_partition_hint=2)
+    return as_double(t.where(F.col("order_ym") == 199806))
+
+
+@register("retention")
+def q_retention(spark, d):
+    name = _table_name("fct_sales_ret")
+    fct = fct_sales(spark, d).withColumn("order_ym", yyyymm("order_date"))
+    MZ.save_table(fct, name, scratch_path(spark, name), partition_by=["order_ym"],
+                  order_by=list(marts.FCT_SALES_ORDER))
+    MZ.retain(spark, name, "order_ym", 199901)
+    return (spark.table(name).groupBy("order_ym")
+                 .agg(F.count(F.lit(1)).alias("rows"),
+                      F.sum("amount_usd").cast("double").alias("amount")))
+
+
+@register("compact")
+def q_compact(spark, d):
+    from .operators.latest import compact
+    log = fx.bronze_orders(spark, d).withColumn("order_ym", yyyymm("order_date"))
+    path = compact(log, ["id"], "updated_at", fx.ORDER_TIEBREAK, partition_by=["order_ym"])
+    return spark.read.parquet(path).select(*fx.bronze_orders(spark, d).columns)
+
+
+@register("seed_if_empty")
+def q_seed_if_empty(spark, d):
+    name = _table_name("ventas_historicas")
+    path = scratch_path(spark, name)
+    hist = fx.monthly_history(spark, d)
+    first = MZ.seed_if_empty(hist, name, path)
+    second = MZ.seed_if_empty(hist, name, path)      # no-op: table has rows
+    if not first or second:
+        raise AssertionError("seed_if_empty wrote twice or not at all")
+    return as_double(spark.table(name))
+
+
+@register("run_medallion")
+def q_run_medallion(spark, d):
+    res = MD.run_medallion(spark, fx.bronze_orders(spark, d), fx.bronze_products(spark, d),
+                           fx.bronze_users(spark, d), order_tiebreak=fx.ORDER_TIEBREAK)
+    return as_double(query(res.gold, ORDERS, ["count", "totalAmount", "avgOrderValue",
+                                              "grossMargin"], ["category"],
+                           ("orderDate", "month")))
+
+
+@register("run_incremental")
+def q_run_incremental(spark, d):
+    src = _stream_change_files(spark, d)
+    stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": "2"}, path=src,
+                              streaming=True)
+    res = MD.run_incremental(spark, stream, scratch_path(spark, "bronze-inc"),
+                             unwrapped_orders, fx.bronze_products(spark, d),
+                             fx.bronze_users(spark, d))
+    return as_double(query(res.gold, ORDERS, ["count", "totalAmount"], ["status"]))
