@@ -1,9 +1,10 @@
 """Materialisations: views, partitioned tables, writes, retention, seeding.
 
 Tables are parquet directories in the shared folder (or catalog tables when a
-name is given).  Partitioned writes sort inside each task by the partition
-and order columns instead of shuffling on the partition column, so a month
-that holds a third of the rows still spreads over every writer task.
+name is given).  Partitioned writes go through a ``rebalance`` on the
+partition column: AQE makes write partitions of the advisory size, so a
+month holding a third of the rows is split over many writers while small
+months do not produce one file per task.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ def materialize_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()
     ``order_by`` inside each file (parquet min/max stats then prune row
     groups); returns the table read back (a fresh, short lineage)."""
     out = df
+    if partition_by and not files_per_partition_hint:
+        # AQE-sized write partitions per partition value: small months are
+        # coalesced into one file, a hot month is split over several writers.
+        out = out.hint("rebalance", *partition_by)
     if files_per_partition_hint:
         # Spread each partition value over N writers by a hash of the order key.
         salt = F.abs(F.hash(*[F.col(c) for c in (order_by or df.columns[:1])])) \
@@ -66,7 +71,9 @@ def create_as(spark: SparkSession, name: str, df: DataFrame, kind: str = "view",
 def save_table(df: DataFrame, name: str, path: str, partition_by: Sequence[str] = (),
                order_by: Sequence[str] = (), mode: str = "overwrite") -> DataFrame:
     """Catalog table stored at ``path`` (external: dropping the table keeps files)."""
-    out = df.sortWithinPartitions(*partition_by, *order_by) if (partition_by or order_by) else df
+    out = df.hint("rebalance", *partition_by) if partition_by else df
+    if partition_by or order_by:
+        out = out.sortWithinPartitions(*partition_by, *order_by)
     w = out.write.mode(mode).option("path", path).format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)

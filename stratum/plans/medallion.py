@@ -29,8 +29,15 @@ class MedallionResult:
 
 
 def silver_models(orders_bronze: DataFrame, products_bronze: DataFrame,
-                  users_bronze: DataFrame, order_tiebreak=(), order_keys=("id",)):
+                  users_bronze: DataFrame, order_tiebreak=(), order_keys=("id",),
+                  persist_orders_at: str | None = None):
+    """Silver models.  With ``persist_orders_at`` the orders model (the one
+    with the bronze-wide shuffle) is written once to the shared folder, so
+    the quality checks and the gold build read it instead of re-resolving
+    every key's latest version; it also cuts lineage for executor loss."""
     o = staging.stg_orders(orders_bronze, keys=order_keys, tiebreak=order_tiebreak)
+    if persist_orders_at:
+        o = materialize_table(o, persist_orders_at)
     p = staging.stg_products(products_bronze)
     u = staging.stg_users(users_bronze)
     materialize_view(o, "stg_orders")
@@ -54,7 +61,8 @@ def silver_checks(o: DataFrame, p: DataFrame, u: DataFrame) -> DataFrame:
 def run_medallion(spark: SparkSession, orders_bronze: DataFrame, products_bronze: DataFrame,
                   users_bronze: DataFrame, gold_path: str | None = None,
                   order_tiebreak=(), gate: bool = True) -> MedallionResult:
-    o, p, u = silver_models(orders_bronze, products_bronze, users_bronze, order_tiebreak)
+    o, p, u = silver_models(orders_bronze, products_bronze, users_bronze, order_tiebreak,
+                            persist_orders_at=scratch_path(spark, "silver-stg_orders"))
     report = silver_checks(o, p, u)
     if gate:
         Q.gate(report)
