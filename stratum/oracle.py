@@ -487,3 +487,57 @@ SELECT x AS historico_mes, CAST(y AS DOUBLE) AS ventas_reales FROM hist"""
 ORACLE["run_medallion"] = ORACLE["sales_by_category_month"]
 
 ORACLE["run_incremental"] = ORACLE["orders_by_status"]
+
+ORACLE["alert_stream"] = SAMPLES + """
+, s AS (SELECT *, coalesce(value > 30, false) AS on_ FROM gauges),
+l AS (SELECT *, lag(on_) OVER (PARTITION BY series_id ORDER BY ts, event_id) AS prev FROM s),
+c AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> on_ THEN 1 ELSE 0 END) OVER (
+        PARTITION BY series_id ORDER BY ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM l),
+st AS (SELECT *, min(ts) OVER (PARTITION BY series_id, island) AS start_ts FROM c WHERE on_)
+SELECT series_id, start_ts, min(ts) AS fired_ts FROM st
+WHERE epoch_us(ts) - epoch_us(start_ts) >= 60000000 GROUP BY series_id, start_ts"""
+
+ORACLE["users_by_country_month"] = with_fixtures("""
+SELECT country, CAST(date_trunc('month', signup_date) AS DATE) AS createdAt_month, count(*) AS count
+FROM stg_users GROUP BY 1, 2""")
+
+ORACLE["sales_history_cube"] = HISTORY + """
+SELECT x AS historicoMes, count(*) AS count, CAST(sum(y) AS DOUBLE) AS totalVentas,
+       CAST(sum(y) AS DOUBLE) / count(y) AS promedioVentas
+FROM hist WHERE x <= 12 GROUP BY x"""
+
+FORECAST_ROWS = HISTORY + ", f AS (SELECT segment, " + FIT + \
+    " FROM seg GROUP BY segment)" + FIT_OUT + """
+, fr AS (SELECT '2024-01-31' AS fecha_prediccion, CAST(max_x + 1 AS BIGINT) AS mes_simulado,
+       round_even((slope * CAST(max_x + 1 AS DOUBLE) + intercept) * 100.0, 0) / 100.0
+         AS prediccion_ventas,
+       'v1.1-dynamic-' || CAST(max_x + 1 AS VARCHAR) AS modelo_version
+       FROM f3)
+"""
+
+ORACLE["forecast_cube"] = FORECAST_ROWS + """
+SELECT modelo_version AS modeloVersion, count(*) AS count, sum(prediccion_ventas) AS totalPrediccion,
+       sum(prediccion_ventas) / count(prediccion_ventas) AS promedioPrediccion
+FROM fr GROUP BY 1"""
+
+ORACLE["forecast_cube_drill"] = FORECAST_ROWS + """
+SELECT modelo_version AS modeloVersion, fecha_prediccion AS fechaPrediccion, mes_simulado AS id
+FROM fr"""
+
+ORACLE["format_currency"] = with_fixtures("""
+SELECT category, count(*) AS count,
+       '$' || format('{:,.2f}', CAST(sum(amount_usd) AS DOUBLE)) AS totalAmount,
+       '$' || format('{:,.2f}', CAST(sum(amount_usd) AS DOUBLE) / count(amount_usd)) AS avgOrderValue
+FROM fct_sales GROUP BY category""")
+
+ORACLE["capped_result"] = with_fixtures("""
+SELECT order_id, category, CAST(amount_usd AS DOUBLE) AS amount_usd
+FROM fct_sales ORDER BY order_id LIMIT 5000""")
+
+ORACLE["refresh_rollups"] = with_fixtures("""
+SELECT order_status AS status, CAST(date_trunc('year', order_date) AS DATE) AS orderDate_year,
+       count(*) AS count, CAST(sum(amount_usd) AS DOUBLE) AS totalAmount
+FROM fct_sales GROUP BY 1, 2""")
+
+ORACLE["run_forecast"] = ORACLE["forecast_table"]

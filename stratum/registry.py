@@ -588,3 +588,102 @@ def q_run_incremental(spark, d):
                              unwrapped_orders, fx.bronze_products(spark, d),
                              fx.bronze_users(spark, d))
     return as_double(query(res.gold, ORDERS, ["count", "totalAmount"], ["status"]))
+
+
+# ------------------------------------------------- streaming alert (J5)
+@register("alert_stream")
+def q_alert_stream(spark, d):
+    """Gauge samples arrive in event-time order; stateful per-series alert."""
+    from .streaming.alerts import alert_stream
+    g = fx.gauge_samples(spark, d).select("ts", "series_id", "event_id", "value")
+    landing = _landing_in_time_order(g, "ts", 4)
+    stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    alerts = alert_stream(stream, "series_id", "ts", "value", 30, 60, tiebreak="event_id")
+    out = scratch_path(spark, "alerts")
+    LS.use_rocksdb_state(spark)
+    LS.await_done(LS.write_versions(alerts, out, output_mode="append"))
+    return spark.read.parquet(out).drop("_batch_id")
+
+
+# --------------------------------------------- semantic layer, more cubes
+from .plans.semantic import SALES_FORECAST, SALES_HISTORY, USERS  # noqa: E402
+from .plans.rollup import refresh_rollups  # noqa: E402
+
+
+@register("users_by_country_month")
+def q_users_by_country_month(spark, d):
+    return query(silver(spark, d)[2], USERS, ["count"], ["country"], ("createdAt", "month"))
+
+
+@register("sales_history_cube")
+def q_sales_history_cube(spark, d):
+    hist = fx.monthly_history(spark, d)
+    return as_double(query(hist, SALES_HISTORY, ["count", "totalVentas", "promedioVentas"],
+                           ["historicoMes"], filters=[("historicoMes", "lte", [12])]))
+
+
+def _forecast_rows(spark, d):
+    fc = FC.forecast_next(fx.monthly_history_by_segment(spark, d), "historico_mes",
+                          "ventas_reales", groups=["segment"])
+    return FC.prediction_table(fc, run_date=datetime.date(2024, 1, 31)).withColumn(
+        "modelo_version", F.concat(F.lit(FC.MODEL_VERSION + "-"), F.col("mes_simulado")))
+
+
+@register("forecast_cube")
+def q_forecast_cube(spark, d):
+    return query(_forecast_rows(spark, d), SALES_FORECAST,
+                 ["count", "totalPrediccion", "promedioPrediccion"], ["modeloVersion"])
+
+
+@register("forecast_cube_drill")
+def q_forecast_cube_drill(spark, d):
+    return semantic.drill(_forecast_rows(spark, d), SALES_FORECAST, "count")
+
+
+@register("format_currency")
+def q_format_currency(spark, d):
+    out = query(fct_sales(spark, d), ORDERS, ["count", "totalAmount", "avgOrderValue"],
+                ["category"])
+    return semantic.format_measures(out, ORDERS)
+
+
+@register("capped_result")
+def q_capped_result(spark, d):
+    """A 5,000-row result cap over a detail query (ordered, so the cap is stable)."""
+    fct = fct_sales(spark, d).select("order_id", "category", "amount_usd")
+    return as_double(semantic.capped(fct.orderBy("order_id"), 5000))
+
+
+@register("refresh_rollups")
+def q_refresh_rollups(spark, d):
+    fct = fct_sales(spark, d)
+    t = build_rollup(fct, ORDERS, DAY_CATEGORY, version_col="data_replicated_at")
+    same = refresh_rollups(fct, ORDERS, [t], force=False, version_col="data_replicated_at")
+    if same[0] is not t:
+        raise AssertionError("unchanged source must not rebuild")
+    forced = refresh_rollups(fct, ORDERS, [t], force=True, version_col="data_replicated_at")
+    return as_double(query(fct, ORDERS, ["count", "totalAmount"], ["status"],
+                           ("orderDate", "year"), rollups=forced))
+
+
+@register("run_forecast")
+def q_run_forecast(spark, d):
+    """Seed (if empty) -> verify source -> fit -> overwrite prediction table."""
+    name = _table_name("ventas_historicas")
+    MZ.seed_if_empty(fx.monthly_history(spark, d), name, scratch_path(spark, name))
+    hist = spark.table(name)
+    if not MZ.verify_source(hist, 5):
+        raise RuntimeError("history table is empty")
+    fc = FC.forecast_next(hist, "historico_mes", "ventas_reales")
+    out = scratch_path(spark, "ml_prediccion_ventas")
+    MZ.write(FC.prediction_table(fc, run_date=datetime.date(2024, 1, 31)), out, "overwrite")
+    return spark.read.parquet(out)
+
+
+@register("catalog_summary")
+def q_catalog_summary(spark, d):
+    """Register the run's models as views, then summarise the catalog."""
+    o, p, u = silver(spark, d)
+    for n, df in (("stg_orders", o), ("stg_products", p), ("stg_users", u)):
+        df.createOrReplaceTempView(n)
+    return T.catalog_summary(spark, [None]).where(F.col("table_type") == "TEMPORARY")
