@@ -32,10 +32,11 @@ def counter_deltas(samples: DataFrame, by: Sequence[str], ts: str = "ts",
     df = with_bucket(df, "__t", _bucket_us(0, bucket_s))
     df = lag_across_buckets(df, by, ["__t", *tiebreak], [value], prefix="__prev_")
     prev = F.col(f"__prev_{value}")
-    delta = (F.when(prev.isNull(), F.lit(0.0))
+    # stays in the value's type: DECIMAL counters give exact increases
+    delta = (F.when(prev.isNull(), F.lit(0))
               .when(F.col(value) < prev, F.col(value))
               .otherwise(F.col(value) - prev))
-    return df.withColumn("delta", delta.cast("double")).drop(f"__prev_{value}", BUCKET)
+    return df.withColumn("delta", delta).drop(f"__prev_{value}", BUCKET)
 
 
 def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str = "ts",

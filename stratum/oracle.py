@@ -436,13 +436,15 @@ FIT_OUT = """
 """
 
 ORACLE["forecast_next"] = HISTORY + ", f AS (SELECT " + FIT + " FROM hist)" + FIT_OUT + """
-SELECT slope, intercept, CAST(max_x + 1 AS BIGINT) AS next_x,
+SELECT round_even(slope * 1000000.0, 0) / 1000000.0 AS slope,
+       round_even(intercept * 1000000.0, 0) / 1000000.0 AS intercept, CAST(max_x + 1 AS BIGINT) AS next_x,
        round_even((slope * CAST(max_x + 1 AS DOUBLE) + intercept) * 100.0, 0) / 100.0 AS prediction
 FROM f3"""
 
 ORACLE["forecast_by_segment"] = HISTORY + ", f AS (SELECT segment, " + FIT + \
     " FROM seg GROUP BY segment)" + FIT_OUT + """
-SELECT segment, slope, intercept, CAST(max_x + 1 AS BIGINT) AS next_x,
+SELECT segment, round_even(slope * 1000000.0, 0) / 1000000.0 AS slope,
+       round_even(intercept * 1000000.0, 0) / 1000000.0 AS intercept, CAST(max_x + 1 AS BIGINT) AS next_x,
        round_even((slope * CAST(max_x + 1 AS DOUBLE) + intercept) * 100.0, 0) / 100.0 AS prediction
 FROM f3"""
 

@@ -481,15 +481,22 @@ def q_audit_append(spark, d):
         "timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+def _fit_out(df: DataFrame) -> DataFrame:
+    """Coefficients to 6 digits (half-even), as the check compares them."""
+    return df.withColumns({"slope": FC.round_half_even(F.col("slope"), 6),
+                           "intercept": FC.round_half_even(F.col("intercept"), 6)})
+
+
 @register("forecast_next")
 def q_forecast_next(spark, d):
-    return FC.forecast_next(fx.monthly_history(spark, d), "historico_mes", "ventas_reales")
+    return _fit_out(FC.forecast_next(fx.monthly_history(spark, d), "historico_mes",
+                                     "ventas_reales"))
 
 
 @register("forecast_by_segment")
 def q_forecast_by_segment(spark, d):
-    return FC.forecast_next(fx.monthly_history_by_segment(spark, d), "historico_mes",
-                            "ventas_reales", groups=["segment"])
+    return _fit_out(FC.forecast_next(fx.monthly_history_by_segment(spark, d), "historico_mes",
+                                     "ventas_reales", groups=["segment"]))
 
 
 @register("forecast_table")
