@@ -543,3 +543,12 @@ SELECT order_status AS status, CAST(date_trunc('year', order_date) AS DATE) AS o
 FROM fct_sales GROUP BY 1, 2""")
 
 ORACLE["run_forecast"] = ORACLE["forecast_table"]
+
+ORACLE["named_source_scan"] = """
+SELECT p_brand, count(*) AS parts,
+       CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(p_retailprice) AS avg_price
+FROM part GROUP BY p_brand"""
+
+ORACLE["create_as"] = with_fixtures("""
+SELECT country, count(*) AS orders, CAST(sum(amount_usd) AS DOUBLE) AS amount
+FROM fct_sales WHERE amount_usd > 50000 GROUP BY country""")

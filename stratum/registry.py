@@ -692,5 +692,29 @@ def q_catalog_summary(spark, d):
     """Register the run's models as views, then summarise the catalog."""
     o, p, u = silver(spark, d)
     for n, df in (("stg_orders", o), ("stg_products", p), ("stg_users", u)):
-        df.createOrReplaceTempView(n)
+        MZ.create_as(spark, n, df, "view")
     return T.catalog_summary(spark, [None]).where(F.col("table_type") == "TEMPORARY")
+
+
+@register("named_source_scan")
+def q_named_source_scan(spark, d):
+    """A second named data source (operational snapshot files) read by name."""
+    T.register_source("legacy_files",
+                      lambda s, t: T.read_snapshot(s, f"{d.rstrip('/')}/{t}.parquet"))
+    part = T.table(spark, "part", data_source="legacy_files")
+    return (part.groupBy("p_brand")
+                .agg(F.count(F.lit(1)).alias("parts"),
+                     (F.sum(F.col("p_retailprice").cast("decimal(18,2)")).cast("double")
+                      / F.count("p_retailprice")).alias("avg_price")))
+
+
+@register("create_as")
+def q_create_as(spark, d):
+    """CREATE TABLE AS (written to the shared folder) then a view over it."""
+    fct = fct_sales(spark, d)
+    t_name, v_name = _table_name("ctas_sales"), _table_name("cvas_sales")
+    MZ.create_as(spark, t_name, fct.select("order_id", "country", "amount_usd"), "table",
+                 path=scratch_path(spark, t_name))
+    MZ.create_as(spark, v_name, spark.table(t_name).where(F.col("amount_usd") > 50000), "view")
+    return as_double(spark.table(v_name).groupBy("country").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("amount_usd").alias("amount")))
