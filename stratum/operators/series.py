@@ -88,10 +88,13 @@ def range_sum_with_halo(df: DataFrame, by: Sequence[str], t_us: str, range_us: i
         raise ValueError("bucket must be at least as wide as the range")
     by = list(by)
     b = F.floor(F.col(t_us) / F.lit(bucket_us)).cast("long")
-    own = df.withColumns({"__hb": b, "__halo": F.lit(False)})
-    halo = (df.where(F.col(t_us) >= (b + 1) * F.lit(bucket_us) - F.lit(range_us))
-              .withColumns({"__hb": b + 1, "__halo": F.lit(True)}))
-    u = own.unionByName(halo)
-    w = Window.partitionBy(*by, "__hb").orderBy(F.col(t_us)).rangeBetween(-range_us, 0)
+    near_end = F.col(t_us) >= (b + 1) * F.lit(bucket_us) - F.lit(range_us)
+    # one pass: every row lands in its own bucket, rows near a bucket end are
+    # also copied (as halo) into the next one
+    own = F.array(F.struct(b.alias("hb"), F.lit(False).alias("halo")))
+    both = F.array(F.struct(b.alias("hb"), F.lit(False).alias("halo")),
+                   F.struct((b + 1).alias("hb"), F.lit(True).alias("halo")))
+    u = df.withColumn("__h", F.explode(F.when(near_end, both).otherwise(own)))
+    w = Window.partitionBy(*by, "__h.hb").orderBy(F.col(t_us)).rangeBetween(-range_us, 0)
     return (u.withColumn(out, F.sum(col).over(w))
-             .where(~F.col("__halo")).drop("__hb", "__halo"))
+             .where(~F.col("__h.halo")).drop("__h"))
