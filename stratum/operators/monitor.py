@@ -41,15 +41,46 @@ def counter_deltas(samples: DataFrame, by: Sequence[str], ts: str = "ts",
 
 def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str = "ts",
                  value: str = "value", tiebreak: Sequence[str] = (),
-                 bucket_s: float | None = None) -> DataFrame:
-    """Per-second rate at each sample: reset-aware increase over the trailing
-    ``[t - window, t]`` divided by the window length (not extrapolated)."""
+                 bucket_s: float | None = None, extrapolate: bool = False) -> DataFrame:
+    """Per-second rate evaluated at each sample over the trailing window.
+
+    Default: reset-aware increase over ``[t - window, t]`` (including the step
+    from the sample before the window) divided by the window length.
+
+    ``extrapolate=True`` follows the metrics-server rule: only samples inside
+    the window count (at least two), the increase between the first and the
+    last of them is extrapolated towards the window start when the gap is
+    below 1.1 x the average sample spacing (else by half a spacing), and never
+    below the point where a counter would have been zero.
+    """
     d = counter_deltas(samples, by, ts, value, tiebreak, bucket_s)
     w_us = int(window_s * US)
+    extra = None
+    if extrapolate:
+        extra = {
+            "__n": lambda w: F.count(F.lit(1)).over(w),
+            "__t_first": lambda w: F.min("__t").over(w),
+            "__d_first": lambda w: F.first("delta").over(w),
+            "__v_first": lambda w: F.first(value).over(w),
+        }
     r = range_sum_with_halo(d, by, "__t", w_us, max(_bucket_us(window_s, bucket_s), w_us),
-                            "delta", "__inc")
-    return r.withColumn("rate", F.col("__inc") / F.lit(float(window_s))) \
-            .withColumnRenamed("__inc", "increase").drop("__t")
+                            "delta", "__inc", extra)
+    if not extrapolate:
+        return r.withColumn("rate", F.col("__inc").cast("double") / F.lit(float(window_s))) \
+                .withColumnRenamed("__inc", "increase").drop("__t")
+    inc = (F.col("__inc") - F.col("__d_first")).cast("double")       # between in-window samples
+    sampled = (F.col("__t") - F.col("__t_first")).cast("double") / F.lit(float(US))
+    avg = sampled / (F.col("__n") - 1).cast("double")
+    to_start = (F.col("__t_first") - (F.col("__t") - F.lit(w_us))).cast("double") / F.lit(float(US))
+    to_zero = sampled * (F.col("__v_first").cast("double") / inc)
+    to_start = F.when((inc > 0) & (F.col("__v_first") >= 0) & (to_zero < to_start), to_zero) \
+                .otherwise(to_start)
+    thr = avg * F.lit(1.1)
+    ext = sampled + F.when(to_start < thr, to_start).otherwise(avg / F.lit(2.0))
+    increase = F.when((F.col("__n") >= 2) & (sampled > 0), inc * (ext / sampled))
+    return (r.withColumn("increase", increase)
+             .withColumn("rate", F.col("increase") / F.lit(float(window_s)))
+             .drop("__inc", "__n", "__t_first", "__d_first", "__v_first", "__t"))
 
 
 def alert_intervals(samples: DataFrame, by: Sequence[str], condition: Column, hold_s: float,

@@ -81,9 +81,12 @@ def running_sum_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence
 
 
 def range_sum_with_halo(df: DataFrame, by: Sequence[str], t_us: str, range_us: int,
-                        bucket_us: int, col: str, out: str) -> DataFrame:
+                        bucket_us: int, col: str, out: str, extra=None) -> DataFrame:
     """Add ``out`` = sum of ``col`` over rows of the series with
-    ``t - range_us <= t' <= t`` (peers included).  Needs ``bucket_us >= range_us``."""
+    ``t - range_us <= t' <= t`` (peers included).  Needs ``bucket_us >= range_us``.
+
+    ``extra`` maps more output names to ``fn(window) -> Column`` aggregates
+    evaluated over the same frame."""
     if bucket_us < range_us:
         raise ValueError("bucket must be at least as wide as the range")
     by = list(by)
@@ -96,5 +99,8 @@ def range_sum_with_halo(df: DataFrame, by: Sequence[str], t_us: str, range_us: i
                    F.struct((b + 1).alias("hb"), F.lit(True).alias("halo")))
     u = df.withColumn("__h", F.explode(F.when(near_end, both).otherwise(own)))
     w = Window.partitionBy(*by, "__h.hb").orderBy(F.col(t_us)).rangeBetween(-range_us, 0)
-    return (u.withColumn(out, F.sum(col).over(w))
+    cols = {out: F.sum(col).over(w)}
+    for name, fn in (extra or {}).items():
+        cols[name] = fn(w)
+    return (u.withColumns(cols)
              .where(~F.col("__h.halo")).drop("__h"))

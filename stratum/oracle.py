@@ -552,3 +552,29 @@ FROM part GROUP BY p_brand"""
 ORACLE["create_as"] = with_fixtures("""
 SELECT country, count(*) AS orders, CAST(sum(amount_usd) AS DOUBLE) AS amount
 FROM fct_sales WHERE amount_usd > 50000 GROUP BY country""")
+
+ORACLE["counter_rate_extrapolated"] = SAMPLES + """
+, l AS (SELECT *, lag(value) OVER (PARTITION BY metric, series_id ORDER BY ts, event_id) AS prev
+        FROM counters),
+d AS (SELECT *, epoch_us(ts) AS t,
+             CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS delta
+      FROM l),
+r AS (SELECT *,
+        sum(delta) OVER w AS s, count(*) OVER w AS n, min(t) OVER w AS t_first,
+        first_value(delta) OVER w AS d_first, first_value(value) OVER w AS v_first
+      FROM d WINDOW w AS (PARTITION BY metric, series_id ORDER BY ts
+                          RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)),
+x AS (SELECT *, CAST(s - d_first AS DOUBLE) AS inc,
+             CAST(t - t_first AS DOUBLE) / CAST(1000000 AS DOUBLE) AS sampled,
+             CAST(t_first - (t - 3600000000) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS to_start0
+      FROM r),
+y AS (SELECT *, sampled / CAST(n - 1 AS DOUBLE) AS avg_,
+             CASE WHEN inc > 0 AND v_first >= 0
+                   AND sampled * (CAST(v_first AS DOUBLE) / inc) < to_start0
+                  THEN sampled * (CAST(v_first AS DOUBLE) / inc) ELSE to_start0 END AS to_start
+      FROM x),
+z AS (SELECT *, CASE WHEN n >= 2 AND sampled > 0 THEN inc * ((sampled +
+             CASE WHEN to_start < avg_ * CAST(1.1 AS DOUBLE) THEN to_start
+                  ELSE avg_ / CAST(2.0 AS DOUBLE) END) / sampled) END AS increase
+      FROM y)
+SELECT ts, metric, series_id, event_id, increase, increase / CAST(3600 AS DOUBLE) AS rate FROM z"""

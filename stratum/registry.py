@@ -718,3 +718,10 @@ def q_create_as(spark, d):
     MZ.create_as(spark, v_name, spark.table(t_name).where(F.col("amount_usd") > 50000), "view")
     return as_double(spark.table(v_name).groupBy("country").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("amount_usd").alias("amount")))
+
+
+@register("counter_rate_extrapolated")
+def q_counter_rate_extrapolated(spark, d):
+    r = M.counter_rate(fx.metric_samples(spark, d), SERIES, 3600, tiebreak=["event_id"],
+                       extrapolate=True)
+    return r.select("ts", "metric", "series_id", "event_id", "increase", "rate")

@@ -76,3 +76,15 @@ def test_rate_limit(spark):
     df = spark.createDataFrame(rows, "ts timestamp_ntz, user_id long")
     out = M.rate_limit_violations(df, ["user_id"], limit=4, window="1 minute").collect()
     assert [(r.user_id, r.requests) for r in out] == [(1, 5)]
+
+
+def test_counter_rate_extrapolated(spark):
+    # counter grows 1/s, sampled every 10 s; window 60 s
+    df = _samples(spark, [(s, s) for s in range(0, 101, 10)])
+    out = {r.eid: r for r in M.counter_rate(df, ["sid"], 60, tiebreak=["eid"],
+                                             extrapolate=True).collect()}
+    assert out[0].increase is None                       # a single sample: no rate
+    assert abs(out[10].rate - 1.0) < 1e-12               # window [40,100]: gap 0 to start
+    # at t=50 the window starts at -10; the counter would be zero at t=0,
+    # so extrapolation stops there: increase 50 over a 60 s window
+    assert abs(out[5].increase - 50.0) < 1e-12
