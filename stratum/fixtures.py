@@ -131,18 +131,22 @@ def monthly_history_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter samples: one series per (event type, user); the counter is the
     running sum of event values, restarting every day (an exporter restart),
-    kept as DECIMAL so increases are exact."""
-    from pyspark.sql import Window
+    kept as DECIMAL so increases are exact.  The running sum is bucketed by
+    hour (skew-safe for a busy series)."""
+    from .operators.series import epoch_micros, running_sum_across_buckets, with_bucket
     e = read(spark, sf_dir, "events")
-    w = (Window.partitionBy("event_type", "user_id", F.to_date("ts")).orderBy("ts", "event_id")
-         .rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumns({"__day": F.to_date("ts"), "__t": epoch_micros(e, "ts"),
+                       "__v": F.col("value").cast("decimal(18,2)")})
+    e = with_bucket(e, "__t", 3600 * 1_000_000)
+    e = running_sum_across_buckets(e, ["event_type", "user_id", "__day"], ["__t", "event_id"],
+                                   "__v", "counter")
     return e.select(
         F.col("ts"),
         F.col("event_type").alias("metric"),
         F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("labels"),
         F.col("user_id").alias("series_id"),
         F.col("event_id"),
-        F.sum(F.col("value").cast("decimal(18,2)")).over(w).alias("value"),
+        F.col("counter").alias("value"),
     )
 
 
@@ -229,11 +233,14 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     a second topic exercise routing, and one malformed record exercises the
     quarantine.  ``offset`` is the arrival order within a key.
     """
-    from pyspark.sql import Window
     from .functions.envelope import encode_date, encode_decimal, encode_micros
+    from .operators.series import epoch_micros, running_sum_across_buckets, with_bucket
     b = bronze_orders(spark, sf_dir)
-    w = Window.partitionBy("id").orderBy(*[F.col(c).asc() for c in ("updated_at",) + ORDER_TIEBREAK])
-    b = b.withColumn("seq", F.row_number().over(w))
+    # arrival number within a key = running count in version order, bucketed
+    # by 30-day version windows so a key with many versions spreads out
+    b = b.withColumns({"__t": epoch_micros(b, "updated_at"), "__one": F.lit(1)})
+    b = with_bucket(b, "__t", 30 * 86400 * 1_000_000)
+    b = running_sum_across_buckets(b, ["id"], ["__t", *ORDER_TIEBREAK], "__one", "seq")
     row = F.struct(
         "id", "user_id", "product_id", "supp_key", "status",
         encode_decimal(F.col("amount"), 2).alias("amount"), "quantity", "discount", "tax",
