@@ -578,3 +578,10 @@ z AS (SELECT *, CASE WHEN n >= 2 AND sampled > 0 THEN inc * ((sampled +
                   ELSE avg_ / CAST(2.0 AS DOUBLE) END) / sampled) END AS increase
       FROM y)
 SELECT ts, metric, series_id, event_id, increase, increase / CAST(3600 AS DOUBLE) AS rate FROM z"""
+
+ORACLE["business_day_events"] = """
+SELECT CAST(timezone('America/Mexico_City', ts AT TIME ZONE 'UTC') AS DATE) AS business_date,
+       count(*) AS events
+FROM events GROUP BY 1"""
+
+ORACLE["cdc_publication_ops"] = with_changes("SELECT * FROM changes WHERE op IN ('c', 'u')")

@@ -725,3 +725,21 @@ def q_counter_rate_extrapolated(spark, d):
     r = M.counter_rate(fx.metric_samples(spark, d), SERIES, 3600, tiebreak=["event_id"],
                        extrapolate=True)
     return r.select("ts", "metric", "series_id", "event_id", "increase", "rate")
+
+
+@register("business_day_events")
+def q_business_day_events(spark, d):
+    """Event instants (UTC) counted per calendar day in the business zone."""
+    from .functions.scalar import to_business_date
+    e = fx.read(spark, d, "events")
+    return (e.groupBy(to_business_date(F.col("ts").cast("timestamp"),
+                                       "America/Mexico_City").alias("business_date"))
+             .agg(F.count(F.lit(1)).alias("events")))
+
+
+@register("cdc_publication_ops")
+def q_cdc_publication_ops(spark, d):
+    """A publication that replicates inserts and updates only."""
+    routed = cdc.route(fx.change_log(spark, d), ["orders"])
+    rows = fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema(), ops=("c", "u")))
+    return rows.select(*CDC_COLS)
