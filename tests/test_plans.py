@@ -41,3 +41,14 @@ def test_series_windows_partition_by_bucket(spark):
     r = M.counter_rate(g, ["metric", "series_id"], 300, tiebreak=["event_id"])
     p = _plan(r)
     assert "__bucket" in p or "hb" in p
+
+
+def test_month_partition_pruning(spark):
+    from stratum.functions.scalar import yyyymm
+    from stratum.plans.materialize import materialize_table
+    from stratum.session import scratch_path
+    fct = fct_sales(spark, SF_SMALL).withColumn("order_ym", yyyymm("order_date"))
+    t = materialize_table(fct, scratch_path(spark, "t"), partition_by=["order_ym"],
+                          order_by=["order_date", "category", "country"])
+    p = _plan(t.where("order_ym = 199806").select("order_id"))
+    assert "PartitionFilters: [isnotnull(order_ym" in p and "199806" in p
