@@ -42,8 +42,7 @@ def to_money(c, precision: int = 18, scale: int = 2) -> Column:
 
 def try_money(c, precision: int = 18, scale: int = 2) -> Column:
     """Like ``to_money`` but bad input becomes NULL (bronze edge)."""
-    return F.try_cast(_c(c), f"decimal({precision},{scale})") if hasattr(F, "try_cast") \
-        else F.expr(f"try_cast({c} as decimal({precision},{scale}))")
+    return _c(c).try_cast(f"decimal({precision},{scale})")
 
 
 def to_business_date(c, tz: str | None = None) -> Column:

@@ -211,3 +211,17 @@ def rate_limit_violations(events: DataFrame, key: Sequence[str], limit: int = 20
     return (agg.where(F.col("requests") > limit)
                .select(*key, F.col("w.start").alias("window_start"),
                        F.col("w.end").alias("window_end"), "requests"))
+
+
+def lag_series(df: DataFrame, by: Sequence[str], synced: str = "_synced_at",
+               window: str = "1 minute") -> DataFrame:
+    """Freshness as a series: per tumbling window, the newest sync time and
+    ``window_end - newest`` in seconds (works on streams with a watermark)."""
+    w = F.window(synced, window)
+    agg = df.groupBy(*by, w.alias("w")).agg(F.max(synced).alias("last_synced_at"),
+                                            F.count(F.lit(1)).alias("rows"))
+    lag = (F.unix_micros(F.col("w.end").cast("timestamp")) -
+           F.unix_micros(F.col("last_synced_at").cast("timestamp"))) / F.lit(float(US))
+    return agg.select(*by, F.col("w.start").alias("window_start"),
+                      F.col("w.end").alias("window_end"), "last_synced_at", "rows",
+                      lag.alias("lag_seconds"))

@@ -585,3 +585,16 @@ SELECT CAST(timezone('America/Mexico_City', ts AT TIME ZONE 'UTC') AS DATE) AS b
 FROM events GROUP BY 1"""
 
 ORACLE["cdc_publication_ops"] = with_changes("SELECT * FROM changes WHERE op IN ('c', 'u')")
+
+ORACLE["replication_lag_series"] = with_fixtures("""
+, u AS (SELECT 'orders' AS "table", _synced_at FROM bronze_orders
+        UNION ALL SELECT 'users', _synced_at FROM bronze_users),
+g AS (SELECT "table", time_bucket(INTERVAL 1 DAY, _synced_at) AS window_start,
+             max(_synced_at) AS last_synced_at, count(*) AS "rows"
+      FROM u GROUP BY 1, 2)
+SELECT "table", window_start, window_start + INTERVAL 1 DAY AS window_end, last_synced_at, "rows",
+       CAST(epoch_us(window_start + INTERVAL 1 DAY) - epoch_us(last_synced_at) AS DOUBLE)
+         / CAST(1000000 AS DOUBLE) AS lag_seconds
+FROM g""")
+
+ORACLE["replication_lag_stream"] = ORACLE["replication_lag_series"]

@@ -746,3 +746,35 @@ def q_cdc_publication_ops(spark, d):
     routed = cdc.route(fx.change_log(spark, d), ["orders"])
     rows = fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema(), ops=("c", "u")))
     return rows.select(*CDC_COLS)
+
+
+def _synced_rows(spark, d) -> DataFrame:
+    return (fx.bronze_orders(spark, d).select(F.lit("orders").alias("table"), "_synced_at")
+              .unionByName(fx.bronze_users(spark, d)
+                             .select(F.lit("users").alias("table"), "_synced_at")))
+
+
+@register("replication_lag_series")
+def q_replication_lag_series(spark, d):
+    return M.lag_series(_synced_rows(spark, d), ["table"], window="1 day")
+
+
+@register("replication_lag_stream")
+def q_replication_lag_stream(spark, d):
+    """The same series over the arriving rows: watermark bounds window state,
+    update mode + newest emission per window gives the final values."""
+    rows = _synced_rows(spark, d)
+    landing = _landing_in_time_order(rows, "_synced_at", 4)
+    src = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+                .withColumn("_synced_at", F.col("_synced_at").cast("timestamp"))
+                .withWatermark("_synced_at", "2 days"))
+    series = M.lag_series(src, ["table"], window="1 day")
+    out = scratch_path(spark, "lag-series")
+    LS.use_rocksdb_state(spark)
+    LS.await_done(LS.write_versions(series, out))
+    latest = latest_by_key(spark.read.parquet(out), ["table", "window_start"], "_batch_id")
+    return latest.select("table",
+                         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                         F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                         F.col("last_synced_at").cast("timestamp_ntz").alias("last_synced_at"),
+                         "rows", "lag_seconds")
