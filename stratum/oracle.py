@@ -598,3 +598,9 @@ SELECT "table", window_start, window_start + INTERVAL 1 DAY AS window_end, last_
 FROM g""")
 
 ORACLE["replication_lag_stream"] = ORACLE["replication_lag_series"]
+
+ORACLE["sales_date_range_pruned"] = with_fixtures("""
+SELECT country, CAST(date_trunc('week', order_date) AS DATE) AS orderDate_week,
+       count(*) AS count, CAST(sum(amount_usd) AS DOUBLE) AS totalAmount
+FROM fct_sales WHERE order_date BETWEEN DATE '1997-03-15' AND DATE '1997-06-10'
+GROUP BY 1, 2""")

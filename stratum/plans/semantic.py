@@ -14,6 +14,7 @@ funnels its rows to one task.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -47,6 +48,10 @@ class Cube:
     measures: dict[str, Measure]
     dimensions: dict[str, Dimension]
     data_source: str = "default"
+    # time dimension -> yyyymm partition column of the stored table: a date
+    # range on the dimension also becomes a predicate on the partition column
+    # (the optimizer cannot derive one from the other), so folders prune.
+    partition_hints: dict[str, str] = field(default_factory=dict)
 
     def primary_key(self) -> str | None:
         for n, d in self.dimensions.items():
@@ -76,6 +81,7 @@ ORDERS = Cube(
         "productId": Dimension("product_id", "number"),
         "orderDate": Dimension("order_date", "time"),
     },
+    partition_hints={"orderDate": "order_ym"},
 )
 
 PRODUCTS = Cube(
@@ -149,6 +155,24 @@ _OPS = {
 }
 
 
+def _ym(v) -> int:
+    d = datetime.date.fromisoformat(str(v)[:10])
+    return d.year * 100 + d.month
+
+
+def partition_condition(column: str, op: str, values):
+    """Month-partition predicate implied by a date filter, or None."""
+    vals = values if isinstance(values, (list, tuple)) else [values]
+    c = F.col(column)
+    if op == "inDateRange":
+        return c.between(_ym(vals[0]), _ym(vals[1]))
+    if op == "beforeDate":
+        return c <= _ym(vals[0])
+    if op == "afterDate":
+        return c >= _ym(vals[0])
+    return None
+
+
 def filter_condition(col: Column, op: str, values) -> Column:
     if op not in _OPS:
         raise ValueError(f"unknown filter operator {op!r}")
@@ -258,6 +282,11 @@ def query(df: DataFrame, cube: Cube, measures: Sequence[str] = (),
                              policy_column=policy.columns[-1])
         for member, op, values in dim_filters:
             base = base.where(filter_condition(_dim_expr(cube, member), op, values))
+            part_col = cube.partition_hints.get(member)
+            if part_col and part_col in base.columns:
+                cond = partition_condition(part_col, op, values)
+                if cond is not None:
+                    base = base.where(cond)
         groups = [_dim_expr(cube, d).alias(d) for d in dimensions]
         if time_dimension:
             td, g = time_dimension

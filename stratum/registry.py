@@ -778,3 +778,15 @@ def q_replication_lag_stream(spark, d):
                          F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                          F.col("last_synced_at").cast("timestamp_ntz").alias("last_synced_at"),
                          "rows", "lag_seconds")
+
+
+@register("sales_date_range_pruned")
+def q_sales_date_range_pruned(spark, d):
+    """Date-range question on the stored, month-partitioned gold table: the
+    compiler adds the implied order_ym predicate, so only touched months are read."""
+    gold = MZ.materialize_table(fct_sales(spark, d).withColumn("order_ym", yyyymm("order_date")),
+                                scratch_path(spark, "gold"), partition_by=["order_ym"],
+                                order_by=list(marts.FCT_SALES_ORDER))
+    return as_double(query(gold, ORDERS, ["count", "totalAmount"], ["country"],
+                           ("orderDate", "week"),
+                           filters=[("orderDate", "inDateRange", ["1997-03-15", "1997-06-10"])]))

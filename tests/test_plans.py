@@ -52,3 +52,15 @@ def test_month_partition_pruning(spark):
                           order_by=["order_date", "category", "country"])
     p = _plan(t.where("order_ym = 199806").select("order_id"))
     assert "PartitionFilters: [isnotnull(order_ym" in p and "199806" in p
+
+
+def test_date_filter_prunes_month_partitions(spark):
+    from stratum.functions.scalar import yyyymm
+    from stratum.plans.materialize import materialize_table
+    from stratum.session import scratch_path
+    fct = fct_sales(spark, SF_SMALL).withColumn("order_ym", yyyymm("order_date"))
+    gold = materialize_table(fct, scratch_path(spark, "g"), partition_by=["order_ym"])
+    q = query(gold, ORDERS, ["count"], ["status"],
+              filters=[("orderDate", "inDateRange", ["1997-03-15", "1997-06-10"])])
+    p = _plan(q)
+    assert "PartitionFilters" in p and "199703" in p and "199706" in p
