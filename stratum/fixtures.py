@@ -111,6 +111,23 @@ def bronze_products_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze_products(spark, sf_dir).where(F.col("id") % 10 != 0)
 
 
+def bronze_support_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticket version log: a user's error events are updates of that user's
+    ticket (id = user); the latest error decides status and priority."""
+    e = read(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    return e.select(
+        F.col("user_id").alias("id"),
+        F.col("user_id"),
+        F.col("props").alias("subject"),
+        F.when(F.col("value") >= 100, "high").otherwise("normal").alias("priority"),
+        F.when(F.col("value") >= 50, "open").otherwise("closed").alias("status"),
+        F.col("ts").alias("updated_at"),
+        F.col("event_id").alias("_offset"),
+        F.col("ts").alias("_synced_at"),
+        F.lit(0).alias("_is_deleted"),
+    )
+
+
 def monthly_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(x = month number since 1995-01, y = order revenue that month)."""
     o = read(spark, sf_dir, "orders")

@@ -52,11 +52,14 @@ def compact(df: DataFrame, keys: Sequence[str], version: str,
     """
     out = path or scratch_path(df.sparkSession, "compact")
     latest = latest_by_key(df, keys, version, tiebreak)
+    # Files clustered by key (parquet min/max on the key prunes point
+    # lookups); partitioned writes are rebalanced so a hot partition value is
+    # split over several writers.
     if partition_by:
-        # Sort inside each task instead of shuffling by the partition column:
-        # a hot month would otherwise land in a single writer task.
-        latest.sortWithinPartitions(*partition_by).write.mode("overwrite") \
-            .partitionBy(*partition_by).parquet(out)
-    else:
-        latest.write.mode("overwrite").parquet(out)
+        latest = latest.hint("rebalance", *partition_by)
+    latest = latest.sortWithinPartitions(*partition_by, *keys)
+    w = latest.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(out)
     return out

@@ -604,3 +604,17 @@ SELECT country, CAST(date_trunc('week', order_date) AS DATE) AS orderDate_week,
        count(*) AS count, CAST(sum(amount_usd) AS DOUBLE) AS totalAmount
 FROM fct_sales WHERE order_date BETWEEN DATE '1997-03-15' AND DATE '1997-06-10'
 GROUP BY 1, 2""")
+
+ORACLE["support_tickets_latest"] = """
+SELECT id, user_id, subject, priority, status, updated_at, _offset, _synced_at FROM (
+  SELECT user_id AS id, user_id, props AS subject,
+         CASE WHEN value >= 100 THEN 'high' ELSE 'normal' END AS priority,
+         CASE WHEN value >= 50 THEN 'open' ELSE 'closed' END AS status,
+         ts AS updated_at, event_id AS _offset, ts AS _synced_at,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events WHERE event_type = 'error') WHERE rn = 1"""
+
+ORACLE["cube_named_source"] = with_fixtures("""
+SELECT order_status AS status, country, count(*) AS count,
+       CAST(sum(amount_usd) AS DOUBLE) / count(amount_usd) AS avgOrderValue
+FROM fct_sales GROUP BY 1, 2""")

@@ -128,6 +128,14 @@ SALES_FORECAST = Cube(
 CUBES = {c.name: c for c in (ORDERS, PRODUCTS, USERS, SALES_HISTORY, SALES_FORECAST)}
 
 
+def load_cube(spark: SparkSession, cube: Cube) -> DataFrame:
+    """The cube's source rows, from its named data source."""
+    if callable(cube.source):
+        return cube.source(spark)
+    from ..sources.tables import table
+    return table(spark, cube.source, cube.data_source)
+
+
 # ------------------------------------------------------------- compilation
 def time_column(dim: str, granularity: str) -> str:
     return f"{dim}_{granularity}"

@@ -790,3 +790,18 @@ def q_sales_date_range_pruned(spark, d):
     return as_double(query(gold, ORDERS, ["count", "totalAmount"], ["country"],
                            ("orderDate", "week"),
                            filters=[("orderDate", "inDateRange", ["1997-03-15", "1997-06-10"])]))
+
+
+@register("support_tickets_latest")
+def q_support_tickets_latest(spark, d):
+    """Tickets have bronze but no silver model: ingest + latest version only."""
+    return staging.stg_support_tickets(fx.bronze_support_tickets(spark, d),
+                                       tiebreak=["_offset"]).drop("_is_deleted")
+
+
+@register("cube_named_source")
+def q_cube_named_source(spark, d):
+    """A cube read through its named data source (the catalog's fct_sales)."""
+    fct_sales(spark, d).createOrReplaceTempView("fct_sales")
+    return as_double(query(semantic.load_cube(spark, ORDERS), ORDERS,
+                           ["count", "avgOrderValue"], ["status", "country"]))
