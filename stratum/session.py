@@ -35,14 +35,25 @@ CLUSTER_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "stratum", extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session with the engine's defaults applied."""
+    """Return (or create) a session with the engine's defaults applied.
+
+    Shuffle partitions: on a cluster start from a high ceiling (4096) that
+    AQE coalesces down to ~128 MB partitions, so a 100 TB shuffle does not
+    produce multi-GB tasks; in local mode use the number of cores.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(CLUSTER_CONF)
+    local = (master or "").startswith("local")
+    if shuffle_partitions is None:
+        shuffle_partitions = 8 if local else 4096
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if not local:
+        # size partitions by bytes, not by keeping every core busy
+        conf["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
     conf.setdefault("spark.driver.memory", os.environ.get("STRATUM_DRIVER_MEMORY", "16g"))
     conf.update(extra or {})
     for k, v in conf.items():
