@@ -618,3 +618,10 @@ ORACLE["cube_named_source"] = with_fixtures("""
 SELECT order_status AS status, country, count(*) AS count,
        CAST(sum(amount_usd) AS DOUBLE) / count(amount_usd) AS avgOrderValue
 FROM fct_sales GROUP BY 1, 2""")
+
+ORACLE["rate_limit_stream_append"] = """
+SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, count(*) AS requests
+FROM events GROUP BY 1, 2
+HAVING count(*) > 2
+   AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""

@@ -805,3 +805,21 @@ def q_cube_named_source(spark, d):
     fct_sales(spark, d).createOrReplaceTempView("fct_sales")
     return as_double(query(semantic.load_cube(spark, ORDERS), ORDERS,
                            ["count", "avgOrderValue"], ["status", "country"]))
+
+
+@register("rate_limit_stream_append")
+def q_rate_limit_stream_append(spark, d):
+    """Append mode: a window is emitted once, when the watermark (max event
+    time - 2 h) has passed its end; later windows stay in state."""
+    events = fx.read(spark, d, "events")
+    landing = _landing_in_time_order(events, "ts", 4)
+    src = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+                .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours"))
+    v = M.rate_limit_violations(src, ["user_id"], limit=2, window="1 hour")
+    out = scratch_path(spark, "rate-limit-append")
+    LS.await_done(LS.write_versions(v, out, output_mode="append"))
+    return (spark.read.parquet(out).drop("_batch_id")
+                 .select("user_id",
+                         F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                         F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                         "requests"))
