@@ -14,9 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DateType, DecimalType, DoubleType, FloatType,
-                               IntegerType, LongType, ShortType, StringType, TimestampNTZType,
-                               TimestampType)
 
 from ..functions import scalar as S
 from ..operators.joins import bounded_broadcast, fill_unmatched

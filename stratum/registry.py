@@ -188,11 +188,6 @@ def q_rollup_answer_month(spark, d):
 from .operators import quality as Q  # noqa: E402
 
 
-def _checks_on_silver(spark, d):
-    o, p, u = silver(spark, d)
-    return o, p, u
-
-
 @register("check_not_null")
 def q_check_not_null(spark, d):
     return Q.report(
