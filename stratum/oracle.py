@@ -625,3 +625,5 @@ SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
 FROM events GROUP BY 1, 2
 HAVING count(*) > 2
    AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""
+
+ORACLE["stream_resume_exactly_once"] = ORACLE["cdc_unwrap"]

@@ -818,3 +818,28 @@ def q_rate_limit_stream_append(spark, d):
                          F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                          F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                          "requests"))
+
+
+@register("stream_resume_exactly_once")
+def q_stream_resume_exactly_once(spark, d):
+    """Two runs of one availableNow ingest stream sharing a checkpoint, with
+    more change files landing in between: the bronze log must hold every
+    change exactly once (the second run reads only the new files)."""
+    changes = fx.change_log(spark, d)
+    lo, hi = changes.agg(F.min("timestamp"), F.max("timestamp")).first()
+    mid = F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp")
+    early = F.col("timestamp") < mid
+    landing, bronze = scratch_path(spark, "landing-resume"), scratch_path(spark, "bronze-resume")
+    ckpt = scratch_path(spark, "ckpt-resume")
+    # the malformed record has no timestamp: it arrives with the first files
+    changes.where(early | F.col("timestamp").isNull()).write.mode("append").json(landing)
+
+    def run():
+        stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": "2"}, path=landing,
+                                  streaming=True)
+        LS.await_done(LS.write_bronze(unwrapped_orders(stream), bronze, ckpt))
+
+    run()
+    changes.where(~early).write.mode("append").json(landing)
+    run()
+    return spark.read.parquet(bronze).select(*CDC_COLS)
