@@ -627,3 +627,29 @@ HAVING count(*) > 2
    AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"""
 
 ORACLE["stream_resume_exactly_once"] = ORACLE["cdc_unwrap"]
+
+LAG_SAMPLES = with_fixtures("""
+, s AS (SELECT 'orders' AS "table", _synced_at AS ts,
+               CAST(date_diff('second', updated_at, _synced_at) AS DOUBLE) AS lag_seconds, id,
+               product_id, supp_key, amount, quantity, discount, tax, _is_deleted
+        FROM bronze_orders),
+o AS (SELECT *, coalesce(lag_seconds > 10, false) AS on_ FROM s),
+l AS (SELECT *, lag(on_) OVER (PARTITION BY "table" ORDER BY ts, id, product_id, supp_key,
+                               amount, quantity, discount, tax, _is_deleted) AS prev FROM o),
+c AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> on_ THEN 1 ELSE 0 END) OVER (
+        PARTITION BY "table" ORDER BY ts, id, product_id, supp_key, amount, quantity, discount,
+                                      tax, _is_deleted
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM l)
+""")
+
+ORACLE["replication_lag_alerts"] = LAG_SAMPLES + """
+, i AS (SELECT "table", min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_samples,
+               CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE)
+                 AS duration_s
+        FROM c WHERE on_ GROUP BY "table", island)
+SELECT *, start_ts + INTERVAL 60 SECOND AS fired_at FROM i WHERE duration_s >= 60"""
+
+ORACLE["replication_lag_alert_stream"] = LAG_SAMPLES + """
+, st AS (SELECT *, min(ts) OVER (PARTITION BY "table", island) AS start_ts FROM c WHERE on_)
+SELECT "table", start_ts, min(ts) AS fired_ts FROM st
+WHERE epoch_us(ts) - epoch_us(start_ts) >= 60000000 GROUP BY "table", start_ts"""
