@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import (BUCKET, epoch_micros, lag_across_buckets, range_sum_with_halo,
-                     running_sum_across_buckets, with_bucket)
+from .series import (BUCKET, DEFAULT_TARGET_ROWS, assign_buckets, bucket_plan, epoch_micros,
+                     lag_across_buckets, range_aggregates, running_sum_across_buckets)
 
 US = 1_000_000
 
@@ -25,11 +25,13 @@ def _bucket_us(range_s: float, bucket_s: float | None) -> int:
 
 def counter_deltas(samples: DataFrame, by: Sequence[str], ts: str = "ts",
                    value: str = "value", tiebreak: Sequence[str] = (),
-                   bucket_s: float | None = None) -> DataFrame:
+                   bucket_s: float | None = None,
+                   target_rows: int = DEFAULT_TARGET_ROWS, plan: DataFrame | None = None
+                   ) -> DataFrame:
     """Per-sample counter increase: ``v - prev``; a drop means a reset, so
     the increase is ``v`` itself.  The first sample of a series has 0."""
     df = samples.withColumn("__t", epoch_micros(samples, ts))
-    df = with_bucket(df, "__t", _bucket_us(0, bucket_s))
+    df = assign_buckets(df, by, "__t", _bucket_us(0, bucket_s), target_rows, plan)
     df = lag_across_buckets(df, by, ["__t", *tiebreak], [value], prefix="__prev_")
     prev = F.col(f"__prev_{value}")
     # stays in the value's type: DECIMAL counters give exact increases
@@ -41,7 +43,8 @@ def counter_deltas(samples: DataFrame, by: Sequence[str], ts: str = "ts",
 
 def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str = "ts",
                  value: str = "value", tiebreak: Sequence[str] = (),
-                 bucket_s: float | None = None, extrapolate: bool = False) -> DataFrame:
+                 bucket_s: float | None = None, extrapolate: bool = False,
+                 target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Per-second rate evaluated at each sample over the trailing window.
 
     Default: reset-aware increase over ``[t - window, t]`` (including the step
@@ -52,40 +55,48 @@ def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str
     last of them is extrapolated towards the window start when the gap is
     below 1.1 x the average sample spacing (else by half a spacing), and never
     below the point where a counter would have been zero.
+
+    Range sums are prefix-sum differences over bucketed running sums (see
+    :func:`stratum.operators.series.range_aggregates`): no window ever holds
+    more than one bucket of one series, however bursty the series is.
     """
-    d = counter_deltas(samples, by, ts, value, tiebreak, bucket_s)
+    by = list(by)
+    coarse = _bucket_us(window_s, bucket_s)
+    # one counting pass over the raw samples plans the bucket splits of both
+    # ordered stages (deltas and range sums)
+    plan = bucket_plan(samples.withColumn("__t", epoch_micros(samples, ts)), by, "__t", coarse,
+                       target_rows)
+    d = counter_deltas(samples, by, ts, value, tiebreak, coarse / US, target_rows, plan)
     w_us = int(window_s * US)
-    extra = None
-    if extrapolate:
-        extra = {
-            "__n": lambda w: F.count(F.lit(1)).over(w),
-            "__t_first": lambda w: F.min("__t").over(w),
-            "__d_first": lambda w: F.first("delta").over(w),
-            "__v_first": lambda w: F.first(value).over(w),
-        }
-    r = range_sum_with_halo(d, by, "__t", w_us, max(_bucket_us(window_s, bucket_s), w_us),
-                            "delta", "__inc", extra)
+    r = range_aggregates(d, by, "__t", w_us, "delta", coarse, tiebreak=list(tiebreak),
+                         first_cols=["delta", value] if extrapolate else [],
+                         target_rows=target_rows, plan=plan)
     if not extrapolate:
-        return r.withColumn("rate", F.col("__inc").cast("double") / F.lit(float(window_s))) \
-                .withColumnRenamed("__inc", "increase").drop("__t")
-    inc = (F.col("__inc") - F.col("__d_first")).cast("double")       # between in-window samples
-    sampled = (F.col("__t") - F.col("__t_first")).cast("double") / F.lit(float(US))
-    avg = sampled / (F.col("__n") - 1).cast("double")
-    to_start = (F.col("__t_first") - (F.col("__t") - F.lit(w_us))).cast("double") / F.lit(float(US))
-    to_zero = sampled * (F.col("__v_first").cast("double") / inc)
-    to_start = F.when((inc > 0) & (F.col("__v_first") >= 0) & (to_zero < to_start), to_zero) \
+        return (r.withColumn("increase", F.col("__rsum"))
+                 .withColumn("rate", F.col("increase").cast("double") / F.lit(float(window_s)))
+                 .drop("__rsum", "__rcount", "__t"))
+    n = F.col("__rcount")
+    inc = (F.col("__rsum") - F.col("__rfirst_delta")).cast("double")  # between in-window samples
+    sampled = (F.col("__t") - F.col("__rfirst_t")).cast("double") / F.lit(float(US))
+    avg = sampled / (n - 1).cast("double")
+    to_start = (F.col("__rfirst_t") - (F.col("__t") - F.lit(w_us))).cast("double") / F.lit(float(US))
+    v_first = F.col(f"__rfirst_{value}")
+    to_zero = sampled * (v_first.cast("double") / inc)
+    to_start = F.when((inc > 0) & (v_first >= 0) & (to_zero < to_start), to_zero) \
                 .otherwise(to_start)
     thr = avg * F.lit(1.1)
     ext = sampled + F.when(to_start < thr, to_start).otherwise(avg / F.lit(2.0))
-    increase = F.when((F.col("__n") >= 2) & (sampled > 0), inc * (ext / sampled))
+    increase = F.when((n >= 2) & (sampled > 0), inc * (ext / sampled))
     return (r.withColumn("increase", increase)
              .withColumn("rate", F.col("increase") / F.lit(float(window_s)))
-             .drop("__inc", "__n", "__t_first", "__d_first", "__v_first", "__t"))
+             .drop("__rsum", "__rcount", "__rfirst_t", "__rfirst_delta", f"__rfirst_{value}",
+                   "__t"))
 
 
 def alert_intervals(samples: DataFrame, by: Sequence[str], condition: Column, hold_s: float,
                     ts: str = "ts", tiebreak: Sequence[str] = (),
-                    bucket_s: float | None = None) -> DataFrame:
+                    bucket_s: float | None = None,
+                    target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Spans where ``condition`` held on consecutive samples for ``hold_s``.
 
     Islands of consecutive true samples (gaps-and-islands); an island lasts
@@ -96,7 +107,9 @@ def alert_intervals(samples: DataFrame, by: Sequence[str], condition: Column, ho
     by = list(by)
     df = samples.withColumn("__t", epoch_micros(samples, ts)) \
                 .withColumn("__on", F.coalesce(condition, F.lit(False)))
-    df = with_bucket(df, "__t", _bucket_us(hold_s, bucket_s))
+    coarse = _bucket_us(hold_s, bucket_s)
+    df = assign_buckets(df, by, "__t", coarse, target_rows,
+                        bucket_plan(df, by, "__t", coarse, target_rows))
     order = ["__t", *tiebreak]
     df = lag_across_buckets(df, by, order, ["__on"], prefix="__prev")
     change = (F.col("__prev__on").isNull() | (F.col("__prev__on") != F.col("__on"))).cast("long")

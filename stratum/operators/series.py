@@ -2,17 +2,23 @@
 
 A window ``partitionBy(series)`` sends a whole series to one task; if one
 series holds a third of all samples that task holds a third of the data.
-These helpers partition by ``(series, time bucket)`` instead and stitch the
-buckets together with small per-bucket tables:
+These helpers partition by ``(series, bucket)`` instead, where a bucket is a
+time slice of the series, and stitch the buckets together with small
+per-bucket tables:
 
+* ``assign_buckets`` - coarse time buckets; a bucket holding more than
+  ``target_rows`` rows (a burst) is split into finer time slices, so a hot
+  bucket is spread too;
 * ``lag_across_buckets``  - previous row's values, carrying the last row of
   the previous non-empty bucket into a bucket's first row;
 * ``running_sum_across_buckets`` - prefix sums with per-bucket offsets;
-* ``range_sum_with_halo`` - sums over a trailing time range: rows near the end
-  of a bucket are copied (as non-output "halo" rows) into the next bucket.
+* ``range_aggregates`` - sums and counts over a trailing time range
+  ``[t - w, t]`` as differences of prefix sums at ``t`` and just before
+  ``t - w`` (an as-of lookup done with the same bucketed running sums), plus
+  the first row of the range by a forward as-of lookup.
 
 The per-bucket tables hold one row per (series, bucket): their size grows
-with the time span, not with the number of samples.
+with the time span and the number of bursts, not with the number of samples.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 BUCKET = "__bucket"
+SUB_BITS = 20                      # a coarse bucket splits into at most 2^20 slices
+DEFAULT_TARGET_ROWS = 1 << 20      # rows per bucket before it is split
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
@@ -34,17 +42,65 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
 
 
 def with_bucket(df: DataFrame, t_us: str, bucket_us: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.floor(F.col(t_us) / F.lit(bucket_us)).cast("long"))
+    """Fixed-width time buckets (no burst splitting)."""
+    return df.withColumn(BUCKET, F.floor(F.col(t_us) / F.lit(bucket_us)).cast("long")
+                         * F.lit(1 << SUB_BITS))
+
+
+def bucket_plan(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
+                target_rows: int = DEFAULT_TARGET_ROWS,
+                max_hot_buckets: int = 100_000) -> DataFrame:
+    """Hot coarse buckets ``(series, __cb, __k)``: those above ``target_rows``
+    rows, to be cut into ``2^k`` time slices.
+
+    One counting pass (partial aggregation over the series and time columns).
+    There are at most rows / target_rows hot buckets; when at most
+    ``max_hot_buckets`` they are brought back once and broadcast as a small
+    literal table, otherwise they stay a DataFrame and join by shuffle.
+    """
+    by = list(by)
+    cb = F.floor(F.col(t_us) / F.lit(coarse_us)).cast("long")
+    counts = df.groupBy(*by, cb.alias("__cb")).agg(F.count(F.lit(1)).alias("__n"))
+    k = F.least(F.lit(SUB_BITS),
+                F.ceil(F.log2(F.col("__n") / F.lit(float(target_rows))))).cast("int")
+    hot = counts.where(F.col("__n") > target_rows).select(*by, "__cb", k.alias("__k"))
+    rows = hot.limit(max_hot_buckets + 1).collect()
+    if len(rows) > max_hot_buckets:
+        return hot
+    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
+
+
+def assign_buckets(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
+                   target_rows: int = DEFAULT_TARGET_ROWS, plan: DataFrame | None = None
+                   ) -> DataFrame:
+    """Add :data:`BUCKET` = ``coarse * 2^20 + slice`` (ordered like time).
+
+    Buckets listed in ``plan`` (see :func:`bucket_plan`; computed from ``df``
+    when not given) are cut into ``2^k`` equal time slices, so a burst that
+    holds a third of all rows is spread over many tasks too.
+    """
+    by = list(by)
+    if plan is None:
+        plan = bucket_plan(df, by, t_us, coarse_us, target_rows)
+    cb = F.floor(F.col(t_us) / F.lit(coarse_us)).cast("long")
+    d = df.withColumn("__cb", cb).join(plan, [*by, "__cb"], "left")
+    width = F.expr(f"greatest(1, shiftright(CAST({int(coarse_us)} AS BIGINT), coalesce(__k, 0)))")
+    sub = F.floor((F.col(t_us) - F.col("__cb") * F.lit(coarse_us)) / width).cast("long")
+    return (d.withColumn(BUCKET, F.col("__cb") * F.lit(1 << SUB_BITS) +
+                         F.least(sub, F.lit((1 << SUB_BITS) - 1)))
+             .drop("__cb", "__k"))
 
 
 def lag_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                       cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
+                       cols: Sequence[str], prefix: str = "prev_",
+                       bucket: str = BUCKET) -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the previous row of the same series.
 
-    ``df`` must carry :data:`BUCKET`; ``order`` must be a total order.
+    ``df`` must carry ``bucket`` (ordered like ``order``); ``order`` must be a
+    total order.
     """
     by, order, cols = list(by), list(order), list(cols)
-    keys = by + [BUCKET]
+    keys = by + [bucket]
     w = Window.partitionBy(*keys).orderBy(*order)
     local = df.withColumns({
         **{f"__lag_{c}": F.lag(c).over(w) for c in cols},
@@ -53,7 +109,7 @@ def lag_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
     last = (df.groupBy(*keys)
               .agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]),
                             F.struct(*order)).alias("__last")))
-    wb = Window.partitionBy(*by).orderBy(BUCKET)
+    wb = Window.partitionBy(*by).orderBy(bucket)
     carry = last.select(*keys, F.lag("__last").over(wb).alias("__carry"))
     j = local.join(carry, keys, "left")
     return j.withColumns({
@@ -63,44 +119,99 @@ def lag_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
     }).drop("__carry", "__first", *[f"__lag_{c}" for c in cols])
 
 
-def running_sum_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                               col: str, out: str) -> DataFrame:
-    """Add ``out`` = running sum of ``col`` over the series in ``order``."""
+def running_sums_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
+                                sums: dict[str, str], bucket: str = BUCKET) -> DataFrame:
+    """Add running sums ``{out: col}`` over the series in ``order`` (one
+    window, one per-bucket aggregation and one join for all of them)."""
     by, order = list(by), list(order)
-    keys = by + [BUCKET]
+    keys = by + [bucket]
     w = (Window.partitionBy(*keys).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = df.withColumn("__local", F.sum(col).over(w))
-    tot = df.groupBy(*keys).agg(F.sum(col).alias("__tot"))
-    wb = (Window.partitionBy(*by).orderBy(BUCKET)
+    local = df.withColumns({f"__local_{o}": F.sum(c).over(w) for o, c in sums.items()})
+    tot = df.groupBy(*keys).agg(*[F.sum(c).alias(f"__tot_{o}") for o, c in sums.items()])
+    wb = (Window.partitionBy(*by).orderBy(bucket)
           .rowsBetween(Window.unboundedPreceding, -1))
-    off = tot.select(*keys, F.coalesce(F.sum("__tot").over(wb), F.lit(0)).alias("__off"))
-    return (local.join(off, keys, "left")
-                 .withColumn(out, F.col("__local") + F.col("__off"))
-                 .drop("__local", "__off"))
+    off = tot.select(*keys, *[F.coalesce(F.sum(f"__tot_{o}").over(wb), F.lit(0))
+                              .alias(f"__off_{o}") for o in sums])
+    j = local.join(off, keys, "left")
+    return (j.withColumns({o: F.col(f"__local_{o}") + F.col(f"__off_{o}") for o in sums})
+             .drop(*[f"__local_{o}" for o in sums], *[f"__off_{o}" for o in sums]))
 
 
-def range_sum_with_halo(df: DataFrame, by: Sequence[str], t_us: str, range_us: int,
-                        bucket_us: int, col: str, out: str, extra=None) -> DataFrame:
-    """Add ``out`` = sum of ``col`` over rows of the series with
-    ``t - range_us <= t' <= t`` (peers included).  Needs ``bucket_us >= range_us``.
+def running_sum_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
+                               col: str, out: str, bucket: str = BUCKET) -> DataFrame:
+    """Add ``out`` = running sum of ``col`` over the series in ``order``."""
+    return running_sums_across_buckets(df, by, order, {out: col}, bucket)
 
-    ``extra`` maps more output names to ``fn(window) -> Column`` aggregates
-    evaluated over the same frame."""
-    if bucket_us < range_us:
-        raise ValueError("bucket must be at least as wide as the range")
-    by = list(by)
-    b = F.floor(F.col(t_us) / F.lit(bucket_us)).cast("long")
-    near_end = F.col(t_us) >= (b + 1) * F.lit(bucket_us) - F.lit(range_us)
-    # one pass: every row lands in its own bucket, rows near a bucket end are
-    # also copied (as halo) into the next one
-    own = F.array(F.struct(b.alias("hb"), F.lit(False).alias("halo")))
-    both = F.array(F.struct(b.alias("hb"), F.lit(False).alias("halo")),
-                   F.struct((b + 1).alias("hb"), F.lit(True).alias("halo")))
-    u = df.withColumn("__h", F.explode(F.when(near_end, both).otherwise(own)))
-    w = Window.partitionBy(*by, "__h.hb").orderBy(F.col(t_us)).rangeBetween(-range_us, 0)
-    cols = {out: F.sum(col).over(w)}
-    for name, fn in (extra or {}).items():
-        cols[name] = fn(w)
-    return (u.withColumns(cols)
-             .where(~F.col("__h.halo")).drop("__h"))
+
+def running_min_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
+                               col: str, out: str, bucket: str = BUCKET) -> DataFrame:
+    """Add ``out`` = minimum of ``col`` (NULLs ignored) over the rows of the
+    series up to the current one in ``order``."""
+    by, order = list(by), list(order)
+    keys = by + [bucket]
+    w = (Window.partitionBy(*keys).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = df.withColumn("__lmin", F.min(col).over(w))
+    tot = df.groupBy(*keys).agg(F.min(col).alias("__bmin"))
+    wb = (Window.partitionBy(*by).orderBy(bucket)
+          .rowsBetween(Window.unboundedPreceding, -1))
+    off = tot.select(*keys, F.min("__bmin").over(wb).alias("__omin"))
+    return (local.join(off, keys, "left")
+                 .withColumn(out, F.least(F.col("__lmin"), F.col("__omin")))
+                 .drop("__lmin", "__omin"))
+
+
+def range_aggregates(df: DataFrame, by: Sequence[str], t_us: str, range_us: int, col: str,
+                     coarse_us: int, tiebreak: Sequence[str] = (),
+                     first_cols: Sequence[str] = (),
+                     target_rows: int = DEFAULT_TARGET_ROWS,
+                     plan: DataFrame | None = None) -> DataFrame:
+    """For every row, over the rows of its series with ``t - range_us <= t' <= t``
+    (peers at equal ``t`` included), add ``__rsum`` (sum of ``col``) and
+    ``__rcount``; with ``first_cols`` also ``__rfirst_t`` and ``__rfirst_<c>``
+    (the earliest row of the range by ``(t, tiebreak)``).
+
+    Works on distinct times: per (series, t) totals, a bucketed running sum
+    over those totals plus one probe per time at ``t - range_us`` (ordered
+    before data at the same instant, so the probe sees the strict prefix).
+    The range value is prefix(t) - prefix(probe).  A burst of samples only
+    makes more, finer buckets.
+    """
+    by, tiebreak, first_cols = list(by), list(tiebreak), list(first_cols)
+    aggs = [F.sum(col).alias("__s"), F.count(F.lit(1)).alias("__c")]
+    if first_cols:
+        order_s = F.struct(*[F.col(c) for c in tiebreak]) if tiebreak else F.lit(0)
+        aggs.append(F.min_by(F.struct(*[F.col(c).alias(c) for c in first_cols]),
+                             order_s).alias("__f"))
+    per_t = df.groupBy(*by, t_us).agg(*aggs)
+    zero_s = F.lit(0).cast(per_t.schema["__s"].dataType)
+    data = per_t.select(*by, F.col(t_us).alias("__time"), F.lit(1).alias("__kind"),
+                        F.col(t_us).alias("__for"), "__s", "__c")
+    probe = per_t.select(*by, (F.col(t_us) - F.lit(range_us)).alias("__time"),
+                         F.lit(0).alias("__kind"), F.col(t_us).alias("__for"),
+                         zero_s.alias("__s"), F.lit(0).cast("long").alias("__c"))
+    u = assign_buckets(data.unionByName(probe), by, "__time", coarse_us, target_rows, plan)
+    u = running_sums_across_buckets(u, by, ["__time", "__kind"], {"__P": "__s", "__N": "__c"})
+    if first_cols:
+        # first data time at or after each probe: scanning from the end of the
+        # series, the running minimum of data times
+        u = u.withColumns({"__rt": -F.col("__time"), "__rk": -F.col("__kind"),
+                           "__rb": -F.col(BUCKET),
+                           "__dt": F.when(F.col("__kind") == 1, F.col("__time"))})
+        u = running_min_across_buckets(u, by, ["__rt", "__rk"], "__dt", "__next__dt",
+                                       bucket="__rb")
+    is_data, is_probe = F.col("__kind") == 1, F.col("__kind") == 0
+    pair = [(F.max(F.when(is_data, F.col("__P"))) - F.max(F.when(is_probe, F.col("__P"))))
+            .alias("__rsum"),
+            (F.max(F.when(is_data, F.col("__N"))) - F.max(F.when(is_probe, F.col("__N"))))
+            .alias("__rcount")]
+    if first_cols:
+        pair.append(F.max(F.when(is_probe, F.col("__next__dt"))).alias("__rfirst_t"))
+    # each time has exactly one data row and one probe row: pair them up
+    ranges = u.groupBy(*by, F.col("__for").alias(t_us)).agg(*pair)
+    if first_cols:
+        firsts = per_t.select(*by, F.col(t_us).alias("__rfirst_t"), "__f")
+        ranges = ranges.join(firsts, [*by, "__rfirst_t"], "left").withColumns(
+            {f"__rfirst_{c}": F.col(f"__f.{c}") for c in first_cols}).drop("__f")
+    return df.join(ranges, [*by, t_us], "left")

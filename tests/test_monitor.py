@@ -23,12 +23,21 @@ def test_counter_rate_handles_reset(spark):
 
 
 def test_counter_rate_bucket_independent(spark):
-    pts = [(i * 7, (i * 13) % 50) for i in range(400)]
+    # a burst: 300 samples within 3 s, then sparse ones
+    pts = [(i // 100, (i * 13) % 50) for i in range(300)] + \
+          [(10 + i * 7, (i * 13) % 50) for i in range(100)]
     df = _samples(spark, pts)
-    small = M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], bucket_s=60)
-    large = M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], bucket_s=10 ** 7)
     cols = ["eid", "delta", "increase"]
-    assert sorted(small.select(cols).collect()) == sorted(large.select(cols).collect())
+    ref = sorted(M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], bucket_s=10 ** 7)
+                 .select(cols).collect())
+    # small buckets, and hot buckets cut into slices (target of 16 rows)
+    for kw in ({"bucket_s": 60}, {"bucket_s": 3600, "target_rows": 16}):
+        got = M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], **kw)
+        assert sorted(got.select(cols).collect()) == ref
+    ext_ref = sorted(M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], bucket_s=10 ** 7,
+                                    extrapolate=True).select("eid", "increase").collect())
+    ext = M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], target_rows=16, extrapolate=True)
+    assert sorted(ext.select("eid", "increase").collect()) == ext_ref
 
 
 def test_alert_interval_exactly_at_hold(spark):
@@ -46,8 +55,11 @@ def test_alert_open_island_and_buckets(spark):
     a = M.alert_intervals(df, ["sid"], F.col("value") > 30, 60, tiebreak=["eid"], bucket_s=50)
     b = M.alert_intervals(df, ["sid"], F.col("value") > 30, 60, tiebreak=["eid"],
                           bucket_s=10 ** 7)
+    c = M.alert_intervals(df, ["sid"], F.col("value") > 30, 60, tiebreak=["eid"],
+                          target_rows=8)
     cols = ["start_ts", "end_ts", "n_samples"]
     assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
+    assert sorted(c.select(cols).collect()) == sorted(b.select(cols).collect())
     assert a.count() == 12          # islands of 9 samples every 18 samples, last one open
 
 
