@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import (BUCKET, DEFAULT_TARGET_ROWS, assign_buckets, bucket_plan, epoch_micros,
-                     lag_across_buckets, range_aggregates, running_sum_across_buckets)
+from .series import (DEFAULT_TARGET_ROWS, assign_buckets, bucket_plan, drop_bucket,
+                     epoch_micros, lag_across_buckets, range_aggregates,
+                     range_window_with_halo, running_sum_across_buckets)
 
 US = 1_000_000
 
@@ -38,7 +39,7 @@ def counter_deltas(samples: DataFrame, by: Sequence[str], ts: str = "ts",
     delta = (F.when(prev.isNull(), F.lit(0))
               .when(F.col(value) < prev, F.col(value))
               .otherwise(F.col(value) - prev))
-    return df.withColumn("delta", delta).drop(f"__prev_{value}", BUCKET)
+    return drop_bucket(df.withColumn("delta", delta).drop(f"__prev_{value}"))
 
 
 def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str = "ts",
@@ -62,15 +63,33 @@ def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str
     """
     by = list(by)
     coarse = _bucket_us(window_s, bucket_s)
+    w_us = int(window_s * US)
     # one counting pass over the raw samples plans the bucket splits of both
     # ordered stages (deltas and range sums)
     plan = bucket_plan(samples.withColumn("__t", epoch_micros(samples, ts)), by, "__t", coarse,
                        target_rows)
     d = counter_deltas(samples, by, ts, value, tiebreak, coarse / US, target_rows, plan)
-    w_us = int(window_s * US)
-    r = range_aggregates(d, by, "__t", w_us, "delta", coarse, tiebreak=list(tiebreak),
-                         first_cols=["delta", value] if extrapolate else [],
-                         target_rows=target_rows, plan=plan)
+    if plan.max_k is not None and plan.min_width_us() >= w_us:
+        # fast path (one shuffle): every slice is at least a window wide, so
+        # a halo copy into the next slice is all a range needs
+        aggs = {"__rsum": lambda w: F.sum("delta").over(w),
+                "__rcount": lambda w: F.count(F.lit(1)).over(w)}
+        if extrapolate:
+            aggs["__rf"] = lambda w: F.min_by(
+                F.struct(F.col("__t").alias("t"), F.col("delta").alias("delta"),
+                         F.col(value).alias("v")),
+                F.struct("__t", *tiebreak)).over(w)
+        b = assign_buckets(d, by, "__t", coarse, target_rows, plan, min_width_us=w_us)
+        r = drop_bucket(range_window_with_halo(b, by, "__t", w_us, aggs))
+        if extrapolate:
+            r = r.withColumns({"__rfirst_t": F.col("__rf.t"), "__rfirst_delta": F.col("__rf.delta"),
+                               f"__rfirst_{value}": F.col("__rf.v")}).drop("__rf")
+    else:
+        # a burst denser than target_rows within one window: prefix-sum
+        # differences, where no window holds more than one slice
+        r = range_aggregates(d, by, "__t", w_us, "delta", coarse, tiebreak=list(tiebreak),
+                             first_cols=["delta", value] if extrapolate else [],
+                             target_rows=target_rows, plan=plan)
     if not extrapolate:
         return (r.withColumn("increase", F.col("__rsum"))
                  .withColumn("rate", F.col("increase").cast("double") / F.lit(float(window_s)))
@@ -113,7 +132,8 @@ def alert_intervals(samples: DataFrame, by: Sequence[str], condition: Column, ho
     order = ["__t", *tiebreak]
     df = lag_across_buckets(df, by, order, ["__on"], prefix="__prev")
     change = (F.col("__prev__on").isNull() | (F.col("__prev__on") != F.col("__on"))).cast("long")
-    df = running_sum_across_buckets(df.withColumn("__chg", change), by, order, "__chg", "__island")
+    df = drop_bucket(running_sum_across_buckets(df.withColumn("__chg", change), by, order,
+                                                "__chg", "__island"))
     islands = (df.where("__on")
                  .groupBy(*by, "__island")
                  .agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),

@@ -24,6 +24,7 @@ with the time span and the number of bursts, not with the number of samples.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,11 +48,28 @@ def with_bucket(df: DataFrame, t_us: str, bucket_us: int) -> DataFrame:
                          * F.lit(1 << SUB_BITS))
 
 
+def drop_bucket(df: DataFrame) -> DataFrame:
+    return df.drop(BUCKET, "__bstart", "__bwidth", "__bnext")
+
+
+@dataclass
+class BucketPlan:
+    """Hot coarse buckets and how finely they are cut."""
+    hot: DataFrame            # (series..., __cb, __k); broadcast when small
+    coarse_us: int
+    max_k: int | None         # None: too many hot buckets to list
+
+    def min_width_us(self) -> int:
+        if self.max_k is None:
+            return 1
+        return max(1, self.coarse_us >> self.max_k)
+
+
 def bucket_plan(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
                 target_rows: int = DEFAULT_TARGET_ROWS,
-                max_hot_buckets: int = 100_000) -> DataFrame:
-    """Hot coarse buckets ``(series, __cb, __k)``: those above ``target_rows``
-    rows, to be cut into ``2^k`` time slices.
+                max_hot_buckets: int = 100_000) -> BucketPlan:
+    """Hot coarse buckets: those above ``target_rows`` rows, to be cut into
+    ``2^k`` time slices.
 
     One counting pass (partial aggregation over the series and time columns).
     There are at most rows / target_rows hot buckets; when at most
@@ -66,31 +84,60 @@ def bucket_plan(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
     hot = counts.where(F.col("__n") > target_rows).select(*by, "__cb", k.alias("__k"))
     rows = hot.limit(max_hot_buckets + 1).collect()
     if len(rows) > max_hot_buckets:
-        return hot
-    return F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
+        return BucketPlan(hot, coarse_us, None)
+    lit_hot = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
+    return BucketPlan(lit_hot, coarse_us, max([r["__k"] for r in rows], default=0))
 
 
 def assign_buckets(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
-                   target_rows: int = DEFAULT_TARGET_ROWS, plan: DataFrame | None = None
-                   ) -> DataFrame:
-    """Add :data:`BUCKET` = ``coarse * 2^20 + slice`` (ordered like time).
+                   target_rows: int = DEFAULT_TARGET_ROWS, plan: BucketPlan | None = None,
+                   min_width_us: int = 1) -> DataFrame:
+    """Add :data:`BUCKET` = ``coarse * 2^20 + slice`` (ordered like time) and
+    the slice bounds ``__bstart``/``__bwidth``.
 
     Buckets listed in ``plan`` (see :func:`bucket_plan`; computed from ``df``
-    when not given) are cut into ``2^k`` equal time slices, so a burst that
-    holds a third of all rows is spread over many tasks too.
+    when not given) are cut into ``2^k`` equal time slices, never narrower
+    than ``min_width_us``, so a burst that holds a third of all rows is
+    spread over many tasks too.
     """
     by = list(by)
     if plan is None:
         plan = bucket_plan(df, by, t_us, coarse_us, target_rows)
     cb = F.floor(F.col(t_us) / F.lit(coarse_us)).cast("long")
-    d = df.withColumn("__cb", cb).join(plan, [*by, "__cb"], "left")
-    width = F.expr(f"greatest(1, shiftright(CAST({int(coarse_us)} AS BIGINT), coalesce(__k, 0)))")
-    sub = F.floor((F.col(t_us) - F.col("__cb") * F.lit(coarse_us)) / width).cast("long")
+    d = df.withColumn("__cb", cb).join(plan.hot, [*by, "__cb"], "left")
+    width = F.expr(f"greatest({max(1, int(min_width_us))}, "
+                   f"shiftright(CAST({int(coarse_us)} AS BIGINT), coalesce(__k, 0)))")
+    d = d.withColumn("__bwidth", width)
+    sub = F.floor((F.col(t_us) - F.col("__cb") * F.lit(coarse_us)) / F.col("__bwidth")) \
+        .cast("long")
     return (d.withColumn(BUCKET, F.col("__cb") * F.lit(1 << SUB_BITS) +
                          F.least(sub, F.lit((1 << SUB_BITS) - 1)))
+             .withColumn("__bstart", F.col("__cb") * F.lit(coarse_us) + sub * F.col("__bwidth"))
+             .withColumn("__bnext", F.when(F.col("__bstart") + F.col("__bwidth") >=
+                                           (F.col("__cb") + 1) * F.lit(coarse_us),
+                                           (F.col("__cb") + 1) * F.lit(1 << SUB_BITS))
+                                     .otherwise(F.col(BUCKET) + 1))
              .drop("__cb", "__k"))
 
 
+def range_window_with_halo(df: DataFrame, by: Sequence[str], t_us: str, range_us: int,
+                           aggregates: dict) -> DataFrame:
+    """Trailing-range aggregates ``{out: fn(window)}`` over ``[t - range, t]``
+    in one shuffle.  ``df`` carries buckets from :func:`assign_buckets` with
+    slices at least ``range_us`` wide: a row within ``range_us`` of its
+    slice's end is also copied, as a non-output halo row, into the next slice
+    - the only one that can need it."""
+    by = list(by)
+    near_end = F.col(t_us) >= F.col("__bstart") + F.col("__bwidth") - F.lit(range_us)
+    own = F.array(F.struct(F.col(BUCKET).alias("hb"), F.lit(False).alias("halo")))
+    both = F.array(F.struct(F.col(BUCKET).alias("hb"), F.lit(False).alias("halo")),
+                   F.struct(F.col("__bnext").alias("hb"), F.lit(True).alias("halo")))
+    u = df.withColumn("__h", F.explode(F.when(near_end, both).otherwise(own)))
+    w = Window.partitionBy(*by, "__h.hb").orderBy(F.col(t_us)).rangeBetween(-range_us, 0)
+    return (u.withColumns({o: fn(w) for o, fn in aggregates.items()})
+             .where(~F.col("__h.halo")).drop("__h"))
+
+
 def lag_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
                        cols: Sequence[str], prefix: str = "prev_",
                        bucket: str = BUCKET) -> DataFrame:
@@ -166,7 +213,7 @@ def range_aggregates(df: DataFrame, by: Sequence[str], t_us: str, range_us: int,
                      coarse_us: int, tiebreak: Sequence[str] = (),
                      first_cols: Sequence[str] = (),
                      target_rows: int = DEFAULT_TARGET_ROWS,
-                     plan: DataFrame | None = None) -> DataFrame:
+                     plan: BucketPlan | None = None) -> DataFrame:
     """For every row, over the rows of its series with ``t - range_us <= t' <= t``
     (peers at equal ``t`` included), add ``__rsum`` (sum of ``col``) and
     ``__rcount``; with ``first_cols`` also ``__rfirst_t`` and ``__rfirst_<c>``

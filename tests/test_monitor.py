@@ -30,14 +30,19 @@ def test_counter_rate_bucket_independent(spark):
     cols = ["eid", "delta", "increase"]
     ref = sorted(M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], bucket_s=10 ** 7)
                  .select(cols).collect())
-    # small buckets, and hot buckets cut into slices (target of 16 rows)
-    for kw in ({"bucket_s": 60}, {"bucket_s": 3600, "target_rows": 16}):
+    # small buckets; hot buckets cut into slices still wider than the window
+    # (target 16 rows: halo path); a burst denser than the target within one
+    # window (target 2 rows: prefix-difference path)
+    for kw in ({"bucket_s": 60}, {"bucket_s": 3600, "target_rows": 16},
+               {"bucket_s": 3600, "target_rows": 2}):
         got = M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], **kw)
         assert sorted(got.select(cols).collect()) == ref
     ext_ref = sorted(M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], bucket_s=10 ** 7,
                                     extrapolate=True).select("eid", "increase").collect())
-    ext = M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], target_rows=16, extrapolate=True)
-    assert sorted(ext.select("eid", "increase").collect()) == ext_ref
+    for target in (16, 2):
+        ext = M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], target_rows=target,
+                             extrapolate=True)
+        assert sorted(ext.select("eid", "increase").collect()) == ext_ref
 
 
 def test_alert_interval_exactly_at_hold(spark):
