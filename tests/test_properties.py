@@ -32,3 +32,33 @@ def test_latest_matches_reference(spark, rows, parts):
     assert got == ref
     alive = {r.k for r in live(latest_by_key(df, ["k"], "v", ["off"]), "deleted").collect()}
     assert alive == {k for k, (_, d, _) in ref.items() if d == 0}
+
+
+samples = st.lists(st.tuples(st.sampled_from(["a", "b"]),      # series
+                             st.integers(0, 400),               # second (ties likely)
+                             st.integers(0, 30)),               # counter value (resets)
+                   min_size=1, max_size=60)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=samples, target=st.sampled_from([1, 4, 1 << 20]))
+def test_counter_rate_matches_reference(spark, rows, target):
+    from stratum.operators import monitor as M
+    base = dt.datetime(2024, 1, 1)
+    data = [(sid, base + dt.timedelta(seconds=sec), i, v) for i, (sid, sec, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "sid string, ts timestamp_ntz, eid long, value long")
+    got = {r.eid: (r.delta, r.increase) for r in
+           M.counter_rate(df, ["sid"], 60, tiebreak=["eid"], bucket_s=3600,
+                          target_rows=target).collect()}
+    ref = {}
+    for sid in ("a", "b"):
+        ser = sorted((t, e, v) for s, t, e, v in data if s == sid)
+        deltas, prev = [], None
+        for t, e, v in ser:
+            d = 0 if prev is None else (v if v < prev else v - prev)
+            deltas.append((t, e, d))
+            prev = v
+        for t, e, d in deltas:
+            lo = t - dt.timedelta(seconds=60)
+            ref[e] = (d, sum(x for tt, _, x in deltas if lo <= tt <= t))
+    assert got == ref
