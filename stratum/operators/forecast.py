@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the model version stamped on published predictions.
 MODEL_VERSION = "v1.1-dynamic"
 
 

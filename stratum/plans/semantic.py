@@ -61,6 +61,8 @@ class Cube:
 
 
 # ---------------------------------------------------------------- cube defs
+# Cube, measure and dimension names and the columns they read,
+# as the warehouse's users query them (marginRatio is our documented ratio).
 ORDERS = Cube(
     name="Orders",
     source="fct_sales",
