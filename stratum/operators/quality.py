@@ -82,15 +82,22 @@ def report(*results: DataFrame) -> DataFrame:
     return out
 
 
-def gate(results: DataFrame, severity: str = "error") -> DataFrame:
-    """Raise when any check failed; return the (small) report otherwise.
-
-    The report has one row per check, so bringing it to the driver is bounded
-    by the number of checks, not by the data.
+def gate(results: DataFrame, severity: str = "error",
+         severities: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """Raise when a failed check is at error severity; return the report.
+
+    ``severity`` is the default level of every check; ``severities`` maps
+    ``(check, column)`` to ``"warn"`` or ``"error"`` for individual checks
+    (warn-level failures are reported, not blocking).  The report has one row
+    per check, so bringing failures to the driver is bounded by the number of
+    checks, not by the data.
     """
-    failed = results.where(F.col("failures") > 0)
-    rows = failed.limit(100).collect()
-    if rows and severity == "error":
-        detail = ", ".join(f"{r['table']}.{r['column']} {r['check']}={r['failures']}" for r in rows)
+    levels = severities or {}
+    failed = results.where(F.col("failures") > 0).limit(1000).collect()
+    blocking = [r for r in failed
+                if levels.get((r["check"], r["column"]), severity) == "error"]
+    if blocking:
+        detail = ", ".join(f"{r['table']}.{r['column']} {r['check']}={r['failures']}"
+                           for r in blocking[:100])
         raise QualityGateError(f"quality gate failed: {detail}")
     return results

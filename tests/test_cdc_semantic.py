@@ -101,3 +101,7 @@ def test_quality_checks_and_gate(spark):
         raise AssertionError("gate should fail")
     except Q.QualityGateError:
         pass
+    # the same failures at warn level do not block
+    warn = {("not_null", "id"): "warn", ("not_null", "s"): "warn", ("unique", "id"): "warn",
+            ("accepted_values", "s"): "warn"}
+    assert Q.gate(rep, severities=warn) is rep
