@@ -150,13 +150,14 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     running sum of event values, restarting every day (an exporter restart),
     kept as DECIMAL so increases are exact.  The running sum is bucketed by
     hour (skew-safe for a busy series)."""
-    from .operators.series import epoch_micros, running_sum_across_buckets, with_bucket
+    from .operators.series import (assign_buckets, drop_bucket, epoch_micros,
+                                   running_sum_across_buckets)
     e = read(spark, sf_dir, "events")
     e = e.withColumns({"__day": F.to_date("ts"), "__t": epoch_micros(e, "ts"),
                        "__v": F.col("value").cast("decimal(18,2)")})
-    e = with_bucket(e, "__t", 3600 * 1_000_000)
-    e = running_sum_across_buckets(e, ["event_type", "user_id", "__day"], ["__t", "event_id"],
-                                   "__v", "counter")
+    e = assign_buckets(e, ["event_type", "user_id", "__day"], "__t", 3600 * 1_000_000)
+    e = drop_bucket(running_sum_across_buckets(e, ["event_type", "user_id", "__day"],
+                                               ["__t", "event_id"], "__v", "counter"))
     return e.select(
         F.col("ts"),
         F.col("event_type").alias("metric"),
@@ -251,13 +252,16 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     quarantine.  ``offset`` is the arrival order within a key.
     """
     from .functions.envelope import encode_date, encode_decimal, encode_micros
-    from .operators.series import epoch_micros, running_sum_across_buckets, with_bucket
+    from .operators.series import (assign_buckets, drop_bucket, epoch_micros,
+                                   running_sum_across_buckets)
     b = bronze_orders(spark, sf_dir)
     # arrival number within a key = running count in version order, bucketed
-    # by 30-day version windows so a key with many versions spreads out
+    # by 30-day version windows (hot ones cut finer) so a key with many
+    # versions spreads out
     b = b.withColumns({"__t": epoch_micros(b, "updated_at"), "__one": F.lit(1)})
-    b = with_bucket(b, "__t", 30 * 86400 * 1_000_000)
-    b = running_sum_across_buckets(b, ["id"], ["__t", *ORDER_TIEBREAK], "__one", "seq")
+    b = assign_buckets(b, ["id"], "__t", 30 * 86400 * 1_000_000)
+    b = drop_bucket(running_sum_across_buckets(b, ["id"], ["__t", *ORDER_TIEBREAK], "__one",
+                                               "seq"))
     row = F.struct(
         "id", "user_id", "product_id", "supp_key", "status",
         encode_decimal(F.col("amount"), 2).alias("amount"), "quantity", "discount", "tax",
