@@ -64,3 +64,18 @@ def test_date_filter_prunes_month_partitions(spark):
               filters=[("orderDate", "inDateRange", ["1997-03-15", "1997-06-10"])])
     p = _plan(q)
     assert "PartitionFilters" in p and "199703" in p and "199706" in p
+
+
+def test_key_filter_pushes_below_latest_but_value_filter_does_not(spark, tmp_path):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    rows = [(k, dt.datetime(2024, 1, 1 + v), f"s{v}", v) for k in range(20) for v in range(3)]
+    path = str(tmp_path / "bronze")
+    spark.createDataFrame(rows, "id long, updated_at timestamp_ntz, status string, off long") \
+         .write.parquet(path)
+    latest = latest_by_key(spark.read.parquet(path), ["id"], "updated_at", ["off"])
+    key_plan = _plan(latest.where(F.col("id") == 7))
+    assert "EqualTo(id,7)" in key_plan                  # reaches the scan
+    value_q = latest.where(F.col("status") == "s0")
+    assert "EqualTo(status,s0)" not in _plan(value_q)   # would resurrect old versions
+    assert value_q.count() == 0                         # s0 is never the newest version
