@@ -25,16 +25,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.series import epoch_micros
 
-STATE_SCHEMA = "on boolean, since long, fired boolean"
+STATE_SCHEMA = "on boolean, since long, fired boolean, last_t long"
 
 
-def _alert_fn(threshold: float, hold_us: int):
+def _alert_fn(threshold: float, hold_us: int, idle_ms: int | None = None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            # the series sent nothing for idle_ms of event time: forget it
+            state.remove()
+            return
         pdf = pd.concat(list(pdfs), ignore_index=True)
         if state.exists:
-            s_on, s_since, s_fired = state.get
+            s_on, s_since, s_fired, s_last = state.get
         else:
-            s_on, s_since, s_fired = False, -1, False
+            s_on, s_since, s_fired, s_last = False, -1, False, None
         if pdf.empty:
             return
         pdf = pdf.sort_values(["t", "tb"], kind="stable")
@@ -42,6 +46,13 @@ def _alert_fn(threshold: float, hold_us: int):
         v = pdf["v"].to_numpy(dtype=np.float64)
         on = np.nan_to_num(v, nan=-np.inf) > threshold
         prev_on = np.concatenate([[bool(s_on)], on[:-1]])
+        if idle_ms is not None:
+            # a silence longer than the idle time breaks a streak, also
+            # across micro-batches (deterministic, unlike timeout timing)
+            prev_t = np.concatenate([[t[0] if s_last is None else s_last], t[:-1]])
+            prev_on &= (t - prev_t) <= idle_ms * 1000
+            if s_last is not None and t[0] - s_last > idle_ms * 1000:
+                s_fired = False
         new = on & ~prev_on
         sid = np.cumsum(new)                     # 0 = streak carried from state
         starts = np.concatenate([[s_since], t[new]])
@@ -59,25 +70,46 @@ def _alert_fn(threshold: float, hold_us: int):
         last_sid = sid[-1]
         last_fired = bool(last_sid in set(fired_sids.tolist())) or (last_sid == 0 and s_fired)
         state.update((bool(on[-1]), int(start_t[-1]) if on[-1] else -1,
-                      bool(on[-1]) and last_fired))
+                      bool(on[-1]) and last_fired, int(t[-1])))
+        if idle_ms is not None:
+            # silent series are dropped once the watermark passes this point
+            state.setTimeoutTimestamp(max(int(t[-1] // 1000) + idle_ms,
+                                          state.getCurrentWatermarkMs() + 1))
         if len(out):
             yield out
     return fn
 
 
 def alert_stream(samples: DataFrame, series: str, ts: str, value: str, threshold: float,
-                 hold_s: float, tiebreak: str | None = None) -> DataFrame:
+                 hold_s: float, tiebreak: str | None = None,
+                 idle_timeout_s: float | None = None, watermark: str = "10 minutes"
+                 ) -> DataFrame:
     """``series, start_ts, fired_ts`` once per streak of ``value > threshold``
-    lasting ``hold_s`` (works on streaming and batch DataFrames)."""
+    lasting ``hold_s`` (works on streaming and batch DataFrames).
+
+    ``idle_timeout_s``: a silence longer than this between consecutive
+    samples of a series breaks its streak, and the state of a series that
+    stays silent is dropped once the watermark (``ts`` delayed by
+    ``watermark``) passes its last sample plus the idle time, so state does
+    not grow with every series ever seen.  Off by default, which keeps the
+    batch semantics (a streak spans any gap between consecutive samples).
+    """
     series_type = samples.schema[series].dataType.simpleString()
+    timeout = GroupStateTimeout.NoTimeout
+    if idle_timeout_s is not None:
+        samples = (samples.withColumn(ts, F.col(ts).cast("timestamp"))
+                          .withWatermark(ts, watermark))
+        timeout = GroupStateTimeout.EventTimeTimeout
     prepared = samples.select(
+        F.col(ts).alias("__ts"),
         F.col(series).alias("series"), epoch_micros(samples, ts).alias("t"),
         F.col(value).cast("double").alias("v"),
         (F.col(tiebreak) if tiebreak else F.lit(0)).cast("long").alias("tb"))
     out_schema = f"series {series_type}, start_t long, fired_t long"
+    idle_ms = None if idle_timeout_s is None else int(idle_timeout_s * 1000)
     res = prepared.groupBy("series").applyInPandasWithState(
-        _alert_fn(float(threshold), int(hold_s * 1_000_000)), out_schema, STATE_SCHEMA,
-        "append", GroupStateTimeout.NoTimeout)
+        _alert_fn(float(threshold), int(hold_s * 1_000_000), idle_ms), out_schema, STATE_SCHEMA,
+        "append", timeout)
     to_ts = "timestampadd(MICROSECOND, {}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
     return res.select(F.col("series").alias(series),
                       F.expr(to_ts.format("start_t")).alias("start_ts"),
