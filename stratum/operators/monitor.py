@@ -115,13 +115,17 @@ def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str
 def alert_intervals(samples: DataFrame, by: Sequence[str], condition: Column, hold_s: float,
                     ts: str = "ts", tiebreak: Sequence[str] = (),
                     bucket_s: float | None = None,
-                    target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
+                    target_rows: int = DEFAULT_TARGET_ROWS,
+                    max_gap_s: float | None = None) -> DataFrame:
     """Spans where ``condition`` held on consecutive samples for ``hold_s``.
 
     Islands of consecutive true samples (gaps-and-islands); an island lasts
     from its first to its last true sample (an island still open at the end
     of the data counts up to its last sample).  Returns one row per island
     with ``duration_s >= hold_s`` and the firing time ``start + hold``.
+    With ``max_gap_s`` a silence longer than that between consecutive
+    samples also ends an island (the series went stale), matching the
+    streaming alert's ``idle_timeout_s``.
     """
     by = list(by)
     df = samples.withColumn("__t", epoch_micros(samples, ts)) \
@@ -130,8 +134,11 @@ def alert_intervals(samples: DataFrame, by: Sequence[str], condition: Column, ho
     df = assign_buckets(df, by, "__t", coarse, target_rows,
                         bucket_plan(df, by, "__t", coarse, target_rows))
     order = ["__t", *tiebreak]
-    df = lag_across_buckets(df, by, order, ["__on"], prefix="__prev")
-    change = (F.col("__prev__on").isNull() | (F.col("__prev__on") != F.col("__on"))).cast("long")
+    df = lag_across_buckets(df, by, order, ["__on", "__t"], prefix="__prev")
+    brk = F.col("__prev__on").isNull() | (F.col("__prev__on") != F.col("__on"))
+    if max_gap_s is not None:
+        brk = brk | (F.col("__t") - F.col("__prev__t") > F.lit(int(max_gap_s * US)))
+    change = brk.cast("long")
     df = drop_bucket(running_sum_across_buckets(df.withColumn("__chg", change), by, order,
                                                 "__chg", "__island"))
     islands = (df.where("__on")

@@ -26,3 +26,16 @@ def test_alert_stream_idle_gap(spark, tmp_path):
     idle = _run(spark, landing, str(tmp_path / "o2"), str(tmp_path / "c2"), idle_timeout_s=600)
     assert idle == [(T0, T0 + dt.timedelta(seconds=60)),
                     (T0 + dt.timedelta(seconds=7200), T0 + dt.timedelta(seconds=7260))]
+
+
+def test_batch_max_gap_matches_stream_idle(spark):
+    from pyspark.sql import functions as F
+    from stratum.operators.monitor import alert_intervals
+    rows = [("a", T0 + dt.timedelta(seconds=s), 40.0, s)
+            for s in (0, 30, 60, 90, 7200, 7230, 7260, 7290)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, value double, eid long")
+    plain = alert_intervals(df, ["series"], F.col("value") > 30, 60, tiebreak=["eid"])
+    assert plain.count() == 1
+    stale = alert_intervals(df, ["series"], F.col("value") > 30, 60, tiebreak=["eid"],
+                            max_gap_s=600)
+    assert sorted(r.start_ts for r in stale.collect()) == [T0, T0 + dt.timedelta(seconds=7200)]
