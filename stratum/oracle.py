@@ -653,3 +653,25 @@ ORACLE["replication_lag_alert_stream"] = LAG_SAMPLES + """
 , st AS (SELECT *, min(ts) OVER (PARTITION BY "table", island) AS start_ts FROM c WHERE on_)
 SELECT "table", start_ts, min(ts) AS fired_ts FROM st
 WHERE epoch_us(ts) - epoch_us(start_ts) >= 60000000 GROUP BY "table", start_ts"""
+
+STALE = SAMPLES + """
+, s AS (SELECT *, coalesce(value > 30, false) AS on_ FROM gauges),
+l AS (SELECT *, lag(on_) OVER (PARTITION BY series_id ORDER BY ts, event_id) AS prev,
+             lag(ts) OVER (PARTITION BY series_id ORDER BY ts, event_id) AS prev_ts FROM s),
+c AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> on_
+                          OR epoch_us(ts) - epoch_us(prev_ts) > 21600000000 THEN 1 ELSE 0 END)
+                OVER (PARTITION BY series_id ORDER BY ts, event_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM l)
+"""
+
+ORACLE["alert_intervals_stale"] = STALE + """
+, i AS (SELECT series_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_samples,
+               CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / CAST(1000000 AS DOUBLE)
+                 AS duration_s
+        FROM c WHERE on_ GROUP BY series_id, island)
+SELECT *, start_ts + INTERVAL 60 SECOND AS fired_at FROM i WHERE duration_s >= 60"""
+
+ORACLE["alert_stream_stale"] = STALE + """
+, st AS (SELECT *, min(ts) OVER (PARTITION BY series_id, island) AS start_ts FROM c WHERE on_)
+SELECT series_id, start_ts, min(ts) AS fired_ts FROM st
+WHERE epoch_us(ts) - epoch_us(start_ts) >= 60000000 GROUP BY series_id, start_ts"""

@@ -876,3 +876,27 @@ def q_replication_lag_alert_stream(spark, d):
     LS.use_rocksdb_state(spark)
     LS.await_done(LS.write_versions(alerts, out, output_mode="append"))
     return spark.read.parquet(out).drop("_batch_id")
+
+
+@register("alert_intervals_stale")
+def q_alert_intervals_stale(spark, d):
+    """Held-condition islands where a 6-hour silence marks the series stale."""
+    g = fx.gauge_samples(spark, d)
+    return M.alert_intervals(g, ["series_id"], F.col("value") > 30, 60, tiebreak=["event_id"],
+                             max_gap_s=6 * 3600).select(
+        "series_id", "start_ts", "end_ts", "n_samples", "duration_s", "fired_at")
+
+
+@register("alert_stream_stale")
+def q_alert_stream_stale(spark, d):
+    """The stateful alert with a 6-hour idle time (streak break + state eviction)."""
+    from .streaming.alerts import alert_stream
+    g = fx.gauge_samples(spark, d).select("ts", "series_id", "event_id", "value")
+    landing = _landing_in_time_order(g, "ts", 4)
+    stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    alerts = alert_stream(stream, "series_id", "ts", "value", 30, 60, tiebreak="event_id",
+                          idle_timeout_s=6 * 3600)
+    out = scratch_path(spark, "alerts-stale")
+    LS.use_rocksdb_state(spark)
+    LS.await_done(LS.write_versions(alerts, out, output_mode="append"))
+    return spark.read.parquet(out).drop("_batch_id")
