@@ -288,8 +288,12 @@ def query(df: DataFrame, cube: Cube, measures: Sequence[str] = (),
         if rls is not None:
             policy, principal, dim = rls
             col = cube.dimensions[dim].sql
+            # the policy names the allowed values by the dimension's column or
+            # the dimension's name; otherwise its value column comes last
+            value_col = next((c for c in (col, dim) if c in policy.columns),
+                             policy.columns[-1])
             base = apply_rls(base, policy, principal, col, principal_column="principal",
-                             policy_column=policy.columns[-1])
+                             policy_column=value_col)
         for member, op, values in dim_filters:
             base = base.where(filter_condition(_dim_expr(cube, member), op, values))
             part_col = cube.partition_hints.get(member)
