@@ -8,35 +8,59 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .sentencepiece_backend import encode_decode
 from .sharding import assign_shards
+from .token_counts import count_tokens
+from .token_records import read_records, record_folder, write_records
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
+                             record_folder(spark))
+    return read_records(manifest)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select(
         "doc.doc_id", "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), 40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_tokens", "ids_crc32", "round_trip",
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_token_records": op4_token_records,
     "op5_mix_sources": op5_mix_sources,
+    "op6_token_counts": op6_token_counts,
     "op8_shards": op8_shards,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
