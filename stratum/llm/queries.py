@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .mixing import mix
 from .sentencepiece_backend import encode_decode
 from .sharding import assign_shards
@@ -21,6 +22,13 @@ from .token_counts import count_tokens
 from .token_records import read_records, record_folder, write_records
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup(docs).select(
+        "doc.doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -55,6 +63,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_token_records": op4_token_records,
     "op5_mix_sources": op5_mix_sources,
