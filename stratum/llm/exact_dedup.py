@@ -64,7 +64,7 @@ def frequent_digests(table: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def resolve_groups(table: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``table``: doc_id, digest, _row (unique), from files.  Adds keep_id, group_size, kept."""
+    """``table``: doc_id, digest, _row (unique), from files.  Adds keep_id, keep_row, group_size, kept."""
     per_group = [F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("win"),
                  F.count(F.lit(1)).alias("group_size")]
     hot = staged(table.join(F.broadcast(frequent_digests(table, counters)), "digest")
@@ -73,7 +73,8 @@ def resolve_groups(table: DataFrame, counters: int = COUNTERS) -> DataFrame:
     rest = table.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
     rest = rest.join(rest.groupBy("digest").agg(*per_group), "digest")
     return done.unionByName(rest).select(
-        "doc_id", "_row", "digest", F.col("win.doc_id").alias("keep_id"), "group_size",
+        "doc_id", "_row", "digest", F.col("win.doc_id").alias("keep_id"), F.col("win._row").alias("keep_row"),
+        "group_size",
         (F.col("_row") == F.col("win._row")).alias("kept"))
 
 
