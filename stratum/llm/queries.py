@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .bagminhash import near_dedup
 from .common import documents
 from .exact_dedup import exact_dedup
+from .impact_topk import top_k
 from .line_dedup import line_dedup
 from .mixing import mix
 from .sentencepiece_backend import encode_decode
@@ -50,6 +51,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 1024)
 
 
+def op7_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), 40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_records": op4_token_records,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
+    "op7_impact_topk": op7_impact_topk,
     "op8_shards": op8_shards,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dedup": op10_near_dedup,
@@ -121,4 +128,18 @@ ORACLE: dict[str, str] = {
                CAST(least(floor(pos * rate + shift) - floor((pos - 1) * rate + shift), 3) AS BIGINT) * size AS taken
         FROM p
     """,
+    "op7_impact_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (
+          SELECT q.vec_id AS query_id, v.vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.w, v.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+        r AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
