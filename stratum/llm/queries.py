@@ -18,6 +18,7 @@ from .exact_dedup import exact_dedup
 from .impact_topk import top_k
 from .line_dedup import line_dedup
 from .mixing import mix
+from .quality_knn import KEEP, fit, held_out, score
 from .sentencepiece_backend import encode_decode
 from .sharding import assign_shards
 from .token_counts import count_tokens
@@ -35,6 +36,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model).select("doc.doc_id", "score").select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= KEEP).cast("int").alias("predicted"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"),
                              record_folder(spark))
@@ -76,6 +85,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_knn": op3_quality_knn,
     "op4_token_records": op4_token_records,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
