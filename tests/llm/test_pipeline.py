@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from stratum.llm.quality_knn import KEEP, fit
-from tests.llm.test_bagminhash import brute_classes
-from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_mixing import brute as brute_mix
+from test_bagminhash import brute_classes
+from test_line_dedup import brute as brute_lines
+from test_mixing import brute as brute_mix
 
 SF = "/root/testdata/sf0.001"
 
