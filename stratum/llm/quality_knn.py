@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .pieces import byte_slices, utf8_lengths
 
-SAMPLE, TERMS, RANK, NEIGHBOURS = 4096, 4096, 64, 25
+SAMPLE, TERMS, RANK, NEIGHBOURS = 4096, 4096, 64, 9
 KEEP = 0.7
 LAGS = 16
 SLICE_ROWS = 256
