@@ -207,11 +207,12 @@ def golden_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", "query", "expected_sql")
 
 
-def example_vectors(spark: SparkSession, sf_dir: str, n_queries: int = 20):
-    """Split embeddings into (queries, stored examples): the first ids ask."""
+def example_vectors(spark: SparkSession, sf_dir: str):
+    """Split embeddings into (queries, stored examples): every fiftieth id asks."""
     e = read(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    return e.where(F.col("vec_id") < n_queries), e.where(F.col("vec_id") >= n_queries)
+    asks = F.col("vec_id") % 50 == 0
+    return e.where(asks), e.where(~asks)
 
 
 def rls_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,3 +306,84 @@ def typed_orders(unwrapped: DataFrame) -> DataFrame:
         "order_date": decode_date("order_date"),
         "updated_at": decode_micros("updated_at"),
     })
+
+
+def row_schema(ddl: str):
+    from pyspark.sql.types import StructType
+    return StructType.fromDDL(ddl)
+
+
+# Row schemas of the other replicated tables, as the source defines them: none
+# of these has an updated_at column, so the source's change time is the version.
+ROW_SCHEMAS = {
+    "users": "id long, name string, email string, country string, created_at long",
+    "products": "id long, name string, category string, price string",
+    "support_tickets": "id long, user_id long, subject string, priority string, status string",
+    "ml_prediccion_ventas": "fecha_prediccion string, mes_simulado long, prediccion_ventas double, "
+                            "modelo_version string",
+}
+
+
+def _table_log(rows: DataFrame, table: str, row, made_ms, op, key_only_delete: bool = True) -> DataFrame:
+    """Broker-shaped records: ``row`` is the image of c/u/r, a delete has the key alone."""
+    deleted = op == "d"
+    env = F.struct(F.when(deleted, F.struct(F.col("id"))).alias("before"),
+                   F.when(~deleted, row).alias("after"), op.alias("op"), made_ms.alias("ts_ms"))
+    return rows.select(F.lit(f"shop.public.{table}").alias("topic"), F.lit(0).alias("partition"),
+                       F.col("version").cast("long").alias("offset"), F.col("id").cast("string").alias("key"),
+                       F.to_json(env).alias("value"),
+                       F.timestamp_millis(made_ms + 2000).alias("timestamp"))
+
+
+def _versions(df: DataFrame) -> DataFrame:
+    """A snapshot record for every id, an update for every third, a delete for every seventh."""
+    return (df.withColumn("version", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+              .where((F.col("version") == 0) | ((F.col("version") == 1) & (F.col("id") % 3 == 0))
+                     | ((F.col("version") == 2) & (F.col("id") % 7 == 0))))
+
+
+def _made(version) -> F.Column:
+    return (F.lit(946684800000) + version * 86400000 + F.col("id")).cast("long")
+
+
+def _op(version) -> F.Column:
+    return F.element_at(F.array(F.lit("r"), F.lit("u"), F.lit("d")), (version + 1).cast("int"))
+
+
+def products_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.envelope import encode_decimal
+    rows = _versions(bronze_products(spark, sf_dir))
+    row = F.struct("id", "name", "category",
+                   encode_decimal(F.col("price") + F.col("version"), 2).alias("price"))
+    return _table_log(rows, "products", row, _made(F.col("version")), _op(F.col("version")))
+
+
+def users_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .functions.envelope import encode_micros
+    rows = _versions(bronze_users(spark, sf_dir))
+    row = F.struct("id", "name", "email",
+                   F.when(F.col("version") == 1, F.lit("MOVED")).otherwise(F.col("country")).alias("country"),
+                   encode_micros(F.col("created_at")).alias("created_at"))
+    return _table_log(rows, "users", row, _made(F.col("version")), _op(F.col("version")))
+
+
+def change_log_key_only_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order change log as a connector sends it by default: a delete names
+    the key alone, and its time is that of the envelope."""
+    log = change_log(spark, sf_dir)
+    is_delete = F.get_json_object("value", "$.op") == "d"
+    bare = F.concat(F.lit('{"before":{"id":'), F.col("key"), F.lit('},"op":"d","ts_ms":'),
+                    F.get_json_object("value", "$.ts_ms"), F.lit("}"))
+    return log.withColumn("value", F.when(is_delete, bare).otherwise(F.col("value")))
+
+
+def change_log_with_broken_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order change log plus, for some keys, records with a broken key, an
+    update without its row, a delete without any image and an unknown op."""
+    log = change_log(spark, sf_dir)
+    first = log.where((F.col("topic") == ORDERS_TOPIC) & (F.col("offset") == 1) & F.col("value").isNotNull())
+    broken = F.array(F.lit('{"after":{"id":"abc"},"op":"u","ts_ms":1}'), F.lit('{"after":null,"op":"u","ts_ms":1}'),
+                     F.lit('{"op":"d","ts_ms":1}'), F.lit('{"after":{"id":1},"op":"x","ts_ms":1}'))
+    bad = (first.where(F.col("key").cast("long") % 97 == 0)
+           .withColumn("value", F.element_at(broken, (F.pmod(F.col("key").cast("long"), F.lit(4)) + 1).cast("int"))))
+    return log.unionByName(bad)

@@ -5,11 +5,13 @@ A change connector without schema-aware converters ships
 * DATE as days since 1970-01-01,
 * TIMESTAMP (no zone) as microseconds since 1970-01-01 (wall clock).
 All decoders are built-in expressions (no Python UDF); unscaled values of up
-to 8 bytes are supported (DECIMAL(18, s)).
+to 16 bytes are supported (DECIMAL(38, s)).
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,15 @@ def _c(c) -> Column:
 
 
 def decode_decimal(c, scale: int, precision: int = 18) -> Column:
+    """NULL where the value has more than 16 bytes or does not fit the type."""
     h = F.hex(F.unbase64(_c(c)))
     negative = F.substring(h, 1, 1).isin("8", "9", "A", "B", "C", "D", "E", "F")
-    wide = F.when(negative, F.lpad(h, 16, "F")).otherwise(F.lpad(h, 16, "0"))
-    unscaled = F.conv(wide, 16, -10).cast("decimal(38,0)")
-    return (unscaled / F.lit(10 ** scale)).cast(f"decimal({precision},{scale})")
+    wide = F.when(negative, F.lpad(h, 32, "F")).otherwise(F.lpad(h, 32, "0"))
+    high = F.conv(F.substring(wide, 1, 16), 16, -10).cast("decimal(19,0)")   # signed half
+    low = F.conv(F.substring(wide, 17, 16), 16, 10).cast("decimal(20,0)")    # unsigned half
+    unscaled = F.try_add(F.try_multiply(high, F.lit(Decimal(2**64))), low.cast("decimal(38,0)"))
+    value = F.try_multiply(unscaled, F.lit(Decimal(1).scaleb(-scale)))
+    return F.when(F.length(h).between(1, 32), value.try_cast(f"decimal({precision},{scale})"))
 
 
 def encode_decimal(c, scale: int) -> Column:

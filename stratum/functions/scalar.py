@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import StringType, TimestampType
 
 
 def _c(c) -> Column:
@@ -40,11 +40,6 @@ def to_money(c, precision: int = 18, scale: int = 2) -> Column:
     return _c(c).cast(f"decimal({precision},{scale})")
 
 
-def try_money(c, precision: int = 18, scale: int = 2) -> Column:
-    """Like ``to_money`` but bad input becomes NULL (bronze edge)."""
-    return _c(c).try_cast(f"decimal({precision},{scale})")
-
-
 def to_business_date(c, tz: str | None = None) -> Column:
     """Calendar date of a timestamp in the business time zone.
 
@@ -106,14 +101,16 @@ def fmt_date(c) -> Column:
     return F.date_format(_c(c), "yyyy-MM-dd")
 
 
-def round2(c) -> Column:
-    """Two-digit rounding, half-to-even (as a numeric library rounds)."""
-    return F.bround(_c(c), 2)
+def round_half_even(c, digits: int = 2) -> Column:
+    """Scale, round to the nearest integer (ties to even), unscale: the one
+    rounding rule of doubles here (0.575 is just below its decimal: 0.57)."""
+    f = float(10 ** digits)
+    return F.rint(_c(c) * F.lit(f)) / F.lit(f)
 
 
-def args_json(c) -> Column:
-    """JSON text of a struct/map column; strings pass through unchanged."""
-    return F.to_json(_c(c))
+def args_json(df: DataFrame, name: str) -> Column:
+    """JSON text of a struct, map or array column; strings pass through unchanged."""
+    return F.col(name) if isinstance(df.schema[name].dataType, StringType) else F.to_json(name)
 
 
 def truncate_to(c, granularity: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import args_json
 from .joins import bounded_broadcast
 
 # Which role may call which tool.
@@ -44,7 +45,7 @@ def audit_rows(decisions: DataFrame, ts: str | None = "timestamp") -> DataFrame:
     stamp = F.coalesce(F.col(ts).cast("timestamp"), F.current_timestamp()) if ts \
         else F.current_timestamp()
     return decisions.select(stamp.alias("timestamp"), "user_name", "tool_name",
-                            F.col("arguments").cast("string").alias("arguments"), "status")
+                            args_json(decisions, "arguments").alias("arguments"), "status")
 
 
 def append_audit(decisions: DataFrame, path: str) -> None:

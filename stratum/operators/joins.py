@@ -11,15 +11,19 @@ from pyspark.sql.types import (BooleanType, DateType, DecimalType, NumericType,
                                TimestampNTZType, TimestampType)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and ``max_bytes`` bytes.
 
     The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan
     early), so it is cheap even when the answer is "too big"; beyond the bound
     the caller gets the plain DataFrame and Catalyst/AQE plan a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if n <= max_rows and (total or 0) <= max_bytes else df
 
 
 def _default_for(dtype):

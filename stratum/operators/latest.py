@@ -58,7 +58,7 @@ def compact(df: DataFrame, keys: Sequence[str], version: str,
     if partition_by:
         latest = latest.hint("rebalance", *partition_by)
     latest = latest.sortWithinPartitions(*partition_by, *keys)
-    w = latest.write.mode("overwrite")
+    w = latest.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(out)

@@ -10,12 +10,13 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from .series import (DEFAULT_TARGET_ROWS, assign_buckets, bucket_plan, drop_bucket,
-                     epoch_micros, lag_across_buckets, range_aggregates,
-                     range_window_with_halo, running_sum_across_buckets)
+                     epoch_micros, lag_across_buckets, range_window_with_halo,
+                     running_sum_across_buckets, staged)
 
 US = 1_000_000
 
@@ -31,7 +32,7 @@ def counter_deltas(samples: DataFrame, by: Sequence[str], ts: str = "ts",
                    ) -> DataFrame:
     """Per-sample counter increase: ``v - prev``; a drop means a reset, so
     the increase is ``v`` itself.  The first sample of a series has 0."""
-    df = samples.withColumn("__t", epoch_micros(samples, ts))
+    df = samples if "__t" in samples.columns else samples.withColumn("__t", epoch_micros(samples, ts))
     df = assign_buckets(df, by, "__t", _bucket_us(0, bucket_s), target_rows, plan)
     df = lag_across_buckets(df, by, ["__t", *tiebreak], [value], prefix="__prev_")
     prev = F.col(f"__prev_{value}")
@@ -57,43 +58,43 @@ def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str
     below 1.1 x the average sample spacing (else by half a spacing), and never
     below the point where a counter would have been zero.
 
-    Range sums are prefix-sum differences over bucketed running sums (see
-    :func:`stratum.operators.series.range_aggregates`): no window ever holds
-    more than one bucket of one series, however bursty the series is.
+    One algorithm at every size: the samples are staged once, deltas come from
+    a bucketed lag, and range sums from one window per (series, slice), a slice
+    being at least a window wide, with halo rows from the slice before.
+    Integer and DECIMAL increases are differences of two growing frames (exact,
+    so slicing cannot show); DOUBLE ones are summed over the range itself, in
+    time order, so a value outside the range (an infinity, say) has no effect.
     """
     by = list(by)
     coarse = _bucket_us(window_s, bucket_s)
     w_us = int(window_s * US)
-    # one counting pass over the raw samples plans the bucket splits of both
-    # ordered stages (deltas and range sums)
-    plan = bucket_plan(samples.withColumn("__t", epoch_micros(samples, ts)), by, "__t", coarse,
-                       target_rows)
+    samples = staged(samples.withColumn("__t", epoch_micros(samples, ts)))
+    # one counting pass plans the bucket splits of both ordered stages
+    plan = staged(bucket_plan(samples, by, "__t", coarse, target_rows))
     d = counter_deltas(samples, by, ts, value, tiebreak, coarse / US, target_rows, plan)
-    if plan.max_k is not None and plan.min_width_us() >= w_us:
-        # fast path (one shuffle): every slice is at least a window wide, so
-        # a halo copy into the next slice is all a range needs
-        aggs = {"__rsum": lambda w: F.sum("delta").over(w),
-                "__rcount": lambda w: F.count(F.lit(1)).over(w)}
-        if extrapolate:
-            aggs["__rf"] = lambda w: F.min_by(
-                F.struct(F.col("__t").alias("t"), F.col("delta").alias("delta"),
-                         F.col(value).alias("v")),
-                F.struct("__t", *tiebreak)).over(w)
-        b = assign_buckets(d, by, "__t", coarse, target_rows, plan, min_width_us=w_us)
-        r = drop_bucket(range_window_with_halo(b, by, "__t", w_us, aggs))
-        if extrapolate:
-            r = r.withColumns({"__rfirst_t": F.col("__rf.t"), "__rfirst_delta": F.col("__rf.delta"),
-                               f"__rfirst_{value}": F.col("__rf.v")}).drop("__rf")
-    else:
-        # a burst denser than target_rows within one window: prefix-sum
-        # differences, where no window holds more than one slice
-        r = range_aggregates(d, by, "__t", w_us, "delta", coarse, tiebreak=list(tiebreak),
-                             first_cols=["delta", value] if extrapolate else [],
-                             target_rows=target_rows, plan=plan)
+    exact = not isinstance(d.schema["delta"].dataType, (DoubleType, FloatType))
+
+    def range_sum(w, frames):
+        upto, before = frames
+        return (F.sum("delta").over(upto) - F.coalesce(F.sum("delta").over(before), F.lit(0))
+                if exact else F.sum("delta").over(w))
+
+    aggs = {"__rsum": range_sum}
+    if extrapolate:
+        aggs |= {"__rcount": lambda w, frames: F.count(F.lit(1)).over(frames[0]) - F.count(F.lit(1)).over(frames[1]),
+                 "__rf": lambda w, frames: F.min_by(
+                     F.struct(F.col("__t").alias("t"), F.col("delta").alias("delta"),
+                              F.col(value).alias("v")),
+                     F.struct("__t", *tiebreak)).over(w)}
+    b = assign_buckets(d, by, "__t", coarse, target_rows, plan, min_width_us=w_us)
+    r = drop_bucket(range_window_with_halo(b, by, "__t", w_us, aggs))
+    if extrapolate:
+        r = r.withColumns({"__rfirst_t": F.col("__rf.t"), "__rfirst_delta": F.col("__rf.delta"),
+                           f"__rfirst_{value}": F.col("__rf.v")}).drop("__rf")
     if not extrapolate:
         return (r.withColumn("increase", F.col("__rsum"))
                  .withColumn("rate", F.col("increase").cast("double") / F.lit(float(window_s)))
-                 .drop("__rsum", "__rcount", "__t"))
+                 .drop("__rsum", "__t"))
     n = F.col("__rcount")
     inc = (F.col("__rsum") - F.col("__rfirst_delta")).cast("double")  # between in-window samples
     sampled = (F.col("__t") - F.col("__rfirst_t")).cast("double") / F.lit(float(US))
@@ -128,13 +129,16 @@ def alert_intervals(samples: DataFrame, by: Sequence[str], condition: Column, ho
     streaming alert's ``idle_timeout_s``.
     """
     by = list(by)
-    df = samples.withColumn("__t", epoch_micros(samples, ts)) \
+    order = ["__t", *tiebreak]
+    # staged once, with the columns that the steps need
+    df = staged(samples.withColumn("__t", epoch_micros(samples, ts))
                 .withColumn("__on", F.coalesce(condition, F.lit(False)))
+                .select(*dict.fromkeys([*by, ts, *order, "__on"])))
     coarse = _bucket_us(hold_s, bucket_s)
     df = assign_buckets(df, by, "__t", coarse, target_rows,
                         bucket_plan(df, by, "__t", coarse, target_rows))
-    order = ["__t", *tiebreak]
-    df = lag_across_buckets(df, by, order, ["__on", "__t"], prefix="__prev")
+    # staged again: the lag reads its input twice, and so does the running sum
+    df = staged(lag_across_buckets(df, by, order, ["__on", "__t"], prefix="__prev"))
     brk = F.col("__prev__on").isNull() | (F.col("__prev__on") != F.col("__on"))
     if max_gap_s is not None:
         brk = brk | (F.col("__t") - F.col("__prev__t") > F.lit(int(max_gap_s * US)))
@@ -159,21 +163,35 @@ def resample(samples: DataFrame, by: Sequence[str], step_s: int = 15, lookback_s
     """Evaluation grid: at every ``step`` boundary ``g`` the latest sample with
     ``g - lookback < ts <= g``.
 
-    Each sample emits the (at most lookback/step) grid points it can serve;
-    the newest sample per (series, g) wins through ``max_by`` - a grouped
-    aggregation with map-side combine, no per-series window.
+    Only the last sample of a series in each step can serve a grid point, so
+    samples are reduced to one per (series, step) first, with map-side combine.
+    Each of those serves the points up to the next one's step, or to the end
+    of its lookback: every grid point is made once.  The next step is looked
+    up per (series, run of steps), where a run also sees the first steps of
+    the next one, so a series is never in one task.
     """
     by = list(by)
     t = epoch_micros(samples, ts)
     step_us, look_us = step_s * US, lookback_s * US
-    first = F.ceil(t / F.lit(step_us)).cast("long")            # first grid index >= t
-    last = F.floor((t + F.lit(look_us) - F.lit(1)) / F.lit(step_us)).cast("long")
-    pts = samples.withColumn("__g", F.explode(F.sequence(first, last)))
+    reach = look_us // step_us + 1                              # steps a sample can serve
+    run = max(4096, 4 * reach)
     order = F.struct(F.col(ts), *[F.col(c) for c in tiebreak])
-    grid = (pts.groupBy(*by, "__g")
-               .agg(F.max_by(F.struct(F.col(value).alias("value"), F.col(ts).alias("sample_ts")),
-                             order).alias("__s")))
-    g_ts = F.expr("timestampadd(MICROSECOND, __g * %d, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    cells = (samples.withColumns({"__t": t, "__g": F.ceil(t / F.lit(step_us)).cast("long")})
+             .groupBy(*by, "__g")
+             .agg(F.max_by(F.struct(F.col(value).alias("value"), F.col(ts).alias("sample_ts"), F.col("__t").alias("t")),
+                           order).alias("__s")))
+    own = F.floor(F.col("__g") / F.lit(run))
+    copies = F.array(F.struct(own.alias("run"), F.lit(False).alias("halo")),
+                     F.struct((own - 1).alias("run"), F.lit(True).alias("halo")))
+    cells = cells.withColumn("__h", F.explode(F.when(F.pmod(F.col("__g"), F.lit(run)) <= reach, copies)
+                                              .otherwise(F.slice(copies, 1, 1))))
+    following = F.lead("__g").over(Window.partitionBy(*by, "__h.run").orderBy("__g"))
+    last = F.floor((F.col("__s.t") + F.lit(look_us) - F.lit(1)) / F.lit(step_us)).cast("long")
+    grid = (cells.withColumn("__next", following).where(~F.col("__h.halo"))
+            .withColumn("__last", F.least(last, F.coalesce(F.col("__next") - 1, last)))
+            .where(F.col("__g") <= F.col("__last"))
+            .withColumn("__p", F.explode(F.sequence("__g", "__last"))))
+    g_ts = F.expr("timestampadd(MICROSECOND, __p * %d, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
                   % step_us)
     return grid.select(*by, g_ts.alias("eval_ts"), "__s.value", "__s.sample_ts")
 
@@ -265,3 +283,30 @@ def lag_series(df: DataFrame, by: Sequence[str], synced: str = "_synced_at",
     return agg.select(*by, F.col("w.start").alias("window_start"),
                       F.col("w.end").alias("window_end"), "last_synced_at", "rows",
                       lag.alias("lag_seconds"))
+
+
+def complete_lag_series(series: DataFrame, by: Sequence[str], window_s: float,
+                        until: _dt.datetime | None = None) -> DataFrame:
+    """The lag series with the windows in which nothing was synced.
+
+    Every series gets all windows from its first one to ``until`` (the last
+    window of any series by default); a silent window has 0 rows and its lag
+    counts from the last sync known, so a stalled table shows a growing lag.
+    The input has one row per series and window, whatever the data behind it.
+    """
+    by = list(by)
+    kind = series.schema["window_start"].dataType.simpleString()
+    series = staged(series)
+    end = until or series.agg(F.max("window_start")).first()[0]
+    if end is None:
+        return series
+    step = F.expr(f"INTERVAL '{window_s}' SECOND")
+    following = F.lead("window_start").over(Window.partitionBy(*by).orderBy("window_start"))
+    upto = F.coalesce(following - step, F.greatest(F.lit(end).cast(kind), F.col("window_start")))
+    filled = series.withColumn("__upto", upto).withColumn(
+        "__at", F.explode(F.sequence(F.col("window_start"), F.col("__upto"), step)))
+    lag = (F.unix_micros((F.col("__at") + step).cast("timestamp"))
+           - F.unix_micros(F.col("last_synced_at").cast("timestamp"))) / F.lit(float(US))
+    return filled.select(*by, F.col("__at").alias("window_start"), (F.col("__at") + step).alias("window_end"),
+                         "last_synced_at", F.when(F.col("__at") == F.col("window_start"), F.col("rows"))
+                         .otherwise(F.lit(0)).cast("long").alias("rows"), lag.alias("lag_seconds"))

@@ -2,7 +2,7 @@
 
 Every check returns rows ``(table, check, column, failures)`` so results of
 different checks union into one report.  Row-level checks (not-null,
-accepted values, range) share a single aggregation pass; ``unique`` needs a
+accepted values, range) of one table share a scan through ``table_checks``; ``unique`` needs a
 grouping per column (partial aggregation first, so a hot value costs one row
 per map task in the shuffle).
 """
@@ -31,24 +31,39 @@ def _rows(df: DataFrame, table: str, specs: list[tuple[str, str, F.Column]]) ->
     return agg.select(stacked.alias("r")).select("r.*")
 
 
-def not_null(df: DataFrame, cols: Sequence[str], table: str = "table") -> DataFrame:
-    return _rows(df, table, [("not_null", c, F.col(c).isNull()) for c in cols])
+def null_spec(col: str):
+    return "not_null", col, F.col(col).isNull()
 
 
-def accepted_values(df: DataFrame, col: str, values: Iterable, table: str = "table") -> DataFrame:
+def accepted_spec(col: str, values: Iterable):
     """Non-NULL values outside the accepted list."""
-    vals = list(values)
-    return _rows(df, table, [("accepted_values", col,
-                              F.col(col).isNotNull() & ~F.col(col).isin(vals))])
+    return "accepted_values", col, F.col(col).isNotNull() & ~F.col(col).isin(list(values))
 
 
-def in_range(df: DataFrame, col: str, lo=None, hi=None, table: str = "table") -> DataFrame:
+def range_spec(col: str, lo=None, hi=None):
     cond = F.lit(False)
     if lo is not None:
         cond = cond | (F.col(col) < F.lit(lo))
     if hi is not None:
         cond = cond | (F.col(col) > F.lit(hi))
-    return _rows(df, table, [("in_range", col, F.coalesce(cond, F.lit(False)))])
+    return "in_range", col, F.coalesce(cond, F.lit(False))
+
+
+def table_checks(df: DataFrame, table: str, *specs) -> DataFrame:
+    """All row-level checks of one table in one scan and one aggregation."""
+    return _rows(df, table, list(specs))
+
+
+def not_null(df: DataFrame, cols: Sequence[str], table: str = "table") -> DataFrame:
+    return _rows(df, table, [null_spec(c) for c in cols])
+
+
+def accepted_values(df: DataFrame, col: str, values: Iterable, table: str = "table") -> DataFrame:
+    return _rows(df, table, [accepted_spec(col, values)])
+
+
+def in_range(df: DataFrame, col: str, lo=None, hi=None, table: str = "table") -> DataFrame:
+    return _rows(df, table, [range_spec(col, lo, hi)])
 
 
 def unique(df: DataFrame, cols: Sequence[str], table: str = "table") -> DataFrame:
@@ -83,21 +98,26 @@ def report(*results: DataFrame) -> DataFrame:
 
 
 def gate(results: DataFrame, severity: str = "error",
-         severities: dict[tuple[str, str], str] | None = None) -> DataFrame:
+         severities: dict[tuple[str, ...], str] | None = None) -> DataFrame:
     """Raise when a failed check is at error severity; return the report.
 
     ``severity`` is the default level of every check; ``severities`` maps
-    ``(check, column)`` to ``"warn"`` or ``"error"`` for individual checks
-    (warn-level failures are reported, not blocking).  The report has one row
-    per check, so bringing failures to the driver is bounded by the number of
-    checks, not by the data.
+    ``(check, column)``, or ``(table, check, column)`` for one table, to
+    ``"warn"`` or ``"error"`` (warn-level failures are reported, not
+    blocking).  Levels are applied in the DataFrame, before anything is
+    brought to the driver; the message names the first 100 failures and says
+    how many there are.
     """
-    levels = severities or {}
-    failed = results.where(F.col("failures") > 0).limit(1000).collect()
-    blocking = [r for r in failed
-                if levels.get((r["check"], r["column"]), severity) == "error"]
-    if blocking:
-        detail = ", ".join(f"{r['table']}.{r['column']} {r['check']}={r['failures']}"
-                           for r in blocking[:100])
-        raise QualityGateError(f"quality gate failed: {detail}")
+    level = F.lit(severity)
+    for key, value in sorted((severities or {}).items(), key=lambda kv: len(kv[0])):
+        *table, check, column = key
+        cond = (F.col("check") == check) & (F.col("column") == column)
+        if table:
+            cond = cond & (F.col("table") == table[0])
+        level = F.when(cond, value).otherwise(level)
+    blocking = results.where((F.col("failures") > 0) & (level == "error"))
+    shown = blocking.limit(100).collect()
+    if shown:
+        detail = ", ".join(f"{r['table']}.{r['column']} {r['check']}={r['failures']}" for r in shown)
+        raise QualityGateError(f"quality gate failed, {blocking.count()} checks: {detail}")
     return results

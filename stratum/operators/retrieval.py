@@ -1,86 +1,71 @@
 """Nearest stored examples for a batch of query vectors (exact cosine top-k).
 
-Plan: the query block (size-checked) travels to every task with the
-function; each task scores its slice of the stored examples with one
-matrix product (numpy inside ``mapInPandas``, Arrow batches) and emits only
-its local top-k per query; a final ``row_number`` over the small candidate
-set (k x tasks rows per query) picks the global top-k.  No pair table is
-ever materialised.  Query sets beyond the block size are processed in
-blocks, each a separate pass over the examples.
+Queries and examples are dealt into blocks by a hash of their ids, and every
+query block meets every example block in one task (a grid, so neither side
+has to be small, and nothing passes through the driver).  A task scores its
+pair of blocks with matrix products, a few queries at a time, and emits only
+its local top-k per query; a final ``row_number`` over those candidates picks
+the global top-k.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATE_SCHEMA = "query_id long, example_id long, score double"
+SCORES_AT_ONCE = 1 << 20
+
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.vstack(vectors.to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm == 0, np.nan, norm)
 
-def _local_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
-    qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_ids, best_scores = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            emat = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
-            en = np.linalg.norm(emat, axis=1)
-            scores = (qn @ emat.T) / np.where(en == 0, np.nan, en)[None, :]
-            cand_ids = np.broadcast_to(ids, scores.shape)
-            if best_ids is not None:
-                scores = np.hstack([best_scores, scores])
-                cand_ids = np.hstack([best_ids, cand_ids])
-            # order: score desc, then id asc (NaN last)
-            s = np.where(np.isnan(scores), -np.inf, scores)
-            order = np.lexsort((cand_ids, -s), axis=1)[:, :k]
-            best_scores = np.take_along_axis(scores, order, axis=1)
-            best_ids = np.take_along_axis(cand_ids, order, axis=1)
-        if best_ids is None:
-            return
-        kk = best_ids.shape[1]
-        yield pd.DataFrame({
-            "query_id": np.repeat(qids, kk),
-            "example_id": best_ids.reshape(-1),
-            "score": best_scores.reshape(-1),
-        })
+def _local_topk(k: int):
+    def run(queries: pd.DataFrame, examples: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(examples):
+            ids, stored = examples["id"].to_numpy(np.int64), _unit(examples["v"])
+            at_once = max(1, SCORES_AT_ONCE // len(ids))
+            for a in range(0, len(queries), at_once):
+                part = queries.iloc[a:a + at_once]
+                scores = _unit(part["v"]) @ stored.T
+                sortable = np.where(np.isnan(scores), -np.inf, scores)
+                kth = -np.partition(-sortable, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                for qid, s, r, least in zip(part["id"], scores, sortable, kth):
+                    found = np.flatnonzero(r >= least)
+                    found = found[np.lexsort((ids[found], -r[found]))[:k]]
+                    out.append(pd.DataFrame({"query_id": qid, "example_id": ids[found], "score": s[found]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "example_id": [], "score": []})
     return run
 
 
 def nearest_examples(queries: DataFrame, examples: DataFrame, k: int = 5,
                      id_col: str = "vec_id", vec_col: str = "embedding",
-                     block_rows: int = 4096) -> DataFrame:
+                     block_rows: int = 2048, example_rows: int = 16384) -> DataFrame:
     """Top-``k`` examples by cosine similarity for every query.
 
-    Returns ``query_id, example_id, rank, score`` (ties broken by example id).
+    Returns ``query_id, example_id, rank, score`` (ties broken by example id;
+    a vector of length zero scores NULL-like NaN, last).  Rows without an id or
+    vector take no part.
     """
-    ex = examples.select(F.col(id_col).cast("long").alias(id_col),
-                         F.col(vec_col).cast("array<double>").alias(vec_col))
-    q = queries.select(F.col(id_col).cast("long").alias("qid"),
-                       F.col(vec_col).cast("array<double>").alias("qv"))
-    # Blocks of at most ``block_rows`` queries: each block is brought to the
-    # driver (bounded) and shipped with the task closure.
-    blocks = q.withColumn("__blk", F.floor(F.col("qid") / F.lit(block_rows)))
-    n_blocks = blocks.select("__blk").distinct().limit(10_000).count()
-    parts = []
-    for row in blocks.select("__blk").distinct().orderBy("__blk").limit(n_blocks).collect():
-        blk = blocks.where(F.col("__blk") == row["__blk"]).limit(block_rows + 1).collect()
-        if len(blk) > block_rows:
-            raise ValueError("query block exceeds its size bound")
-        qids = np.array([r["qid"] for r in blk], dtype=np.int64)
-        qmat = np.array([r["qv"] for r in blk], dtype=np.float64)
-        parts.append(ex.mapInPandas(_local_topk(qids, qmat, k, id_col, vec_col),
-                                    CANDIDATE_SCHEMA))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(),
+    def dealt(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+        df = df.select(F.col(id_col).cast("long").alias("id"),
+                       F.col(vec_col).cast("array<double>").alias("v")).dropna()
+        n = max(1, -(-df.count() // rows))
+        return df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
+
+    q, n_q = dealt(queries, block_rows, "qb")
+    e, n_e = dealt(examples, example_rows, "eb")
+    q = q.withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(n_e - 1))))
+    e = e.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    cand = (q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb"))
+            .applyInPandas(_local_topk(k), CANDIDATE_SCHEMA))
+    w = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.col("score").desc_nulls_last(),
                                                F.col("example_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
                 .where(F.col("rank") <= k))

@@ -12,10 +12,9 @@ per-bucket tables:
 * ``lag_across_buckets``  - previous row's values, carrying the last row of
   the previous non-empty bucket into a bucket's first row;
 * ``running_sum_across_buckets`` - prefix sums with per-bucket offsets;
-* ``range_aggregates`` - sums and counts over a trailing time range
-  ``[t - w, t]`` as differences of prefix sums at ``t`` and just before
-  ``t - w`` (an as-of lookup done with the same bucketed running sums), plus
-  the first row of the range by a forward as-of lookup.
+* ``range_window_with_halo`` - aggregates over a trailing time range, in one
+  shuffle: slices are at least as wide as the range, and the rows near a
+  slice's end are copied into the next one.
 
 The per-bucket tables hold one row per (series, bucket): their size grows
 with the time span and the number of bursts, not with the number of samples.
@@ -24,12 +23,13 @@ with the time span and the number of bursts, not with the number of samples.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
+from ..session import scratch_path
+
 BUCKET = "__bucket"
 SUB_BITS = 20                      # a coarse bucket splits into at most 2^20 slices
 DEFAULT_TARGET_ROWS = 1 << 20      # rows per bucket before it is split
@@ -42,55 +42,37 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
-def with_bucket(df: DataFrame, t_us: str, bucket_us: int) -> DataFrame:
-    """Fixed-width time buckets (no burst splitting)."""
-    return df.withColumn(BUCKET, F.floor(F.col(t_us) / F.lit(bucket_us)).cast("long")
-                         * F.lit(1 << SUB_BITS))
-
-
 def drop_bucket(df: DataFrame) -> DataFrame:
     return df.drop(BUCKET, "__bstart", "__bwidth", "__bnext")
 
 
-@dataclass
-class BucketPlan:
-    """Hot coarse buckets and how finely they are cut."""
-    hot: DataFrame            # (series..., __cb, __k); broadcast when small
-    coarse_us: int
-    max_k: int | None         # None: too many hot buckets to list
-
-    def min_width_us(self) -> int:
-        if self.max_k is None:
-            return 1
-        return max(1, self.coarse_us >> self.max_k)
+def staged(df: DataFrame) -> DataFrame:
+    """The samples, computed once and kept in the shared folder: the ordered
+    steps read them several times."""
+    path = scratch_path(df.sparkSession, "samples")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucket_plan(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
-                target_rows: int = DEFAULT_TARGET_ROWS,
-                max_hot_buckets: int = 100_000) -> BucketPlan:
+                target_rows: int = DEFAULT_TARGET_ROWS) -> DataFrame:
     """Hot coarse buckets: those above ``target_rows`` rows, to be cut into
-    ``2^k`` time slices.
+    ``2^k`` time slices: (series..., __cb, __k).
 
     One counting pass (partial aggregation over the series and time columns).
-    There are at most rows / target_rows hot buckets; when at most
-    ``max_hot_buckets`` they are brought back once and broadcast as a small
-    literal table, otherwise they stay a DataFrame and join by shuffle.
+    There are at most rows / target_rows hot buckets; the plan stays a
+    DataFrame, which Spark broadcasts or shuffles by its measured size.
     """
     by = list(by)
     cb = F.floor(F.col(t_us) / F.lit(coarse_us)).cast("long")
     counts = df.groupBy(*by, cb.alias("__cb")).agg(F.count(F.lit(1)).alias("__n"))
     k = F.least(F.lit(SUB_BITS),
                 F.ceil(F.log2(F.col("__n") / F.lit(float(target_rows))))).cast("int")
-    hot = counts.where(F.col("__n") > target_rows).select(*by, "__cb", k.alias("__k"))
-    rows = hot.limit(max_hot_buckets + 1).collect()
-    if len(rows) > max_hot_buckets:
-        return BucketPlan(hot, coarse_us, None)
-    lit_hot = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
-    return BucketPlan(lit_hot, coarse_us, max([r["__k"] for r in rows], default=0))
+    return counts.where(F.col("__n") > target_rows).select(*by, "__cb", k.alias("__k"))
 
 
 def assign_buckets(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
-                   target_rows: int = DEFAULT_TARGET_ROWS, plan: BucketPlan | None = None,
+                   target_rows: int = DEFAULT_TARGET_ROWS, plan: DataFrame | None = None,
                    min_width_us: int = 1) -> DataFrame:
     """Add :data:`BUCKET` = ``coarse * 2^20 + slice`` (ordered like time) and
     the slice bounds ``__bstart``/``__bwidth``.
@@ -104,7 +86,7 @@ def assign_buckets(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
     if plan is None:
         plan = bucket_plan(df, by, t_us, coarse_us, target_rows)
     cb = F.floor(F.col(t_us) / F.lit(coarse_us)).cast("long")
-    d = df.withColumn("__cb", cb).join(plan.hot, [*by, "__cb"], "left")
+    d = df.withColumn("__cb", cb).join(plan, [*by, "__cb"], "left")
     width = F.expr(f"greatest({max(1, int(min_width_us))}, "
                    f"shiftright(CAST({int(coarse_us)} AS BIGINT), coalesce(__k, 0)))")
     d = d.withColumn("__bwidth", width)
@@ -122,19 +104,23 @@ def assign_buckets(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
 
 def range_window_with_halo(df: DataFrame, by: Sequence[str], t_us: str, range_us: int,
                            aggregates: dict) -> DataFrame:
-    """Trailing-range aggregates ``{out: fn(window)}`` over ``[t - range, t]``
+    """Trailing-range aggregates ``{out: fn(window, before)}`` over ``[t - range, t]``
     in one shuffle.  ``df`` carries buckets from :func:`assign_buckets` with
     slices at least ``range_us`` wide: a row within ``range_us`` of its
     slice's end is also copied, as a non-output halo row, into the next slice
-    - the only one that can need it."""
+    - the only one that can need it.  ``window`` is the range itself;
+    ``before`` gives ``(up to t, before the range)``, two growing frames whose
+    difference is the range in a time linear in the rows."""
     by = list(by)
     near_end = F.col(t_us) >= F.col("__bstart") + F.col("__bwidth") - F.lit(range_us)
     own = F.array(F.struct(F.col(BUCKET).alias("hb"), F.lit(False).alias("halo")))
     both = F.array(F.struct(F.col(BUCKET).alias("hb"), F.lit(False).alias("halo")),
                    F.struct(F.col("__bnext").alias("hb"), F.lit(True).alias("halo")))
     u = df.withColumn("__h", F.explode(F.when(near_end, both).otherwise(own)))
-    w = Window.partitionBy(*by, "__h.hb").orderBy(F.col(t_us)).rangeBetween(-range_us, 0)
-    return (u.withColumns({o: fn(w) for o, fn in aggregates.items()})
+    w = Window.partitionBy(*by, "__h.hb").orderBy(F.col(t_us))
+    frames = (w.rangeBetween(Window.unboundedPreceding, 0),
+              w.rangeBetween(Window.unboundedPreceding, -range_us - 1))
+    return (u.withColumns({o: fn(w.rangeBetween(-range_us, 0), frames) for o, fn in aggregates.items()})
              .where(~F.col("__h.halo")).drop("__h"))
 
 
@@ -189,76 +175,3 @@ def running_sum_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence
                                col: str, out: str, bucket: str = BUCKET) -> DataFrame:
     """Add ``out`` = running sum of ``col`` over the series in ``order``."""
     return running_sums_across_buckets(df, by, order, {out: col}, bucket)
-
-
-def running_min_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                               col: str, out: str, bucket: str = BUCKET) -> DataFrame:
-    """Add ``out`` = minimum of ``col`` (NULLs ignored) over the rows of the
-    series up to the current one in ``order``."""
-    by, order = list(by), list(order)
-    keys = by + [bucket]
-    w = (Window.partitionBy(*keys).orderBy(*order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = df.withColumn("__lmin", F.min(col).over(w))
-    tot = df.groupBy(*keys).agg(F.min(col).alias("__bmin"))
-    wb = (Window.partitionBy(*by).orderBy(bucket)
-          .rowsBetween(Window.unboundedPreceding, -1))
-    off = tot.select(*keys, F.min("__bmin").over(wb).alias("__omin"))
-    return (local.join(off, keys, "left")
-                 .withColumn(out, F.least(F.col("__lmin"), F.col("__omin")))
-                 .drop("__lmin", "__omin"))
-
-
-def range_aggregates(df: DataFrame, by: Sequence[str], t_us: str, range_us: int, col: str,
-                     coarse_us: int, tiebreak: Sequence[str] = (),
-                     first_cols: Sequence[str] = (),
-                     target_rows: int = DEFAULT_TARGET_ROWS,
-                     plan: BucketPlan | None = None) -> DataFrame:
-    """For every row, over the rows of its series with ``t - range_us <= t' <= t``
-    (peers at equal ``t`` included), add ``__rsum`` (sum of ``col``) and
-    ``__rcount``; with ``first_cols`` also ``__rfirst_t`` and ``__rfirst_<c>``
-    (the earliest row of the range by ``(t, tiebreak)``).
-
-    Works on distinct times: per (series, t) totals, a bucketed running sum
-    over those totals plus one probe per time at ``t - range_us`` (ordered
-    before data at the same instant, so the probe sees the strict prefix).
-    The range value is prefix(t) - prefix(probe).  A burst of samples only
-    makes more, finer buckets.
-    """
-    by, tiebreak, first_cols = list(by), list(tiebreak), list(first_cols)
-    aggs = [F.sum(col).alias("__s"), F.count(F.lit(1)).alias("__c")]
-    if first_cols:
-        order_s = F.struct(*[F.col(c) for c in tiebreak]) if tiebreak else F.lit(0)
-        aggs.append(F.min_by(F.struct(*[F.col(c).alias(c) for c in first_cols]),
-                             order_s).alias("__f"))
-    per_t = df.groupBy(*by, t_us).agg(*aggs)
-    zero_s = F.lit(0).cast(per_t.schema["__s"].dataType)
-    data = per_t.select(*by, F.col(t_us).alias("__time"), F.lit(1).alias("__kind"),
-                        F.col(t_us).alias("__for"), "__s", "__c")
-    probe = per_t.select(*by, (F.col(t_us) - F.lit(range_us)).alias("__time"),
-                         F.lit(0).alias("__kind"), F.col(t_us).alias("__for"),
-                         zero_s.alias("__s"), F.lit(0).cast("long").alias("__c"))
-    u = assign_buckets(data.unionByName(probe), by, "__time", coarse_us, target_rows, plan)
-    u = running_sums_across_buckets(u, by, ["__time", "__kind"], {"__P": "__s", "__N": "__c"})
-    if first_cols:
-        # first data time at or after each probe: scanning from the end of the
-        # series, the running minimum of data times
-        u = u.withColumns({"__rt": -F.col("__time"), "__rk": -F.col("__kind"),
-                           "__rb": -F.col(BUCKET),
-                           "__dt": F.when(F.col("__kind") == 1, F.col("__time"))})
-        u = running_min_across_buckets(u, by, ["__rt", "__rk"], "__dt", "__next__dt",
-                                       bucket="__rb")
-    is_data, is_probe = F.col("__kind") == 1, F.col("__kind") == 0
-    pair = [(F.max(F.when(is_data, F.col("__P"))) - F.max(F.when(is_probe, F.col("__P"))))
-            .alias("__rsum"),
-            (F.max(F.when(is_data, F.col("__N"))) - F.max(F.when(is_probe, F.col("__N"))))
-            .alias("__rcount")]
-    if first_cols:
-        pair.append(F.max(F.when(is_probe, F.col("__next__dt"))).alias("__rfirst_t"))
-    # each time has exactly one data row and one probe row: pair them up
-    ranges = u.groupBy(*by, F.col("__for").alias(t_us)).agg(*pair)
-    if first_cols:
-        firsts = per_t.select(*by, F.col(t_us).alias("__rfirst_t"), "__f")
-        ranges = ranges.join(firsts, [*by, "__rfirst_t"], "left").withColumns(
-            {f"__rfirst_{c}": F.col(f"__f.{c}") for c in first_cols}).drop("__f")
-    return df.join(ranges, [*by, t_us], "left")

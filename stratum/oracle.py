@@ -463,9 +463,9 @@ WHERE u.role = 'user' AND a.role = 'assistant'"""
 
 ORACLE["nearest_examples"] = """
 WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings
-           WHERE vec_id < 20),
+           WHERE vec_id % 50 = 0),
 e AS (SELECT vec_id AS example_id, CAST(embedding AS DOUBLE[]) AS ev, label FROM embeddings
-      WHERE vec_id >= 20),
+      WHERE vec_id % 50 <> 0),
 s AS (SELECT query_id, example_id, label, list_cosine_similarity(qv, ev) AS score FROM q, e),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_id) AS rank
       FROM s)
@@ -507,7 +507,7 @@ FROM stg_users GROUP BY 1, 2""")
 ORACLE["sales_history_cube"] = HISTORY + """
 SELECT x AS historicoMes, count(*) AS count, CAST(sum(y) AS DOUBLE) AS totalVentas,
        CAST(sum(y) AS DOUBLE) / count(y) AS promedioVentas
-FROM hist WHERE x <= 12 GROUP BY x"""
+FROM hist GROUP BY x"""
 
 FORECAST_ROWS = HISTORY + ", f AS (SELECT segment, " + FIT + \
     " FROM seg GROUP BY segment)" + FIT_OUT + """
@@ -534,7 +534,8 @@ SELECT category, count(*) AS count,
 FROM fct_sales GROUP BY category""")
 
 ORACLE["capped_result"] = with_fixtures("""
-SELECT order_id, category, CAST(amount_usd AS DOUBLE) AS amount_usd
+SELECT order_id, category, CAST(amount_usd AS DOUBLE) AS amount_usd,
+       (SELECT count(*) FROM fct_sales) > 5000 AS truncated
 FROM fct_sales ORDER BY order_id LIMIT 5000""")
 
 ORACLE["refresh_rollups"] = with_fixtures("""
@@ -588,6 +589,7 @@ ORACLE["cdc_publication_ops"] = with_changes("SELECT * FROM changes WHERE op IN
 
 ORACLE["replication_lag_series"] = with_fixtures("""
 , u AS (SELECT 'orders' AS "table", _synced_at FROM bronze_orders
+        UNION ALL SELECT 'products', _synced_at FROM bronze_products
         UNION ALL SELECT 'users', _synced_at FROM bronze_users),
 g AS (SELECT "table", time_bucket(INTERVAL 1 DAY, _synced_at) AS window_start,
              max(_synced_at) AS last_synced_at, count(*) AS "rows"
@@ -675,3 +677,84 @@ ORACLE["alert_stream_stale"] = STALE + """
 , st AS (SELECT *, min(ts) OVER (PARTITION BY series_id, island) AS start_ts FROM c WHERE on_)
 SELECT series_id, start_ts, min(ts) AS fired_ts FROM st
 WHERE epoch_us(ts) - epoch_us(start_ts) >= 60000000 GROUP BY series_id, start_ts"""
+
+# ------------------------------------------------------------------ round 2
+ORACLE["cdc_key_only_delete"] = ORACLE["cdc_soft_delete_latest"]
+
+ORACLE["cdc_bad_field_quarantine"] = with_changes("""
+SELECT 'shop.public.orders' AS topic, CAST(id AS VARCHAR) AS key,
+       CASE id % 4 WHEN 0 THEN '{"after":{"id":"abc"},"op":"u","ts_ms":1}'
+                   WHEN 1 THEN '{"after":null,"op":"u","ts_ms":1}'
+                   WHEN 2 THEN '{"op":"d","ts_ms":1}'
+                   ELSE '{"after":{"id":1},"op":"x","ts_ms":1}' END AS value
+FROM changes WHERE _offset = 1 AND id % 97 = 0
+UNION ALL SELECT 'shop.public.orders', '-1', '{oops'""")
+
+ORACLE["cdc_products_latest"] = """
+SELECT p_partkey AS id, p_name AS name, ' ' || p_type AS category,
+       CAST(CAST(p_retailprice AS DECIMAL(10,2)) + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS price,
+       make_timestamp((946684800000 + CASE WHEN p_partkey % 3 = 0 THEN 86400000 ELSE 0 END + p_partkey) * 1000)
+         AS updated_at,
+       CASE WHEN p_partkey % 3 = 0 THEN 'u' ELSE 'r' END AS op
+FROM part WHERE p_partkey % 7 <> 0"""
+
+ORACLE["cdc_users_latest"] = with_fixtures("""
+SELECT id, name, email, CASE WHEN id % 3 = 0 THEN 'MOVED' ELSE country END AS country, created_at,
+       make_timestamp((946684800000 + CASE WHEN id % 3 = 0 THEN 86400000 ELSE 0 END + id) * 1000) AS updated_at,
+       CASE WHEN id % 3 = 0 THEN 'u' ELSE 'r' END AS op
+FROM bronze_users WHERE id % 7 <> 0""")
+
+ORACLE["sales_by_business_day"] = with_fixtures("""
+, s AS (SELECT *, CAST(timezone('America/Mexico_City', updated_at AT TIME ZONE 'UTC') AS DATE) AS business_date
+        FROM latest_orders WHERE _is_deleted = 0 AND amount > 0 AND status <> 'weird')
+SELECT business_date AS orderDate_day, count(*) AS count,
+       CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS totalAmount
+FROM s GROUP BY 1""")
+
+ORACLE["replace_write_partitioned"] = ORACLE["retention"]
+
+ORACLE["rls_drill"] = with_fixtures("""
+SELECT order_id AS id FROM fct_sales
+WHERE order_status = 'completed' AND country IN (SELECT country FROM rls_policy WHERE principal = 'ASIA')""")
+
+ORACLE["rls_sql_view"] = with_fixtures("""
+SELECT country, count(*) AS n, CAST(sum(amount_usd) AS DOUBLE) AS total FROM fct_sales
+WHERE country IN (SELECT country FROM rls_policy WHERE principal = 'AFRICA') GROUP BY country""")
+
+ORACLE["rollup_other_cube_ignored"] = with_fixtures("""
+SELECT country, count(*) AS count FROM fct_sales GROUP BY country""")
+
+ORACLE["rollup_empty_count"] = """
+SELECT CAST(0 AS BIGINT) AS count, CAST(NULL AS DOUBLE) AS totalAmount"""
+
+ORACLE["count_if_measure"] = with_fixtures("""
+SELECT country, CAST(date_trunc('quarter', order_date) AS DATE) AS orderDate_quarter, count(*) AS count,
+       count(*) FILTER (WHERE is_completed = 1) AS completed, count(*) FILTER (WHERE amount_usd > 50000) AS large
+FROM fct_sales GROUP BY 1, 2""")
+
+ORACLE["forecast_double"] = HISTORY + """
+SELECT count(*) AS n, round(regr_slope(CAST(y AS DOUBLE) / 1e15, CAST(x AS DOUBLE)) * 1e12, 4) AS slope_e12,
+       round(regr_intercept(CAST(y AS DOUBLE) / 1e15, CAST(x AS DOUBLE)) * 1e9, 4) AS intercept_e9,
+       CAST(max(x) AS BIGINT) AS max_x
+FROM hist"""
+
+ORACLE["forecast_rollup"] = FORECAST_ROWS + """
+SELECT modelo_version AS modeloVersion, count(*) AS count, sum(prediccion_ventas) AS totalPrediccion
+FROM fr GROUP BY 1"""
+
+ORACLE["lag_series_gap"] = with_fixtures("""
+, u AS (SELECT 'orders' AS "table", _synced_at FROM bronze_orders
+        UNION ALL SELECT 'products', _synced_at FROM bronze_products
+        UNION ALL SELECT 'users', _synced_at FROM bronze_users),
+g AS (SELECT "table", time_bucket(INTERVAL 1 DAY, _synced_at) AS w, max(_synced_at) AS last_sync, count(*) AS n
+      FROM u GROUP BY 1, 2),
+grid AS (SELECT "table", unnest(generate_series(min(w), (SELECT max(w) FROM g), INTERVAL 1 DAY)) AS w
+         FROM g GROUP BY "table"),
+f AS (SELECT grid."table", grid.w, coalesce(g.n, 0) AS n,
+             max(g.last_sync) OVER (PARTITION BY grid."table" ORDER BY grid.w) AS last_sync
+      FROM grid LEFT JOIN g ON grid."table" = g."table" AND grid.w = g.w)
+SELECT "table", w AS window_start, w + INTERVAL 1 DAY AS window_end, last_sync AS last_synced_at, n AS "rows",
+       CAST(epoch_us(w + INTERVAL 1 DAY) - epoch_us(last_sync) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS lag_seconds
+FROM f""")
+
+ORACLE["lag_series_gap_stream"] = ORACLE["lag_series_gap"]

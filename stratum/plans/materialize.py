@@ -39,7 +39,8 @@ def materialize_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()
         out = out.repartition(*[F.col(c) for c in partition_by], salt)
     if partition_by or order_by:
         out = out.sortWithinPartitions(*partition_by, *order_by)
-    w = out.write.mode(mode)
+    # static: a replaced table loses the partitions that the new rows do not have
+    w = out.write.mode(mode).option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -50,7 +51,7 @@ def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Replace (``overwrite``) or ``append`` a table."""
     if mode not in ("overwrite", "append"):
         raise ValueError(mode)
-    df.write.mode(mode).parquet(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "static").parquet(path)
 
 
 def create_as(spark: SparkSession, name: str, df: DataFrame, kind: str = "view",
@@ -74,7 +75,8 @@ def save_table(df: DataFrame, name: str, path: str, partition_by: Sequence[str]
     out = df.hint("rebalance", *partition_by) if partition_by else df
     if partition_by or order_by:
         out = out.sortWithinPartitions(*partition_by, *order_by)
-    w = out.write.mode(mode).option("path", path).format("parquet")
+    w = (out.write.mode(mode).option("path", path).option("partitionOverwriteMode", "static")
+            .format("parquet"))
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)

@@ -1,23 +1,34 @@
-"""Pipelines: bronze -> silver (views) -> quality gate -> gold (written once).
+"""Pipelines: bronze -> silver -> quality gate -> gold (written once).
 
 ``run_medallion`` follows the documented order Raw -> Transform -> Audit ->
-Publish: silver models stay lazy views, the gate checks them, and only then
-is the gold fact table written (partitioned by month, clustered by the
-dashboard's filter columns).  ``run_incremental`` first drains the available
-change records into the bronze log with an ``availableNow`` stream.
+Publish: silver models are checked by the gate, and only then is the gold
+fact table written (partitioned by month, clustered by the dashboard's filter
+columns).  ``run_incremental`` drains the available change records into the
+bronze log with an ``availableNow`` stream and applies them: only the keys
+that changed are resolved again, and only the months they leave or enter are
+written.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scalar import yyyymm
 from ..operators import quality as Q
-from ..session import scratch_path
+from ..session import child_names, scratch_path
 from . import marts, staging
 from .materialize import materialize_table, materialize_view
+from .versioned import VersionedTable
+
+# normalised statuses outside the known list are marked 'unknown' and kept out
+# of gold by the model itself: worth a report, not a stop
+GATE_LEVELS = {("stg_orders", "accepted_values", "order_status"): "warn"}
+FIRST_DAY = _dt.date(1970, 1, 1)
+MONTH = "order_ym"
 
 
 @dataclass
@@ -25,63 +36,126 @@ class MedallionResult:
     gold: DataFrame
     report: DataFrame
     gold_path: str
+    months: list[int] | None = None    # the months written; None: all
 
 
 def silver_models(orders_bronze: DataFrame, products_bronze: DataFrame,
                   users_bronze: DataFrame, order_tiebreak=(), order_keys=("id",),
-                  persist_orders_at: str | None = None):
-    """Silver models.  With ``persist_orders_at`` the orders model (the one
+                  persist_orders_at: str | None = None, tz: str | None = None):
+    """Silver models; calendar columns in the business zone ``tz``.  With
+    ``persist_orders_at`` the orders model (the one
     with the bronze-wide shuffle) is written once to the shared folder, so
     the quality checks and the gold build read it instead of re-resolving
     every key's latest version; it also cuts lineage for executor loss."""
-    o = staging.stg_orders(orders_bronze, keys=order_keys, tiebreak=order_tiebreak)
+    o = staging.stg_orders(orders_bronze, keys=order_keys, tiebreak=order_tiebreak, tz=tz)
     if persist_orders_at:
         o = materialize_table(o, persist_orders_at)
     p = staging.stg_products(products_bronze)
-    u = staging.stg_users(users_bronze)
+    u = staging.stg_users(users_bronze, tz=tz)
     materialize_view(o, "stg_orders")
     materialize_view(p, "stg_products")
     materialize_view(u, "stg_users")
     return o, p, u
 
 
-def silver_checks(o: DataFrame, p: DataFrame, u: DataFrame) -> DataFrame:
-    """The declared tests (keys not null and unique, required columns not null)."""
+def silver_checks(o: DataFrame, p: DataFrame, u: DataFrame, last_day: _dt.date | None = None) -> DataFrame:
+    """The declared tests (keys not null and unique, required columns not null),
+    accepted statuses, the logical date range and referential consistency."""
     return Q.report(
-        Q.not_null(o, ["order_id", "amount_usd"], "stg_orders"),
+        Q.table_checks(o, "stg_orders", Q.null_spec("order_id"), Q.null_spec("amount_usd"),
+                       Q.accepted_spec("order_status", staging.ORDER_STATUSES),
+                       Q.range_spec("order_date", FIRST_DAY, last_day)),
         Q.unique(o, ["order_id"], "stg_orders"),
-        Q.not_null(p, ["product_id", "price_usd"], "stg_products"),
+        Q.references(o, p, "product_id", table="stg_orders"),
+        Q.references(o, u, "user_id", table="stg_orders"),
+        Q.table_checks(p, "stg_products", Q.null_spec("product_id"), Q.null_spec("price_usd")),
         Q.unique(p, ["product_id"], "stg_products"),
-        Q.not_null(u, ["user_id", "email"], "stg_users"),
+        Q.table_checks(u, "stg_users", Q.null_spec("user_id"), Q.null_spec("email")),
         Q.unique(u, ["user_id"], "stg_users"),
     )
 
 
+def checked(spark: SparkSession, o: DataFrame, p: DataFrame, u: DataFrame, gate: bool,
+            levels: dict | None, last_day: _dt.date | None) -> DataFrame:
+    """The report, computed once and kept; raises where the gate stops it."""
+    report = materialize_table(silver_checks(o, p, u, last_day), scratch_path(spark, "quality-report"))
+    return Q.gate(report, severities=GATE_LEVELS | (levels or {})) if gate else report
+
+
 def run_medallion(spark: SparkSession, orders_bronze: DataFrame, products_bronze: DataFrame,
                   users_bronze: DataFrame, gold_path: str | None = None,
-                  order_tiebreak=(), gate: bool = True) -> MedallionResult:
+                  order_tiebreak=(), gate: bool = True, tz: str | None = None,
+                  gate_levels: dict | None = None, last_day: _dt.date | None = None) -> MedallionResult:
     o, p, u = silver_models(orders_bronze, products_bronze, users_bronze, order_tiebreak,
-                            persist_orders_at=scratch_path(spark, "silver-stg_orders"))
-    report = silver_checks(o, p, u)
-    if gate:
-        Q.gate(report)
-    fct = marts.build_fct_sales(o, p, u).withColumn("order_ym", yyyymm("order_date"))
+                            persist_orders_at=scratch_path(spark, "silver-stg_orders"), tz=tz)
+    report = checked(spark, o, p, u, gate, gate_levels, last_day)
+    fct = marts.build_fct_sales(o, p, u).withColumn(MONTH, yyyymm("order_date"))
     path = gold_path or scratch_path(spark, "gold-fct_sales")
-    gold = materialize_table(fct, path, partition_by=["order_ym"],
-                             order_by=list(marts.FCT_SALES_ORDER))
+    gold = VersionedTable(spark, path, MONTH).replace(fct, list(marts.FCT_SALES_ORDER))
     materialize_view(gold, "fct_sales")
     return MedallionResult(gold, report, path)
 
 
+def _applied(spark: SparkSession, gold_path: str) -> int:
+    """The last bronze batch that gold holds, -1 for none."""
+    names = child_names(spark, f"{gold_path.rstrip('/')}/applied")
+    return max([int(n[2:]) for n in names if n.startswith("b=")], default=-1)
+
+
 def run_incremental(spark: SparkSession, changes_stream: DataFrame, bronze_path: str,
                     unwrap_fn, products_bronze: DataFrame, users_bronze: DataFrame,
                     checkpoint: str | None = None, gold_path: str | None = None,
-                    order_tiebreak=("_offset",)) -> MedallionResult:
-    """Drain available changes into bronze (exactly-once file sink), then
-    rebuild silver/gold from the bronze log."""
-    from ..streaming.latest_stream import await_done, write_bronze
-    q = write_bronze(unwrap_fn(changes_stream), bronze_path, checkpoint, available_now=True)
-    await_done(q)
+                    order_tiebreak=("_offset",), gate: bool = True, tz: str | None = None,
+                    gate_levels: dict | None = None, changed_products: DataFrame | None = None,
+                    changed_users: DataFrame | None = None) -> MedallionResult:
+    """Drain the available changes into bronze (a folder per micro-batch,
+    overwritten on replay) and apply them to gold.
+
+    The first run builds gold from the whole log.  Later ones take the keys of
+    the batches that gold has not seen, resolve those from the log, and rewrite
+    the months in which they were or now are.  ``changed_products`` and
+    ``changed_users`` (a column ``id``) add the orders that name them.  Pass the
+    same ``checkpoint``, ``bronze_path`` and ``gold_path`` to every run.
+    """
+    from ..streaming.latest_stream import await_done, write_versions
+    path = gold_path or scratch_path(spark, "gold-fct_sales")
+    await_done(write_versions(unwrap_fn(changes_stream), bronze_path, checkpoint, output_mode="append"))
     bronze = spark.read.parquet(bronze_path)
-    return run_medallion(spark, bronze, products_bronze, users_bronze, gold_path,
-                         order_tiebreak=order_tiebreak)
+    last = bronze.agg(F.max("_batch_id")).first()[0]
+    table, seen = VersionedTable(spark, path, MONTH), _applied(spark, path)
+    if table.version() is None or seen < 0:
+        result = run_medallion(spark, bronze.drop("_batch_id"), products_bronze, users_bronze, path,
+                               order_tiebreak, gate, tz, gate_levels)
+    else:
+        result = _apply(spark, table, bronze, seen, products_bronze, users_bronze, order_tiebreak,
+                        gate, tz, gate_levels, changed_products, changed_users)
+    if last is not None:
+        spark.range(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/applied/b={last}")
+    return result
+
+
+def _apply(spark, table: VersionedTable, bronze: DataFrame, seen: int, products_bronze, users_bronze,
+           order_tiebreak, gate, tz, gate_levels, changed_products, changed_users) -> MedallionResult:
+    keys = bronze.where(F.col("_batch_id") > seen).select("id")
+    for column, changed in (("product_id", changed_products), ("user_id", changed_users)):
+        if changed is not None:
+            ids = changed.select(F.col("id").alias(column)).distinct()
+            keys = keys.unionByName(bronze.join(ids, column, "left_semi").select("id"))
+    keys = materialize_table(keys.distinct(), scratch_path(spark, "changed-keys"))
+    log = bronze.drop("_batch_id").join(keys, "id", "left_semi")
+    o, p, u = silver_models(log, products_bronze, users_bronze, order_tiebreak,
+                            persist_orders_at=scratch_path(spark, "silver-changed"), tz=tz)
+    report = checked(spark, o, p, u, gate, gate_levels, None)
+    old = table.read()
+    order_keys = keys.withColumnRenamed("id", "order_id")
+    new = materialize_table(marts.build_fct_sales(o, p, u).withColumn(MONTH, yyyymm("order_date")),
+                            scratch_path(spark, "gold-changed"))
+    # one row per month: those that a changed order leaves or enters
+    months = [r[0] for r in (old.join(order_keys, "order_id", "left_semi").select(MONTH)
+                             .unionByName(new.select(MONTH)).distinct().collect())]
+    if not months:
+        return MedallionResult(old, report, table.path, [])
+    stay = old.where(F.col(MONTH).isin(months)).join(order_keys, "order_id", "left_anti")
+    gold = table.replace_partitions(stay.unionByName(new), months, list(marts.FCT_SALES_ORDER))
+    materialize_view(gold, "fct_sales")
+    return MedallionResult(gold, report, table.path, sorted(months))

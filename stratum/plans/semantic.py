@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import truncate_to
+from ..session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -159,9 +160,11 @@ _OPS = {
     "set": lambda c, v: c.isNotNull(),
     "notSet": lambda c, v: c.isNull(),
     "contains": lambda c, v: F.lower(c).contains(str(v[0]).lower()),
-    "inDateRange": lambda c, v: (c >= F.lit(v[0]).cast("date")) & (c <= F.lit(v[1]).cast("date")),
+    # whole days: the last one counts to its end on a TIMESTAMP dimension too
+    "inDateRange": lambda c, v: (c >= F.lit(v[0]).cast("date"))
+    & (c < F.date_add(F.lit(v[1]).cast("date"), 1)),
     "beforeDate": lambda c, v: c < F.lit(v[0]).cast("date"),
-    "afterDate": lambda c, v: c > F.lit(v[0]).cast("date"),
+    "afterDate": lambda c, v: c >= F.date_add(F.lit(v[0]).cast("date"), 1),
 }
 
 
@@ -221,11 +224,6 @@ def _finalise(cube: Cube, name: str) -> Column:
     raise ValueError(m.type)
 
 
-def _reaggregate(name: str, part: str, cube: Cube) -> Column:
-    """How a stored component combines across rollup rows."""
-    return F.sum(F.col(part)).alias(part)
-
-
 def apply_rls(df: DataFrame, policy: DataFrame, principal: str, column: str,
               policy_column: str | None = None, principal_column: str = "principal") -> DataFrame:
     """Keep only rows whose ``column`` value the principal may see.
@@ -233,11 +231,36 @@ def apply_rls(df: DataFrame, policy: DataFrame, principal: str, column: str,
     The policy is (principal, value) rows; the filter is a ``left_semi``
     join against the principal's slice, so it never duplicates fact rows.
     """
+    value = policy_column or column
+    missing = {value, principal_column} - set(policy.columns)
+    if missing:
+        raise KeyError(f"policy has no column {sorted(missing)}")
     allowed = (policy.where(F.col(principal_column) == principal)
-                     .select(F.col(policy_column or column).alias(column)))
+                     .select(F.col(value).alias(column)))
     return df.join(allowed, column, "left_semi")
 
 
+def secured(df: DataFrame, cube: Cube, rls: tuple | None) -> DataFrame:
+    """``df`` as ``rls`` allows it: the one place that applies a policy.
+
+    ``rls`` is ``(policy, principal, dimension)``, where the policy names its
+    value column by the dimension or by the dimension's column, or
+    ``(policy, principal, dimension, policy column)``.
+    """
+    if rls is None:
+        return df
+    policy, principal, dim, *named = rls
+    column = cube.dimensions[dim].sql
+    if named:
+        value = named[0]
+    else:
+        found = [c for c in dict.fromkeys((column, dim)) if c in policy.columns]
+        if len(found) != 1:
+            raise KeyError(f"name the policy column of {dim!r}: the policy has {policy.columns}")
+        value = found[0]
+    return apply_rls(df, policy, principal, column, policy_column=value)
+
+
 def _sum_type_fix(cube: Cube, df: DataFrame, measures: Sequence[str]) -> DataFrame:
     """Widen decimal sums to a fixed (38, s) so direct and rollup answers agree."""
     out = []
@@ -255,11 +278,11 @@ def query(df: DataFrame, cube: Cube, measures: Sequence[str] = (),
           dimensions: Sequence[str] = (), time_dimension: tuple[str, str] | None = None,
           filters: Sequence[tuple[str, str, object]] = (),
           order: Sequence[tuple[str, str]] = (), limit: int | None = None,
-          rls: tuple[DataFrame, str, str] | None = None,
+          rls: tuple | None = None,
           rollups: Sequence = ()) -> DataFrame:
     """Compile one semantic query over ``df`` (the cube's source rows).
 
-    ``rls`` is ``(policy_df, principal, dimension_name)``.
+    ``rls`` is a policy as of :func:`secured`.
     ``rollups`` are :class:`stratum.plans.rollup.RollupTable` candidates; the
     first one that can answer is used instead of ``df``.
     """
@@ -284,16 +307,7 @@ def query(df: DataFrame, cube: Cube, measures: Sequence[str] = (),
         out = hit.answer(cube, measures, dimensions, time_dimension, dim_filters,
                          [f[0] for f in msr_filters])
     else:
-        base = df
-        if rls is not None:
-            policy, principal, dim = rls
-            col = cube.dimensions[dim].sql
-            # the policy names the allowed values by the dimension's column or
-            # the dimension's name; otherwise its value column comes last
-            value_col = next((c for c in (col, dim) if c in policy.columns),
-                             policy.columns[-1])
-            base = apply_rls(base, policy, principal, col, principal_column="principal",
-                             policy_column=value_col)
+        base = secured(df, cube, rls)
         for member, op, values in dim_filters:
             base = base.where(filter_condition(_dim_expr(cube, member), op, values))
             part_col = cube.partition_hints.get(member)
@@ -308,7 +322,7 @@ def query(df: DataFrame, cube: Cube, measures: Sequence[str] = (),
         needed = list(dict.fromkeys(measures + [f[0] for f in msr_filters]))
         parts = [p.alias(n) for m in needed for n, p in _agg_parts(cube, m)]
         agg = base.groupBy(*groups).agg(*parts) if groups else base.agg(*parts)
-        keys = [c for c in agg.columns if "__" not in c]
+        keys = dimensions + ([time_column(*time_dimension)] if time_dimension else [])
         out = agg.select(*keys, *[_finalise(cube, m) for m in needed])
     for member, op, values in msr_filters:
         out = out.where(filter_condition(F.col(member), op, values))
@@ -322,11 +336,12 @@ def query(df: DataFrame, cube: Cube, measures: Sequence[str] = (),
     return out
 
 
-def drill(df: DataFrame, cube: Cube, measure: str, filters=(), limit: int | None = None) -> DataFrame:
-    """Rows behind a measure value: the measure's drill members, filtered."""
+def drill(df: DataFrame, cube: Cube, measure: str, filters=(), limit: int | None = None,
+          rls: tuple | None = None) -> DataFrame:
+    """Rows behind a measure value: the measure's drill members, filtered, as ``rls`` allows."""
     m = cube.measures[measure]
     members = list(m.drill_members) or [cube.primary_key()]
-    base = df
+    base = secured(df, cube, rls)
     for member, op, values in filters:
         base = base.where(filter_condition(_dim_expr(cube, member), op, values))
     pk = cube.primary_key()
@@ -348,16 +363,18 @@ def format_measures(df: DataFrame, cube: Cube) -> DataFrame:
     return df.select(*cols)
 
 
-def register_cube(df: DataFrame, cube: Cube) -> DataFrame:
-    """Expose a cube as a SQL view: dimensions and measure inputs by name."""
+def register_cube(df: DataFrame, cube: Cube, rls: tuple | None = None,
+                  name: str | None = None) -> DataFrame:
+    """Expose a cube as a SQL view: dimensions and measure inputs by name, with
+    the rows that ``rls`` allows (``name`` keeps principals' views apart)."""
     cols = [_dim_expr(cube, d).alias(d) for d in cube.dimensions]
     seen = set(cube.dimensions)
     for n, m in cube.measures.items():
         if m.sql and n not in seen:
             cols.append(F.expr(m.sql).alias(n))
             seen.add(n)
-    view = df.select(*cols)
-    view.createOrReplaceTempView(cube.name)
+    view = secured(df, cube, rls).select(*cols)
+    view.createOrReplaceTempView(name or cube.name)
     return view
 
 
@@ -366,10 +383,15 @@ def sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
     return spark.sql(text, args=args or {})
 
 
-def capped(df: DataFrame, max_rows: int = 5000) -> DataFrame:
-    """Result row cap (the BI default is 5,000 rows)."""
-    return df.limit(max_rows)
+def capped(df: DataFrame, max_rows: int = 5000) -> tuple[DataFrame, bool]:
+    """Result row cap (the BI default is 5,000 rows), and whether it cut rows.
 
-
-def is_truncated(df: DataFrame, max_rows: int = 5000) -> bool:
-    return df.limit(max_rows + 1).count() > max_rows
+    The query runs once: at most ``max_rows + 1`` rows are kept in the shared
+    folder, and the row beyond the cap only sets the flag.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "capped")
+    # a limit leaves one partition, so the ids number its rows in order
+    df.limit(max_rows + 1).withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("__row") < max_rows).drop("__row"), rows.count() > max_rows

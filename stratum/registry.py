@@ -155,6 +155,22 @@ def q_rls_orders(spark, d):
                            rls=(policy, "EUROPE", "country")))
 
 
+@register("rls_drill")
+def q_rls_drill(spark, d):
+    """The rows behind a protected number, as the principal may see them."""
+    return semantic.drill(fct_sales(spark, d), ORDERS, "count", filters=[("status", "equals", ["completed"])],
+                          rls=(fx.rls_policy(spark, d), "ASIA", "country", "country"))
+
+
+@register("rls_sql_view")
+def q_rls_sql_view(spark, d):
+    """SQL on the principal's own view of the cube."""
+    semantic.register_cube(fct_sales(spark, d), ORDERS, rls=(fx.rls_policy(spark, d), "AFRICA", "country"),
+                           name="Orders_africa")
+    return semantic.sql(spark, "SELECT country, count(*) AS n, CAST(sum(totalAmount) AS DOUBLE) AS total "
+                               "FROM Orders_africa GROUP BY country")
+
+
 @register("param_sql")
 def q_param_sql(spark, d):
     semantic.register_cube(fct_sales(spark, d), ORDERS)
@@ -184,6 +200,37 @@ def q_rollup_answer_month(spark, d):
                            ["category"], ("orderDate", "month"), rollups=[table]))
 
 
+@register("rollup_other_cube_ignored")
+def q_rollup_other_cube_ignored(spark, d):
+    """A rollup of another cube with members of the same names never answers."""
+    fct, users = fct_sales(spark, d), silver(spark, d)[2]
+    other = build_rollup(users, semantic.USERS, Rollup("by_country", ("count",), ("country",)))
+    return query(fct, ORDERS, ["count"], ["country"], rollups=[other])
+
+
+@register("rollup_empty_count")
+def q_rollup_empty_count(spark, d):
+    """No row matches and nothing is grouped: a count of 0, as from the facts."""
+    fct = fct_sales(spark, d)
+    table = build_rollup(fct, ORDERS, DAY_CATEGORY)
+    return as_double(query(fct, ORDERS, ["count", "totalAmount"], filters=[("category", "equals", ["no such"])],
+                           rollups=[table]))
+
+
+# a cube with a conditional count, for E5
+STATUS_COUNTS = semantic.Cube(
+    name="OrderStatus", source="fct_sales",
+    measures={"count": semantic.Measure("count"),
+              "completed": semantic.Measure("count_if", "is_completed = 1"),
+              "large": semantic.Measure("count_if", "amount_usd > 50000")},
+    dimensions={"country": semantic.Dimension("country"), "orderDate": semantic.Dimension("order_date", "time")})
+
+
+@register("count_if_measure")
+def q_count_if_measure(spark, d):
+    return query(fct_sales(spark, d), STATUS_COUNTS, ["count", "completed", "large"], ["country"], ("orderDate", "quarter"))
+
+
 # ------------------------------------------------------------------ step 4
 from .operators import quality as Q  # noqa: E402
 
@@ -229,16 +276,17 @@ def q_check_range(spark, d):
 
 @register("quality_report")
 def q_quality_report(spark, d):
+    """Silver orders are staged once; the row-level checks of a table share one scan."""
     o, p, u = silver(spark, d)
+    o = MZ.materialize_table(o, scratch_path(spark, "checked-orders"))
     parents = staging.stg_products(fx.bronze_products_with_gaps(spark, d))
     return Q.report(
-        Q.not_null(o, ["order_id", "amount_usd"], "stg_orders"),
+        Q.table_checks(o, "stg_orders", Q.null_spec("order_id"), Q.null_spec("amount_usd"),
+                       Q.accepted_spec("order_status", staging.ORDER_STATUSES),
+                       Q.range_spec("order_date", datetime.date(1995, 1, 1), datetime.date(2000, 12, 31))),
         Q.unique(o, ["order_id"], "stg_orders"),
-        Q.accepted_values(o, "order_status", staging.ORDER_STATUSES, "stg_orders"),
-        Q.in_range(o, "order_date", datetime.date(1995, 1, 1), datetime.date(2000, 12, 31),
-                   "stg_orders"),
         Q.references(o, parents, "product_id", table="stg_orders"),
-        Q.not_null(u, ["email"], "stg_users"))
+        Q.table_checks(u, "stg_users", Q.null_spec("email")))
 
 
 # ------------------------------------------------------------------ step 5
@@ -253,7 +301,8 @@ CDC_COLS = ["id", "user_id", "product_id", "supp_key", "status", "amount", "quan
 
 def unwrapped_orders(changes: DataFrame) -> DataFrame:
     routed = cdc.route(changes, ["orders"])
-    return fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema())).select(*CDC_COLS)
+    rows = fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema()))
+    return cdc.with_version(rows).select(*CDC_COLS)
 
 
 @register("cdc_unwrap")
@@ -276,7 +325,7 @@ def q_cdc_soft_delete_latest(spark, d):
 @register("cdc_drop_deletes")
 def q_cdc_drop_deletes(spark, d):
     routed = cdc.route(fx.change_log(spark, d), ["orders"])
-    rows = fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema(), delete_mode="drop"))
+    rows = cdc.with_version(fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema(), delete_mode="drop")))
     return rows.select(*CDC_COLS)
 
 
@@ -286,21 +335,67 @@ def q_decode_envelope_values(spark, d):
         "id", "_offset", "amount", "order_date", "updated_at", "ts_ms")
 
 
-def _stream_change_files(spark, d, n_files: int = 4) -> str:
-    """Change records spread round-robin over files: versions of one key land
-    in different micro-batches in arbitrary order (the streaming latest state
-    must not depend on arrival order)."""
+@register("cdc_key_only_delete")
+def q_cdc_key_only_delete(spark, d):
+    """Deletes that name the key alone win by the source's change time."""
+    rows = unwrapped_orders(fx.change_log_key_only_deletes(spark, d))
+    return latest_by_key(rows, ["id"], "updated_at", ["_offset"]).where("_is_deleted = 0")
+
+
+@register("cdc_bad_field_quarantine")
+def q_cdc_bad_field_quarantine(spark, d):
+    log = fx.change_log_with_broken_fields(spark, d)
+    return cdc.quarantine(cdc.route(log, ["orders"]), fx.order_row_schema()).select("topic", "key", "value")
+
+
+@register("cdc_products_latest")
+def q_cdc_products_latest(spark, d):
+    """A table without updated_at: the source's change time is the version."""
+    from .functions.envelope import decode_decimal
+    log = cdc.route(fx.products_change_log(spark, d), ["products"])
+    rows = cdc.with_version(cdc.unwrap(log, fx.row_schema(fx.ROW_SCHEMAS["products"])))
+    latest = latest_by_key(rows, ["id"], "updated_at", ["_offset"]).where("_is_deleted = 0")
+    return latest.select("id", "name", "category", decode_decimal("price", 2, 10).cast("double").alias("price"),
+                         "updated_at", "op")
+
+
+def _users_rows(changes: DataFrame) -> DataFrame:
+    from .functions.envelope import decode_micros
+    rows = cdc.with_version(cdc.unwrap(cdc.route(changes, ["users"]), fx.row_schema(fx.ROW_SCHEMAS["users"])))
+    return rows.withColumn("created_at", decode_micros("created_at"))
+
+
+@register("cdc_users_latest")
+def q_cdc_users_latest(spark, d):
+    rows = latest_by_key(_users_rows(fx.users_change_log(spark, d)), ["id"], "updated_at", ["_offset"])
+    return rows.where("_is_deleted = 0").select("id", "name", "email", "country", "created_at", "updated_at", "op")
+
+
+CHANGE_FILES = 4
+
+
+def _stream_change_files(spark, d) -> str:
+    """Change records spread by a hash of the record over files of a bounded
+    size: versions of one key land in different micro-batches in arbitrary
+    order (the streaming latest state must not depend on arrival order)."""
     path = scratch_path(spark, "changes")
-    fx.change_log(spark, d).repartition(n_files).write.mode("overwrite").json(path)
+    (fx.change_log(spark, d).hint("rebalance").write.mode("overwrite")
+       .option("maxRecordsPerFile", 1_000_000).json(path))
     return path
 
 
+def _files_per_batch(spark, path: str, batches: int = CHANGE_FILES) -> str:
+    """``maxFilesPerTrigger`` that reads the folder in about ``batches`` micro-batches."""
+    from .session import child_names
+    return str(max(1, -(-sum(c.startswith("part-") for c in child_names(spark, path)) // batches)))
+
+
 @register("stream_latest")
 def q_stream_latest(spark, d):
     """Change files -> streaming unwrap -> keyed latest state -> batch dirs."""
     LS.use_rocksdb_state(spark)
     src = _stream_change_files(spark, d)
-    stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": "1"}, path=src,
+    stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": _files_per_batch(spark, src)}, path=src,
                               streaming=True)
     rows = unwrapped_orders(stream)
     out = scratch_path(spark, "stream-latest")
@@ -398,6 +493,12 @@ def _landing_in_time_order(df: DataFrame, ts: str, slices: int) -> str:
     order, the way a live feed arrives (the file source reads oldest first)."""
     lo, hi = df.agg(F.min(ts), F.max(ts)).first()
     path = scratch_path(df.sparkSession, "landing")
+    df.where(F.col(ts).isNull()).coalesce(1).write.mode("append").parquet(path)  # no time: first
+    if lo is None:
+        return path
+    # a slice is one file (files of one slice would be read in any order), so
+    # the number of slices grows with the rows
+    slices = max(slices, df.count() // 1_000_000)
     step = (hi - lo) / slices
     for i in range(slices):
         a = lo + step * i
@@ -405,7 +506,7 @@ def _landing_in_time_order(df: DataFrame, ts: str, slices: int) -> str:
         if i < slices - 1:
             b = lo + step * (i + 1)
             part = part.where(F.col(ts) < F.lit(b.isoformat(sep=" ")).cast(df.schema[ts].dataType))
-        part.write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -535,6 +636,13 @@ def _table_name(prefix: str) -> str:
     return f"{prefix}_{_uuid.uuid4().hex[:10]}"
 
 
+def _kept(spark, name: str, answer: DataFrame) -> DataFrame:
+    """``answer`` in the shared folder; the catalog table it came from goes."""
+    kept = MZ.materialize_table(answer, scratch_path(spark, f"{name}-answer"))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return kept
+
+
 @register("materialize_partitioned")
 def q_materialize_partitioned(spark, d):
     fct = fct_sales(spark, d).withColumn("order_ym", yyyymm("order_date"))
@@ -550,7 +658,7 @@ def q_retention(spark, d):
     MZ.save_table(fct, name, scratch_path(spark, name), partition_by=["order_ym"],
                   order_by=list(marts.FCT_SALES_ORDER))
     MZ.retain(spark, name, "order_ym", 199901)
-    return (spark.table(name).groupBy("order_ym")
+    return _kept(spark, name, spark.table(name).groupBy("order_ym")
                  .agg(F.count(F.lit(1)).alias("rows"),
                       F.sum("amount_usd").cast("double").alias("amount")))
 
@@ -572,7 +680,7 @@ def q_seed_if_empty(spark, d):
     second = MZ.seed_if_empty(hist, name, path)      # no-op: table has rows
     if not first or second:
         raise AssertionError("seed_if_empty wrote twice or not at all")
-    return as_double(spark.table(name))
+    return _kept(spark, name, as_double(spark.table(name)))
 
 
 @register("run_medallion")
@@ -586,15 +694,39 @@ def q_run_medallion(spark, d):
 
 @register("run_incremental")
 def q_run_incremental(spark, d):
-    src = _stream_change_files(spark, d)
-    stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": "2"}, path=src,
-                              streaming=True)
-    res = MD.run_incremental(spark, stream, scratch_path(spark, "bronze-inc"),
-                             unwrapped_orders, fx.bronze_products(spark, d),
-                             fx.bronze_users(spark, d))
+    """Two runs, with the later half of the changes landing in between: the
+    second applies only them and writes only the months they touch."""
+    changes = fx.change_log(spark, d)
+    lo, hi = changes.agg(F.min("timestamp"), F.max("timestamp")).first()
+    mid = F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp")
+    early = F.coalesce(F.col("timestamp") < mid, F.lit(True))
+    landing, bronze, ckpt, gold = (scratch_path(spark, n) for n in ("landing-inc", "bronze-inc", "ckpt-inc", "gold-inc"))
+    for part in (changes.where(early), changes.where(~early)):
+        part.write.mode("append").json(landing)
+        stream = cdc.read_changes(spark, "json", path=landing, streaming=True)
+        res = MD.run_incremental(spark, stream, bronze, unwrapped_orders, fx.bronze_products(spark, d),
+                                 fx.bronze_users(spark, d), ckpt, gold)
     return as_double(query(res.gold, ORDERS, ["count", "totalAmount"], ["status"]))
 
 
+@register("sales_by_business_day")
+def q_sales_by_business_day(spark, d):
+    """The same pipeline on order instants, with the calendar of Mexico City."""
+    instants = fx.bronze_orders(spark, d).withColumn("order_date", F.col("updated_at").cast("timestamp"))
+    res = MD.run_medallion(spark, instants, fx.bronze_products(spark, d), fx.bronze_users(spark, d),
+                           order_tiebreak=fx.ORDER_TIEBREAK, tz="America/Mexico_City")
+    return as_double(query(res.gold, ORDERS, ["count", "totalAmount"], [], ("orderDate", "day")))
+
+
+@register("replace_write_partitioned")
+def q_replace_write_partitioned(spark, d):
+    """A month-partitioned table replaced by rows of fewer months."""
+    fct, path = fct_sales(spark, d).withColumn("order_ym", yyyymm("order_date")), scratch_path(spark, "replaced")
+    MZ.materialize_table(fct, path, partition_by=["order_ym"])
+    t = MZ.materialize_table(fct.where(F.col("order_ym") >= 199901), path, partition_by=["order_ym"])
+    return t.groupBy("order_ym").agg(F.count(F.lit(1)).alias("rows"), F.sum("amount_usd").cast("double").alias("amount"))
+
+
 # ------------------------------------------------- streaming alert (J5)
 @register("alert_stream")
 def q_alert_stream(spark, d):
@@ -624,7 +756,7 @@ def q_users_by_country_month(spark, d):
 def q_sales_history_cube(spark, d):
     hist = fx.monthly_history(spark, d)
     return as_double(query(hist, SALES_HISTORY, ["count", "totalVentas", "promedioVentas"],
-                           ["historicoMes"], filters=[("historicoMes", "lte", [12])]))
+                           ["historicoMes"]))
 
 
 def _forecast_rows(spark, d):
@@ -656,7 +788,8 @@ def q_format_currency(spark, d):
 def q_capped_result(spark, d):
     """A 5,000-row result cap over a detail query (ordered, so the cap is stable)."""
     fct = fct_sales(spark, d).select("order_id", "category", "amount_usd")
-    return as_double(semantic.capped(fct.orderBy("order_id"), 5000))
+    page, cut = semantic.capped(fct.orderBy("order_id"), 5000)
+    return as_double(page.withColumn("truncated", F.lit(cut)))
 
 
 @register("refresh_rollups")
@@ -673,25 +806,30 @@ def q_refresh_rollups(spark, d):
 
 @register("run_forecast")
 def q_run_forecast(spark, d):
-    """Seed (if empty) -> verify source -> fit -> overwrite prediction table."""
-    name = _table_name("ventas_historicas")
-    MZ.seed_if_empty(fx.monthly_history(spark, d), name, scratch_path(spark, name))
-    hist = spark.table(name)
-    if not MZ.verify_source(hist, 5):
-        raise RuntimeError("history table is empty")
-    fc = FC.forecast_next(hist, "historico_mes", "ventas_reales")
-    out = scratch_path(spark, "ml_prediccion_ventas")
-    MZ.write(FC.prediction_table(fc, run_date=datetime.date(2024, 1, 31)), out, "overwrite")
-    return spark.read.parquet(out)
-
-
-@register("catalog_summary")
-def q_catalog_summary(spark, d):
-    """Register the run's models as views, then summarise the catalog."""
-    o, p, u = silver(spark, d)
-    for n, df in (("stg_orders", o), ("stg_products", p), ("stg_users", u)):
-        MZ.create_as(spark, n, df, "view")
-    return T.catalog_summary(spark, [None]).where(F.col("table_type") == "TEMPORARY")
+    """Seed (if empty) -> verify source -> fit -> overwrite prediction table -> refresh rollup."""
+    name, out = _table_name("ventas_historicas"), scratch_path(spark, "ml_prediccion_ventas")
+    result = FC.run_forecast(spark, fx.monthly_history(spark, d), name, scratch_path(spark, name), out,
+                             run_date=datetime.date(2024, 1, 31))
+    return _kept(spark, name, result.predictions)
+
+
+@register("forecast_double")
+def q_forecast_double(spark, d):
+    """The trend of a DOUBLE series with very small values."""
+    hist = fx.monthly_history(spark, d).select(
+        "historico_mes", (F.col("ventas_reales").cast("double") / F.lit(1e15)).alias("y"))
+    fit = FC.fit_line(hist, "historico_mes", "y")
+    return fit.select("n", F.round(F.col("slope") * 1e12, 4).alias("slope_e12"),
+                      F.round(F.col("intercept") * 1e9, 4).alias("intercept_e9"), "max_x")
+
+
+@register("forecast_rollup")
+def q_forecast_rollup(spark, d):
+    """A question on the predictions, answered by the rollup that the flow refreshes."""
+    from .plans.rollup import FORECAST_ROLLUP
+    rows = _forecast_rows(spark, d)
+    table = build_rollup(rows, SALES_FORECAST, FORECAST_ROLLUP)
+    return query(rows, SALES_FORECAST, ["count", "totalPrediccion"], ["modeloVersion"], rollups=[table])
 
 
 @register("named_source_scan")
@@ -739,12 +877,14 @@ def q_business_day_events(spark, d):
 def q_cdc_publication_ops(spark, d):
     """A publication that replicates inserts and updates only."""
     routed = cdc.route(fx.change_log(spark, d), ["orders"])
-    rows = fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema(), ops=("c", "u")))
+    rows = cdc.with_version(fx.typed_orders(cdc.unwrap(routed, fx.order_row_schema(), ops=("c", "u"))))
     return rows.select(*CDC_COLS)
 
 
 def _synced_rows(spark, d) -> DataFrame:
     return (fx.bronze_orders(spark, d).select(F.lit("orders").alias("table"), "_synced_at")
+              .unionByName(fx.bronze_products(spark, d)
+                             .select(F.lit("products").alias("table"), "_synced_at"))
               .unionByName(fx.bronze_users(spark, d)
                              .select(F.lit("users").alias("table"), "_synced_at")))
 
@@ -754,6 +894,17 @@ def q_replication_lag_series(spark, d):
     return M.lag_series(_synced_rows(spark, d), ["table"], window="1 day")
 
 
+@register("lag_series_gap")
+def q_lag_series_gap(spark, d):
+    """The series with its silent days: a stalled table's lag grows."""
+    return M.complete_lag_series(M.lag_series(_synced_rows(spark, d), ["table"], window="1 day"), ["table"], 86400)
+
+
+@register("lag_series_gap_stream")
+def q_lag_series_gap_stream(spark, d):
+    return M.complete_lag_series(q_replication_lag_stream(spark, d), ["table"], 86400)
+
+
 @register("replication_lag_stream")
 def q_replication_lag_stream(spark, d):
     """The same series over the arriving rows: watermark bounds window state,

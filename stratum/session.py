@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Defaults tuned for the cluster: AQE re-plans joins/partition counts from
 # runtime statistics, splits skewed shuffle partitions, and coalesces the tiny
@@ -29,7 +29,7 @@ CLUSTER_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.compression.codec": "zstd",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.sources.partitionOverwriteMode": "static",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -70,6 +70,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = sc.getConf().get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="stratum-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
@@ -82,12 +84,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/stratum/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Persist ``df`` as parquet in the shared folder and read it back.
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
-    Used where a plan would otherwise be recomputed from the source after an
-    executor loss (long iterative lineage).  Reliable, unlike localCheckpoint.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none where it does not exist."""
+    fs, p = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own below the shared one."""
+    if f"{shared_dir(spark).rstrip('/')}/" not in path:
+        raise ValueError(f"{path} is not below the shared folder")
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

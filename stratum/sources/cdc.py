@@ -64,32 +64,42 @@ def route(changes: DataFrame, tables: Sequence[str]) -> DataFrame:
     return changes.withColumn("table", table_of()).where(F.col("table").isin(list(tables)))
 
 
-def _parsed(changes: DataFrame, row: StructType) -> DataFrame:
-    return changes.withColumn("env", F.from_json("value", envelope_schema(row)))
+def parse(changes: DataFrame, row: StructType, key: Sequence[str] = ("id",)) -> DataFrame:
+    """Adds ``env`` (the envelope), ``image`` (the row it carries: ``before`` of
+    a delete, else ``after``) and ``bad``: a value that is no envelope, has an
+    unknown ``op``, lacks the row image of its op, or whose image has no key."""
+    deleted = F.col("env.op") == "d"
+    p = changes.withColumn("env", F.from_json("value", envelope_schema(row)))
+    p = p.withColumn("image", F.when(deleted, F.col("env.before")).otherwise(F.col("env.after")))
+    missing = F.lit(False)
+    for k in key:
+        missing = missing | F.col(f"image.{k}").isNull()
+    good = F.col("env.op").isin(list(ALL_OPS)) & F.col("image").isNotNull() & ~missing
+    return p.withColumn("bad", F.col("value").isNotNull() & ~F.coalesce(good, F.lit(False)))
 
 
 def unwrap(changes: DataFrame, row: StructType, ops: Sequence[str] = ALL_OPS,
-           drop_tombstones: bool = True, delete_mode: str = "soft") -> DataFrame:
+           drop_tombstones: bool = True, delete_mode: str = "soft",
+           key: Sequence[str] = ("id",)) -> DataFrame:
     """Flatten envelopes into table rows.
 
-    * ``after`` for c/u/r, ``before`` for d;
+    * ``after`` for c/u/r, ``before`` for d (which may hold the key alone);
     * tombstones (NULL value) are dropped (``drop_tombstones``);
-    * malformed values (no ``op``) are left out - see :func:`quarantine`;
+    * broken records are left out - see :func:`quarantine`;
     * ``delete_mode="soft"`` keeps deletes flagged ``_is_deleted = 1``,
       ``"drop"`` discards them (the sink's behaviour).
     Adds ``op, ts_ms, _offset, _is_deleted, _synced_at``.
     """
-    p = _parsed(changes, row)
+    p = parse(changes, row, key)
     if drop_tombstones:
         p = p.where(F.col("value").isNotNull())
-    p = p.where(F.col("env.op").isNotNull() & F.col("env.op").isin(list(ops)))
+    p = p.where(~F.col("bad") & F.col("env.op").isin(list(ops)))
     if delete_mode == "drop":
         p = p.where(F.col("env.op") != "d")
     elif delete_mode != "soft":
         raise ValueError("delete_mode must be 'soft' or 'drop'")
     return p.select(
-        F.coalesce(F.when(F.col("env.op") == "d", F.col("env.before")),
-                   F.col("env.after")).alias("r"),
+        F.col("image").alias("r"),
         F.col("env.op").alias("op"),
         F.col("env.ts_ms").alias("ts_ms"),
         F.col("offset").alias("_offset"),
@@ -98,7 +108,17 @@ def unwrap(changes: DataFrame, row: StructType, ops: Sequence[str] = ALL_OPS,
     ).select("r.*", "op", "ts_ms", "_offset", "_is_deleted", "_synced_at")
 
 
-def quarantine(changes: DataFrame, row: StructType) -> DataFrame:
-    """Records with a value that does not parse into an envelope."""
-    p = _parsed(changes, row)
-    return p.where(F.col("value").isNotNull() & F.col("env.op").isNull()).drop("env")
+def with_version(rows: DataFrame, version: str = "updated_at") -> DataFrame:
+    """The version of a change: the row's own stamp, or the time the source
+    made the change where the row has none (tables without such a column, and
+    deletes that carry the key alone)."""
+    made = F.timestamp_millis(F.col("ts_ms"))
+    if version not in rows.columns:
+        return rows.withColumn(version, made.cast("timestamp_ntz"))
+    kind = rows.schema[version].dataType.simpleString()
+    return rows.withColumn(version, F.coalesce(F.col(version), made.cast(kind)))
+
+
+def quarantine(changes: DataFrame, row: StructType, key: Sequence[str] = ("id",)) -> DataFrame:
+    """Records that :func:`unwrap` leaves out because they are broken."""
+    return parse(changes, row, key).where("bad").drop("env", "image", "bad")

@@ -21,7 +21,7 @@ def test_every_sql_key_is_a_query():
 
 
 def test_forecast_reference_series(spark):
-    # the warehouse's seed series: slope 27.2727.., intercept 74, next 374.0
+    # The warehouse's seed series: slope 27.2727.., intercept 74, next 374.0
     ys = [100, 150, 120, 200, 210, 250, 240, 300, 320, 350]
     df = spark.createDataFrame([(i + 1, float(y)) for i, y in enumerate(ys)], "x int, y double")
     r = FC.forecast_next(df, "x", "y").first()
