@@ -6,7 +6,8 @@ folder of a shared store, so the file order is the id order.  A record:
 
     u64  payload length                  (all integers little-endian)
     u32  masked checksum of those 8 bytes
-    payload: u8 1 if the document has an id, i64 id (0 without one), u32 ids
+    payload: u8 1 if the document has an id, u8 bytes per token id (2 where the
+             vocabulary allows, else 4), i64 id (0 without one), token ids
     u32  masked checksum of the payload
 
 The checksum is CRC-32, masked by rotating it 15 bits right and adding
@@ -49,6 +50,7 @@ FILE_BYTES = 64 << 20
 PART_CHARS = 1 << 16
 MASK = 0xA282EAD8
 SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+HEAD = struct.Struct("<BBq")
 MANIFEST = "part int, roll int, path string, n_records long, n_tokens long, n_bytes long"
 
 
@@ -57,6 +59,10 @@ def masked_crc(data) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
+def serialised(doc_id: int | None, width: int, packed: bytes) -> bytes:
+    return HEAD.pack(doc_id is not None, width, doc_id or 0) + packed
+
+
 def frame(payload: bytes) -> bytes:
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
@@ -85,6 +91,7 @@ class WordBpe:
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
+        self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.known = Known(self._packed)
 
     def _packed(self, pieces: list[str]) -> list[bytes]:
@@ -95,23 +102,23 @@ class WordBpe:
                 (self.whole, [i for i, p in enumerate(plain) if not p], str)):
             done = tokenizer.encode_batch_fast([prepare(pieces[i]) for i in rows], add_special_tokens=False)
             for i, e in zip(rows, done):
-                out[i] = np.array(e.ids, "<u4").tobytes()
+                out[i] = np.array(e.ids, f"<u{self.width}").tobytes()
         return out
 
     def _direct(self, text: str) -> bytes:
         parts = safe_parts(text, PART_CHARS, SAFE)
         done = self.whole.encode_batch_fast(parts, add_special_tokens=False)
-        return b"".join(np.array(e.ids, "<u4").tobytes() for e in done)
+        return b"".join(np.array(e.ids, f"<u{self.width}").tobytes() for e in done)
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Packed ids of each text."""
+        """Ids of each text, packed in ``width`` bytes each."""
         odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         cut = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])( |\n|$)", r"\1 \2\3")
         if odd.any():
             cut = pc.if_else(pa.array(odd), "", cut)
         pieces = Pieces(pc.ascii_split_whitespace(cut))
-        flat, ends = gather(pieces, self.known(pieces.words))
-        data, ends = flat.tobytes(), (ends * 4).tolist()
+        flat, ends = gather(pieces, self.known(pieces.words), self.width)
+        data, ends = flat.tobytes(), (ends * self.width).tolist()
         out = [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
         for i in np.flatnonzero(odd):
             out[i] = self._direct(texts[i].as_py())
@@ -166,12 +173,13 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = EN
     ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"),
                            F.xxhash64(text_or_empty()).alias("tie"))
                .repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text"))
-    end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, roll, file, done = TaskContext.get().partitionId(), 0, None, []
         store, root = open_store(folder)
         store.create_dir(root, recursive=True)
+        width = encoder(tokenizer).width
+        end = end_id.to_bytes(width, "little")
 
         def finish() -> None:
             done.append((part, roll, f"{folder}/part-{part:06d}-{roll:05d}", *file.close()))
@@ -182,8 +190,8 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = EN
                 for doc_id, packed in zip(ids[a:b], encoder(tokenizer).encode(texts.slice(a, b - a))):
                     if file is None:
                         file = _RecordFile(store, root, f"part-{part:06d}-{roll:05d}")
-                    payload = struct.pack("<Bq", doc_id is not None, doc_id or 0) + packed + end
-                    file.add(payload, len(packed) // 4 + 1)
+                    payload = serialised(doc_id, width, packed + end)
+                    file.add(payload, len(packed) // width + 1)
                     if file.size >= file_bytes:
                         finish()
                         file, roll = None, roll + 1
@@ -214,8 +222,8 @@ def read_record(path: str, k: int) -> tuple[int | None, np.ndarray]:
 
 
 def parse(body: memoryview) -> tuple[int | None, np.ndarray]:
-    has_id, doc_id = struct.unpack_from("<Bq", body)
-    return doc_id if has_id else None, np.frombuffer(body[9:], "<u4")
+    has_id, width, doc_id = HEAD.unpack_from(body)
+    return doc_id if has_id else None, np.frombuffer(body[HEAD.size:], f"<u{width}").astype("<u4")
 
 
 def read_records(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -236,7 +244,7 @@ def read_records(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
                     if end != after:
                         raise ValueError(f"{path}: index and record disagree at byte {at}")
                     doc_id, ids = parse(body)
-                    rows.append((doc_id, start, len(ids), zlib.crc32(body[9:]))
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids))
                                 + ((ids.astype(np.int32),) if keep_ids else ()))
                     start += len(ids)
                 types = [pa.int64()] * 4 + [pa.list_(pa.int32())] * keep_ids

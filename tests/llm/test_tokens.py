@@ -36,7 +36,7 @@ def test_counts_equal_the_library():
 
 def test_ids_equal_the_library():
     t = texts()
-    assert [np.frombuffer(i, "<u4").tolist() for i in R.encoder(WORD).encode(pa.array(t))] == whole(WORD, t)
+    assert [np.frombuffer(i, "<u2").tolist() for i in R.encoder(WORD).encode(pa.array(t))] == whole(WORD, t)
 
 
 def test_sentencepiece_parity_and_decoding():
