@@ -523,6 +523,8 @@ SELECT modelo_version AS modeloVersion, count(*) AS count, sum(prediccion_ventas
        sum(prediccion_ventas) / count(prediccion_ventas) AS promedioPrediccion
 FROM fr GROUP BY 1"""
 
+ORACLE["forecast_cube_named_source"] = ORACLE["forecast_cube"]
+
 ORACLE["forecast_cube_drill"] = FORECAST_ROWS + """
 SELECT modelo_version AS modeloVersion, fecha_prediccion AS fechaPrediccion, mes_simulado AS id
 FROM fr"""

@@ -119,6 +119,7 @@ SALES_HISTORY = Cube(
 SALES_FORECAST = Cube(
     name="MlPrediccionVentas",
     source="ml_prediccion_ventas",
+    data_source="pg_legacy",
     measures={"count": Measure("count", drill_members=("modeloVersion", "fechaPrediccion")),
               "totalPrediccion": Measure("sum", "prediccion_ventas"),
               "promedioPrediccion": Measure("avg", "prediccion_ventas")},

@@ -735,7 +735,8 @@ def q_alert_stream(spark, d):
     g = fx.gauge_samples(spark, d).select("ts", "series_id", "event_id", "value")
     landing = _landing_in_time_order(g, "ts", 4)
     stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    alerts = alert_stream(stream, "series_id", "ts", "value", 30, 60, tiebreak="event_id")
+    alerts = alert_stream(stream, "series_id", "ts", "value", 30, 60, tiebreak="event_id",
+                          idle_timeout_s=None)
     out = scratch_path(spark, "alerts")
     LS.use_rocksdb_state(spark)
     LS.await_done(LS.write_versions(alerts, out, output_mode="append"))
@@ -953,6 +954,15 @@ def q_cube_named_source(spark, d):
                            ["count", "avgOrderValue"], ["status", "country"]))
 
 
+@register("forecast_cube_named_source")
+def q_forecast_cube_named_source(spark, d):
+    """The forecast cube read from its own, second data source."""
+    rows = _forecast_rows(spark, d)
+    T.register_source(SALES_FORECAST.data_source, lambda s, t: {SALES_FORECAST.source: rows}[t])
+    return query(semantic.load_cube(spark, SALES_FORECAST), SALES_FORECAST,
+                 ["count", "totalPrediccion", "promedioPrediccion"], ["modeloVersion"])
+
+
 @register("rate_limit_stream_append")
 def q_rate_limit_stream_append(spark, d):
     """Append mode: a window is emitted once, when the watermark (max event
@@ -1022,7 +1032,8 @@ def q_replication_lag_alert_stream(spark, d):
     s = _lag_samples(spark, d).select("table", "ts", "lag_seconds", "id")
     landing = _landing_in_time_order(s, "ts", 4)
     stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    alerts = alert_stream(stream, "table", "ts", "lag_seconds", 10, 60, tiebreak="id")
+    alerts = alert_stream(stream, "table", "ts", "lag_seconds", 10, 60, tiebreak="id",
+                          idle_timeout_s=None)
     out = scratch_path(spark, "lag-alerts")
     LS.use_rocksdb_state(spark)
     LS.await_done(LS.write_versions(alerts, out, output_mode="append"))

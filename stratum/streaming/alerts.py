@@ -9,8 +9,8 @@ streaming counterpart of :func:`stratum.operators.monitor.alert_intervals`:
 the same streaks qualify.
 
 Input must arrive in event-time order per series (a broker partition keyed
-by series does this); the micro-batch size bounds the rows one series hands
-to one task.
+by series does this): samples older than the series' last one are dropped.
+The micro-batch size bounds the rows one series hands to one task.
 """
 
 from __future__ import annotations
@@ -28,15 +28,33 @@ from ..operators.series import epoch_micros
 STATE_SCHEMA = "on boolean, since long, fired boolean, last_t long"
 
 
-def _alert_fn(threshold: float, hold_us: int, idle_ms: int | None = None):
+def _alert_fn(threshold: float, hold_us: int, idle_ms: int | None = None, silent: bool = False):
+    def wait(state: GroupState, on: bool, since: int, fired: bool, last: int) -> None:
+        """Come back when a streak is due to fire, or else when the series is idle."""
+        times = [last // 1000 + idle_ms] if idle_ms is not None else []
+        if silent and on and not fired:
+            times.append(-(-(since + hold_us) // 1000))
+        if times:
+            state.setTimeoutTimestamp(max(min(times), state.getCurrentWatermarkMs() + 1))
+
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            # the series sent nothing for idle_ms of event time: forget it
-            state.remove()
+            on, since, fired, last = state.get
+            if silent and on and not fired:
+                # still on as far as anyone knows, and held long enough
+                fired = True
+                yield pd.DataFrame({"series": [key[0]], "start_t": [since], "fired_t": [since + hold_us]})
+            if idle_ms is None or state.getCurrentWatermarkMs() * 1000 - last < idle_ms * 1000:
+                state.update((on, since, fired, last))
+                wait(state, on, since, fired, last)
+            else:
+                # the series sent nothing for idle_ms of event time: forget it
+                state.remove()
             return
         pdf = pd.concat(list(pdfs), ignore_index=True)
         if state.exists:
             s_on, s_since, s_fired, s_last = state.get
+            pdf = pdf[pdf["t"] >= s_last]
         else:
             s_on, s_since, s_fired, s_last = False, -1, False, None
         if pdf.empty:
@@ -69,12 +87,10 @@ def _alert_fn(threshold: float, hold_us: int, idle_ms: int | None = None):
         })
         last_sid = sid[-1]
         last_fired = bool(last_sid in set(fired_sids.tolist())) or (last_sid == 0 and s_fired)
-        state.update((bool(on[-1]), int(start_t[-1]) if on[-1] else -1,
-                      bool(on[-1]) and last_fired, int(t[-1])))
-        if idle_ms is not None:
-            # silent series are dropped once the watermark passes this point
-            state.setTimeoutTimestamp(max(int(t[-1] // 1000) + idle_ms,
-                                          state.getCurrentWatermarkMs() + 1))
+        kept = (bool(on[-1]), int(start_t[-1]) if on[-1] else -1,
+                bool(on[-1]) and last_fired, int(t[-1]))
+        state.update(kept)
+        wait(state, *kept)
         if len(out):
             yield out
     return fn
@@ -82,8 +98,8 @@ def _alert_fn(threshold: float, hold_us: int, idle_ms: int | None = None):
 
 def alert_stream(samples: DataFrame, series: str, ts: str, value: str, threshold: float,
                  hold_s: float, tiebreak: str | None = None,
-                 idle_timeout_s: float | None = None, watermark: str = "10 minutes"
-                 ) -> DataFrame:
+                 idle_timeout_s: float | None = 6 * 3600, watermark: str = "10 minutes",
+                 fire_when_silent: bool = False) -> DataFrame:
     """``series, start_ts, fired_ts`` once per streak of ``value > threshold``
     lasting ``hold_s`` (works on streaming and batch DataFrames).
 
@@ -91,12 +107,16 @@ def alert_stream(samples: DataFrame, series: str, ts: str, value: str, threshold
     samples of a series breaks its streak, and the state of a series that
     stays silent is dropped once the watermark (``ts`` delayed by
     ``watermark``) passes its last sample plus the idle time, so state does
-    not grow with every series ever seen.  Off by default, which keeps the
-    batch semantics (a streak spans any gap between consecutive samples).
+    not grow with every series ever seen.  None keeps the state of every
+    series and lets a streak span any gap, as the batch form does by default.
+
+    ``fire_when_silent``: a streak whose series then sends nothing fires at
+    ``start + hold`` once the watermark (which other series move) passes that
+    time, instead of with the series' next sample.
     """
     series_type = samples.schema[series].dataType.simpleString()
     timeout = GroupStateTimeout.NoTimeout
-    if idle_timeout_s is not None:
+    if idle_timeout_s is not None or fire_when_silent:
         samples = (samples.withColumn(ts, F.col(ts).cast("timestamp"))
                           .withWatermark(ts, watermark))
         timeout = GroupStateTimeout.EventTimeTimeout
@@ -108,7 +128,7 @@ def alert_stream(samples: DataFrame, series: str, ts: str, value: str, threshold
     out_schema = f"series {series_type}, start_t long, fired_t long"
     idle_ms = None if idle_timeout_s is None else int(idle_timeout_s * 1000)
     res = prepared.groupBy("series").applyInPandasWithState(
-        _alert_fn(float(threshold), int(hold_s * 1_000_000), idle_ms), out_schema, STATE_SCHEMA,
+        _alert_fn(float(threshold), int(hold_s * 1_000_000), idle_ms, fire_when_silent), out_schema, STATE_SCHEMA,
         "append", timeout)
     to_ts = "timestampadd(MICROSECOND, {}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
     return res.select(F.col("series").alias(series),

@@ -327,3 +327,30 @@ def test_business_zone_reaches_gold(spark):
     o = o.withColumn("order_date", F.lit("2024-02-01 03:00:00").cast("timestamp"))
     row = MD.run_medallion(spark, o, p, u, tz="America/Mexico_City").gold.first()
     assert (row.order_date, row.order_ym) == (dt.date(2024, 1, 31), 202401)
+
+
+# ------------------------------------------------------------------- alerts
+def _alerts(spark, batches, **kw):
+    """Alerts of ``batches`` of (series, second, value), each one micro-batch."""
+    from stratum.streaming import latest_stream as LS
+    from stratum.streaming.alerts import alert_stream
+    t0, landing, out = dt.datetime(2024, 1, 1), scratch_path(spark, "alert-in"), scratch_path(spark, "alert-out")
+    schema = "series string, ts timestamp, value double"
+    for rows in batches:
+        df = spark.createDataFrame([(s, t0 + dt.timedelta(seconds=t), v) for s, t, v in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    LS.await_done(LS.write_versions(alert_stream(stream, "series", "ts", "value", 30, 60, watermark="0 seconds", **kw), out, output_mode="append"))
+    return sorted((r.series, (r.start_ts - t0).total_seconds(), (r.fired_ts - t0).total_seconds()) for r in spark.read.parquet(out).collect())
+
+
+def test_alert_fires_without_a_new_sample(spark):
+    batches = [[("a", 0, 40.0), ("b", 0, 1.0)], [("b", 50, 1.0)], [("b", 200, 1.0)], [("b", 300, 1.0)], [("b", 400, 1.0)]]
+    assert _alerts(spark, batches) == []
+    assert _alerts(spark, batches, fire_when_silent=True) == [("a", 0.0, 60.0)]
+    assert _alerts(spark, [*batches, [("a", 500, 40.0), ("b", 500, 1.0)]], fire_when_silent=True) == [("a", 0.0, 60.0)]
+
+
+def test_alert_drops_samples_older_than_the_last(spark):
+    batches = [[("a", 100, 40.0)], [("a", 20, 1.0), ("a", 170, 40.0)]]
+    assert _alerts(spark, batches, idle_timeout_s=None) == [("a", 100.0, 170.0)]
