@@ -21,15 +21,16 @@ heavy-hitter split of exact dedup).  Signatures are banded (24 bands of 5: a
 pair at 0.8 is missed with probability 7e-5, no setting depends on the data).
 In each band bucket
 
-1. every member is paired with the bucket's smallest document and the
-   multiset overlap of the pair is verified on the texts;
-2. members that are not near copies of it are compared, in blocks, with the
-   members that can still be: 1 - similarity is a metric, so a member a with
-   distance s to the smallest document can be near c at distance t only if
-   t - s <= 0.2.  Pairs whose signatures agree in at least 0.62 of the
-   positions (a pair at 0.8 falls below with probability below 1e-5) are
-   verified on the texts like the others.  Pairs already joined by step 1 are
-   skipped.
+1. every member is paired with one document of the bucket (another one in each
+   band, so a group of near copies gets many hubs) and the multiset overlap of
+   the pair is verified on the texts;
+2. what step 1 leaves open is settled exactly.  In buckets whose members are
+   not all in one class, each member that is not a near copy of the hub is
+   compared with every member that still can be one of its near copies:
+   1 - similarity is a metric, so a member at distance s from the hub can be
+   near one at distance t only if t - s <= 0.2.  The comparison runs in blocks
+   of bounded bytes, as a product of membership matrices that gives the exact
+   multiset overlaps, and returns only links that join different classes.
 
 Classes are the connected components of the verified links, found by
 alternating large-star and small-star rounds on tables in the shared folder.
@@ -61,8 +62,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
-AGREE = 0.62
-BLOCK = 256
+BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
+COLUMNS = 8192
 PAIRS_PER_COPY = 256
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -208,7 +209,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs``: a, b, distinct.  Adds their similarity.  ``texts``: node, text.
 
-    A document in many pairs (the b side) is copied once per PAIRS_PER_COPY of
+    A document in many pairs (a hub, the b side) is copied once per PAIRS_PER_COPY of
     them, and its pairs are dealt over the copies.
     """
     copies = (pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies")))
@@ -223,22 +224,73 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(_verified, "a long, b long, similarity double"))
 
 
+def _itemised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The multiset as a sorted set of 64-bit items: the c-th copy of a shingle is an item of its own."""
+    for batch in batches:
+        for a, b in byte_slices(utf8_lengths(batch.column("text")), 1 << 20):
+            values, counts, offsets = bags(batch.column("text").slice(a, b - a))
+            copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            items = np.where(copy > 0, mix64(np.repeat(values, counts) ^ mix64(copy.astype(np.uint64))), np.repeat(values, counts))
+            ends = np.concatenate([[0], np.cumsum(counts)])[offsets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").slice(a, b - a),
+                 pa.array([np.sort(items[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:])], pa.binary())],
+                ["node", "items"])
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the item sets of two blocks."""
+    of_a, of_b = np.concatenate(a), np.concatenate(b)
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b))
+    shared = np.intersect1d(of_a, of_b)
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for items, row in ((of_a, row_a), (of_b, row_b)):
+        at = np.searchsorted(shared, items)
+        hit = np.zeros(len(items), bool)
+        inside = at < len(shared)
+        hit[inside] = shared[at[inside]] == items[inside]
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], row[hit][order]))
+    for first in range(0, len(shared), COLUMNS):
+        parts = []
+        for (at, row), n in zip(sides, (len(a), len(b))):
+            i, j = np.searchsorted(at, (first, first + COLUMNS))
+            member = np.zeros((n, COLUMNS), np.float32)
+            member[row[i:j], at[i:j] - first] = 1
+            parts.append(member)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows: a block of unmatched members and a block of other members of one bucket."""
+    """Rows: a block of open members and a block of members of one bucket.  Yields
+    links that join different classes, none that follows from others of its row."""
     for batch in batches:
-        for r in batch.to_pylist():
-            sides = [(np.array([m["node"] for m in r[s]], np.int64), np.array([m["class"] for m in r[s]], np.int64),
-                      np.array([m["distance"] for m in r[s]]),
-                      np.frombuffer(b"".join(m["signature"] for m in r[s]), "<u4").reshape(-1, M))
-                     for s in ("open", "other")]
-            (an, ac, ad, am), (bn, bc, bd, bm) = sides
-            for i in range(len(an)):
-                can = (bc != ac[i]) & (bn != an[i]) & (np.abs(bd - ad[i]) <= 1 - SIMILARITY + 1e-9)
-                agree = (bm[can] == am[i]).mean(axis=1) >= AGREE
-                found = bn[can][agree]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.maximum(found, an[i])), pa.array(np.minimum(found, an[i]))], ["a", "b"])
+        for k in range(batch.num_rows):
+            r = batch.slice(k, 1).to_pylist()[0]
+            (an, ac, ai), (bn, bc, bi) = (
+                (np.array([m["node"] for m in r[s]], np.int64), np.array([m["class"] for m in r[s]], np.int64),
+                 [np.frombuffer(m["items"], np.uint64) for m in r[s]]) for s in ("open", "other"))
+            common = overlaps(ai, bi)
+            total = np.array([len(x) for x in ai])[:, None] + np.array([len(x) for x in bi])[None, :] - common
+            i, j = np.nonzero((common >= SIMILARITY * total) & (ac[:, None] != bc[None, :]))
+            _, keep = np.unique(np.stack([ac[i], bc[j]]), axis=1, return_index=True)
+            label: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while label.get(c, c) != c:
+                    c = label[c]
+                return c
+            found = []
+            for x, y in zip(i[keep], j[keep]):
+                cx, cy = root(int(ac[x])), root(int(bc[y]))
+                if cx != cy:
+                    label[max(cx, cy)] = min(cx, cy)
+                    found.append((int(an[x]), int(bn[y])))
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([max(f) for f in found]), pa.array([min(f) for f in found])], ["a", "b"])
 
 
 def components(links: DataFrame, name: str = "classes") -> DataFrame:
@@ -268,18 +320,20 @@ def near_links(nodes: DataFrame, texts_of) -> DataFrame:
     ``texts_of``: gives node, text for a table of nodes.
     """
     bands = staged(nodes.mapInArrow(_banded, "node long, band long"), "bands")
-    shared = (bands.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("band", "first"))
+    # the hub of a bucket: the smallest node after mixing with the bucket's key
+    shared = (bands.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.col("band"))).alias("hub"),
+                                        F.count(F.lit(1)).alias("n"))
+              .where("n > 1").select("band", F.col("hub").bitwiseXOR(F.col("band")).alias("hub")))
     members = staged(bands.join(shared, "band"), "band-members")
     texts = staged(texts_of(members.select("node").distinct()), "member-texts")
-    pairs = members.where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     tested = staged(verify(staged(pairs, "pairs"), texts), "pair-similarity")
     links = tested.where(F.col("similarity") >= SIMILARITY).select("a", "b")
     classes = components(links)
 
-    # buckets with members that are not near copies of the first one
-    scored = (members.join(tested.select(F.col("a").alias("node"), F.col("b").alias("first"), "similarity"),
-                           ["node", "first"], "left")
+    # buckets with members of different classes, some not near copies of the hub
+    scored = (members.join(tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), "similarity"),
+                           ["node", "hub"], "left")
               .join(classes, "node", "left")
               .select("band", "node", F.coalesce("class", "node").alias("class"),
                       (1 - F.coalesce("similarity", F.lit(1.0))).alias("distance")))
@@ -288,24 +342,26 @@ def near_links(nodes: DataFrame, texts_of) -> DataFrame:
     stats = (scored.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi"),
                                         F.min(F.when(unmatched, F.col("distance"))).alias("nearest"))
              .where("nearest is not null and lo <> hi").select("band", "nearest"))
-    # of the matched members, those far enough from the first one to reach an unmatched one
+    # of the matched members, those far enough from the hub to reach an unmatched one
     live = (scored.join(stats, "band")
-            .where(unmatched | (F.col("distance") >= F.col("nearest") - (1 - SIMILARITY) - 1e-9))
-            .join(nodes, "node"))
+            .where(unmatched | (F.col("distance") >= F.col("nearest") - (1 - SIMILARITY) - 1e-9)))
+    items = texts.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_itemised, "node long, items binary")
+    live = live.join(staged(items, "member-items"), "node").withColumn(
+        "weight", F.greatest(F.octet_length("items") / BLOCK_BYTES, F.lit(1 / BLOCK_ROWS)))
+    live = staged(live, "band-live")
     # a bucket is cut into blocks of bounded size; the salt keeps it out of one task
-    salts = live.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * 16)).alias("salts"))
-    rank = F.row_number().over(Window.partitionBy("band", "salt").orderBy("node"))
-    member = F.struct("node", "class", "distance", "signature")
+    salts = live.groupBy("band").agg(F.ceil(F.sum("weight") / 16).alias("salts"))
+    filled = F.sum("weight").over(Window.partitionBy("band", "salt").orderBy("node")
+                                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    member = F.struct("node", "class", "items")
     blocks = (live.join(salts, "band").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
-              .withColumn("block", F.floor((rank - 1) / BLOCK))
+              .withColumn("block", F.floor(filled - 1e-9))
               .groupBy("band", "salt", "block")
               .agg(F.collect_list(F.when(unmatched, member)).alias("open"), F.collect_list(member).alias("other")))
     blocks = staged(blocks, "band-blocks")
     compared = (blocks.where(F.size("open") > 0).select("band", "open")
                 .join(blocks.select("band", "other"), "band"))
-    found = staged(compared.mapInArrow(_close_pairs, "a long, b long").distinct(), "close-pairs")
-    again = staged(verify(found, texts), "close-similarity")
-    return links.unionByName(again.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+    return links.unionByName(compared.mapInArrow(_close_pairs, "a long, b long").distinct())
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
