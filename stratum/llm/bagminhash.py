@@ -212,7 +212,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A document in many pairs (a hub, the b side) is copied once per PAIRS_PER_COPY of
     them, and its pairs are dealt over the copies.
     """
-    copies = (pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies")))
+    # staged: a join of two scans is one whose hot hubs Spark can split
+    copies = staged(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies")),
+                    "pair-copies")
     dealt = (pairs.join(copies, "b")
              .withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies"))
     right = (texts.join(copies.withColumnRenamed("b", "node"), "node")

@@ -48,8 +48,10 @@ def test_bundles_of_small_groups_stay_even(docs_of):
     rng = random.Random(2)
     rows = [(i, "y" * rng.randint(1, 90) + str(i)) for i in range(4000)] + [(9000 + i, "z" * 4000) for i in range(30)]
     _, loads = check(docs_of(rows), rows, 4, fine=16)
-    assert max(loads) - min(loads) < 0.05 * sum(loads) / 4
-    assert max(loads) < 1.05 * max(sum(loads) / 4, 30 * 4016)
+    # the group of 30 copies is above a fair share: its shard takes nothing else
+    *rest, largest = sorted(loads)
+    assert largest == 30 * 4016 > sum(loads) / 4
+    assert rest[-1] - rest[0] < 0.05 * sum(rest) / 3
 
 
 def test_edges(docs_of):
