@@ -7,19 +7,25 @@ most one.  A line goes if an earlier line is its copy; earlier means smaller
 (doc_id, line number).  Shorter lines are left alone: one edit between them
 says nothing.
 
-1. One pass over the texts writes a narrow line table: digest, length, place,
-   and four half keys.  Equal lines collapse to their earliest place.
+1. One pass over the texts writes a narrow line table: digest, place, and
+   four half keys.  Equal lines collapse to their earliest place.
 2. Lines one edit apart share the first or the last half of the shorter one
    exactly, so a line whose half keys are its own has no other copy.  Lines
    that share a half with a different line are candidates; nothing is lost.
 3. Each candidate emits its whole self and every variant with one character
-   deleted, as 64-bit keys with the deleted position.  Lines that differ in one
+   deleted (where the shared half lets a copy differ), as 64-bit keys with the
+   deleted position.  Keys that only one line has go.  Lines that differ in one
    replaced character share a variant at the same position; a line with one
    character more has a variant equal to the other line itself.  So each key
    needs only the earliest line on either side: no pairs within a key.
 4. Every link (line, earlier line) is verified by edit distance on the texts.
 5. Lines without an earlier copy stay; texts are put together again.
 
+Wherever few rows of a large table are needed by a key, the table first passes
+a filter of bounded size: the distinct values of a hash of the keys modulo
+2^20, broadcast (``likely``).  It drops most rows that cannot match before they
+are shuffled; the exact join follows.
+
 Defined cases: a null text is one empty line and stays null if nothing goes;
 null ids come last, ordered by a text hash; rows repeated in id and text are
 one document and get the same result; an empty table gives an empty result;
@@ -50,6 +56,18 @@ def _key_columns() -> list[Column]:
     return [F.col("doc_id").alias("id"), F.xxhash64(text_or_empty()).alias("text_hash")]
 
 
+BUCKETS = 1 << 20
+
+
+def likely(rows: DataFrame, keys: DataFrame, of_rows: Column, of_keys: Column) -> DataFrame:
+    """``rows`` without most of those whose key hash no row of ``keys`` has.
+
+    The broadcast side holds at most BUCKETS integers whatever the data."""
+    some = keys.select(F.pmod(of_keys, F.lit(BUCKETS)).cast("int").alias("bucket__")).distinct()
+    return (rows.withColumn("bucket__", F.pmod(of_rows, F.lit(BUCKETS)).cast("int"))
+            .join(F.broadcast(some), "bucket__", "left_semi").drop("bucket__"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """id, text_hash, line_no, line (normal form), one row per line."""
     return (docs.select(*_key_columns(), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "raw"))
@@ -71,10 +89,13 @@ def _half_keys() -> Column:
     return F.array(*keys)
 
 
-def variants(line: str) -> tuple[list[int], list[int]]:
-    """Keys and positions: the line itself at -1, then with each character deleted."""
-    data = [line, *(line[:i] + line[i + 1:] for i in range(len(line)))]
-    return [xxhash.xxh3_64_intdigest(v.encode()) for v in data], list(range(-1, len(line)))
+def variants(line: str, front: bool = True, back: bool = True) -> tuple[list[int], list[int]]:
+    """Keys and positions: the line itself at -1, then with one character deleted,
+    at every position of the first half (``front``) and of the last (``back``)."""
+    n, half = len(line), (len(line) - 1) // 2
+    places = [i for i in range(n) if (front and i <= n - half) or (back and i >= half)]
+    data = [line, *(line[:i] + line[i + 1:] for i in places)]
+    return [xxhash.xxh3_64_intdigest(v.encode()) for v in data], [-1, *places]
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,37 +103,49 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
             keys, places, counts = [], [], []
-            for line in part.column("line").to_pylist():
-                k, p = variants(line)
+            for line, front, back in zip(*(part.column(c).to_pylist() for c in ("line", "front", "back"))):
+                k, p = variants(line, front, back)
                 keys += k
                 places += p
                 counts.append(len(k))
-            rows = pa.array(np.repeat(np.arange(part.num_rows), counts))
             yield pa.RecordBatch.from_arrays(
-                [part.column("digest").take(rows), part.column("place").take(rows),
+                [part.column("no").take(pa.array(np.repeat(np.arange(part.num_rows), counts))),
                  pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(places, pa.int32())],
-                ["digest", "place", "key", "at"])
+                ["no", "key", "at"])
 
 
-def near_links(first: DataFrame, lines: DataFrame) -> DataFrame:
+def near_links(table: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (digest, other): a line and its earliest verified copy that differs from it and is earlier.
 
-    ``first``: digest, place, halves of every distinct line; ``lines``: as of ``lines_of``.
+    ``table``: digest, halves of the lines; ``first``: digest, place of every distinct line.
     """
-    halves = first.select("digest", F.xxhash64("digest").alias("short"), F.explode("halves").alias("half"))
-    shared = (halves.groupBy("half").agg(F.min("short").alias("a"), F.max("short").alias("b"))
-              .where(F.col("a") != F.col("b")).select("half"))
-    candidates = (halves.join(shared, "half", "left_semi").select("digest").distinct()
-                  .join(first.select("digest", "place"), "digest"))
-    at = candidates.select("digest", "place", *[F.col(f"place.{c}").alias(c) for c in ("id", "text_hash", "line_no")])
-    named = lines.join(at.drop("digest", "place").withColumnsRenamed({"id": "c_id", "text_hash": "c_hash", "line_no": "c_no"}),
-                       F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash"))
-                       & (F.col("line_no") == F.col("c_no")), "left_semi")
+    halves = table.select("digest", F.xxhash64("digest").alias("short"), F.posexplode("halves").alias("side", "half"))
+    shared = staged(halves.groupBy("half").agg(F.min("short").alias("a"), F.max("short").alias("b"))
+                    .where(F.col("a") != F.col("b")).select("half"), "line-halves")
+    found = likely(halves.select("digest", "side", "half"), shared, F.col("half"), F.col("half"))
+    # a line that shares its first half can only differ in the last one, and the other way round
+    found = staged(found.join(shared, "half", "left_semi").groupBy("digest")
+                   .agg(F.max(F.col("side") % 2 == 1).alias("front"), F.max(F.col("side") % 2 == 0).alias("back")),
+                   "line-candidate-digests")
+    at = staged(likely(first, found, F.xxhash64("digest"), F.xxhash64("digest")).join(found, "digest")
+                .select("digest", "place", "front", "back"), "line-candidate-places")
+    # the texts of the candidates, from the documents that hold them
+    where = at.select(F.col("place.id").alias("c_id"), F.col("place.text_hash").alias("c_hash"),
+                      F.col("place.line_no").alias("c_no"))
+    holders = likely(docs.select("doc_id", "text"), where, F.xxhash64(text_or_empty()), F.col("c_hash"))
+    named = lines_of(holders).join(where, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_hash") == F.col("c_hash"))
+                                   & (F.col("line_no") == F.col("c_no")), "left_semi")
     # rows repeated in id and text hold a line at the same place
-    texts = staged(named.select(F.unhex(F.md5("line")).alias("digest"), _place().alias("place"), "line")
-                   .dropDuplicates(["digest"]), "line-candidates")
-    place_type = texts.schema["place"].dataType.simpleString()
-    keys = staged(texts.mapInArrow(_emit, f"digest binary, place {place_type}, key long, at int"), "line-variants")
+    texts = staged(named.select(F.unhex(F.md5("line")).alias("digest"), "line").dropDuplicates(["digest"])
+                   .join(at, "digest").withColumn("no", F.monotonically_increasing_id()), "line-candidates")
+    keys = staged(texts.select("no", "line", "front", "back").repartition("no")
+                  .mapInArrow(_emit, "no long, key long, at int"), "line-variants")
+    # of the variants, only keys that two lines have are looked at further
+    common = staged(keys.groupBy("key").agg(F.min("no").alias("a"), F.max("no").alias("b"))
+                    .where(F.col("a") != F.col("b")).select("key"), "line-keys")
+    keys = (likely(keys, common, F.col("key"), F.col("key")).join(common, "key", "left_semi")
+            .join(texts.select("no", "digest", "place"), "no"))
+    keys = staged(keys.select("key", "at", "digest", "place"), "line-common-variants")
 
     own = F.col("at") == -1
     # one character replaced: the same variant at the same position
@@ -144,13 +177,14 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
                    .select("id", "text_hash", "line_no", F.unhex(F.md5("line")).alias("digest"),
                            _half_keys().alias("halves")), "lines")
     first = staged(table.groupBy("digest").agg(F.min(_place()).alias("place"),
-                                               F.any_value("halves").alias("halves"),
                                                F.count(F.lit(1)).alias("n")), "line-firsts")
-    near = staged(near_links(first, lines), "line-links")
+    near = staged(near_links(table.select("digest", "halves"), first, docs), "line-links")
     # a line that goes: not the first of its kind, or the first has an earlier copy
-    kinds = (first.join(near.select("digest", F.lit(True).alias("copy")), "digest", "left")
-             .where((F.col("n") > 1) | F.col("copy")).select("digest", "place", "copy"))
-    gone = (table.select("id", "text_hash", "line_no", "digest").join(kinds, "digest")
+    copies = near.select("digest", F.lit(True).alias("copy"))
+    kinds = staged(first.where("n > 1").join(copies, "digest", "left").unionByName(
+        first.where("n = 1").join(copies, "digest")).select("digest", "place", "copy"), "line-kinds")
+    key = F.xxhash64("digest")
+    gone = (likely(table.select("id", "text_hash", "line_no", "digest"), kinds, key, key).join(kinds, "digest")
             .where(F.col("copy") | (_place() != F.col("place"))))
     return (gone.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("drop"))
             .withColumnsRenamed({"id": "drop_id", "text_hash": "drop_hash"}))
@@ -175,8 +209,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """Columns ``doc`` (struct of the input row), n_lines, dropped (line numbers), text (what stays)."""
     drops = staged(duplicate_lines(docs), "line-drops")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_key_columns())
-    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("drop_id"))
-                       & (F.col("text_hash") == F.col("drop_hash")), "left").select("doc", "drop")
+    # documents that surely lose nothing are not shuffled
+    buckets = drops.select(F.pmod("drop_hash", F.lit(BUCKETS)).cast("int").alias("bucket__")).distinct()
+    rows = rows.withColumn("bucket__", F.pmod("text_hash", F.lit(BUCKETS)).cast("int"))
+    whole = (rows.join(F.broadcast(buckets), "bucket__", "left_anti")
+             .select("doc", F.array().cast("array<int>").alias("drop")))
+    joined = (rows.join(F.broadcast(buckets), "bucket__", "left_semi")
+              .join(drops, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("text_hash") == F.col("drop_hash")), "left")
+              .select("doc", F.coalesce("drop", F.array().cast("array<int>")).alias("drop")))
     schema = f"doc {joined.schema['doc'].dataType.simpleString()}, n_lines long, dropped array<int>, text string"
-    return (joined.withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
-            .mapInArrow(_without, schema))
+    return whole.unionByName(joined).mapInArrow(_without, schema)
