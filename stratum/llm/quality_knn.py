@@ -37,12 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .pieces import byte_slices, utf8_lengths
+from .pieces import Known, Pieces, byte_slices, utf8_lengths
 
 SAMPLE, TERMS, RANK, NEIGHBOURS = 4096, 4096, 64, 9
 KEEP = 0.7
 LAGS = 16
-SLICE_ROWS = 256
+SLICE_ROWS = 64
 SLICE_TEXT = 1 << 20
 
 
@@ -59,29 +59,34 @@ def repeated_share(codes: np.ndarray, row: np.ndarray, n_rows: int, lags: int =
     return np.bincount(row, weights=again, minlength=n_rows) / n
 
 
-def term_counts(texts: pa.Array, terms: int = TERMS) -> np.ndarray:
-    """Hashed term counts, a row per text."""
-    lists = pc.ascii_split_whitespace(texts)
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary
-    shapes = words
+def _word_hashes(words: list[str]) -> list[int]:
+    """32 bits of the word in lower case, and above them 32 bits of its shape."""
+    shapes = pa.array(words, pa.string())
     for pattern, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
         shapes = pc.replace_substring_regex(shapes, pattern, sign)
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    codes = coded.indices.to_numpy(zero_copy_only=False)
+    low = 0xFFFFFFFF
+    return [xxhash.xxh3_64_intdigest("w" + w.lower()) & low | (xxhash.xxh3_64_intdigest("s" + s) & low) << 32
+            for w, s in zip(words, shapes.to_pylist())]
+
+
+_WORDS = Known(_word_hashes)  # of this worker process
+
+
+def term_counts(texts: pa.Array, terms: int = TERMS) -> np.ndarray:
+    """Hashed term counts, a row per text."""
+    pieces = Pieces(pc.ascii_split_whitespace(texts))
+    row = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets))
+    hashes = np.array(_WORDS(pieces.words), np.uint64)
+    real = np.array([w != "" for w in pieces.words], bool)[pieces.codes] if len(row) else np.zeros(0, bool)
+    row, codes = row[real], pieces.codes[real]
     counts = np.zeros(len(texts) * terms, np.float32)
-    for prefix, names in ("w", pc.utf8_lower(words)), ("s", shapes):
-        names = names.to_pylist()
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(prefix + w) % terms if w else -1 for w in names), np.int64, len(names))
-        at = bucket[codes]
-        real = at >= 0
-        counts += np.bincount(row[real] * terms + at[real], minlength=len(counts)).astype(np.float32)
+    for part in (hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)):
+        bucket = (part % np.uint64(terms)).astype(np.int64)
+        counts += np.bincount(row * terms + bucket[codes], minlength=len(counts)).astype(np.float32)
     counts = counts.reshape(len(texts), terms)
     tenth = (10 * repeated_share(codes, row, len(texts))).astype(np.int64)
     bucket = np.array([xxhash.xxh3_64_intdigest(f"r{i}") % terms for i in range(11)])
-    real = np.array([w != "" for w in words.to_pylist()], bool)[codes] if len(codes) else np.zeros(0, bool)
-    counts[np.arange(len(texts)), bucket[tenth]] += np.bincount(row[real], minlength=len(texts))
+    counts[np.arange(len(texts)), bucket[tenth]] += np.bincount(row, minlength=len(texts))
     return counts
 
 
