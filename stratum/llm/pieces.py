@@ -4,7 +4,7 @@ A tokenizer never joins across certain places of a text (its safe
 boundaries), so a text's ids are the ids of its pieces, one after the other.
 A batch of texts is cut at safe boundaries, its distinct pieces are encoded
 in one library call, and the ids of every text are gathered by index.
-Distinct pieces are kept per worker process up to a fixed number.
+Distinct pieces are kept per worker process up to a fixed size.
 
 Texts in which the cheap cut could be unsafe are named by an expression and
 go to the library whole (long ones in parts, again cut at safe boundaries).
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 SEP = "\x01"
 SLICE_BYTES = 4 << 20
-KEEP_PIECES = 800_000
+KEEP_BYTES = 120 << 20
 
 
 def utf8_lengths(texts: pa.Array) -> np.ndarray:
@@ -60,15 +60,26 @@ class Pieces:
 
 
 class Known:
-    """Values of pieces seen by this process, at most about ``limit`` of them."""
+    """Values of pieces seen by this worker process.
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = KEEP_PIECES):
-        self.encode, self.limit, self.table = encode, limit, {}
+    All tables of a process share one bound: workers are reused by later
+    stages, and what one operator kept goes when another needs the room."""
+
+    tables: list[Known] = []
+
+    def __init__(self, encode: Callable[[list[str]], list], entry_bytes: int, limit: int = KEEP_BYTES):
+        self.encode, self.entry_bytes, self.limit, self.table = encode, entry_bytes, limit, {}
+        Known.tables.append(self)
 
     def __call__(self, words: list[str]) -> list:
         table = self.table
         new = [w for w in words if w not in table]
-        if len(table) + len(new) > self.limit:
+        more = len(new) * self.entry_bytes
+        if more + sum(len(t.table) * t.entry_bytes for t in Known.tables) > self.limit:
+            for other in Known.tables:
+                if other is not self:
+                    other.table.clear()
+        if more + len(table) * self.entry_bytes > self.limit:
             table.clear()
             new = words
         for i in range(0, len(new), 20_000):

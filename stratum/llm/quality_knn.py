@@ -69,7 +69,7 @@ def _word_hashes(words: list[str]) -> list[int]:
             for w, s in zip(words, shapes.to_pylist())]
 
 
-_WORDS = Known(_word_hashes)  # of this worker process
+_WORDS = Known(_word_hashes, 180)  # of this worker process
 
 
 def term_counts(texts: pa.Array, terms: int = TERMS) -> np.ndarray:

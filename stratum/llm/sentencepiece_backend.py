@@ -162,7 +162,7 @@ class Codec:
                           and not self.model.squeeze_spaces
                           and not any(kind == USER for *_, kind in self.model.pieces))
         self.part = build_tokenizer(self.model, dummy_prefix=False)
-        self.known = Known(self._pieces)
+        self.known = Known(self._pieces, 330)
         # a line break in no piece of several characters is a piece of its own
         self.alone = not any("\n" in p and len(p) > 1 for p, _, kind in self.model.pieces
                              if kind in (NORMAL, USER))

@@ -45,7 +45,7 @@ class ByteBpeCounter:
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)  # no normaliser, no pre-tokenizer
-        self.known = Known(self._lengths)
+        self.known = Known(self._lengths, 150)
 
     def _lengths(self, pieces: list[str]) -> list[int]:
         out = np.empty(len(pieces), np.int64)

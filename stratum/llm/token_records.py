@@ -92,7 +92,7 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.model = Tokenizer(self.whole.model)
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
-        self.known = Known(self._packed)
+        self.known = Known(self._packed, 200)
 
     def _packed(self, pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)

@@ -84,8 +84,14 @@ def test_slices_and_parts():
     long = "ab cd " * 1000
     parts = pc.safe_parts(long, 100, C.SAFE)
     assert "".join(parts) == long and len(parts) > 50
-    known = pc.Known(lambda w: [len(x) for x in w], limit=3)
+
+
+def test_known_tables_share_one_bound(monkeypatch):
+    monkeypatch.setattr(pc.Known, "tables", [])
+    known, other = (pc.Known(lambda w: [len(x) for x in w], 10, limit=30) for _ in range(2))
     assert known(["a", "bb"]) == [1, 2] and known(["bb", "ccc", "dddd"]) == [2, 3, 4] and len(known.table) == 3
+    assert other(["x"]) == [1] and not known.table  # the room is taken from the other table
+    assert other(["x", "yy", "zz", "uu"]) == [1, 2, 2, 2]  # one batch may be above the bound
 
 
 def test_count_operator_edges(docs_of):
