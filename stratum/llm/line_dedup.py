@@ -1,14 +1,15 @@
 """Near-duplicate line removal by a deletion-neighbourhood join.
 
 Lines are compared in normal form (lower case, runs of ASCII white space as
-one space, ends trimmed).  Two lines of at least ``MIN_CHARS`` normal
-characters are copies if their edit distance (insert, delete, replace) is at
-most one.  A line goes if an earlier line is its copy; earlier means smaller
-(doc_id, line number).  Shorter lines are left alone: one edit between them
-says nothing.
+one space, ends trimmed).  Two lines are copies if they are equal and not
+empty, or if both have at least ``MIN_CHARS`` normal characters and their edit
+distance (insert, delete, replace) is one.  A line goes if an earlier line is
+its copy; earlier means smaller (doc_id, line number).  Between shorter lines
+one edit says nothing, so only equality counts; empty lines always stay.
 
 1. One pass over the texts writes a narrow line table: digest, place, and
-   four half keys.  Equal lines collapse to their earliest place.
+   four half keys (of at least ``MIN_CHARS`` characters).  Equal lines
+   collapse to their earliest place.
 2. Lines one edit apart share the first or the last half of the shorter one
    exactly, so a line whose half keys are its own has no other copy.  Lines
    that share a half with a different line are candidates; nothing is lost.
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import WS, staged, text_or_empty
 
+#: least length of lines that are compared up to one edit; equal lines go at any length
 MIN_CHARS = 32
 
 
@@ -173,9 +175,10 @@ def near_links(table: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """id, text_hash, drop (line numbers): the documents that lose lines."""
     lines = lines_of(docs)
-    table = staged(lines.where(F.length("line") >= MIN_CHARS)
+    # shorter lines have no half keys: they meet equal lines only
+    table = staged(lines.where(F.length("line") > 0)
                    .select("id", "text_hash", "line_no", F.unhex(F.md5("line")).alias("digest"),
-                           _half_keys().alias("halves")), "lines")
+                           F.when(F.length("line") >= MIN_CHARS, _half_keys()).alias("halves")), "lines")
     first = staged(table.groupBy("digest").agg(F.min(_place()).alias("place"),
                                                F.count(F.lit(1)).alias("n")), "line-firsts")
     near = staged(near_links(table.select("digest", "halves"), first, docs), "line-links")
