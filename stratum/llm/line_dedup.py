@@ -15,11 +15,13 @@ one edit says nothing, so only equality counts; empty lines always stay.
    that share a half with a different line are candidates; nothing is lost.
 3. Each candidate emits its whole self and every variant with one character
    deleted (where the shared half lets a copy differ), as 64-bit keys with the
-   deleted position.  Keys that only one line has go.  Lines that differ in one
-   replaced character share a variant at the same position; a line with one
-   character more has a variant equal to the other line itself.  So each key
-   needs only the earliest line on either side: no pairs within a key.
-4. Every link (line, earlier line) is verified by edit distance on the texts.
+   deleted position, in steps of bounded size; time and memory are linear in a
+   line (rolling hashes above ``LONG`` characters).  Keys that only one line
+   has go.  Lines that differ in one replaced character share a variant at the
+   same position; a line with one character more has a variant equal to the
+   other line itself.  So each key needs only the earliest line on either
+   side: no pairs within a key.
+4. Every link (line, earlier line) is verified on the texts.
 5. Lines without an earlier copy stay; texts are put together again.
 
 Wherever few rows of a large table are needed by a key, the table first passes
@@ -91,29 +93,137 @@ def _half_keys() -> Column:
     return F.array(*keys)
 
 
-def variants(line: str, front: bool = True, back: bool = True) -> tuple[list[int], list[int]]:
-    """Keys and positions: the line itself at -1, then with one character deleted,
-    at every position of the first half (``front``) and of the last (``back``)."""
+#: strings of more characters get rolling keys: time linear in the line for all its variants
+LONG = 1024
+#: rows that one step of ``_emit`` holds
+STEP = 1 << 16
+#: moduli 2^31 - 1, one base and one mixing factor per rolling hash
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (1103515247, 1664525801, 1299709081)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done:done + more] = out[:more] * np.uint64(pow(base, done, int(PRIME))) % PRIME
+        done += more
+    return out
+
+
+class Rolling:
+    """Keys of a line and of its variants by polynomial hashes, ``STEP`` places at a time.
+
+    With S(i) the sum of (c_j + 1) base^j over j < i, the variant without
+    character i has the hash S(i) + (S(n) - S(i + 1)) / base."""
+
+    def __init__(self, line: str):
+        self.line = line
+        self.powers = [_powers(base, min(len(line), STEP)) for base in BASES]
+        self.total = [0] * len(BASES)
+        for _, _, after in self._sums():
+            self.total = [int(x[-1]) for x in after]
+
+    def _sums(self) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray]]]:
+        """First place of a step, and per hash S(i) and S(i + 1) of its places."""
+        sums = [0] * len(BASES)
+        for start in range(0, len(self.line), STEP):
+            codes = np.frombuffer(self.line[start:start + STEP].encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+            before, after = [], []
+            for h, base in enumerate(BASES):
+                terms = codes * self.powers[h][:len(codes)] % PRIME * np.uint64(pow(base, start, int(PRIME))) % PRIME
+                upto = (np.cumsum(terms) + np.uint64(sums[h])) % PRIME
+                before.append(np.concatenate([np.array([sums[h]], np.uint64), upto[:-1]]))
+                after.append(upto)
+                sums[h] = int(upto[-1])
+            yield start, before, after
+
+    @staticmethod
+    def _mixed(hashes: list[np.ndarray]) -> np.ndarray:
+        return sum(h * m for h, m in zip(hashes, MIX))
+
+    def whole(self) -> np.ndarray:
+        return self._mixed([np.array([x], np.uint64) for x in self.total])
+
+    def without(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places, and the keys of the line without the character there."""
+        for start, before, after in self._sums():
+            hashes = [(b + (np.uint64(total) + PRIME - a) % PRIME * np.uint64(pow(base, -1, int(PRIME)))) % PRIME
+                      for b, a, total, base in zip(before, after, self.total, BASES)]
+            yield np.arange(start, start + len(before[0])), self._mixed(hashes)
+
+
+def variant_steps(line: str, front: bool = True, back: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys (uint64) and positions in steps of at most ``STEP``: the line itself at -1, then with one
+    character deleted, at every position of the first half (``front``) and of the last (``back``).
+
+    The length of a string alone decides how its key is made, so that equal strings have equal keys."""
     n, half = len(line), (len(line) - 1) // 2
+    rolling = Rolling(line) if n > LONG else None
+    own = rolling.whole() if rolling else np.array([xxhash.xxh3_64_intdigest(line.encode())], np.uint64)
+    if n - 1 > LONG:
+        yield own, np.array([-1])
+        for places, keys in rolling.without():
+            use = (front & (places <= n - half)) | (back & (places >= half))
+            yield keys[use], places[use]
+        return
     places = [i for i in range(n) if (front and i <= n - half) or (back and i >= half)]
-    data = [line, *(line[:i] + line[i + 1:] for i in places)]
-    return [xxhash.xxh3_64_intdigest(v.encode()) for v in data], [-1, *places]
+    keys = [xxhash.xxh3_64_intdigest((line[:i] + line[i + 1:]).encode()) for i in places]
+    yield np.concatenate([own, np.array(keys, np.uint64)]), np.array([-1, *places])
+
+
+def variants(line: str, front: bool = True, back: bool = True) -> tuple[list[int], list[int]]:
+    """All keys and positions of ``variant_steps``."""
+    keys, places = zip(*variant_steps(line, front, back))
+    return np.concatenate(keys).tolist(), np.concatenate(places).tolist()
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1].view(np.int64)),
+                                           pa.array(columns[2], pa.int32())], ["no", "key", "at"])
+
+    held, n = [], 0
+    for batch in batches:
+        columns = [batch.column(c) for c in ("no", "line", "front", "back")]
+        for i in range(batch.num_rows):
+            no, line, front, back = (c[i].as_py() for c in columns)
+            for keys, places in variant_steps(line, front, back):
+                held.append((np.full(len(keys), no, np.int64), keys, places.astype(np.int32)))
+                n += len(keys)
+                if n >= STEP:
+                    yield rows()
+                    held, n = [], 0
+    if held:
+        yield rows()
+
+
+def _one_edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links whose lines are at most one edit apart, in time linear in the lines."""
+    def same(a: str, b: str) -> int:
+        """Length of the common prefix."""
+        low, high = 0, min(len(a), len(b))
+        while low < high:
+            mid = (low + high + 1) // 2
+            if a[low:mid] == b[low:mid]:
+                low = mid
+            else:
+                high = mid - 1
+        return low
+
+    def near(a: str, b: str) -> bool:
+        if len(a) > len(b):
+            a, b = b, a
+        i = same(a, b)
+        return len(b) - len(a) <= 1 and a[i + (len(a) == len(b)):] == b[i + 1:]
+
     for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
-            keys, places, counts = [], [], []
-            for line, front, back in zip(*(part.column(c).to_pylist() for c in ("line", "front", "back"))):
-                k, p = variants(line, front, back)
-                keys += k
-                places += p
-                counts.append(len(k))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("no").take(pa.array(np.repeat(np.arange(part.num_rows), counts))),
-                 pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(places, pa.int32())],
-                ["no", "key", "at"])
+        lines, others = batch.column("line"), batch.column("other_line")
+        keep = [near(lines[i].as_py(), others[i].as_py()) for i in range(batch.num_rows)]
+        yield batch.select(["digest", "other"]).filter(pa.array(keep, pa.bool_()))
 
 
 def near_links(table: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame:
@@ -166,10 +276,9 @@ def near_links(table: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame
             .select("digest", "place", "early"))
     links = (replaced.unionByName(more).groupBy("digest").agg(F.min("early").alias("early"))
              .select("digest", F.col("early.digest").alias("other")))
-    near = F.levenshtein(F.col("line"), F.col("other_line"), 1)
     return (links.join(texts.select("digest", "line"), "digest")
             .join(texts.select(F.col("digest").alias("other"), F.col("line").alias("other_line")), "other")
-            .where((near >= 0) & (near <= 1)).select("digest", "other"))
+            .select("digest", "line", "other", "other_line").mapInArrow(_one_edit, "digest binary, other binary"))
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
