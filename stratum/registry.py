@@ -488,25 +488,27 @@ def q_rate_limit(spark, d):
     return M.rate_limit_violations(e, ["user_id"], limit=2, window="1 hour")
 
 
-def _landing_in_time_order(df: DataFrame, ts: str, slices: int) -> str:
+def _landing_in_time_order(df: DataFrame, ts: str, slices: int, *tiebreak: str) -> str:
     """Write ``df`` to a landing folder as ``slices`` appends in event-time
-    order, the way a live feed arrives (the file source reads oldest first)."""
-    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    order, the way a live feed arrives (the file source reads oldest first).
+
+    Slices hold about equally many rows, so a burst is spread over several;
+    rows of one time stay together unless ``tiebreak`` orders them."""
     path = scratch_path(df.sparkSession, "landing")
     df.where(F.col(ts).isNull()).coalesce(1).write.mode("append").parquet(path)  # no time: first
-    if lo is None:
+    timed = df.where(F.col(ts).isNotNull())
+    rows = timed.count()
+    if not rows:
         return path
     # a slice is one file (files of one slice would be read in any order), so
     # the number of slices grows with the rows
-    slices = max(slices, df.count() // 1_000_000)
-    step = (hi - lo) / slices
+    slices = max(slices, -(-rows // 1_000_000))
+    cut = scratch_path(df.sparkSession, "landing-cut")
+    (timed.repartitionByRange(slices, ts, *tiebreak).withColumn("__slice", F.spark_partition_id())
+          .write.partitionBy("__slice").parquet(cut))
+    parts = df.sparkSession.read.schema(df.withColumn("__slice", F.lit(0)).schema).parquet(cut)
     for i in range(slices):
-        a = lo + step * i
-        part = df.where(F.col(ts) >= F.lit(a.isoformat(sep=" ")).cast(df.schema[ts].dataType))
-        if i < slices - 1:
-            b = lo + step * (i + 1)
-            part = part.where(F.col(ts) < F.lit(b.isoformat(sep=" ")).cast(df.schema[ts].dataType))
-        part.coalesce(1).write.mode("append").parquet(path)
+        parts.where(F.col("__slice") == i).drop("__slice").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -515,7 +517,7 @@ def q_rate_limit_stream(spark, d):
     """Same check on the event stream: watermark bounds the window state;
     update mode emits every changed window, the newest emission per window wins."""
     events = fx.read(spark, d, "events")
-    landing = _landing_in_time_order(events, "ts", 4)
+    landing = _landing_in_time_order(events, "ts", 4, "event_id")
     src = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     src = src.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
     counts = (src.groupBy("user_id", F.window("ts", "1 hour").alias("w"))
@@ -733,7 +735,7 @@ def q_alert_stream(spark, d):
     """Gauge samples arrive in event-time order; stateful per-series alert."""
     from .streaming.alerts import alert_stream
     g = fx.gauge_samples(spark, d).select("ts", "series_id", "event_id", "value")
-    landing = _landing_in_time_order(g, "ts", 4)
+    landing = _landing_in_time_order(g, "ts", 4, "event_id")
     stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     alerts = alert_stream(stream, "series_id", "ts", "value", 30, 60, tiebreak="event_id",
                           idle_timeout_s=None)
@@ -968,7 +970,7 @@ def q_rate_limit_stream_append(spark, d):
     """Append mode: a window is emitted once, when the watermark (max event
     time - 2 h) has passed its end; later windows stay in state."""
     events = fx.read(spark, d, "events")
-    landing = _landing_in_time_order(events, "ts", 4)
+    landing = _landing_in_time_order(events, "ts", 4, "event_id")
     src = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
                 .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours"))
     v = M.rate_limit_violations(src, ["user_id"], limit=2, window="1 hour")
@@ -1030,7 +1032,7 @@ def q_replication_lag_alert_stream(spark, d):
     """The same rule evaluated by the stateful stream as changes arrive."""
     from .streaming.alerts import alert_stream
     s = _lag_samples(spark, d).select("table", "ts", "lag_seconds", "id")
-    landing = _landing_in_time_order(s, "ts", 4)
+    landing = _landing_in_time_order(s, "ts", 4, "id")
     stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     alerts = alert_stream(stream, "table", "ts", "lag_seconds", 10, 60, tiebreak="id",
                           idle_timeout_s=None)
@@ -1054,7 +1056,7 @@ def q_alert_stream_stale(spark, d):
     """The stateful alert with a 6-hour idle time (streak break + state eviction)."""
     from .streaming.alerts import alert_stream
     g = fx.gauge_samples(spark, d).select("ts", "series_id", "event_id", "value")
-    landing = _landing_in_time_order(g, "ts", 4)
+    landing = _landing_in_time_order(g, "ts", 4, "event_id")
     stream = spark.readStream.schema(g.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     alerts = alert_stream(stream, "series_id", "ts", "value", 30, 60, tiebreak="event_id",
                           idle_timeout_s=6 * 3600)
