@@ -1,10 +1,11 @@
 """Exact top-k search by inner product over an impact-ordered index.
 
-Vectors are integers (each component x becomes floor(256 x)).  The index holds
-the vectors in blocks.  In a block every component is a posting (vector,
-weight) of its dimension; postings are cut into segments by quantised impact
-(the magnitude of the weight) and stored from the highest impact down, with
-each vector's remaining norm after every impact level.
+Vectors are integers (each component x becomes floor(256 x)).  The stored index
+holds the ids and weights of the vectors in blocks, nothing else.  A task that
+meets a block orders it anew: every component is a posting (vector, weight) of
+its dimension, postings are cut into segments by quantised impact (the
+magnitude of the weight) from the highest impact down, and each vector's
+remaining norm is computed at the levels where stopping is considered.
 
 A block of queries meets a block of the index in one task, score at a time:
 segments are added to the accumulators level by level.  After a level, the
