@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .bagminhash import near_dedup
 from .common import documents
+from .conversation_repair import damage, repair_all
 from .exact_dedup import exact_dedup
 from .impact_topk import top_k
 from .line_dedup import line_dedup
@@ -91,6 +92,11 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.FLAG).cast("int").alias("predicted"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_all(conversations, damage(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dedup": op10_near_dedup,
     "op11_toxicity": op11_toxicity,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
