@@ -23,6 +23,7 @@ from .mixing import mix
 from .quality_knn import KEEP, fit, held_out, score
 from .sentencepiece_backend import encode_decode
 from .sharding import assign_shards
+from .spelling_variants import spelling_variants
 from .token_counts import count_tokens
 from .token_records import read_records, record_folder, write_records
 
@@ -92,6 +93,10 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.FLAG).cast("int").alias("predicted"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return repair_all(conversations, damage(conversations))
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_near_dedup": op10_near_dedup,
     "op11_toxicity": op11_toxicity,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
