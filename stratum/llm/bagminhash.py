@@ -56,7 +56,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty
 from .exact_dedup import resolve_groups
-from .pieces import byte_slices, utf8_lengths
+from .line_dedup import BUCKETS, likely
+from .pieces import Known, byte_slices, utf8_lengths
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -167,6 +168,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Known.release()
     for batch in batches:
         texts = batch.column("text")
         for a, b in byte_slices(utf8_lengths(texts), 1 << 20):
@@ -352,12 +354,14 @@ def near_links(nodes: DataFrame, texts_of) -> DataFrame:
         "weight", F.greatest(F.octet_length("items") / BLOCK_BYTES, F.lit(1 / BLOCK_ROWS)))
     live = staged(live, "band-live")
     # a bucket is cut into blocks of bounded size; the salt keeps it out of one task
-    salts = live.groupBy("band").agg(F.ceil(F.sum("weight") / 16).alias("salts"))
+    salts = live.groupBy("band").agg(F.ceil(F.sum("weight") / 16).cast("long").alias("salts"))
     filled = F.sum("weight").over(Window.partitionBy("band", "salt").orderBy("node")
                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     member = F.struct("node", "class", "items")
-    blocks = (live.join(salts, "band").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
-              .withColumn("block", F.floor(filled - 1e-9))
+    # staged, as rows that are dealt by band already would be grouped by (band, salt) where they are
+    salted = staged(live.join(salts, "band").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).drop("salts"),
+                    "band-salted")
+    blocks = (salted.repartition("band", "salt").withColumn("block", F.floor(filled - 1e-9))
               .groupBy("band", "salt", "block")
               .agg(F.collect_list(F.when(unmatched, member)).alias("open"), F.collect_list(member).alias("other")))
     blocks = staged(blocks, "band-blocks")
@@ -378,8 +382,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     nodes = staged(places.join(resolved.where("kept").select(F.col("_row").alias("node"), "group_size"), "node"), "nodes")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        at = (nodes.join(some, "node").select("node", F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash")))
-        return (rows.join(at, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
+        at = staged(nodes.join(some, "node").select("node", F.col("doc_id").alias("at_id"),
+                                                    F.col("text_hash").alias("at_hash")), "node-places")
+        # texts that surely are no node's are not shuffled
+        return (likely(rows, at, F.col("text_hash"), F.col("at_hash")).join(at, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash")))
                 .select("node", "text").dropDuplicates(["node"]))
 
     links = staged(near_links(nodes.select("node", "signature"), texts_of), "near-links")
@@ -398,16 +404,20 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class."""
-    kept = near_dedup(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+    marked = staged(near_dedup(docs).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "kept"), "near-kept")
+    # documents in no bucket of a lost one stay, and are not shuffled
+    lost = F.broadcast(marked.where("not kept").select(F.pmod("k_hash", F.lit(BUCKETS)).cast("int").alias("bucket__")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id",
                        F.xxhash64(text_or_empty()).alias("text_hash"))
+    rows = rows.withColumn("bucket__", F.pmod("text_hash", F.lit(BUCKETS)).cast("int"))
+    clean, rest = rows.join(lost, "bucket__", "left_anti"), rows.join(lost, "bucket__", "left_semi")
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
-    found = rows.join(staged(kept, "near-kept"), same, "left_semi")
+    kept = marked.where("kept").withColumn("bucket__", F.pmod("k_hash", F.lit(BUCKETS)).cast("int"))
+    found = rest.join(kept.join(lost, "bucket__", "left_semi").drop("bucket__"), same, "left_semi")
     # rows repeated in id and text: one stays
-    repeats = staged(rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeats = staged(rest.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
                      .select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")), "repeats")
-    if repeats.isEmpty():
-        return found.select("doc.*")
-    return (found.join(repeats, same, "left_anti")
-            .unionByName(found.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
-            .select("doc.*"))
+    if not repeats.isEmpty():
+        found = found.join(repeats, same, "left_anti").unionByName(
+            found.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]))
+    return clean.select("doc.*").unionByName(found.select("doc.*"))

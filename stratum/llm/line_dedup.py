@@ -2,13 +2,15 @@
 
 Lines are compared in normal form (lower case, runs of ASCII white space as
 one space, ends trimmed).  Two lines are copies if they are equal and not
-empty, or if both have at least ``MIN_CHARS`` normal characters and their edit
+empty, or if both have at least ``min_chars`` normal characters and their edit
 distance (insert, delete, replace) is one.  A line goes if an earlier line is
-its copy; earlier means smaller (doc_id, line number).  Between shorter lines
-one edit says nothing, so only equality counts; empty lines always stay.
+its copy; earlier means smaller (doc_id, line number).  By default
+(``MIN_CHARS``) one edit between shorter lines says nothing, so only equality
+counts there; with ``min_chars=1`` all lines that are not empty are compared up
+to one edit.  Empty lines always stay.
 
 1. One pass over the texts writes a narrow line table: digest, place, and
-   four half keys (of at least ``MIN_CHARS`` characters).  Equal lines
+   four half keys (of at least ``min_chars`` characters).  Equal lines
    collapse to their earliest place.
 2. Lines one edit apart share the first or the last half of the shorter one
    exactly, so a line whose half keys are its own has no other copy.  Lines
@@ -44,10 +46,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import WS, staged, text_or_empty
+from .pieces import Known
 
-#: least length of lines that are compared up to one edit; equal lines go at any length
+#: default least length of lines that are compared up to one edit; equal lines go at any length
 MIN_CHARS = 32
 
 
@@ -186,6 +190,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1].view(np.int64)),
                                            pa.array(columns[2], pa.int32())], ["no", "key", "at"])
 
+    Known.release()
     held, n = [], 0
     for batch in batches:
         columns = [batch.column(c) for c in ("no", "line", "front", "back")]
@@ -281,13 +286,13 @@ def near_links(table: DataFrame, first: DataFrame, docs: DataFrame) -> DataFrame
             .select("digest", "line", "other", "other_line").mapInArrow(_one_edit, "digest binary, other binary"))
 
 
-def duplicate_lines(docs: DataFrame) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """id, text_hash, drop (line numbers): the documents that lose lines."""
     lines = lines_of(docs)
     # shorter lines have no half keys: they meet equal lines only
     table = staged(lines.where(F.length("line") > 0)
                    .select("id", "text_hash", "line_no", F.unhex(F.md5("line")).alias("digest"),
-                           F.when(F.length("line") >= MIN_CHARS, _half_keys()).alias("halves")), "lines")
+                           F.when(F.length("line") >= min_chars, _half_keys()).alias("halves")), "lines")
     first = staged(table.groupBy("digest").agg(F.min(_place()).alias("place"),
                                                F.count(F.lit(1)).alias("n")), "line-firsts")
     near = staged(near_links(table.select("digest", "halves"), first, docs), "line-links")
@@ -302,32 +307,31 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
             .withColumnsRenamed({"id": "drop_id", "text_hash": "drop_hash"}))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, drops = batch.column("doc").field("text").to_pylist(), batch.column("drop").to_pylist()
-        counts, out = [], []
-        for text, drop in zip(texts, drops):
-            counts.append((text or "").count("\n") + 1)
-            if drop:
-                gone = set(drop)
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
-            out.append(text)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc"), pa.array(counts, pa.int64()), batch.column("drop"), pa.array(out, pa.string())],
-            ["doc", "n_lines", "dropped", "text"])
-
-
-def line_dedup(docs: DataFrame) -> DataFrame:
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, drops: pa.Array) -> pa.Array:
+    """The texts without some of their lines."""
+    out = []
+    for text, drop in zip(texts.to_pylist(), drops.to_pylist()):
+        if drop:
+            gone = set(drop)
+            text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Columns ``doc`` (struct of the input row), n_lines, dropped (line numbers), text (what stays)."""
-    drops = staged(duplicate_lines(docs), "line-drops")
+    drops = staged(duplicate_lines(docs, min_chars), "line-drops")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_key_columns())
-    # documents that surely lose nothing are not shuffled
+    # documents that surely lose nothing are not shuffled, and their texts stay in the JVM
     buckets = drops.select(F.pmod("drop_hash", F.lit(BUCKETS)).cast("int").alias("bucket__")).distinct()
     rows = rows.withColumn("bucket__", F.pmod("text_hash", F.lit(BUCKETS)).cast("int"))
+    text = text_or_empty("doc.text")
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")
     whole = (rows.join(F.broadcast(buckets), "bucket__", "left_anti")
-             .select("doc", F.array().cast("array<int>").alias("drop")))
+             .select("doc", n_lines, F.array().cast("array<int>").alias("dropped"), F.col("doc.text").alias("text")))
     joined = (rows.join(F.broadcast(buckets), "bucket__", "left_semi")
               .join(drops, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("text_hash") == F.col("drop_hash")), "left")
-              .select("doc", F.coalesce("drop", F.array().cast("array<int>")).alias("drop")))
-    schema = f"doc {joined.schema['doc'].dataType.simpleString()}, n_lines long, dropped array<int>, text string"
-    return whole.unionByName(joined).mapInArrow(_without, schema)
+              .select("doc", n_lines, F.coalesce("drop", F.array().cast("array<int>")).alias("dropped"))
+              .withColumn("text", _without(F.col("doc.text"), F.col("dropped"))))
+    return whole.unionByName(joined)

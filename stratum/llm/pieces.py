@@ -71,6 +71,13 @@ class Known:
         self.encode, self.entry_bytes, self.limit, self.table = encode, entry_bytes, limit, {}
         Known.tables.append(self)
 
+    @classmethod
+    def release(cls) -> None:
+        """Called by tasks of operators that keep no pieces: what others kept in this process goes."""
+        for one in cls.tables:
+            one.table.clear()
+        pa.default_memory_pool().release_unused()
+
     def __call__(self, words: list[str]) -> list:
         table = self.table
         new = [w for w in words if w not in table]

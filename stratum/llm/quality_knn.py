@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, text_or_empty
 from .pieces import Known, Pieces, byte_slices, utf8_lengths
 
 SAMPLE, TERMS, RANK, NEIGHBOURS = 4096, 4096, 64, 9
@@ -69,7 +69,7 @@ def _word_hashes(words: list[str]) -> list[int]:
             for w, s in zip(words, shapes.to_pylist())]
 
 
-_WORDS = Known(_word_hashes, 180)  # of this worker process
+_WORDS = Known(_word_hashes, 180, 48 << 20)  # of this worker process
 
 
 def term_counts(texts: pa.Array, terms: int = TERMS) -> np.ndarray:
@@ -204,12 +204,12 @@ def score(docs: DataFrame, model: KnnModel) -> DataFrame:
     """Columns ``doc`` (struct of the input row) and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column("doc").field("text"), "")
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
             scores = [shared.value.scores(texts.slice(a, b - a)) for a, b in slices(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc", "score"])
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
+    # only the text goes to Python
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
+    return rows.withColumn("score", scored(text_or_empty("doc.text")))

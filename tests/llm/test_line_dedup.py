@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratum.llm.line_dedup import MIN_CHARS, line_dedup, variants
@@ -19,18 +20,18 @@ def within_one(a, b):
     return a[i:] == b[i + 1:] or (len(a) == len(b) and a[i + 1:] == b[i + 1:])
 
 
-def brute(rows):
+def brute(rows, least=MIN_CHARS):
     """Dropped lines per (id, text): every pair of lines is compared."""
     docs = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    seen, out = [], {}
+    seen, out = {}, {}
     for doc_id, text in docs:
         drop = []
         for i, line in enumerate((text or "").split("\n")):
             x = norm(line)
-            if len(x) >= MIN_CHARS:
-                if any(within_one(x, y) for y in seen):
-                    drop.append(i)
-                seen.append(x)
+            if x and (x in seen or (len(x) >= least and any(within_one(x, y) for y in seen if len(y) >= least))):
+                drop.append(i)
+            if x:
+                seen[x] = True
         out[doc_id, text] = drop
     return out
 
@@ -39,8 +40,8 @@ def result(df):
     return {(r["doc"]["doc_id"], r["doc"]["text"]): (r["dropped"], r["text"], r["n_lines"]) for r in df.collect()}
 
 
-def check(docs_of, rows):
-    got, want = result(line_dedup(docs_of(rows))), brute(rows)
+def check(docs_of, rows, least=MIN_CHARS):
+    got, want = result(line_dedup(docs_of(rows), least)), brute(rows, least)
     assert set(got) == set(want)
     for key, drop in want.items():
         dropped, text, n_lines = got[key]
@@ -56,6 +57,15 @@ def edit(rng, line):
     return rng.choice([line[:i] + "q" + line[i:], line[:i] + line[i + 1:], line[:i] + "z" + line[i + 1:]])
 
 
+@pytest.mark.parametrize("least", [1, 2, 5, 32])
+def test_any_least_length(docs_of, least):
+    """1 is the exact form: all lines that are not empty are compared up to one edit."""
+    rng = random.Random(least)
+    rows = [(i, "\n".join("".join(rng.choices("ab ", k=rng.choice([0, 1, 2, 3, 4, 7, 12, 33]))) for _ in range(3)))
+            for i in range(60)]
+    check(docs_of, rows, least)
+
+
 def test_matches_brute_force(docs_of):
     rng = random.Random(3)
     base = ["".join(rng.choice("abc d") for _ in range(rng.randint(30, 60))).strip() for _ in range(12)]
