@@ -760,3 +760,21 @@ SELECT "table", w AS window_start, w + INTERVAL 1 DAY AS window_end, last_sync A
 FROM f""")
 
 ORACLE["lag_series_gap_stream"] = ORACLE["lag_series_gap"]
+
+# ------------------------------------------------------------------ round 3
+ORACLE["rollup_signed_deltas"] = ORACLE["rollup_day_category"]
+
+ORACLE["incremental_dimension_change"] = with_fixtures("""
+SELECT category, CAST(date_trunc('year', order_date) AS DATE) AS orderDate_year, count(*) AS count,
+       CAST(sum(amount_usd) AS DOUBLE) AS totalAmount, CAST(sum(gross_margin_usd) AS DOUBLE) AS grossMargin
+FROM fct_sales GROUP BY 1, 2""")
+
+ORACLE["alert_stream_silent"] = ORACLE["alert_stream"].partition("SELECT series_id, start_ts, min(ts) AS fired_ts")[0] + """
+, f AS (SELECT series_id, start_ts, max(ts) AS last_ts,
+               min(CASE WHEN epoch_us(ts) - epoch_us(start_ts) >= 60000000 THEN ts END) AS fired_ts
+        FROM st GROUP BY series_id, start_ts),
+e AS (SELECT series_id, island AS last_island FROM c
+      QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC, event_id DESC) = 1),
+open_ AS (SELECT DISTINCT series_id, start_ts FROM st JOIN e USING (series_id) WHERE island = last_island)
+SELECT series_id, start_ts, coalesce(fired_ts, start_ts + INTERVAL 60 SECOND) AS fired_ts
+FROM f WHERE fired_ts IS NOT NULL OR (series_id, start_ts) IN (SELECT (series_id, start_ts) FROM open_)"""

@@ -37,6 +37,10 @@ class MedallionResult:
     report: DataFrame
     gold_path: str
     months: list[int] | None = None    # the months written; None: all
+    # the change of gold, for what follows it by deltas: rows that went, rows
+    # that came; None for a full run
+    retracted: DataFrame | None = None
+    added: DataFrame | None = None
 
 
 def silver_models(orders_bronze: DataFrame, products_bronze: DataFrame,
@@ -102,6 +106,59 @@ def _applied(spark: SparkSession, gold_path: str) -> int:
     return max([int(n[2:]) for n in names if n.startswith("b=")], default=-1)
 
 
+# what gold takes from the dimensions, by the id that orders name
+DIMENSION_COLUMNS = {
+    "product_id": ("product_name", "category", "price_usd"),
+    "user_id": ("user_name", "email", "country", "signup_date"),
+}
+
+
+def row_digests(dim: DataFrame, key: str) -> DataFrame:
+    """key, digest of what gold takes from a dimension's rows."""
+    values = F.to_json(F.struct(*DIMENSION_COLUMNS[key]), {"ignoreNullFields": "false"})
+    return dim.select(key, F.unhex(F.md5(values)).alias("digest"))
+
+
+def changed_ids(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """Ids whose row is new, gone or different between two snapshots of digests."""
+    return (before.withColumnRenamed("digest", "was").join(now, key, "full_outer")
+            .where(~F.col("was").eqNullSafe(F.col("digest"))).select(key))
+
+
+class Snapshots:
+    """The dimensions' row digests as gold has them, a folder per run."""
+
+    def __init__(self, spark: SparkSession, gold_path: str):
+        self.spark, self.home = spark, f"{gold_path.rstrip('/')}/dimensions"
+
+    def _runs(self) -> list[int]:
+        return sorted(int(c[2:]) for c in child_names(self.spark, self.home)
+                      if c.startswith("r=") and "_SUCCESS" in child_names(self.spark, f"{self.home}/{c}/done"))
+
+    def changed(self, now: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Per dimension the ids that differ from the last run's snapshot."""
+        runs = self._runs()
+        if not runs:
+            return {}
+        last = f"{self.home}/r={runs[-1]}"
+        return {key: changed_ids(self.spark.read.parquet(f"{last}/{key}"), digests, key) for key, digests in now.items()}
+
+    def keep(self, now: dict[str, DataFrame]) -> None:
+        """Written after gold: a run that stops before does its changes again."""
+        runs = self._runs()
+        out = f"{self.home}/r={runs[-1] + 1 if runs else 0}"
+        for key, digests in now.items():
+            digests.write.mode("overwrite").parquet(f"{out}/{key}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{out}/done")
+
+
+def dimension_digests(spark: SparkSession, products_bronze: DataFrame, users_bronze: DataFrame,
+                      tz: str | None) -> dict[str, DataFrame]:
+    """Digests of the present dimensions, written once per run."""
+    dims = {"product_id": staging.stg_products(products_bronze), "user_id": staging.stg_users(users_bronze, tz=tz)}
+    return {key: materialize_table(row_digests(dim, key), scratch_path(spark, f"digests-{key}")) for key, dim in dims.items()}
+
+
 def run_incremental(spark: SparkSession, changes_stream: DataFrame, bronze_path: str,
                     unwrap_fn, products_bronze: DataFrame, users_bronze: DataFrame,
                     checkpoint: str | None = None, gold_path: str | None = None,
@@ -113,9 +170,11 @@ def run_incremental(spark: SparkSession, changes_stream: DataFrame, bronze_path:
 
     The first run builds gold from the whole log.  Later ones take the keys of
     the batches that gold has not seen, resolve those from the log, and rewrite
-    the months in which they were or now are.  ``changed_products`` and
-    ``changed_users`` (a column ``id``) add the orders that name them.  Pass the
-    same ``checkpoint``, ``bronze_path`` and ``gold_path`` to every run.
+    the months in which they were or now are.  Changed products and users are
+    found by comparing their rows' digests with those of the last run, and the
+    orders in gold that name them are resolved again; ``changed_products`` and
+    ``changed_users`` (a column ``id``) add others.  Pass the same
+    ``checkpoint``, ``bronze_path`` and ``gold_path`` to every run.
     """
     from ..streaming.latest_stream import await_done, write_versions
     path = gold_path or scratch_path(spark, "gold-fct_sales")
@@ -123,24 +182,31 @@ def run_incremental(spark: SparkSession, changes_stream: DataFrame, bronze_path:
     bronze = spark.read.parquet(bronze_path)
     last = bronze.agg(F.max("_batch_id")).first()[0]
     table, seen = VersionedTable(spark, path, MONTH), _applied(spark, path)
+    snapshots, now = Snapshots(spark, path), dimension_digests(spark, products_bronze, users_bronze, tz)
     if table.version() is None or seen < 0:
         result = run_medallion(spark, bronze.drop("_batch_id"), products_bronze, users_bronze, path,
                                order_tiebreak, gate, tz, gate_levels)
     else:
         result = _apply(spark, table, bronze, seen, products_bronze, users_bronze, order_tiebreak,
-                        gate, tz, gate_levels, changed_products, changed_users)
+                        gate, tz, gate_levels, changed_products, changed_users, snapshots.changed(now))
+    snapshots.keep(now)
     if last is not None:
         spark.range(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/applied/b={last}")
     return result
 
 
 def _apply(spark, table: VersionedTable, bronze: DataFrame, seen: int, products_bronze, users_bronze,
-           order_tiebreak, gate, tz, gate_levels, changed_products, changed_users) -> MedallionResult:
+           order_tiebreak, gate, tz, gate_levels, changed_products, changed_users,
+           found: dict[str, DataFrame]) -> MedallionResult:
     keys = bronze.where(F.col("_batch_id") > seen).select("id")
     for column, changed in (("product_id", changed_products), ("user_id", changed_users)):
-        if changed is not None:
-            ids = changed.select(F.col("id").alias(column)).distinct()
-            keys = keys.unionByName(bronze.join(ids, column, "left_semi").select("id"))
+        ids = [changed.select(F.col("id").alias(column))] if changed is not None else []
+        ids += [found[column]] if column in found else []
+        if ids:
+            # gold names the product and user of its orders; orders that are not in gold do not need them
+            of = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
+            keys = keys.unionByName(table.read().join(of.distinct(), column, "left_semi")
+                                    .select(F.col("order_id").alias("id")))
     keys = materialize_table(keys.distinct(), scratch_path(spark, "changed-keys"))
     log = bronze.drop("_batch_id").join(keys, "id", "left_semi")
     o, p, u = silver_models(log, products_bronze, users_bronze, order_tiebreak,
@@ -151,11 +217,11 @@ def _apply(spark, table: VersionedTable, bronze: DataFrame, seen: int, products_
     new = materialize_table(marts.build_fct_sales(o, p, u).withColumn(MONTH, yyyymm("order_date")),
                             scratch_path(spark, "gold-changed"))
     # one row per month: those that a changed order leaves or enters
-    months = [r[0] for r in (old.join(order_keys, "order_id", "left_semi").select(MONTH)
-                             .unionByName(new.select(MONTH)).distinct().collect())]
+    gone = materialize_table(old.join(order_keys, "order_id", "left_semi"), scratch_path(spark, "gold-gone"))
+    months = [r[0] for r in gone.select(MONTH).unionByName(new.select(MONTH)).distinct().collect()]
     if not months:
-        return MedallionResult(old, report, table.path, [])
+        return MedallionResult(old, report, table.path, [], gone, new)
     stay = old.where(F.col(MONTH).isin(months)).join(order_keys, "order_id", "left_anti")
     gold = table.replace_partitions(stay.unionByName(new), months, list(marts.FCT_SALES_ORDER))
     materialize_view(gold, "fct_sales")
-    return MedallionResult(gold, report, table.path, sorted(months))
+    return MedallionResult(gold, report, table.path, sorted(months), gone, new)

@@ -694,8 +694,7 @@ def q_run_medallion(spark, d):
                            ("orderDate", "month")))
 
 
-@register("run_incremental")
-def q_run_incremental(spark, d):
+def _incremental_runs(spark, d, products=(None, None), after=lambda run, res: None):
     """Two runs, with the later half of the changes landing in between: the
     second applies only them and writes only the months they touch."""
     changes = fx.change_log(spark, d)
@@ -703,12 +702,46 @@ def q_run_incremental(spark, d):
     mid = F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp")
     early = F.coalesce(F.col("timestamp") < mid, F.lit(True))
     landing, bronze, ckpt, gold = (scratch_path(spark, n) for n in ("landing-inc", "bronze-inc", "ckpt-inc", "gold-inc"))
-    for part in (changes.where(early), changes.where(~early)):
+    for run, part in enumerate((changes.where(early), changes.where(~early))):
         part.write.mode("append").json(landing)
         stream = cdc.read_changes(spark, "json", path=landing, streaming=True)
-        res = MD.run_incremental(spark, stream, bronze, unwrapped_orders, fx.bronze_products(spark, d),
-                                 fx.bronze_users(spark, d), ckpt, gold)
-    return as_double(query(res.gold, ORDERS, ["count", "totalAmount"], ["status"]))
+        known = products[run] if products[run] is not None else fx.bronze_products(spark, d)
+        res = MD.run_incremental(spark, stream, bronze, unwrapped_orders, known, fx.bronze_users(spark, d), ckpt, gold)
+        after(run, res)
+    return res
+
+
+@register("run_incremental")
+def q_run_incremental(spark, d):
+    return as_double(query(_incremental_runs(spark, d).gold, ORDERS, ["count", "totalAmount"], ["status"]))
+
+
+@register("incremental_dimension_change")
+def q_incremental_dimension_change(spark, d):
+    """Categories and prices change between two runs, and nobody says which: the
+    second run finds them and corrects the orders that name them."""
+    now = fx.bronze_products(spark, d)
+    before = (now.withColumn("category", F.when(F.col("id") % 3 == 0, F.lit("old category")).otherwise(F.col("category")))
+              .withColumn("price", F.when(F.col("id") % 5 == 0, F.col("price") + 1).otherwise(F.col("price"))))
+    res = _incremental_runs(spark, d, products=(before, now))
+    return as_double(query(res.gold, ORDERS, ["count", "totalAmount", "grossMargin"], ["category"], ("orderDate", "year")))
+
+
+@register("rollup_signed_deltas")
+def q_rollup_signed_deltas(spark, d):
+    """A rollup built by the first run and kept up by the second one's change of
+    gold: old versions count -1, new ones +1, merged into the touched months."""
+    from .plans.rollup_deltas import MaintainedRollup
+    kept = MaintainedRollup(spark, ORDERS, DAY_CATEGORY)
+
+    def follow(run, res):
+        if run == 0:
+            kept.build(res.gold)
+        else:
+            kept.apply(res.added, res.retracted)
+
+    _incremental_runs(spark, d, after=follow)
+    return as_double(kept.rollup().df)
 
 
 @register("sales_by_business_day")
@@ -1064,3 +1097,29 @@ def q_alert_stream_stale(spark, d):
     LS.use_rocksdb_state(spark)
     LS.await_done(LS.write_versions(alerts, out, output_mode="append"))
     return spark.read.parquet(out).drop("_batch_id")
+
+
+@register("alert_stream_silent")
+def q_alert_stream_silent(spark, d):
+    """Every series falls silent at the end of the data: a heartbeat stream moves
+    the watermark, and streaks that are still on fire at start + hold."""
+    from .session import child_names
+    from .streaming.alerts import alert_stream
+    g = fx.gauge_samples(spark, d).select("ts", "series_id", "event_id", "value")
+    landing, beats = _landing_in_time_order(g, "ts", 4, "event_id"), scratch_path(spark, "heartbeat")
+    ends = g.agg(F.min("ts").cast("timestamp").alias("lo"), F.max("ts").cast("timestamp").alias("hi"))
+    # a file per trigger; the beat that passes the last sample comes after all of them
+    n = sum(c.endswith(".parquet") for c in child_names(spark, landing))
+    for i in range(n + 3):
+        late = F.col("hi") + F.expr(f"INTERVAL {5000 + i} DAYS")
+        ends.select((F.col("lo") if i <= n else late).alias("ts")).coalesce(1).write.mode("append").parquet(beats)
+
+    def feed(path):
+        return (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+    # a delay longer than the data, so that only the heartbeat can pass a sample's time
+    alerts = alert_stream(feed(landing), "series_id", "ts", "value", 30, 60, tiebreak="event_id", idle_timeout_s=None,
+                          watermark="4000 days", fire_when_silent=True, heartbeat=feed(beats))
+    out = scratch_path(spark, "alerts-silent")
+    LS.await_done(LS.write_versions(alerts, out, output_mode="append"))
+    return spark.read.parquet(out).drop("_batch_id")

@@ -1,16 +1,28 @@
-"""Streaming "condition held for a duration" alert (stateful, per series).
-
-State per series: whether the last sample met the condition, when the
-current streak started, and whether it already fired.  Each micro-batch's
-samples of a series are processed in event order with numpy (streak ids by
-cumulative sums, no per-row Python loop); an alert row is emitted once per
-streak, at the first sample where ``t - streak_start >= hold``.  That is the
-streaming counterpart of :func:`stratum.operators.monitor.alert_intervals`:
-the same streaks qualify.
-
-Input must arrive in event-time order per series (a broker partition keyed
-by series does this): samples older than the series' last one are dropped.
-The micro-batch size bounds the rows one series hands to one task.
+"""Streaming "condition held for a duration" alert on runs of samples.
+
+1. Within a micro-batch the samples of each (series, time slice) are reduced to
+   runs: stretches in which the condition holds or does not hold.  A series that
+   holds all rows is spread over its slices, and only runs go on, so what one
+   task handles for a series grows with the changes of the condition, not with
+   the samples.
+2. ``transformWithState`` merges a series' runs in time order into a value
+   state: whether the last run holds the condition, when it started, whether it
+   already fired, and the time of the last sample.  An alert row is emitted once
+   per streak, at the first sample where ``t - streak_start >= hold``.  If the
+   streak began before a slice, that sample is among the slice's first samples
+   within ``hold``; the first run of a slice carries those times.
+3. Event-time timers fire a streak whose series fell silent, and drop the state
+   of idle series.
+
+A heartbeat (a second stream of event times) moves the watermark when every
+series is silent: the watermark then follows the stream that is ahead
+(``multipleWatermarkPolicy`` max).
+
+That is the streaming counterpart of
+:func:`stratum.operators.monitor.alert_intervals`: the same streaks qualify.
+Input must arrive in event-time order per series across micro-batches (a broker
+partition keyed by series gives that): runs that end before the series' last
+sample are dropped, and a run that began before it counts from there on.
 """
 
 from __future__ import annotations
@@ -19,89 +31,164 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.series import epoch_micros
+from .latest_stream import use_rocksdb_state
+
+STATE_SCHEMA = "on boolean, since long, fired boolean, last_t long, timer long"
+#: a slice is so many times as long as the hold, so few samples of it can matter to an older streak
+SLICE_HOLDS = 60
+
+
+def runs_of(t: np.ndarray, on: np.ndarray, hold_us: int, idle_us: int | None) -> list[dict]:
+    """The runs of samples in time order: on, first_t, last_t, n, fired_t (None: not yet),
+    and heads, the times at which an older streak could fire in the first run."""
+    if not len(t):
+        return []
+    cut = on[1:] != on[:-1]
+    if idle_us is not None:
+        cut |= np.diff(t) > idle_us
+    starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
+    ends = np.append(starts[1:], len(t))
+    due = np.maximum(np.searchsorted(t, t[starts] + hold_us, side="left"), starts)
+    out = []
+    for i, (a, b, d) in enumerate(zip(starts.tolist(), ends.tolist(), due.tolist())):
+        heads = t[a:min(d + 1, b)].tolist() if i == 0 and on[a] else []
+        out.append({"on": bool(on[a]), "first_t": int(t[a]), "last_t": int(t[b - 1]), "n": b - a,
+                    "fired_t": int(t[d]) if on[a] and d < b else None, "heads": heads})
+    return out
 
-STATE_SCHEMA = "on boolean, since long, fired boolean, last_t long"
-
-
-def _alert_fn(threshold: float, hold_us: int, idle_ms: int | None = None, silent: bool = False):
-    def wait(state: GroupState, on: bool, since: int, fired: bool, last: int) -> None:
-        """Come back when a streak is due to fire, or else when the series is idle."""
-        times = [last // 1000 + idle_ms] if idle_ms is not None else []
-        if silent and on and not fired:
-            times.append(-(-(since + hold_us) // 1000))
-        if times:
-            state.setTimeoutTimestamp(max(min(times), state.getCurrentWatermarkMs() + 1))
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            on, since, fired, last = state.get
-            if silent and on and not fired:
-                # still on as far as anyone knows, and held long enough
-                fired = True
-                yield pd.DataFrame({"series": [key[0]], "start_t": [since], "fired_t": [since + hold_us]})
-            if idle_ms is None or state.getCurrentWatermarkMs() * 1000 - last < idle_ms * 1000:
-                state.update((on, since, fired, last))
-                wait(state, on, since, fired, last)
-            else:
-                # the series sent nothing for idle_ms of event time: forget it
-                state.remove()
+
+def run_rows(samples: DataFrame, threshold: float, hold_us: int, idle_us: int | None) -> DataFrame:
+    """Runs of ``samples`` (series, t, tb, v), made per (series, time slice) of a micro-batch.
+
+    Rows without a time (heartbeats among them) are left out."""
+    slice_us = max(SLICE_HOLDS * hold_us, 1_000_000)
+    kind = samples.schema["series"].dataType
+    schema = (f"series {kind.simpleString()}, on boolean, first_t long, last_t long, n long, fired_t long, "
+              "heads array<long>")
+    fields = pa.schema([("on", pa.bool_()), ("first_t", pa.int64()), ("last_t", pa.int64()), ("n", pa.int64()),
+                        ("fired_t", pa.int64()), ("heads", pa.list_(pa.int64()))])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+        if held is None:
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if state.exists:
-            s_on, s_since, s_fired, s_last = state.get
-            pdf = pdf[pdf["t"] >= s_last]
-        else:
-            s_on, s_since, s_fired, s_last = False, -1, False, None
-        if pdf.empty:
+        held = held.filter(pc.is_valid(held["t"]))
+        names = held["series"].combine_chunks().dictionary_encode(null_encoding="encode")
+        code = names.indices.to_numpy(zero_copy_only=False)
+        t, tb = (held[c].to_numpy() for c in ("t", "tb"))
+        v = held["v"].to_numpy(zero_copy_only=False).astype(np.float64)
+        piece = t // slice_us
+        order = np.lexsort((tb, t, piece, code))
+        code, t, piece = code[order], t[order], piece[order]
+        on = np.nan_to_num(v[order], nan=-np.inf) > threshold
+        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(piece) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)]):
+            if a < b:
+                rows = pa.RecordBatch.from_pylist(runs_of(t[a:b], on[a:b], hold_us, idle_us), fields)
+                series = names.dictionary.take(pa.array([code[a]] * rows.num_rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([series, *rows.columns], ["series", *fields.names])
+
+    dealt = samples.repartition("series", F.floor(F.col("t") / slice_us))
+    return dealt.select("series", "t", "tb", "v").mapInArrow(make, schema)
+
+
+def advance(state: tuple, run: dict, hold_us: int, idle_us: int | None) -> tuple[tuple, tuple[int, int] | None]:
+    """The state after ``run``, and the streak that fires (its start and the time), if one does."""
+    on, since, fired, last = state
+    if last is not None and run["last_t"] < last:
+        return state, None
+    first = run["first_t"]
+    if last is not None and first < last:  # began before what the series has seen already
+        first = next((h for h in run["heads"] if h >= last), last)
+    if not run["on"]:
+        return (False, -1, False, run["last_t"]), None
+    if on and not (idle_us is not None and first - last > idle_us):
+        at = next((h for h in run["heads"] if h >= since + hold_us), None) if not fired else None
+        if at is None and not fired and run["last_t"] >= since + hold_us:
+            at = run["fired_t"] if run["fired_t"] is not None else run["last_t"]
+    else:
+        since, fired, at = first, False, run["fired_t"]
+    return (True, since, fired or at is not None, run["last_t"]), (since, at) if at is not None else None
+
+
+class HeldCondition(StatefulProcessor):
+    """One value state and at most one timer per series."""
+
+    def __init__(self, hold_us: int, idle_us: int | None, silent: bool):
+        self.hold_us, self.idle_us, self.silent = hold_us, idle_us, silent
+        self.timed = silent or idle_us is not None
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", STATE_SCHEMA)
+
+    def _keep(self, state: tuple, timer: int, watermark_ms: int) -> None:
+        """Keeps the state, and comes back when a streak is due to fire, or else when the series is idle.
+
+        ``timer``: the one that is set, 0 for none."""
+        on, since, fired, last = state
+        times = [-(-(last + self.idle_us) // 1000)] if self.idle_us is not None else []
+        if self.silent and on and not fired:
+            times.append(-(-(since + self.hold_us) // 1000))
+        due = max(min(times), watermark_ms + 1) if times else 0
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if due:
+                self.handle.registerTimer(due)
+        self.state.update((on, since, fired, last, due))
+
+    @staticmethod
+    def _rows(key: tuple, fires: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"series": [key[0]] * len(fires), "start_t": [f[0] for f in fires],
+                             "fired_t": [f[1] for f in fires]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        runs = pd.concat(list(rows), ignore_index=True).sort_values(["first_t", "last_t"], kind="stable")
+        *state, timer = self.state.get() if self.state.exists() else (False, -1, False, None, 0)
+        state, fires = tuple(state), []
+        for run in runs[["on", "first_t", "last_t", "fired_t", "heads"]].to_dict("records"):
+            run["fired_t"] = None if pd.isna(run["fired_t"]) else int(run["fired_t"])
+            state, fire = advance(state, run, self.hold_us, self.idle_us)
+            fires += [fire] if fire else []
+        state = (bool(state[0]), int(state[1]), bool(state[2]), int(state[3]))
+        self._keep(state, timer, timerValues.getCurrentWatermarkInMs() if self.timed else 0)
+        if fires:
+            yield self._rows(key, fires)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
             return
-        pdf = pdf.sort_values(["t", "tb"], kind="stable")
-        t = pdf["t"].to_numpy(dtype=np.int64)
-        v = pdf["v"].to_numpy(dtype=np.float64)
-        on = np.nan_to_num(v, nan=-np.inf) > threshold
-        prev_on = np.concatenate([[bool(s_on)], on[:-1]])
-        if idle_ms is not None:
-            # a silence longer than the idle time breaks a streak, also
-            # across micro-batches (deterministic, unlike timeout timing)
-            prev_t = np.concatenate([[t[0] if s_last is None else s_last], t[:-1]])
-            prev_on &= (t - prev_t) <= idle_ms * 1000
-            if s_last is not None and t[0] - s_last > idle_ms * 1000:
-                s_fired = False
-        new = on & ~prev_on
-        sid = np.cumsum(new)                     # 0 = streak carried from state
-        starts = np.concatenate([[s_since], t[new]])
-        start_t = starts[sid]
-        elig = on & (t - start_t >= hold_us)
-        if s_fired:
-            elig &= sid != 0
-        fired_sids, first_idx = np.unique(sid[elig], return_index=True)
-        idx = np.flatnonzero(elig)[first_idx]
-        out = pd.DataFrame({
-            "series": np.repeat(key[0], len(idx)),
-            "start_t": start_t[idx],
-            "fired_t": t[idx],
-        })
-        last_sid = sid[-1]
-        last_fired = bool(last_sid in set(fired_sids.tolist())) or (last_sid == 0 and s_fired)
-        kept = (bool(on[-1]), int(start_t[-1]) if on[-1] else -1,
-                bool(on[-1]) and last_fired, int(t[-1]))
-        state.update(kept)
-        wait(state, *kept)
-        if len(out):
-            yield out
-    return fn
+        on, since, fired, last, timer = self.state.get()
+        if expiredTimerInfo.getExpiryTimeInMs() == timer:
+            timer = 0
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.silent and on and not fired and watermark * 1000 >= since + self.hold_us:
+            # still on as far as anyone knows, and held long enough
+            fired = True
+            yield self._rows(key, [(since, since + self.hold_us)])
+        if self.idle_us is not None and watermark * 1000 - last >= self.idle_us:
+            self.state.clear()  # the series sent nothing for so long in event time: forget it
+            return
+        self._keep((on, since, fired, last), timer, watermark)
+
+    def close(self) -> None:
+        pass
 
 
 def alert_stream(samples: DataFrame, series: str, ts: str, value: str, threshold: float,
                  hold_s: float, tiebreak: str | None = None,
                  idle_timeout_s: float | None = 6 * 3600, watermark: str = "10 minutes",
-                 fire_when_silent: bool = False) -> DataFrame:
+                 fire_when_silent: bool = False, heartbeat: DataFrame | None = None) -> DataFrame:
     """``series, start_ts, fired_ts`` once per streak of ``value > threshold``
-    lasting ``hold_s`` (works on streaming and batch DataFrames).
+    lasting ``hold_s``, on a stream.
 
     ``idle_timeout_s``: a silence longer than this between consecutive
     samples of a series breaks its streak, and the state of a series that
@@ -111,25 +198,32 @@ def alert_stream(samples: DataFrame, series: str, ts: str, value: str, threshold
     series and lets a streak span any gap, as the batch form does by default.
 
     ``fire_when_silent``: a streak whose series then sends nothing fires at
-    ``start + hold`` once the watermark (which other series move) passes that
-    time, instead of with the series' next sample.
+    ``start + hold`` once the watermark passes that time, instead of with the
+    series' next sample.  Other series move the watermark, and so does
+    ``heartbeat``, a stream with a column ``ts``, when all of them are silent.
     """
-    series_type = samples.schema[series].dataType.simpleString()
-    timeout = GroupStateTimeout.NoTimeout
-    if idle_timeout_s is not None or fire_when_silent:
-        samples = (samples.withColumn(ts, F.col(ts).cast("timestamp"))
-                          .withWatermark(ts, watermark))
-        timeout = GroupStateTimeout.EventTimeTimeout
+    spark = samples.sparkSession
+    use_rocksdb_state(spark)
+    timed = idle_timeout_s is not None or fire_when_silent or heartbeat is not None
+    if timed:
+        samples = samples.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     prepared = samples.select(
-        F.col(ts).alias("__ts"),
-        F.col(series).alias("series"), epoch_micros(samples, ts).alias("t"),
+        F.col(ts).alias("at"), F.col(series).alias("series"), epoch_micros(samples, ts).alias("t"),
         F.col(value).cast("double").alias("v"),
         (F.col(tiebreak) if tiebreak else F.lit(0)).cast("long").alias("tb"))
-    out_schema = f"series {series_type}, start_t long, fired_t long"
-    idle_ms = None if idle_timeout_s is None else int(idle_timeout_s * 1000)
-    res = prepared.groupBy("series").applyInPandasWithState(
-        _alert_fn(float(threshold), int(hold_s * 1_000_000), idle_ms, fire_when_silent), out_schema, STATE_SCHEMA,
-        "append", timeout)
+    if heartbeat is not None:
+        spark.conf.set("spark.sql.streaming.multipleWatermarkPolicy", "max")
+        kinds = {f.name: f.dataType for f in prepared.schema.fields}
+        beats = heartbeat.select(F.col("ts").cast("timestamp").alias("at")).withWatermark("at", watermark)
+        prepared = prepared.unionByName(beats.select(
+            "at", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("series", "t", "v", "tb")]))
+    hold_us = int(hold_s * 1_000_000)
+    idle_us = None if idle_timeout_s is None else int(idle_timeout_s * 1_000_000)
+    runs = run_rows(prepared, float(threshold), hold_us, idle_us)
+    kind = samples.schema[series].dataType.simpleString()
+    res = runs.groupBy("series").transformWithStateInPandas(
+        HeldCondition(hold_us, idle_us, fire_when_silent), f"series {kind}, start_t long, fired_t long",
+        "append", "EventTime" if timed else "None")
     to_ts = "timestampadd(MICROSECOND, {}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
     return res.select(F.col("series").alias(series),
                       F.expr(to_ts.format("start_t")).alias("start_ts"),

@@ -4,7 +4,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
@@ -13,6 +13,3 @@ def spark():
     s = get_spark("local[4]", shuffle_partitions=4)
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"

@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from stratum.operators import forecast as FC
 from stratum.operators.retrieval import nearest_examples
 
-from conftest import SF_SMALL
+from stratum_test_data import SF_SMALL
 
 
 def test_entry_runs(spark):

@@ -10,7 +10,7 @@ from stratum.operators.latest import latest_by_key
 from stratum.plans.semantic import ORDERS, query
 from stratum.registry import fct_sales
 
-from conftest import SF_SMALL
+from stratum_test_data import SF_SMALL
 
 
 def _plan(df) -> str:
