@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 from .common import staged, text_or_empty
 from .exact_dedup import resolve_groups
 from .line_dedup import BUCKETS, likely
-from .pieces import Known, byte_slices, utf8_lengths
+from .pieces import byte_slices, utf8_lengths, without_pieces
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -167,8 +167,8 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (total - common) if total > common else 1.0
 
 
+@without_pieces
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    Known.release()
     for batch in batches:
         texts = batch.column("text")
         for a, b in byte_slices(utf8_lengths(texts), 1 << 20):
@@ -182,6 +182,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "text_hash", "digest", "signature"])
 
 
+@without_pieces
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(-1, BANDS, ROWS)
@@ -193,6 +194,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array(key.ravel().view(np.int64))], ["node", "band"])
 
 
+@without_pieces
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 128):
@@ -228,6 +230,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(_verified, "a long, b long, similarity double"))
 
 
+@without_pieces
 def _itemised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The multiset as a sorted set of 64-bit items: the c-th copy of a shingle is an item of its own."""
     for batch in batches:
@@ -267,6 +270,7 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@without_pieces
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows: a block of open members and a block of members of one bucket.  Yields
     links that join different classes, none that follows from others of its row."""

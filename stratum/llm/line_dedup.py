@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .common import WS, staged, text_or_empty
-from .pieces import Known
+from .pieces import without_pieces
 
 #: default least length of lines that are compared up to one edit; equal lines go at any length
 MIN_CHARS = 32
@@ -184,13 +184,13 @@ def variants(line: str, front: bool = True, back: bool = True) -> tuple[list[int
     return np.concatenate(keys).tolist(), np.concatenate(places).tolist()
 
 
+@without_pieces
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         columns = [np.concatenate(x) for x in zip(*held)]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1].view(np.int64)),
                                            pa.array(columns[2], pa.int32())], ["no", "key", "at"])
 
-    Known.release()
     held, n = [], 0
     for batch in batches:
         columns = [batch.column(c) for c in ("no", "line", "front", "back")]
@@ -206,6 +206,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+@without_pieces
 def _one_edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links whose lines are at most one edit apart, in time linear in the lines."""
     def same(a: str, b: str) -> int:

@@ -12,6 +12,9 @@ go to the library whole (long ones in parts, again cut at safe boundaries).
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -72,11 +75,11 @@ class Known:
         Known.tables.append(self)
 
     @classmethod
-    def release(cls) -> None:
-        """Called by tasks of operators that keep no pieces: what others kept in this process goes."""
+    def release(cls, but: Known | None = None) -> None:
+        """What operators kept in this process goes (not that of ``but``)."""
         for one in cls.tables:
-            one.table.clear()
-        pa.default_memory_pool().release_unused()
+            if one is not but:
+                one.table.clear()
 
     def __call__(self, words: list[str]) -> list:
         table = self.table
@@ -95,6 +98,25 @@ class Known:
         return [table[w] for w in words]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers hold none while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def without_pieces(task: Callable) -> Callable:
+    """A task that keeps no pieces: those of other operators go before it, freed memory goes back after it."""
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Known.release()
+        yield from task(batches)
+        give_back()
+    return run
+
+
 def gather(pieces: Pieces, packed: list[bytes], width: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in one array, and the rows' offsets in it.  ``packed``: little-endian ids per word."""
     dtype = np.dtype(f"<u{width}")

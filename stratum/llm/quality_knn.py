@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged, text_or_empty
-from .pieces import Known, Pieces, byte_slices, utf8_lengths
+from .pieces import Known, Pieces, byte_slices, give_back, utf8_lengths
 
 SAMPLE, TERMS, RANK, NEIGHBOURS = 4096, 4096, 64, 9
 KEEP = 0.7
@@ -209,6 +209,7 @@ def score(docs: DataFrame, model: KnnModel) -> DataFrame:
         for texts in batches:
             scores = [shared.value.scores(texts.slice(a, b - a)) for a, b in slices(texts)]
             yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
+        give_back()
 
     # only the text goes to Python
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SEP, Known, Pieces, byte_slices, gather, utf8_lengths
+from .pieces import SEP, Known, Pieces, byte_slices, gather, give_back, utf8_lengths
 
 MARK = "▁"
 # fixed values of the model format: field numbers, piece types, model types
@@ -162,7 +162,7 @@ class Codec:
                           and not self.model.squeeze_spaces
                           and not any(kind == USER for *_, kind in self.model.pieces))
         self.part = build_tokenizer(self.model, dummy_prefix=False)
-        self.known = Known(self._pieces, 330)
+        self.known = Known(self._pieces, 330, 64 << 20)
         # a line break in no piece of several characters is a piece of its own
         self.alone = not any("\n" in p and len(p) > 1 for p, _, kind in self.model.pieces
                              if kind in (NORMAL, USER))
@@ -215,16 +215,17 @@ def encode_decode(docs: DataFrame, model: str, threads: int = THREADS) -> DataFr
 
     ``model``: path of a SentencePiece model file, present on every node.
     """
-    schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                         F.col("text").alias("text"))
+    schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     types = ("doc " + schema.schema["doc"].dataType.simpleString()
              + ", n_tokens long, input_ids array<int>, ids_crc32 long, decoded string, round_trip boolean")
     new = ["n_tokens", "input_ids", "ids_crc32", "decoded", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(model, threads)
+        Known.release(but=work.known)
+        give_back()
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "")
+            texts = pc.fill_null(batch.column("doc").field("text"), "")
             for a, b in byte_slices(utf8_lengths(texts)):
                 part = texts.slice(a, b - a)
                 ids, decoded = work.run(part)
