@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import batches_by_bytes, staged, text_or_empty
 from .exact_dedup import resolve_groups
 from .line_dedup import BUCKETS, likely
 from .pieces import byte_slices, utf8_lengths, without_pieces
@@ -376,6 +376,7 @@ def near_links(nodes: DataFrame, texts_of) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, class_id, class_size, kept."""
+    batches_by_bytes(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     signed = staged(rows.mapInArrow(_signed, f"doc_id {id_type}, text_hash long, digest binary, signature binary")

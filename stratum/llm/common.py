@@ -32,5 +32,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python task.
+BATCH_BYTES = 4 << 20
+
+
+def batches_by_bytes(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Bounds the Arrow batches of this session's Python tasks by bytes too (a batch holds a row at least).
+
+    By default they are bounded by 10,000 rows, whatever the texts' lengths are.  A smaller bound
+    that the session names stays.  Plans made from now on use it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if not 0 < size <= limit:
+        spark.conf.set(key, str(limit))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

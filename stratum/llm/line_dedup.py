@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import WS, staged, text_or_empty
+from .common import WS, batches_by_bytes, staged, text_or_empty
 from .pieces import without_pieces
 
 #: default least length of lines that are compared up to one edit; equal lines go at any length
@@ -322,6 +322,7 @@ def _without(texts: pa.Array, drops: pa.Array) -> pa.Array:
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Columns ``doc`` (struct of the input row), n_lines, dropped (line numbers), text (what stays)."""
+    batches_by_bytes(docs.sparkSession)
     drops = staged(duplicate_lines(docs, min_chars), "line-drops")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_key_columns())
     # documents that surely lose nothing are not shuffled, and their texts stay in the JVM

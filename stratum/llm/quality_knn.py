@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import batches_by_bytes, staged
 from .pieces import Known, Pieces, byte_slices, give_back, utf8_lengths
 
 SAMPLE, TERMS, RANK, NEIGHBOURS = 4096, 4096, 64, 9
@@ -188,6 +188,7 @@ class KnnModel:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, rank: int = RANK,
         k: int = NEIGHBOURS) -> KnnModel:
+    batches_by_bytes(docs.sparkSession)
     counts, marks = labelled_sample(docs, labels, sample, terms)
     df, n = document_frequencies(docs, terms)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 1
@@ -202,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 
 def score(docs: DataFrame, model: KnnModel) -> DataFrame:
     """Columns ``doc`` (struct of the input row) and score."""
+    batches_by_bytes(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batches_by_bytes
 from .pieces import SEP, Known, Pieces, byte_slices, gather, give_back, utf8_lengths
 
 MARK = "▁"
@@ -215,6 +216,7 @@ def encode_decode(docs: DataFrame, model: str, threads: int = THREADS) -> DataFr
 
     ``model``: path of a SentencePiece model file, present on every node.
     """
+    batches_by_bytes(docs.sparkSession)
     schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     types = ("doc " + schema.schema["doc"].dataType.simpleString()
              + ", n_tokens long, input_ids array<int>, ids_crc32 long, decoded string, round_trip boolean")
