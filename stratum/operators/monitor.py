@@ -62,32 +62,28 @@ def counter_rate(samples: DataFrame, by: Sequence[str], window_s: float, ts: str
     a bucketed lag, and range sums from one window per (series, slice), a slice
     being at least a window wide, with halo rows from the slice before.
     Integer and DECIMAL increases are differences of two growing frames (exact,
-    so slicing cannot show); DOUBLE ones are summed over the range itself, in
-    time order, so a value outside the range (an infinity, say) has no effect.
+    so slicing cannot show); DOUBLE ones are a block's suffix sum plus the next
+    block's prefix sum, so a value outside the range (an infinity, say) has no
+    effect.  Either way the time is linear in the samples, whatever the window.
     """
     by = list(by)
-    coarse = _bucket_us(window_s, bucket_s)
     w_us = int(window_s * US)
+    coarse = max(_bucket_us(window_s, bucket_s), w_us)
     samples = staged(samples.withColumn("__t", epoch_micros(samples, ts)))
     # one counting pass plans the bucket splits of both ordered stages
     plan = staged(bucket_plan(samples, by, "__t", coarse, target_rows))
     d = counter_deltas(samples, by, ts, value, tiebreak, coarse / US, target_rows, plan)
     exact = not isinstance(d.schema["delta"].dataType, (DoubleType, FloatType))
 
-    def range_sum(w, frames):
-        upto, before = frames
-        return (F.sum("delta").over(upto) - F.coalesce(F.sum("delta").over(before), F.lit(0))
-                if exact else F.sum("delta").over(w))
-
-    aggs = {"__rsum": range_sum}
+    aggs = {"__rsum": lambda f: F.sum("delta").over(f.upto) - F.coalesce(F.sum("delta").over(f.before), F.lit(0))} if exact else {}
     if extrapolate:
-        aggs |= {"__rcount": lambda w, frames: F.count(F.lit(1)).over(frames[0]) - F.count(F.lit(1)).over(frames[1]),
-                 "__rf": lambda w, frames: F.min_by(
+        aggs |= {"__rcount": lambda f: F.count(F.lit(1)).over(f.upto) - F.count(F.lit(1)).over(f.before),
+                 "__rf": lambda f: F.min_by(
                      F.struct(F.col("__t").alias("t"), F.col("delta").alias("delta"),
                               F.col(value).alias("v")),
-                     F.struct("__t", *tiebreak)).over(w)}
+                     F.struct("__t", *tiebreak)).over(f.since)}
     b = assign_buckets(d, by, "__t", coarse, target_rows, plan, min_width_us=w_us)
-    r = drop_bucket(range_window_with_halo(b, by, "__t", w_us, aggs))
+    r = drop_bucket(range_window_with_halo(b, by, "__t", w_us, aggs, {} if exact else {"__rsum": "delta"}))
     if extrapolate:
         r = r.withColumns({"__rfirst_t": F.col("__rf.t"), "__rfirst_delta": F.col("__rf.delta"),
                            f"__rfirst_{value}": F.col("__rf.v")}).drop("__rf")

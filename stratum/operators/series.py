@@ -22,9 +22,10 @@ with the time span and the number of bursts, not with the number of samples.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
@@ -79,9 +80,11 @@ def assign_buckets(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
 
     Buckets listed in ``plan`` (see :func:`bucket_plan`; computed from ``df``
     when not given) are cut into ``2^k`` equal time slices, never narrower
-    than ``min_width_us``, so a burst that holds a third of all rows is
-    spread over many tasks too.
+    than ``min_width_us`` (``coarse_us`` must be at least that), so a burst
+    that holds a third of all rows is spread over many tasks too.
     """
+    if coarse_us < min_width_us:
+        raise ValueError(f"coarse buckets of {coarse_us} us are narrower than {min_width_us} us")
     by = list(by)
     if plan is None:
         plan = bucket_plan(df, by, t_us, coarse_us, target_rows)
@@ -90,38 +93,73 @@ def assign_buckets(df: DataFrame, by: Sequence[str], t_us: str, coarse_us: int,
     width = F.expr(f"greatest({max(1, int(min_width_us))}, "
                    f"shiftright(CAST({int(coarse_us)} AS BIGINT), coalesce(__k, 0)))")
     d = d.withColumn("__bwidth", width)
-    sub = F.floor((F.col(t_us) - F.col("__cb") * F.lit(coarse_us)) / F.col("__bwidth")) \
-        .cast("long")
-    return (d.withColumn(BUCKET, F.col("__cb") * F.lit(1 << SUB_BITS) +
-                         F.least(sub, F.lit((1 << SUB_BITS) - 1)))
-             .withColumn("__bstart", F.col("__cb") * F.lit(coarse_us) + sub * F.col("__bwidth"))
-             .withColumn("__bnext", F.when(F.col("__bstart") + F.col("__bwidth") >=
-                                           (F.col("__cb") + 1) * F.lit(coarse_us),
-                                           (F.col("__cb") + 1) * F.lit(1 << SUB_BITS))
+    # the last slice of a coarse bucket takes what is left over, so none is narrower than asked
+    last = F.least(F.greatest(F.floor(F.lit(int(coarse_us)) / F.col("__bwidth")).cast("long"), F.lit(1)),
+                   F.lit(1 << SUB_BITS)) - 1
+    sub = F.floor((F.col(t_us) - F.col("__cb") * F.lit(coarse_us)) / F.col("__bwidth")).cast("long")
+    d = d.withColumn("__last", last).withColumn("__sub", F.least(sub, F.col("__last")))
+    ends = F.col("__sub") == F.col("__last")
+    return (d.withColumn(BUCKET, F.col("__cb") * F.lit(1 << SUB_BITS) + F.col("__sub"))
+             .withColumn("__bstart", F.col("__cb") * F.lit(coarse_us) + F.col("__sub") * F.col("__bwidth"))
+             .withColumn("__bnext", F.when(ends, (F.col("__cb") + 1) * F.lit(1 << SUB_BITS))
                                      .otherwise(F.col(BUCKET) + 1))
-             .drop("__cb", "__k"))
+             .withColumn("__bwidth", F.when(ends, F.lit(int(coarse_us)) - F.col("__sub") * F.col("__bwidth"))
+                                      .otherwise(F.col("__bwidth")))
+             .drop("__cb", "__k", "__last", "__sub"))
+
+
+class RangeFrames(NamedTuple):
+    """Frames around a trailing range ``[t - range, t]``.  Each only grows from row to
+    row, so an aggregate over it costs a time linear in the rows, whatever the range."""
+    upto: WindowSpec    #: everything up to t
+    before: WindowSpec  #: everything before the range; upto - before is the range
+    since: WindowSpec   #: everything from the range's start on: its minimum in time is the range's first row
 
 
 def range_window_with_halo(df: DataFrame, by: Sequence[str], t_us: str, range_us: int,
-                           aggregates: dict) -> DataFrame:
-    """Trailing-range aggregates ``{out: fn(window, before)}`` over ``[t - range, t]``
-    in one shuffle.  ``df`` carries buckets from :func:`assign_buckets` with
-    slices at least ``range_us`` wide: a row within ``range_us`` of its
-    slice's end is also copied, as a non-output halo row, into the next slice
-    - the only one that can need it.  ``window`` is the range itself;
-    ``before`` gives ``(up to t, before the range)``, two growing frames whose
-    difference is the range in a time linear in the rows."""
-    by = list(by)
+                           aggregates: dict[str, Callable[[RangeFrames], Column]],
+                           sums: dict[str, str] | None = None) -> DataFrame:
+    """Trailing-range aggregates ``{out: fn(frames)}`` over ``[t - range, t]`` in one
+    shuffle.  ``df`` carries buckets from :func:`assign_buckets` with slices at least
+    ``range_us`` wide: a row within ``range_us`` of its slice's end is also copied, as
+    a non-output halo row, into the next slice - the only one that can need it.
+
+    ``sums`` (``{out: column}``) are range sums without a subtraction, for values that
+    cannot be taken back (DOUBLE: rounding, infinities).  Time is cut into blocks as
+    long as the range, so a range is the end of one block and the start of the next:
+    a suffix sum of the first plus a prefix sum of the second.  Both are running sums
+    inside a block, so the cost stays linear, and only values of the range enter.
+    Blocks lie on the time axis, not on slices, so slicing cannot show in the rounding."""
+    by, sums = list(by), sums or {}
     near_end = F.col(t_us) >= F.col("__bstart") + F.col("__bwidth") - F.lit(range_us)
     own = F.array(F.struct(F.col(BUCKET).alias("hb"), F.lit(False).alias("halo")))
     both = F.array(F.struct(F.col(BUCKET).alias("hb"), F.lit(False).alias("halo")),
                    F.struct(F.col("__bnext").alias("hb"), F.lit(True).alias("halo")))
     u = df.withColumn("__h", F.explode(F.when(near_end, both).otherwise(own)))
-    w = Window.partitionBy(*by, "__h.hb").orderBy(F.col(t_us))
-    frames = (w.rangeBetween(Window.unboundedPreceding, 0),
-              w.rangeBetween(Window.unboundedPreceding, -range_us - 1))
-    return (u.withColumns({o: fn(w.rangeBetween(-range_us, 0), frames) for o, fn in aggregates.items()})
-             .where(~F.col("__h.halo")).drop("__h"))
+    u = u.withColumns({"__hb": F.col("__h.hb"), "__halo": F.col("__h.halo")}).drop("__h")
+    slices = Window.partitionBy(*by, "__hb")
+    up, down = slices.orderBy(F.col(t_us)), slices.orderBy(F.col(t_us).desc())
+    frames = RangeFrames(up.rangeBetween(Window.unboundedPreceding, 0),
+                         up.rangeBetween(Window.unboundedPreceding, -range_us - 1),
+                         down.rangeBetween(Window.unboundedPreceding, range_us))
+    if sums:
+        # dealt by slice here, as blocks (finer) would be dealt once more for the slices
+        u = u.repartition(*by, "__hb").withColumn("__block", F.floor(F.col(t_us) / F.lit(range_us + 1)).cast("long"))
+        blocks = Window.partitionBy(*by, "__hb", "__block")
+        prefix = blocks.orderBy(F.col(t_us)).rangeBetween(Window.unboundedPreceding, 0)
+        suffix = blocks.orderBy(F.col(t_us).desc()).rangeBetween(Window.unboundedPreceding, 0)
+        u = u.withColumns({f"__prefix_{o}": F.sum(c).over(prefix) for o, c in sums.items()})
+        u = u.withColumns({f"__suffix_{o}": F.sum(c).over(suffix) for o, c in sums.items()})
+        start = F.struct("__block", *[F.col(f"__suffix_{o}") for o in sums])
+        u = u.withColumn("__start", F.min_by(start, t_us).over(frames.since))
+    u = u.withColumns({o: fn(frames) for o, fn in aggregates.items()})
+    for o in sums:
+        older = F.when(F.col("__start.__block") < F.col("__block"), F.col(f"__start.__suffix_{o}"))
+        newer = F.col(f"__prefix_{o}")
+        u = u.withColumn(o, F.coalesce(older + newer, older, newer))
+    return (u.where(~F.col("__halo"))
+             .drop("__hb", "__halo", "__block", "__start",
+                   *[f"__{side}_{o}" for side in ("prefix", "suffix") for o in sums]))
 
 
 def lag_across_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str],

@@ -582,6 +582,15 @@ z AS (SELECT *, CASE WHEN n >= 2 AND sampled > 0 THEN inc * ((sampled +
       FROM y)
 SELECT ts, metric, series_id, event_id, increase, increase / CAST(3600 AS DOUBLE) AS rate FROM z"""
 
+ORACLE["counter_rate_double"] = SAMPLES + """
+, c AS (SELECT * REPLACE (CAST(CAST(value * 100 AS BIGINT) AS DOUBLE) / CAST(64 AS DOUBLE) AS value) FROM counters),
+l AS (SELECT *, lag(value) OVER (PARTITION BY metric, series_id ORDER BY ts, event_id) AS prev FROM c),
+d AS (SELECT *, CASE WHEN prev IS NULL THEN CAST(0 AS DOUBLE) WHEN value < prev THEN value
+                     ELSE value - prev END AS delta FROM l),
+r AS (SELECT *, sum(delta) OVER (PARTITION BY metric, series_id ORDER BY ts
+                 RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS increase FROM d)
+SELECT ts, metric, series_id, event_id, value, delta, increase, increase / CAST(3600 AS DOUBLE) AS rate FROM r"""
+
 ORACLE["business_day_events"] = """
 SELECT CAST(timezone('America/Mexico_City', ts AT TIME ZONE 'UTC') AS DATE) AS business_date,
        count(*) AS events

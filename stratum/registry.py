@@ -899,6 +899,14 @@ def q_counter_rate_extrapolated(spark, d):
     return r.select("ts", "metric", "series_id", "event_id", "increase", "rate")
 
 
+@register("counter_rate_double")
+def q_counter_rate_double(spark, d):
+    """A DOUBLE counter (in 64ths, so that its sums are exact in any order) over an hour."""
+    s = fx.metric_samples(spark, d).withColumn("value", (F.col("value") * 100).cast("long") / F.lit(64.0))
+    r = M.counter_rate(s, SERIES, 3600, tiebreak=["event_id"])
+    return r.select("ts", "metric", "series_id", "event_id", "value", "delta", "increase", "rate")
+
+
 @register("business_day_events")
 def q_business_day_events(spark, d):
     """Event instants (UTC) counted per calendar day in the business zone."""
