@@ -591,6 +591,25 @@ r AS (SELECT *, sum(delta) OVER (PARTITION BY metric, series_id ORDER BY ts
                  RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS increase FROM d)
 SELECT ts, metric, series_id, event_id, value, delta, increase, increase / CAST(3600 AS DOUBLE) AS rate FROM r"""
 
+RATE_GRID = SAMPLES + """
+, l AS (SELECT *, lag(value) OVER (PARTITION BY metric, series_id ORDER BY ts, event_id) AS prev
+        FROM counters WHERE ts IS NOT NULL AND value IS NOT NULL),
+d AS (SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS delta,
+             CAST(floor(epoch_us(ts) / 15000000) AS BIGINT) AS pane FROM l),
+p AS (SELECT *, unnest(generate_series(pane + 1, pane + 20)) AS g FROM d),
+-- the first sample's own step began before the range
+a AS (SELECT metric, series_id, g, count(*) AS samples,
+             CAST(sum(delta) - arg_min(delta, (ts, event_id)) AS DOUBLE) AS increase
+      FROM p GROUP BY metric, series_id, g)
+SELECT metric, series_id, make_timestamp(g * 15000000) AS eval_ts, samples, increase,
+       increase / CAST(300 AS DOUBLE) AS rate
+FROM a"""
+
+ORACLE["rate_grid"] = RATE_GRID
+
+ORACLE["rate_grid_stream"] = RATE_GRID + """
+WHERE make_timestamp(g * 15000000) <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)"""
+
 ORACLE["business_day_events"] = """
 SELECT CAST(timezone('America/Mexico_City', ts AT TIME ZONE 'UTC') AS DATE) AS business_date,
        count(*) AS events

@@ -20,6 +20,7 @@ from .plans import marts, semantic, staging
 from .plans.rollup import Rollup, build_rollup, rollup_frame
 from .plans.semantic import ORDERS, PRODUCTS, query
 from .operators.latest import latest_by_key
+from .streaming.rates import rate_grid
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -1024,6 +1025,29 @@ def q_rate_limit_stream_append(spark, d):
                          "requests"))
 
 
+def _rate_grid_columns(df: DataFrame) -> DataFrame:
+    return df.select(*SERIES, F.col("eval_ts").cast("timestamp_ntz").alias("eval_ts"), "samples",
+                     F.col("increase").cast("double").alias("increase"), "rate")
+
+
+@register("rate_grid")
+def q_rate_grid(spark, d):
+    """Counter rates over five minutes, every 15 seconds."""
+    return _rate_grid_columns(rate_grid(fx.metric_samples(spark, d), SERIES, tiebreak=["event_id"]))
+
+
+@register("rate_grid_stream")
+def q_rate_grid_stream(spark, d):
+    """The same on the stream of samples, up to the watermark (max event time - 1 minute)."""
+    samples = fx.metric_samples(spark, d).drop("labels")
+    landing = _landing_in_time_order(samples, "ts", 4, "event_id")
+    src = (spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+                .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 minute"))
+    out = scratch_path(spark, "rate-grid")
+    LS.await_done(LS.write_versions(rate_grid(src, SERIES, tiebreak=["event_id"]), out, output_mode="append"))
+    return _rate_grid_columns(spark.read.parquet(out))
+
+
 @register("stream_resume_exactly_once")
 def q_stream_resume_exactly_once(spark, d):
     """Two runs of one availableNow ingest stream sharing a checkpoint, with
