@@ -214,6 +214,17 @@ SELECT category, CAST(date_trunc('month', order_date) AS DATE) AS orderDate_mont
          AS marginRatio
 FROM fct_sales GROUP BY 1, 2""")
 
+ORACLE["rollup_choice"] = with_fixtures("""
+, k AS (SELECT category, order_status AS status, order_date AS day, CAST(date_trunc('month', order_date) AS DATE) AS month FROM fct_sales),
+t AS (SELECT 1 AS pos, 'wide' AS rollup, (SELECT count(*) FROM (SELECT DISTINCT category, status, day FROM k)) AS rollup_rows
+      UNION ALL SELECT 2, 'narrow', (SELECT count(*) FROM (SELECT DISTINCT category, month FROM k))
+      UNION ALL SELECT 3, 'states', (SELECT count(*) FROM (SELECT DISTINCT status, day FROM k))),
+a(question, rollup) AS (VALUES ('by category and month', 'wide'), ('by category and month', 'narrow'),
+      ('by category', 'wide'), ('by category', 'narrow'), ('by status and day', 'wide'),
+      ('by status and day', 'states'), ('by country and year', NULL))
+SELECT question, arg_min(t.rollup, (rollup_rows, pos)) AS rollup, min(rollup_rows) AS rollup_rows
+FROM a LEFT JOIN t USING (rollup) GROUP BY question""")
+
 # ------------------------------------------------------------------ step 4
 ORACLE["check_not_null"] = with_fixtures("""
 SELECT 'orders' AS "table", 'not_null' AS "check", 'id' AS "column",

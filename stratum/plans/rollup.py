@@ -43,6 +43,13 @@ class RollupTable:
     df: DataFrame
     path: str
     source_version: object = None   # max source version at build time
+    rows: int | None = None         # rows stored, once looked up
+
+    def row_count(self) -> int:
+        """Stored rows, from the files' footers (no column is read)."""
+        if self.rows is None:
+            self.rows = self.df.count()
+        return self.rows
 
     def can_answer(self, cube: Cube, measures, dimensions, time_dimension, dim_filters) -> bool:
         s = self.spec
@@ -87,11 +94,10 @@ def _combined(cube: Cube, measure: str, part: str) -> Column:
 
 def match_rollup(rollups: Sequence[RollupTable], cube: Cube, measures, dimensions,
                  time_dimension, dim_filters) -> RollupTable | None:
-    """First rollup (in the given order) able to answer the query."""
-    for r in rollups or ():
-        if r.can_answer(cube, measures, dimensions, time_dimension, dim_filters):
-            return r
-    return None
+    """The smallest rollup able to answer the query (of equal ones the first given)."""
+    able = [r for r in rollups or ()
+            if r.can_answer(cube, measures, dimensions, time_dimension, dim_filters)]
+    return able[0] if len(able) == 1 else min(able, key=RollupTable.row_count, default=None)
 
 
 VERSION = "__source_version"

@@ -17,7 +17,8 @@ from pyspark.sql.types import DecimalType
 
 from . import fixtures as fx
 from .plans import marts, semantic, staging
-from .plans.rollup import Rollup, build_rollup, rollup_frame
+from .plans.rollup import Rollup, build_rollup, match_rollup, rollup_frame
+from .plans.rollup_choice import Question, choose_rollups
 from .plans.semantic import ORDERS, PRODUCTS, query
 from .operators.latest import latest_by_key
 from .streaming.rates import rate_grid
@@ -201,6 +202,33 @@ def q_rollup_answer_month(spark, d):
                            ["category"], ("orderDate", "month"), rollups=[table]))
 
 
+# a log of questions on sales: (name, question)
+SALES_LOG = [("by category and month", Question(("count", "totalAmount"), ("category",), ("orderDate", "month"), asked=30)),
+             ("by category", Question(("totalAmount",), ("category",), asked=10)),
+             ("by status and day", Question(("count",), ("status",), ("orderDate", "day"), asked=5)),
+             ("by country and year", Question(("avgOrderValue",), ("country",), ("orderDate", "year"), asked=2))]
+
+
+@register("rollup_choice")
+def q_rollup_choice(spark, d):
+    """Of three rollups, the one that answers each question of a log, with its rows."""
+    fct = fct_sales(spark, d)
+    kept = ("count", "totalAmount", "avgOrderValue")
+    tables = [build_rollup(fct, ORDERS, Rollup(n, kept, dims, "orderDate", g)) for n, dims, g in
+              (("wide", ("category", "status"), "day"), ("narrow", ("category",), "month"), ("states", ("status",), "day"))]
+    found = [(name, match_rollup(tables, ORDERS, q.measures, q.dimensions, q.time_dimension, [])) for name, q in SALES_LOG]
+    return spark.createDataFrame([(n, t and t.spec.name, t and t.row_count()) for n, t in found],
+                                 "question string, rollup string, rollup_rows long")
+
+
+@register("rollup_selection")
+def q_rollup_selection(spark, d):
+    """The two rollups that save the log most rows, as the greedy rule takes them."""
+    chosen = choose_rollups(fct_sales(spark, d), ORDERS, [q for _, q in SALES_LOG], 2)
+    return spark.createDataFrame([(i, c.rollup.name, c.rows, c.saved) for i, c in enumerate(chosen, 1)],
+                                 "step int, rollup string, rollup_rows long, saved_rows long")
+
+
 @register("rollup_other_cube_ignored")
 def q_rollup_other_cube_ignored(spark, d):
     """A rollup of another cube with members of the same names never answers."""
