@@ -2,7 +2,8 @@
 
 Every check returns rows ``(table, check, column, failures)`` so results of
 different checks union into one report.  Row-level checks (not-null,
-accepted values, range) of one table share a scan through ``table_checks``; ``unique`` needs a
+accepted values, range) of one table share a scan through ``table_checks``, or
+are counted by the table's write through ``ObservedChecks``; ``unique`` needs a
 grouping per column (partial aggregation first, so a hot value costs one row
 per map task in the shuffle).
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 REPORT_SCHEMA = "table string, check string, column string, failures bigint"
@@ -54,6 +55,27 @@ def table_checks(df: DataFrame, table: str, *specs) -> DataFrame:
     return _rows(df, table, list(specs))
 
 
+class ObservedChecks:
+    """Row-level checks that a table's own write counts: no scan of their own.
+
+    ``attach`` must be the last step before the write.  There the metrics are
+    those of the write's final tasks, each counted once however often it ran;
+    below an exchange a lost executor's repeated tasks would count again.
+    """
+
+    def __init__(self, table: str, *specs):
+        self.table, self.specs, self._seen = table, list(specs), Observation()
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._seen, *[F.count_if(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(self.specs)])
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The counts of the finished write (a row per check)."""
+        seen = self._seen.get
+        return spark.createDataFrame([(self.table, check, column, seen.get(f"c{i}", 0))
+                                      for i, (check, column, _) in enumerate(self.specs)], REPORT_SCHEMA)
+
+
 def not_null(df: DataFrame, cols: Sequence[str], table: str = "table") -> DataFrame:
     return _rows(df, table, [null_spec(c) for c in cols])
 

@@ -313,6 +313,25 @@ ORACLE["cdc_drop_deletes"] = with_changes("SELECT * FROM changes WHERE op <> 'd'
 ORACLE["decode_envelope_values"] = with_changes(
     "SELECT id, _offset, amount, order_date, updated_at, ts_ms FROM changes")
 
+ORACLE["cdc_variant_rows"] = with_changes("""
+SELECT id, user_id, product_id, status,
+       CASE WHEN id % 11 <> 0 AND id % 13 <> 0 THEN quantity END AS quantity, discount, tax, op, _offset,
+       CASE WHEN id % 7 = 0 THEN '{"channel":"web"}' END AS rest,
+       concat_ws(',', CASE WHEN id % 17 = 0 AND user_id IS NOT NULL THEN 'user_id' END,
+                 CASE WHEN id % 13 = 0 AND id % 11 <> 0 AND quantity IS NOT NULL THEN 'quantity' END) AS retyped
+FROM changes""")
+
+ORACLE["cdc_drift_report"] = with_changes("""
+, drift AS (
+  SELECT 'channel' AS field, 'added' AS status, 'STRING' AS found, id FROM changes WHERE id % 7 = 0
+  UNION ALL SELECT 'quantity', 'missing', 'VOID', id FROM changes WHERE id % 11 = 0 OR quantity IS NULL
+  UNION ALL SELECT 'quantity', 'retyped', 'STRING', id FROM changes
+            WHERE id % 13 = 0 AND id % 11 <> 0 AND quantity IS NOT NULL
+  UNION ALL SELECT 'user_id', 'retyped', 'STRING', id FROM changes WHERE id % 17 = 0 AND user_id IS NOT NULL
+  UNION ALL SELECT 'user_id', 'missing', 'VOID', id FROM changes WHERE user_id IS NULL
+  UNION ALL SELECT 'status', 'missing', 'VOID', id FROM changes WHERE status IS NULL)
+SELECT field, status, found, count(*) AS records FROM drift GROUP BY ALL""")
+
 ORACLE["stream_latest"] = ORACLE["cdc_soft_delete_latest"]
 ORACLE["stream_bronze_sink"] = ORACLE["cdc_unwrap"]
 
@@ -493,6 +512,7 @@ SELECT CAST(year(order_date) * 100 + month(order_date) AS INTEGER) AS order_ym,
 FROM fct_sales WHERE year(order_date) * 100 + month(order_date) >= 199901 GROUP BY 1""")
 
 ORACLE["compact"] = ORACLE["latest_by_key"]
+ORACLE["compact_touched"] = ORACLE["latest_by_key"]
 
 ORACLE["seed_if_empty"] = HISTORY + """
 SELECT x AS historico_mes, CAST(y AS DOUBLE) AS ventas_reales FROM hist"""

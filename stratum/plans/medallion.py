@@ -45,14 +45,18 @@ class MedallionResult:
 
 def silver_models(orders_bronze: DataFrame, products_bronze: DataFrame,
                   users_bronze: DataFrame, order_tiebreak=(), order_keys=("id",),
-                  persist_orders_at: str | None = None, tz: str | None = None):
+                  persist_orders_at: str | None = None, tz: str | None = None,
+                  order_checks: Q.ObservedChecks | None = None):
     """Silver models; calendar columns in the business zone ``tz``.  With
     ``persist_orders_at`` the orders model (the one
     with the bronze-wide shuffle) is written once to the shared folder, so
     the quality checks and the gold build read it instead of re-resolving
-    every key's latest version; it also cuts lineage for executor loss."""
+    every key's latest version; it also cuts lineage for executor loss.  That
+    write counts ``order_checks`` as it goes."""
     o = staging.stg_orders(orders_bronze, keys=order_keys, tiebreak=order_tiebreak, tz=tz)
     if persist_orders_at:
+        if order_checks:
+            o = order_checks.attach(o)
         o = materialize_table(o, persist_orders_at)
     p = staging.stg_products(products_bronze)
     u = staging.stg_users(users_bronze, tz=tz)
@@ -62,13 +66,20 @@ def silver_models(orders_bronze: DataFrame, products_bronze: DataFrame,
     return o, p, u
 
 
-def silver_checks(o: DataFrame, p: DataFrame, u: DataFrame, last_day: _dt.date | None = None) -> DataFrame:
+def order_row_checks(last_day: _dt.date | None = None) -> list:
+    return [Q.null_spec("order_id"), Q.null_spec("amount_usd"),
+            Q.accepted_spec("order_status", staging.ORDER_STATUSES),
+            Q.range_spec("order_date", FIRST_DAY, last_day)]
+
+
+def silver_checks(o: DataFrame, p: DataFrame, u: DataFrame, last_day: _dt.date | None = None,
+                  observed: Q.ObservedChecks | None = None) -> DataFrame:
     """The declared tests (keys not null and unique, required columns not null),
-    accepted statuses, the logical date range and referential consistency."""
+    accepted statuses, the logical date range and referential consistency.  Row
+    checks of orders that their write has ``observed`` are not computed again."""
     return Q.report(
-        Q.table_checks(o, "stg_orders", Q.null_spec("order_id"), Q.null_spec("amount_usd"),
-                       Q.accepted_spec("order_status", staging.ORDER_STATUSES),
-                       Q.range_spec("order_date", FIRST_DAY, last_day)),
+        observed.report(o.sparkSession) if observed
+        else Q.table_checks(o, "stg_orders", *order_row_checks(last_day)),
         Q.unique(o, ["order_id"], "stg_orders"),
         Q.references(o, p, "product_id", table="stg_orders"),
         Q.references(o, u, "user_id", table="stg_orders"),
@@ -80,9 +91,9 @@ def silver_checks(o: DataFrame, p: DataFrame, u: DataFrame, last_day: _dt.date |
 
 
 def checked(spark: SparkSession, o: DataFrame, p: DataFrame, u: DataFrame, gate: bool,
-            levels: dict | None, last_day: _dt.date | None) -> DataFrame:
+            levels: dict | None, last_day: _dt.date | None, observed: Q.ObservedChecks | None = None) -> DataFrame:
     """The report, computed once and kept; raises where the gate stops it."""
-    report = materialize_table(silver_checks(o, p, u, last_day), scratch_path(spark, "quality-report"))
+    report = materialize_table(silver_checks(o, p, u, last_day, observed), scratch_path(spark, "quality-report"))
     return Q.gate(report, severities=GATE_LEVELS | (levels or {})) if gate else report
 
 
@@ -90,9 +101,10 @@ def run_medallion(spark: SparkSession, orders_bronze: DataFrame, products_bronze
                   users_bronze: DataFrame, gold_path: str | None = None,
                   order_tiebreak=(), gate: bool = True, tz: str | None = None,
                   gate_levels: dict | None = None, last_day: _dt.date | None = None) -> MedallionResult:
+    seen = Q.ObservedChecks("stg_orders", *order_row_checks(last_day))
     o, p, u = silver_models(orders_bronze, products_bronze, users_bronze, order_tiebreak,
-                            persist_orders_at=scratch_path(spark, "silver-stg_orders"), tz=tz)
-    report = checked(spark, o, p, u, gate, gate_levels, last_day)
+                            persist_orders_at=scratch_path(spark, "silver-stg_orders"), tz=tz, order_checks=seen)
+    report = checked(spark, o, p, u, gate, gate_levels, last_day, seen)
     fct = marts.build_fct_sales(o, p, u).withColumn(MONTH, yyyymm("order_date"))
     path = gold_path or scratch_path(spark, "gold-fct_sales")
     gold = VersionedTable(spark, path, MONTH).replace(fct, list(marts.FCT_SALES_ORDER))
@@ -209,9 +221,10 @@ def _apply(spark, table: VersionedTable, bronze: DataFrame, seen: int, products_
                                     .select(F.col("order_id").alias("id")))
     keys = materialize_table(keys.distinct(), scratch_path(spark, "changed-keys"))
     log = bronze.drop("_batch_id").join(keys, "id", "left_semi")
+    seen = Q.ObservedChecks("stg_orders", *order_row_checks())
     o, p, u = silver_models(log, products_bronze, users_bronze, order_tiebreak,
-                            persist_orders_at=scratch_path(spark, "silver-changed"), tz=tz)
-    report = checked(spark, o, p, u, gate, gate_levels, None)
+                            persist_orders_at=scratch_path(spark, "silver-changed"), tz=tz, order_checks=seen)
+    report = checked(spark, o, p, u, gate, gate_levels, None, seen)
     old = table.read()
     order_keys = keys.withColumnRenamed("id", "order_id")
     new = materialize_table(marts.build_fct_sales(o, p, u).withColumn(MONTH, yyyymm("order_date")),

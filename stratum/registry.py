@@ -377,6 +377,25 @@ def q_cdc_bad_field_quarantine(spark, d):
     return cdc.quarantine(cdc.route(log, ["orders"]), fx.order_row_schema()).select("topic", "key", "value")
 
 
+def _drifting_bronze(spark, d) -> DataFrame:
+    from .sources import drift
+    return MZ.materialize_table(drift.variant_bronze(fx.change_log_drifting(spark, d)), scratch_path(spark, "variant-bronze"))
+
+
+@register("cdc_variant_rows")
+def q_cdc_variant_rows(spark, d):
+    """Rows of a drifting source: known fields typed, unknown ones kept as JSON."""
+    from .sources import drift
+    return drift.conform(_drifting_bronze(spark, d), fx.order_row_schema()).select(
+        "id", "user_id", "product_id", "status", "quantity", "discount", "tax", "op", "_offset", "rest", "retyped")
+
+
+@register("cdc_drift_report")
+def q_cdc_drift_report(spark, d):
+    from .sources import drift
+    return drift.drift_report(_drifting_bronze(spark, d), fx.order_row_schema())
+
+
 @register("cdc_products_latest")
 def q_cdc_products_latest(spark, d):
     """A table without updated_at: the source's change time is the version."""
@@ -702,6 +721,20 @@ def q_compact(spark, d):
     return spark.read.parquet(path).select(*fx.bronze_orders(spark, d).columns)
 
 
+@register("compact_touched")
+def q_compact_touched(spark, d):
+    """The log applied in two batches; the second, its last days, rewrites only the buckets it meets."""
+    from .plans.buckets import BucketedLatest
+    log = fx.bronze_orders(spark, d)
+    lo, hi = log.agg(F.min("updated_at"), F.max("updated_at")).first()
+    cut = F.lit((lo + (hi - lo) * 0.98).isoformat(sep=" ")).cast("timestamp_ntz")
+    early = F.coalesce(F.col("updated_at") < cut, F.lit(True))
+    table = BucketedLatest(spark, scratch_path(spark, "bucketed"), ["id"], "updated_at", fx.ORDER_TIEBREAK, buckets=64)
+    table.merge(log.where(early))
+    table.merge(log.where(~early))
+    return table.read().select(*log.columns)
+
+
 @register("seed_if_empty")
 def q_seed_if_empty(spark, d):
     name = _table_name("ventas_historicas")

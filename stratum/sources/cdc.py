@@ -67,9 +67,14 @@ def route(changes: DataFrame, tables: Sequence[str]) -> DataFrame:
 def parse(changes: DataFrame, row: StructType, key: Sequence[str] = ("id",)) -> DataFrame:
     """Adds ``env`` (the envelope), ``image`` (the row it carries: ``before`` of
     a delete, else ``after``) and ``bad``: a value that is no envelope, has an
-    unknown ``op``, lacks the row image of its op, or whose image has no key."""
+    unknown ``op``, lacks the row image of its op, or whose image has no key.
+
+    The envelope comes out of a generator of one row: filters on it stay above,
+    so the optimizer does not copy the parser into each of them.
+    """
     deleted = F.col("env.op") == "d"
-    p = changes.withColumn("env", F.from_json("value", envelope_schema(row)))
+    env = F.from_json("value", envelope_schema(row))
+    p = changes.select("*", F.explode(F.array(env)).alias("env"))
     p = p.withColumn("image", F.when(deleted, F.col("env.before")).otherwise(F.col("env.after")))
     missing = F.lit(False)
     for k in key:

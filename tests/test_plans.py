@@ -79,3 +79,10 @@ def test_key_filter_pushes_below_latest_but_value_filter_does_not(spark, tmp_pat
     value_q = latest.where(F.col("status") == "s0")
     assert "EqualTo(status,s0)" not in _plan(value_q)   # would resurrect old versions
     assert value_q.count() == 0                         # s0 is never the newest version
+
+
+def test_envelope_is_parsed_once(spark):
+    from stratum.registry import unwrapped_orders
+    rows = latest_by_key(unwrapped_orders(fx.change_log(spark, SF_SMALL)), ["id"], "updated_at", ["_offset"])
+    plan = rows.where("_is_deleted = 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
