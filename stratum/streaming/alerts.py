@@ -30,10 +30,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,25 +42,42 @@ from .latest_stream import use_rocksdb_state
 STATE_SCHEMA = "on boolean, since long, fired boolean, last_t long, timer long"
 #: a slice is so many times as long as the hold, so few samples of it can matter to an older streak
 SLICE_HOLDS = 60
+RUNS_PER_BATCH = 10_000
+NOT_FIRED = np.iinfo(np.int64).min
 
 
-def runs_of(t: np.ndarray, on: np.ndarray, hold_us: int, idle_us: int | None) -> list[dict]:
-    """The runs of samples in time order: on, first_t, last_t, n, fired_t (None: not yet),
-    and heads, the times at which an older streak could fire in the first run."""
-    if not len(t):
-        return []
+def run_columns(t: np.ndarray, on: np.ndarray, groups: np.ndarray, hold_us: int, idle_us: int | None) -> dict[str, np.ndarray]:
+    """The runs of many series' samples at once.
+
+    ``groups``: where a group of samples begins, each in time order.  Columns of a run:
+    its place (``start``), on, first_t, last_t, n, fired_t (``NOT_FIRED``: not yet), and heads, how
+    many of its first samples are times at which an older streak could fire (the first
+    run of a group only)."""
     cut = on[1:] != on[:-1]
     if idle_us is not None:
         cut |= np.diff(t) > idle_us
-    starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
+    starts = np.union1d(groups, np.flatnonzero(cut) + 1)
     ends = np.append(starts[1:], len(t))
-    due = np.maximum(np.searchsorted(t, t[starts] + hold_us, side="left"), starts)
-    out = []
-    for i, (a, b, d) in enumerate(zip(starts.tolist(), ends.tolist(), due.tolist())):
-        heads = t[a:min(d + 1, b)].tolist() if i == 0 and on[a] else []
-        out.append({"on": bool(on[a]), "first_t": int(t[a]), "last_t": int(t[b - 1]), "n": b - a,
-                    "fired_t": int(t[d]) if on[a] and d < b else None, "heads": heads})
-    return out
+    held, first, last = on[starts], t[starts], t[ends - 1]
+    due, fired = ends - 1, np.full(len(starts), NOT_FIRED, np.int64)
+    for i in np.flatnonzero(held & (last - first >= hold_us)).tolist():
+        a, b = starts[i], ends[i]
+        due[i] = a + np.searchsorted(t[a:b], first[i] + hold_us, side="left")
+        fired[i] = t[due[i]]
+    heads = np.where(held & np.isin(starts, groups), due + 1 - starts, 0)
+    return {"start": starts, "on": held, "first_t": first, "last_t": last, "n": ends - starts, "fired_t": fired,
+            "heads": heads}
+
+
+def runs_of(t: np.ndarray, on: np.ndarray, hold_us: int, idle_us: int | None) -> list[dict]:
+    """The runs of one series' samples in time order: on, first_t, last_t, n, fired_t
+    (None: not yet), and heads, the times at which an older streak could fire in the first run."""
+    if not len(t):
+        return []
+    c = {k: v.tolist() for k, v in run_columns(t, on, np.array([0]), hold_us, idle_us).items()}
+    return [{"on": on, "first_t": first, "last_t": last, "n": n, "fired_t": None if fired == NOT_FIRED else fired,
+             "heads": t[a:a + heads].tolist()}
+            for a, on, first, last, n, fired, heads in zip(*c.values())]
 
 
 def run_rows(samples: DataFrame, threshold: float, hold_us: int, idle_us: int | None) -> DataFrame:
@@ -72,14 +88,14 @@ def run_rows(samples: DataFrame, threshold: float, hold_us: int, idle_us: int |
     kind = samples.schema["series"].dataType
     schema = (f"series {kind.simpleString()}, on boolean, first_t long, last_t long, n long, fired_t long, "
               "heads array<long>")
-    fields = pa.schema([("on", pa.bool_()), ("first_t", pa.int64()), ("last_t", pa.int64()), ("n", pa.int64()),
-                        ("fired_t", pa.int64()), ("heads", pa.list_(pa.int64()))])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
         if held is None:
             return
         held = held.filter(pc.is_valid(held["t"]))
+        if not held.num_rows:
+            return
         names = held["series"].combine_chunks().dictionary_encode(null_encoding="encode")
         code = names.indices.to_numpy(zero_copy_only=False)
         t, tb = (held[c].to_numpy() for c in ("t", "tb"))
@@ -88,12 +104,18 @@ def run_rows(samples: DataFrame, threshold: float, hold_us: int, idle_us: int |
         order = np.lexsort((tb, t, piece, code))
         code, t, piece = code[order], t[order], piece[order]
         on = np.nan_to_num(v[order], nan=-np.inf) > threshold
-        cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(piece) != 0)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(t)]):
-            if a < b:
-                rows = pa.RecordBatch.from_pylist(runs_of(t[a:b], on[a:b], hold_us, idle_us), fields)
-                series = names.dictionary.take(pa.array([code[a]] * rows.num_rows, pa.int32()))
-                yield pa.RecordBatch.from_arrays([series, *rows.columns], ["series", *fields.names])
+        groups = np.append(0, np.flatnonzero((np.diff(code) != 0) | (np.diff(piece) != 0)) + 1)
+        runs = run_columns(t, on, groups, hold_us, idle_us)
+        for at in range(0, len(runs["start"]), RUNS_PER_BATCH):
+            r = {k: c[at:at + RUNS_PER_BATCH] for k, c in runs.items()}
+            offsets = np.append(0, np.cumsum(r["heads"]))
+            heads = t[np.arange(offsets[-1]) + np.repeat(r["start"] - offsets[:-1], r["heads"])]
+            yield pa.RecordBatch.from_arrays(
+                [names.dictionary.take(pa.array(code[r["start"]], pa.int32())), pa.array(r["on"]),
+                 *[pa.array(r[c], pa.int64()) for c in ("first_t", "last_t", "n")],
+                 pa.array(r["fired_t"], pa.int64(), mask=r["fired_t"] == NOT_FIRED),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(heads, pa.int64()))],
+                ["series", "on", "first_t", "last_t", "n", "fired_t", "heads"])
 
     dealt = samples.repartition("series", F.floor(F.col("t") / slice_us))
     return dealt.select("series", "t", "tb", "v").mapInArrow(make, schema)
@@ -146,34 +168,30 @@ class HeldCondition(StatefulProcessor):
         self.state.update((on, since, fired, last, due))
 
     @staticmethod
-    def _rows(key: tuple, fires: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({"series": [key[0]] * len(fires), "start_t": [f[0] for f in fires],
-                             "fired_t": [f[1] for f in fires]})
+    def _rows(key: tuple, fires: list[tuple[int, int]]) -> list[Row]:
+        return [Row(series=key[0], start_t=start, fired_t=at) for start, at in fires]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        runs = pd.concat(list(rows), ignore_index=True).sort_values(["first_t", "last_t"], kind="stable")
-        *state, timer = self.state.get() if self.state.exists() else (False, -1, False, None, 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        *state, timer = self.state.get() or (False, -1, False, None, 0)
         state, fires = tuple(state), []
-        for run in runs[["on", "first_t", "last_t", "fired_t", "heads"]].to_dict("records"):
-            run["fired_t"] = None if pd.isna(run["fired_t"]) else int(run["fired_t"])
+        for run in sorted((r.asDict() for r in rows), key=lambda r: (r["first_t"], r["last_t"])):
             state, fire = advance(state, run, self.hold_us, self.idle_us)
             fires += [fire] if fire else []
-        state = (bool(state[0]), int(state[1]), bool(state[2]), int(state[3]))
         self._keep(state, timer, timerValues.getCurrentWatermarkInMs() if self.timed else 0)
-        if fires:
-            yield self._rows(key, fires)
+        yield from self._rows(key, fires)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.state.get()
+        if kept is None:
             return
-        on, since, fired, last, timer = self.state.get()
+        on, since, fired, last, timer = kept
         if expiredTimerInfo.getExpiryTimeInMs() == timer:
             timer = 0
         watermark = timerValues.getCurrentWatermarkInMs()
         if self.silent and on and not fired and watermark * 1000 >= since + self.hold_us:
             # still on as far as anyone knows, and held long enough
             fired = True
-            yield self._rows(key, [(since, since + self.hold_us)])
+            yield from self._rows(key, [(since, since + self.hold_us)])
         if self.idle_us is not None and watermark * 1000 - last >= self.idle_us:
             self.state.clear()  # the series sent nothing for so long in event time: forget it
             return
@@ -221,7 +239,8 @@ def alert_stream(samples: DataFrame, series: str, ts: str, value: str, threshold
     idle_us = None if idle_timeout_s is None else int(idle_timeout_s * 1_000_000)
     runs = run_rows(prepared, float(threshold), hold_us, idle_us)
     kind = samples.schema[series].dataType.simpleString()
-    res = runs.groupBy("series").transformWithStateInPandas(
+    # rows, not frames: a series has few runs in a batch, and a frame for each costs more than they do
+    res = runs.groupBy("series").transformWithState(
         HeldCondition(hold_us, idle_us, fire_when_silent), f"series {kind}, start_t long, fired_t long",
         "append", "EventTime" if timed else "None")
     to_ts = "timestampadd(MICROSECOND, {}, TIMESTAMP_NTZ'1970-01-01 00:00:00')"

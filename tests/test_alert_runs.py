@@ -84,3 +84,22 @@ def test_heartbeat_moves_time_when_all_are_silent(spark):
             out, output_mode="append"))
         found = [(r.series, (r.fired_ts - T0).total_seconds()) for r in spark.read.parquet(out).collect()]
         assert found == ([("a", 60.0)] if beat else [])
+
+
+@pytest.mark.parametrize("idle", [None, 9])
+def test_runs_of_many_series_at_once(spark, idle):
+    """One pass over a partition gives each series' runs, and in few batches (one per series and slice before)."""
+    rng, groups, t, on, expected = random.Random(5), [], [], [], []
+    for _ in range(300):
+        times = np.array(sorted(rng.sample(range(-100, 100), rng.randint(1, 40))))
+        flags = np.array([rng.random() < 0.7 for _ in times])
+        groups.append(sum(map(len, t)))
+        t.append(times)
+        on.append(flags)
+        expected += A.runs_of(times, flags, 12, idle)
+    t, on = np.concatenate(t), np.concatenate(on)
+    c = A.run_columns(t, on, np.array(groups), 12, idle)
+    found = [{"on": bool(o), "first_t": f, "last_t": e, "n": n, "fired_t": None if d == A.NOT_FIRED else d,
+              "heads": t[a:a + h].tolist()}
+             for a, o, f, e, n, d, h in zip(*(v.tolist() for v in c.values()))]
+    assert found == expected and any(r["fired_t"] for r in found) and any(len(r["heads"]) > 1 for r in found)
