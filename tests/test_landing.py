@@ -34,3 +34,15 @@ def test_without_times_and_empty(spark):
     df = spark.createDataFrame([(None, 1), (None, 2)], "ts timestamp_ntz, id long")
     assert [n for n, _, _ in files(spark, df)] == [2]
     assert files(spark, df.where("id > 5")) == []
+
+
+def test_slices_come_from_one_write_and_few_batches(spark):
+    from stratum.registry import LANDING_BATCHES, _landing_batches
+    from stratum.session import child_names
+    df = spark.createDataFrame([(T0 + dt.timedelta(seconds=i), i) for i in range(400)], "ts timestamp_ntz, id long")
+    landing = _landing_in_time_order(df, "ts", 40, "id")
+    names = [n for n in child_names(spark, landing) if n.startswith("part-")]
+    writes = {n.split("-", 2)[2].split(".")[0].rsplit("-", 1)[0] for n in names}
+    assert len(names) >= 40 and len(writes) <= 2     # the rows without a time, and all slices
+    batches, per_batch = _landing_batches(spark, landing)
+    assert batches <= LANDING_BATCHES and batches * int(per_batch) >= len(names)
