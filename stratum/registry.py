@@ -210,10 +210,15 @@ SALES_LOG = [("by category and month", Question(("count", "totalAmount"), ("cate
              ("by country and year", Question(("avgOrderValue",), ("country",), ("orderDate", "year"), asked=2))]
 
 
+def _staged_facts(spark, d, *columns: str) -> DataFrame:
+    """The named columns of the facts, computed once for several rollups of them."""
+    return staged(fct_sales(spark, d).select(*columns))
+
+
 @register("rollup_choice")
 def q_rollup_choice(spark, d):
     """Of three rollups, the one that answers each question of a log, with its rows."""
-    fct = fct_sales(spark, d)
+    fct = _staged_facts(spark, d, "category", "order_status", "order_date", "amount_usd")
     kept = ("count", "totalAmount", "avgOrderValue")
     tables = [build_rollup(fct, ORDERS, Rollup(n, kept, dims, "orderDate", g)) for n, dims, g in
               (("wide", ("category", "status"), "day"), ("narrow", ("category",), "month"), ("states", ("status",), "day"))]
