@@ -921,7 +921,8 @@ def q_capped_result(spark, d):
 
 @register("refresh_rollups")
 def q_refresh_rollups(spark, d):
-    fct = fct_sales(spark, d)
+    fct = _staged_facts(spark, d, "category", "order_status", "order_date", "amount_usd", "gross_margin_usd",
+                        "data_replicated_at")
     t = build_rollup(fct, ORDERS, DAY_CATEGORY, version_col="data_replicated_at")
     same = refresh_rollups(fct, ORDERS, [t], force=False, version_col="data_replicated_at")
     if same[0] is not t:
