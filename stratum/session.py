@@ -110,6 +110,13 @@ def set_file_times(spark: SparkSession, paths: list[str]) -> None:
         fs.setTimes(p, now - 1000 * (len(paths) - 1 - i), -1)
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder to a place that does not exist yet."""
+    fs, p = _fs(spark, path)
+    if fs.exists(_fs(spark, to)[1]) or not fs.rename(p, _fs(spark, to)[1]):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of our own below the shared one."""
     if f"{shared_dir(spark).rstrip('/')}/" not in path:
