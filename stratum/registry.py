@@ -327,7 +327,7 @@ def q_quality_report(spark, d):
 # ------------------------------------------------------------------ step 5
 from .sources import cdc  # noqa: E402
 from .streaming import latest_stream as LS  # noqa: E402
-from .session import scratch_path  # noqa: E402
+from .session import move_path, path_exists, scratch_path, shuffles_removed  # noqa: E402
 
 CDC_COLS = ["id", "user_id", "product_id", "supp_key", "status", "amount", "quantity",
             "discount", "tax", "order_date", "updated_at", "op", "ts_ms", "_offset",
@@ -428,9 +428,10 @@ def q_cdc_users_latest(spark, d):
 CHANGE_FILES = 4
 
 
-def _land(changes: DataFrame, path: str) -> None:
+def _land(changes: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     """Append change records to a landing folder as compressed JSON files of bounded rows."""
-    (changes.write.mode("append").option("maxRecordsPerFile", 1_000_000).option("compression", "gzip").json(path))
+    (changes.write.mode("append").option("maxRecordsPerFile", 1_000_000).option("compression", "gzip")
+     .partitionBy(*by).json(path))
 
 
 def _stream_change_files(spark, d) -> str:
@@ -786,20 +787,35 @@ def q_run_medallion(spark, d):
                            ("orderDate", "month")))
 
 
+def _spooled_halves(spark, d) -> list[str]:
+    """The change log written once, in landing files: those of its earlier half of time
+    (and without a time) and those of its later half; a half without records has no folder."""
+    times = (fx.bronze_orders(spark, d).select("_synced_at")
+             .unionByName(fx.bronze_products(spark, d).select("_synced_at")).select(F.col("_synced_at").cast("timestamp").alias("t")))
+    lo, hi = times.agg(F.min("t"), F.max("t")).first()
+    late = F.lit(False)
+    if lo is not None:
+        mid = F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp")
+        late = F.coalesce(F.col("timestamp") >= mid, F.lit(False))
+    spool = scratch_path(spark, "spool-inc")
+    with shuffles_removed(spark):
+        _land(fx.change_log(spark, d).withColumn("half", late.cast("int")), spool, ("half",))
+    return [f"{spool}/half={n}" for n in (0, 1)]
+
+
 def _incremental_runs(spark, d, products=(None, None), after=lambda run, res: None):
     """Two runs, with the later half of the changes landing in between: the
     second applies only them and writes only the months they touch."""
-    changes = staged(fx.change_log(spark, d))
-    lo, hi = changes.agg(F.min("timestamp"), F.max("timestamp")).first()
-    mid = F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp")
-    early = F.coalesce(F.col("timestamp") < mid, F.lit(True))
     landing, bronze, ckpt, gold = (scratch_path(spark, n) for n in ("landing-inc", "bronze-inc", "ckpt-inc", "gold-inc"))
-    for run, part in enumerate((changes.where(early), changes.where(~early))):
-        _land(part, landing)
-        stream = cdc.read_changes(spark, "json", path=landing, streaming=True)
-        known = products[run] if products[run] is not None else fx.bronze_products(spark, d)
-        res = MD.run_incremental(spark, stream, bronze, unwrapped_orders, known, fx.bronze_users(spark, d), ckpt, gold)
-        after(run, res)
+    halves = _spooled_halves(spark, d)
+    with shuffles_removed(spark):
+        for run, half in enumerate(halves):
+            if path_exists(spark, half):
+                move_path(spark, half, f"{landing}/{run}")
+            stream = cdc.read_changes(spark, "json", path=f"{landing}/*", streaming=True)
+            known = products[run] if products[run] is not None else fx.bronze_products(spark, d)
+            res = MD.run_incremental(spark, stream, bronze, unwrapped_orders, known, fx.bronze_users(spark, d), ckpt, gold)
+            after(run, res)
     return res
 
 
@@ -1147,23 +1163,15 @@ def q_stream_resume_exactly_once(spark, d):
     """Two runs of one availableNow ingest stream sharing a checkpoint, with
     more change files landing in between: the bronze log must hold every
     change exactly once (the second run reads only the new files)."""
-    changes = staged(fx.change_log(spark, d))
-    lo, hi = changes.agg(F.min("timestamp"), F.max("timestamp")).first()
-    mid = F.lit((lo + (hi - lo) / 2).isoformat(sep=" ")).cast("timestamp")
-    early = F.col("timestamp") < mid
-    landing, bronze = scratch_path(spark, "landing-resume"), scratch_path(spark, "bronze-resume")
-    ckpt = scratch_path(spark, "ckpt-resume")
+    landing, bronze, ckpt = (scratch_path(spark, n) for n in ("landing-resume", "bronze-resume", "ckpt-resume"))
     # the malformed record has no timestamp: it arrives with the first files
-    _land(changes.where(early | F.col("timestamp").isNull()), landing)
-
-    def run():
-        stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": _files_per_batch(spark, landing)},
-                                  path=landing, streaming=True)
+    for run, half in enumerate(_spooled_halves(spark, d)):
+        arrived = f"{landing}/{run}"
+        if path_exists(spark, half):
+            move_path(spark, half, arrived)
+        stream = cdc.read_changes(spark, "json", {"maxFilesPerTrigger": _files_per_batch(spark, arrived)},
+                                  path=f"{landing}/*", streaming=True)
         LS.await_done(LS.write_bronze(unwrapped_orders(stream), bronze, ckpt))
-
-    run()
-    _land(changes.where(~early), landing)
-    run()
     return spark.read.parquet(bronze).select(*CDC_COLS)
 
 

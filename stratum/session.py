@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -78,6 +79,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of a query go when it ends, not when the driver's JVM next collects:
+    for runs of many steps that each write their result."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for one job's output."""
     base = shared_dir(spark).rstrip("/")
@@ -113,7 +127,9 @@ def set_file_times(spark: SparkSession, paths: list[str]) -> None:
 def move_path(spark: SparkSession, path: str, to: str) -> None:
     """Move a folder to a place that does not exist yet."""
     fs, p = _fs(spark, path)
-    if fs.exists(_fs(spark, to)[1]) or not fs.rename(p, _fs(spark, to)[1]):
+    target = _fs(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(p, target):
         raise OSError(f"{path} could not be moved to {to}")
 
 
