@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("decoded")
+    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_decoded=False)
 
 
 STAGES = [

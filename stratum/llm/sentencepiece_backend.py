@@ -43,6 +43,8 @@ PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 THREADS = 2
+#: Bytes of text that are cut into pieces at once (what this makes of them takes over 20 times as much).
+PART_BYTES = 1 << 19
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -170,8 +172,9 @@ class Codec:
 
     def _pieces(self, pieces: list[str]) -> list[tuple[bytes, str]]:
         ids = [e.ids for e in self.part.encode_batch_fast(pieces, add_special_tokens=False)]
-        return [(np.array(i, "<u4").tobytes(), text)
-                for i, text in zip(ids, self.part.decode_batch(ids, skip_special_tokens=False))]
+        # a piece that decodes to itself is kept once
+        return [(np.array(i, "<u4").tobytes(), piece if text == piece else text)
+                for piece, i, text in zip(pieces, ids, self.part.decode_batch(ids, skip_special_tokens=False))]
 
     def run(self, texts: pa.Array) -> tuple[list[bytes], list[str]]:
         """Packed ids and decoded text of each text."""
@@ -211,24 +214,28 @@ def codec(path: str, threads: int = THREADS) -> Codec:
     return _CODECS[path]
 
 
-def encode_decode(docs: DataFrame, model: str, threads: int = THREADS) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, threads: int = THREADS, keep_decoded: bool = True) -> DataFrame:
     """``docs`` with n_tokens, input_ids, ids_crc32, decoded and round_trip.
 
-    ``model``: path of a SentencePiece model file, present on every node.
+    ``model``: path of a SentencePiece model file, present on every node.  Without
+    ``keep_decoded`` the decoded text is compared but not returned.
     """
-    batches_by_bytes(docs.sparkSession)
+    batches_by_bytes(docs.sparkSession, 1 << 20)
     schema = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     types = ("doc " + schema.schema["doc"].dataType.simpleString()
-             + ", n_tokens long, input_ids array<int>, ids_crc32 long, decoded string, round_trip boolean")
-    new = ["n_tokens", "input_ids", "ids_crc32", "decoded", "round_trip"]
+             + ", n_tokens long, input_ids array<int>, ids_crc32 long, "
+             + "decoded string, " * keep_decoded + "round_trip boolean")
+    new = ["n_tokens", "input_ids", "ids_crc32", *["decoded"] * keep_decoded, "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what other stages left goes before the tables are built
+        Known.release(but=_CODECS[model].known if model in _CODECS else None)
+        give_back()
         work = codec(model, threads)
-        Known.release(but=work.known)
         give_back()
         for batch in batches:
             texts = pc.fill_null(batch.column("doc").field("text"), "")
-            for a, b in byte_slices(utf8_lengths(texts)):
+            for a, b in byte_slices(utf8_lengths(texts), PART_BYTES):
                 part = texts.slice(a, b - a)
                 ids, decoded = work.run(part)
                 lengths = [len(i) // 4 for i in ids]
@@ -238,7 +245,7 @@ def encode_decode(docs: DataFrame, model: str, threads: int = THREADS) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").slice(a, b - a), pa.array(lengths, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                     pa.array([zlib.crc32(i) for i in ids], pa.int64()), decoded,
+                     pa.array([zlib.crc32(i) for i in ids], pa.int64()), *[decoded] * keep_decoded,
                      pc.equal(decoded, part)], ["doc", *new])
 
     kept = [F.col(f"doc.`{c}`") for c in docs.columns if c not in new]
