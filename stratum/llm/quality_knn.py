@@ -37,13 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_by_bytes, staged
-from .pieces import Known, Pieces, byte_slices, give_back, utf8_lengths
+from .pieces import byte_slices, utf8_lengths, without_pieces
 
 SAMPLE, TERMS, RANK, NEIGHBOURS = 4096, 4096, 64, 9
 KEEP = 0.7
 LAGS = 16
 SLICE_ROWS = 64
 SLICE_TEXT = 1 << 20
+PART_WORDS = 20_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -59,51 +60,96 @@ def repeated_share(codes: np.ndarray, row: np.ndarray, n_rows: int, lags: int =
     return np.bincount(row, weights=again, minlength=n_rows) / n
 
 
-def _word_hashes(words: list[str]) -> list[int]:
-    """32 bits of the word in lower case, and above them 32 bits of its shape."""
-    shapes = pa.array(words, pa.string())
-    for pattern, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
-        shapes = pc.replace_substring_regex(shapes, pattern, sign)
-    low = 0xFFFFFFFF
-    return [xxhash.xxh3_64_intdigest("w" + w.lower()) & low | (xxhash.xxh3_64_intdigest("s" + s) & low) << 32
-            for w, s in zip(words, shapes.to_pylist())]
-
-
-_WORDS = Known(_word_hashes, 180, 48 << 20)  # of this worker process
+def _hashes(pieces: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, pieces), np.uint64, len(pieces)) & np.uint64(0xFFFFFFFF)
+
+
+def word_terms(words: pa.Array, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed terms of words without ASCII white space: of each in lower case, and of its shape.
+
+    The words go through as one string per part, cut at its spaces: no object per word outlives a part."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for at in range(0, len(words), PART_WORDS):
+        part = words.slice(at, PART_WORDS)
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")
+        shapes = line
+        for pattern, sign in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
+            shapes = pc.replace_substring_regex(shapes, pattern, sign)
+        low = ("w" + line[0].as_py().lower().replace(" ", " w")).split(" ")
+        kinds = pc.split_pattern(shapes, " ").flatten().dictionary_encode()
+        of_kind = _hashes(["s" + s for s in kinds.dictionary.to_pylist()])
+        found.append(tuple((h % np.uint64(terms)).astype(np.int64)
+                           for h in (_hashes(low), of_kind[kinds.indices.to_numpy(zero_copy_only=False)])))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+class Terms:
+    """The hashed terms of some texts; counts of any rows of them, which are dense, are made block by block."""
+
+    def __init__(self, texts: pa.Array, terms: int = TERMS):
+        self.terms, self.n_rows = terms, len(texts)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(self.n_rows), np.diff(offsets))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes]
+        self.row, self.codes = row[real], codes[real]
+        self.ends = np.searchsorted(self.row, np.arange(self.n_rows + 1))
+        self.of_word = word_terms(coded.dictionary, terms)
+        self.of_tenth = np.array([xxhash.xxh3_64_intdigest(f"r{i}") % terms for i in range(11)])
+
+    def _block(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of rows a to b: each word's row, its code, and each row's term of repeated words."""
+        i, j = self.ends[a], self.ends[b]
+        row, codes = self.row[i:j] - a, self.codes[i:j]
+        tenth = (10 * repeated_share(codes, row, b - a)).astype(np.int64)
+        return row, codes, self.of_tenth[tenth]
+
+    def counts(self, a: int, b: int) -> np.ndarray:
+        """Term counts, a row per text."""
+        row, codes, tenth = self._block(a, b)
+        counts = np.zeros((b - a) * self.terms, np.float32)
+        for bucket in self.of_word:
+            counts += np.bincount(row * self.terms + bucket[codes], minlength=len(counts)).astype(np.float32)
+        counts = counts.reshape(b - a, self.terms)
+        counts[np.arange(b - a), tenth] += np.bincount(row, minlength=b - a)
+        return counts
+
+    def held(self, a: int, b: int) -> np.ndarray:
+        """Which terms each text holds."""
+        row, codes, tenth = self._block(a, b)
+        held = np.zeros((b - a, self.terms), bool)
+        for bucket in self.of_word:
+            held[row, bucket[codes]] = True
+        some = np.diff(self.ends[a:b + 1]) > 0
+        held[np.flatnonzero(some), tenth[some]] = True
+        return held
 
 
 def term_counts(texts: pa.Array, terms: int = TERMS) -> np.ndarray:
     """Hashed term counts, a row per text."""
-    pieces = Pieces(pc.ascii_split_whitespace(texts))
-    row = np.repeat(np.arange(len(texts)), np.diff(pieces.offsets))
-    hashes = np.array(_WORDS(pieces.words), np.uint64)
-    real = np.array([w != "" for w in pieces.words], bool)[pieces.codes] if len(row) else np.zeros(0, bool)
-    row, codes = row[real], pieces.codes[real]
-    counts = np.zeros(len(texts) * terms, np.float32)
-    for part in (hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)):
-        bucket = (part % np.uint64(terms)).astype(np.int64)
-        counts += np.bincount(row * terms + bucket[codes], minlength=len(counts)).astype(np.float32)
-    counts = counts.reshape(len(texts), terms)
-    tenth = (10 * repeated_share(codes, row, len(texts))).astype(np.int64)
-    bucket = np.array([xxhash.xxh3_64_intdigest(f"r{i}") % terms for i in range(11)])
-    counts[np.arange(len(texts)), bucket[tenth]] += np.bincount(row, minlength=len(texts))
-    return counts
-
-
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    return Terms(texts, terms).counts(0, len(texts))
+
+
+def blocks(texts: pa.Array, terms: int = TERMS) -> Iterator[tuple[Terms, int, int, int]]:
+    """The terms of about SLICE_TEXT bytes of the texts at a time, the place of their first row,
+    and the rows of them that one dense block takes."""
     for a, b in byte_slices(utf8_lengths(texts), SLICE_TEXT):
-        for i in range(a, b, SLICE_ROWS):
-            yield i, min(b, i + SLICE_ROWS)
+        some = Terms(texts.slice(a, b - a), terms)
+        for i in range(0, b - a, SLICE_ROWS):
+            yield some, a, i, min(b - a, i + SLICE_ROWS)
 
 
 def document_frequencies(docs: DataFrame, terms: int = TERMS) -> tuple[np.ndarray, int]:
     """How many documents hold each hashed term, and how many there are."""
+    @without_pieces
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(terms, np.int64), 0
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
-            for a, b in slices(texts):
-                total += (term_counts(texts.slice(a, b - a), terms) > 0).sum(axis=0)
+            for some, _, i, j in blocks(texts, terms):
+                total += some.held(i, j).sum(axis=0)
             n += len(texts)
         found = np.append(np.flatnonzero(total), terms)  # the last one counts documents
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.append(total, n)[found])], ["term", "n"])
@@ -123,14 +169,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, te
                     .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
                     .withColumnsRenamed({"doc_id": "l_id"}), "labelled")
 
+    @without_pieces
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
-            for a, b in slices(texts):
-                counts = term_counts(texts.slice(a, b - a), terms)
-                packed = [(np.flatnonzero(c).astype("<i4").tobytes(), c[c > 0].astype("<f4").tobytes()) for c in counts]
+            for some, a, i, j in blocks(texts, terms):
+                packed = [(np.flatnonzero(c).astype("<i4").tobytes(), c[c > 0].astype("<f4").tobytes())
+                          for c in some.counts(i, j)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("l_id").slice(a, b - a), batch.column("label").slice(a, b - a),
+                    [batch.column("l_id").slice(a + i, j - i), batch.column("label").slice(a + i, j - i),
                      *[pa.array([p[i] for p in packed], pa.binary()) for i in (0, 1)]],
                     ["l_id", "label", "terms", "counts"])
 
@@ -174,16 +221,21 @@ class KnnModel:
         return unit_rows(np.log1p(counts) * self.idf)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
+        """A score per text, block by block."""
         if not len(self.labels):
             return np.ones(len(texts))
-        latent = unit_rows(self.tfidf(term_counts(texts, len(self.idf))) @ self.projection)
+        return np.concatenate([np.zeros(0), *[self._votes(some.counts(i, j))
+                                              for some, _, i, j in blocks(texts, len(self.idf))]])
+
+    def _votes(self, counts: np.ndarray) -> np.ndarray:
+        latent = unit_rows(self.tfidf(counts) @ self.projection)
         cosine = latent @ self.vectors.T
         k = min(self.k, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64)
         total = weight.sum(axis=1)
         vote = (weight * self.labels[near]).sum(axis=1)
-        return np.clip(np.divide(vote, total, out=np.full(len(texts), self.prior), where=total > 1e-9), 0, 1)
+        return np.clip(np.divide(vote, total, out=np.full(len(counts), self.prior), where=total > 1e-9), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, rank: int = RANK,
@@ -206,13 +258,11 @@ def score(docs: DataFrame, model: KnnModel) -> DataFrame:
     batches_by_bytes(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @without_pieces
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column("doc").field("text"), "")
-            scores = [shared.value.scores(texts.slice(a, b - a)) for a, b in slices(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc", "score"])
-        give_back()
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(shared.value.scores(texts))], ["doc", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
