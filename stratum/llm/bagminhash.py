@@ -66,6 +66,8 @@ M = BANDS * ROWS
 BLOCK_ROWS, BLOCK_BYTES = 256, 4 << 20
 COLUMNS = 8192
 PAIRS_PER_COPY = 256
+#: Bytes of text whose shingles a task works on at once (their arrays take a multiple of it).
+PART_BYTES = 1 << 19
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,7 +173,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text")
-        for a, b in byte_slices(utf8_lengths(texts), 1 << 20):
+        for a, b in byte_slices(utf8_lengths(texts), PART_BYTES):
             values, counts, offsets = bags(texts.slice(a, b - a))
             marks = signatures(values, counts, offsets)
             digests = [hashlib.blake2b(values[i:j].tobytes() + counts[i:j].tobytes(), digest_size=16).digest()
@@ -197,8 +199,8 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @without_pieces
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 128):
-            part = batch.slice(a, 128)
+        for a, b in byte_slices(sum(utf8_lengths(batch.column(c)) for c in ("text_a", "text_b")), PART_BYTES):
+            part = batch.slice(a, b - a)
             both = []
             for name in ("text_a", "text_b"):
                 coded = part.column(name).dictionary_encode()
@@ -234,7 +236,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _itemised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The multiset as a sorted set of 64-bit items: the c-th copy of a shingle is an item of its own."""
     for batch in batches:
-        for a, b in byte_slices(utf8_lengths(batch.column("text")), 1 << 20):
+        for a, b in byte_slices(utf8_lengths(batch.column("text")), PART_BYTES):
             values, counts, offsets = bags(batch.column("text").slice(a, b - a))
             copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             items = np.where(copy > 0, mix64(np.repeat(values, counts) ^ mix64(copy.astype(np.uint64))), np.repeat(values, counts))
