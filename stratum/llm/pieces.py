@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 SEP = "\x01"
 SLICE_BYTES = 4 << 20
 KEEP_BYTES = 120 << 20
+#: Pieces that go to a library at once (it makes about 1 kB of each).
+ENCODE_PIECES = 4000
 
 
 def utf8_lengths(texts: pa.Array) -> np.ndarray:
@@ -69,17 +71,22 @@ class Known:
     stages, and what one operator kept goes when another needs the room."""
 
     tables: list[Known] = []
+    #: Calls that drop what operators keep besides (tokenizers), and say whether there was something.
+    holders: list[Callable[[], bool]] = []
 
     def __init__(self, encode: Callable[[list[str]], list], entry_bytes: int, limit: int = KEEP_BYTES):
         self.encode, self.entry_bytes, self.limit, self.table = encode, entry_bytes, limit, {}
         Known.tables.append(self)
 
     @classmethod
-    def release(cls, but: Known | None = None) -> None:
-        """What operators kept in this process goes (not that of ``but``)."""
+    def release(cls, but: Known | None = None) -> bool:
+        """What operators kept in this process goes (not that of ``but``).  Whether there was something."""
+        some = False
         for one in cls.tables:
             if one is not but:
+                some |= bool(one.table)
                 one.table.clear()
+        return any([drop() for drop in cls.holders if but is None]) or some
 
     def __call__(self, words: list[str]) -> list:
         table = self.table
@@ -92,8 +99,8 @@ class Known:
         if more + len(table) * self.entry_bytes > self.limit:
             table.clear()
             new = words
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
+        for i in range(0, len(new), ENCODE_PIECES):
+            part = new[i:i + ENCODE_PIECES]
             table.update(zip(part, self.encode(part)))
         return [table[w] for w in words]
 
@@ -111,7 +118,8 @@ def without_pieces(task: Callable) -> Callable:
     """A task that keeps no pieces: those of other operators go before it, freed memory goes back after it."""
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Known.release()
+        if Known.release():
+            give_back()
         yield from task(batches)
         give_back()
     return run

@@ -45,6 +45,8 @@ UNIGRAM, BPE = 1, 2
 THREADS = 2
 #: Bytes of text that are cut into pieces at once (what this makes of them takes over 20 times as much).
 PART_BYTES = 1 << 19
+#: Bytes of pieces that a worker keeps with their ids.
+KEEP_BYTES = 40 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -124,18 +126,22 @@ def cuts_at_marks(model: Model) -> bool:
         MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
 
 
-def build_tokenizer(model: Model, dummy_prefix: bool | None = None):
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
-    prefix = model.dummy_prefix if dummy_prefix is None else dummy_prefix
+def build_core(model: Model):
+    """The vocabulary and its scores or merges; tokenizers can share one."""
+    from tokenizers import models
     unknown = next(i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN)
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unknown,
+        return models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=unknown,
                               byte_fallback=model.byte_fallback)
-    else:
-        core = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, merges(model),
-                          unk_token=model.pieces[unknown][0], fuse_unk=True,
-                          byte_fallback=model.byte_fallback)
-    tokenizer = Tokenizer(core)
+    return models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, merges(model),
+                      unk_token=model.pieces[unknown][0], fuse_unk=True,
+                      byte_fallback=model.byte_fallback)
+
+
+def build_tokenizer(model: Model, dummy_prefix: bool | None = None, core=None):
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, normalizers, pre_tokenizers
+    prefix = model.dummy_prefix if dummy_prefix is None else dummy_prefix
+    tokenizer = Tokenizer(core or build_core(model))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze_spaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -159,15 +165,16 @@ class Codec:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.model = read_model(f.read())
-        self.whole = build_tokenizer(self.model)
-        self.piecewise = (cuts_at_marks(self.model) and self.model.dummy_prefix and not self.model.charsmap
-                          and not self.model.squeeze_spaces
-                          and not any(kind == USER for *_, kind in self.model.pieces))
-        self.part = build_tokenizer(self.model, dummy_prefix=False)
-        self.known = Known(self._pieces, 330, 64 << 20)
+            model = read_model(f.read())
+        core = build_core(model)
+        self.whole = build_tokenizer(model, core=core)
+        self.piecewise = (cuts_at_marks(model) and model.dummy_prefix and not model.charsmap
+                          and not model.squeeze_spaces
+                          and not any(kind == USER for *_, kind in model.pieces))
+        self.part = build_tokenizer(model, dummy_prefix=False, core=core)
+        self.known = Known(self._pieces, 330, KEEP_BYTES)
         # a line break in no piece of several characters is a piece of its own
-        self.alone = not any("\n" in p and len(p) > 1 for p, _, kind in self.model.pieces
+        self.alone = not any("\n" in p and len(p) > 1 for p, _, kind in model.pieces
                              if kind in (NORMAL, USER))
 
     def _pieces(self, pieces: list[str]) -> list[tuple[bytes, str]]:
@@ -206,6 +213,18 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
+def drop_codecs() -> bool:
+    """The tokenizers of this process go; a later task builds its own again."""
+    some = bool(_CODECS)
+    for work in _CODECS.values():
+        Known.tables[:] = [t for t in Known.tables if t is not work.known]
+    _CODECS.clear()
+    return some
+
+
+Known.holders.append(drop_codecs)
+
+
 def codec(path: str, threads: int = THREADS) -> Codec:
     if path not in _CODECS:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -247,6 +266,7 @@ def encode_decode(docs: DataFrame, model: str, threads: int = THREADS, keep_deco
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                      pa.array([zlib.crc32(i) for i in ids], pa.int64()), *[decoded] * keep_decoded,
                      pc.equal(decoded, part)], ["doc", *new])
+        give_back()  # idle workers keep the tables, not what the task has freed
 
     kept = [F.col(f"doc.`{c}`") for c in docs.columns if c not in new]
     return schema.mapInArrow(run, types).select(*kept, *new)
