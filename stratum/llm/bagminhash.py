@@ -355,18 +355,20 @@ def near_links(nodes: DataFrame, texts_of) -> DataFrame:
     # of the matched members, those far enough from the hub to reach an unmatched one
     live = (scored.join(stats, "band")
             .where(unmatched | (F.col("distance") >= F.col("nearest") - (1 - SIMILARITY) - 1e-9)))
-    items = texts.join(live.select("node").distinct(), "node", "left_semi").mapInArrow(_itemised, "node long, items binary")
-    live = live.join(staged(items, "member-items"), "node").withColumn(
-        "weight", F.greatest(F.octet_length("items") / BLOCK_BYTES, F.lit(1 / BLOCK_ROWS)))
     live = staged(live, "band-live")
+    items = staged(texts.join(live.select("node").distinct(), "node", "left_semi")
+                   .mapInArrow(_itemised, "node long, items binary"), "member-items")
     # a bucket is cut into blocks of bounded size; the salt keeps it out of one task
+    weights = items.select("node", F.greatest(F.octet_length("items") / BLOCK_BYTES, F.lit(1 / BLOCK_ROWS)).alias("weight"))
+    live = live.join(weights, "node")
     salts = live.groupBy("band").agg(F.ceil(F.sum("weight") / 16).cast("long").alias("salts"))
     filled = F.sum("weight").over(Window.partitionBy("band", "salt").orderBy("node")
                                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     member = F.struct("node", "class", "items")
-    # staged, as rows that are dealt by band already would be grouped by (band, salt) where they are
+    # staged, as rows that are dealt by band already would be grouped by (band, salt) where they are;
+    # without the items, which a member has in each of its bands: they come in on the way into the blocks
     salted = staged(live.join(salts, "band").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts"))).drop("salts"),
-                    "band-salted")
+                    "band-salted").join(items, "node")
     blocks = (salted.repartition("band", "salt").withColumn("block", F.floor(filled - 1e-9))
               .groupBy("band", "salt", "block")
               .agg(F.collect_list(F.when(unmatched, member)).alias("open"), F.collect_list(member).alias("other")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, shuffles_removed
 
 #: ASCII white space (Java regex) as the digest columns define it.
 WS = r"[\x20\x09-\x0D]+"
@@ -25,10 +25,12 @@ def id_order(name: str = "doc_id") -> list[Column]:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Cuts lineage: after an executor loss later steps start from these files.
+    Cuts lineage: after an executor loss later steps start from these files.  So nothing
+    reads the shuffle files of the write again, and they go with it.
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
