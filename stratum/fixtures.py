@@ -426,9 +426,9 @@ def change_log_drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order change log from a source whose fields drift: some rows have a
     new field, lack their quantity, or carry quantity or user as text."""
     log = change_log(spark, sf_dir).where(F.col("topic") == ORDERS_TOPIC)
-    k, v = F.col("key").cast("long"), F.col("value")
-    v = F.when(k % 7 == 0, F.regexp_replace(v, '"(after|before)":[{]', '"$1":{"channel":"web",')).otherwise(v)
-    v = F.when(k % 11 == 0, F.regexp_replace(v, '"quantity":[^,]*,', "")).otherwise(v)
-    v = F.when(k % 13 == 0, F.regexp_replace(v, '"quantity":([0-9.E]+)', '"quantity":"$1 pcs"')).otherwise(v)
-    v = F.when(k % 17 == 0, F.regexp_replace(v, '"user_id":([0-9]+)', '"user_id":"$1"')).otherwise(v)
-    return log.withColumn("value", v)
+    k = F.col("key").cast("long")
+    # a step each, and the last beside its record: a text is made and rewritten once
+    for every, pattern, by in ((7, '"(after|before)":[{]', '"$1":{"channel":"web",'), (11, '"quantity":[^,]*,', ""),
+                               (13, '"quantity":([0-9.E]+)', '"quantity":"$1 pcs"'), (17, '"user_id":([0-9]+)', '"user_id":"$1"')):
+        log = log.withColumn("value", F.when(k % every == 0, F.regexp_replace("value", pattern, by)).otherwise(F.col("value")))
+    return log.withColumn("value", F.explode(F.array("value")))

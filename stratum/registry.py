@@ -327,7 +327,7 @@ def q_quality_report(spark, d):
 # ------------------------------------------------------------------ step 5
 from .sources import cdc  # noqa: E402
 from .streaming import latest_stream as LS  # noqa: E402
-from .session import move_path, path_exists, scratch_path, shuffles_removed  # noqa: E402
+from .session import move_path, path_exists, scratch_path, shuffles_removed, variants_whole  # noqa: E402
 
 CDC_COLS = ["id", "user_id", "product_id", "supp_key", "status", "amount", "quantity",
             "discount", "tax", "order_date", "updated_at", "op", "ts_ms", "_offset",
@@ -385,7 +385,9 @@ def q_cdc_bad_field_quarantine(spark, d):
 
 def _drifting_bronze(spark, d) -> DataFrame:
     from .sources import drift
-    return MZ.materialize_table(drift.variant_bronze(fx.change_log_drifting(spark, d)), scratch_path(spark, "variant-bronze"))
+    log = drift.variant_bronze(fx.change_log_drifting(spark, d))
+    with variants_whole(spark), shuffles_removed(spark):
+        return MZ.materialize_table(log, scratch_path(spark, "variant-bronze"))
 
 
 @register("cdc_variant_rows")

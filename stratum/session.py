@@ -80,18 +80,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Shuffle files of a query go when it ends, not when the driver's JVM next collects:
-    for runs of many steps that each write their result."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, key: str, value: str):
     had = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, had)
 
 
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of a query go when it ends, not when the driver's JVM next collects:
+    for runs of many steps that each write their result."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def variants_whole(spark: SparkSession):
+    """Variants are written as they are, not shredded into a column per field: for tables
+    whose readers take whole values, which shredding takes apart and reading joins again."""
+    return _setting(spark, "spark.sql.variant.inferShreddingSchema", "false")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for one job's output."""
     base = shared_dir(spark).rstrip("/")

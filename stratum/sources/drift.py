@@ -30,9 +30,9 @@ def _at(doc: Column, name: str, kind: str = "variant") -> Column:
     return F.try_variant_get(doc, f"$['{name}']", kind)
 
 
-def _kind(value: Column) -> Column:
-    """What JSON calls the type of a value; NULL for null and for no value."""
-    t = F.schema_of_variant(value)
+def _kind(t: Column) -> Column:
+    """What JSON calls a type of ``schema_of_variant``; NULL for null and for no value.
+    The type is read several times: give it as a column, not as an expression."""
     return (F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
             .when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array")
             .when(t != "VOID", "number"))
@@ -45,9 +45,11 @@ def variant_bronze(changes: DataFrame, key: Sequence[str] = ("id",)) -> DataFram
     p = changes.select("*", F.explode(F.array(F.try_parse_json("value"))).alias("env"))
     p = p.withColumn("op", _at(F.col("env"), "op", "string"))
     p = p.withColumn("image", F.when(F.col("op") == "d", _at(F.col("env"), "before")).otherwise(_at(F.col("env"), "after")))
-    good = F.col("op").isin(list(ALL_OPS)) & F.schema_of_variant("image").startswith("OBJECT")
-    for k in key:
-        good = good & _kind(_at(F.col("image"), k)).isNotNull()
+    good = F.col("op").isin(list(ALL_OPS))
+    if not key:
+        good = good & F.schema_of_variant("image").startswith("OBJECT")
+    for k in key:       # only an object has a field, so its type need not be asked
+        good = good & (F.schema_of_variant(_at(F.col("image"), k)) != "VOID")
     return p.withColumn("bad", F.col("value").isNotNull() & ~F.coalesce(good, F.lit(False))).drop("value")
 
 
@@ -63,26 +65,36 @@ def _declared(kind: DataType) -> str:
     raise ValueError(f"{kind.simpleString()} has no JSON type: declare the encoded one")
 
 
+def _apart(bronze: DataFrame, row: StructType) -> DataFrame:
+    """The row images, each taken apart once: ``__all`` (map of all fields), and of known
+    field number i its value ``__v<i>`` and type ``__t<i>``.  These are columns of steps of
+    their own, so the many conditions on a field read it and do not extract it again."""
+    every = _rows(bronze).withColumn("__all", F.col("image").cast("map<string,variant>"))
+    values = every.select("*", *[F.col("__all").getItem(f.name).alias(f"__v{i}") for i, f in enumerate(row.fields)])
+    return values.select("*", *[F.schema_of_variant(f"__v{i}").alias(f"__t{i}") for i in range(len(row.fields))])
+
+
 def _retyped(row: StructType) -> list[tuple[str, Column]]:
-    return [(f.name, _kind(_at(F.col("image"), f.name)) != _declared(f.dataType)) for f in row.fields]
+    return [(f.name, _kind(F.col(f"__t{i}")) != _declared(f.dataType)) for i, f in enumerate(row.fields)]
 
 
 def _unknown(row: StructType) -> Column:
-    """Map of the fields that the schema does not have."""
-    known = [f.name for f in row.fields]
-    return F.map_filter(F.col("image").cast("map<string,variant>"), lambda k, v: ~k.isin(known))
+    """Names of the fields that the schema does not have; NULL for none."""
+    met = sum((F.col(f"__v{i}").isNotNull().cast("int") for i in range(len(row.fields))), F.lit(0))
+    names = F.array_except(F.map_keys("__all"), F.array(*[F.lit(f.name) for f in row.fields]))
+    return F.when(F.size("__all") > met, names)
 
 
 def conform(bronze: DataFrame, row: StructType) -> DataFrame:
     """Typed rows of the records of a bronze table: the fields of ``row``, then
     ``op``, ``_offset``, ``rest`` (unknown fields as JSON text, NULL for none) and
     ``retyped`` (known fields of another JSON type, joined by commas)."""
-    rest = _unknown(row)
     named = F.concat_ws(",", *[F.when(cond, name) for name, cond in _retyped(row)])
-    return _rows(bronze).select(
+    known = [f.name for f in row.fields]
+    rest = F.when(_unknown(row).isNotNull(), F.map_filter("__all", lambda k, v: ~k.isin(known)))
+    return _apart(bronze, row).select(
         *[_at(F.col("image"), f.name, f.dataType.simpleString()).alias(f.name) for f in row.fields],
-        "op", F.col("offset").alias("_offset"),
-        F.when(F.size(rest) > 0, F.to_json(rest)).alias("rest"), named.alias("retyped"))
+        "op", F.col("offset").alias("_offset"), F.to_json(rest).alias("rest"), named.alias("retyped"))
 
 
 def drift_report(bronze: DataFrame, row: StructType) -> DataFrame:
@@ -92,15 +104,13 @@ def drift_report(bronze: DataFrame, row: StructType) -> DataFrame:
     Only the deviations of a record become rows, so a topic that keeps to its
     schema shuffles nothing; the counts and types combine before the exchange.
     """
-    def issue(name, status: str, value: Column) -> Column:
-        return F.struct(name.alias("field"), F.lit(status).alias("status"), value.alias("value"))
-
-    known = []
-    for (name, retyped), f in zip(_retyped(row), row.fields):
-        value = _at(F.col("image"), f.name)
-        known.append(F.when(_kind(value).isNull(), issue(F.lit(name), "missing", F.lit(None).cast("variant")))
-                     .when(retyped, issue(F.lit(name), "retyped", value)))
-    added = F.transform(F.map_entries(_unknown(row)), lambda e: issue(e["key"], "added", e["value"]))
-    every = F.filter(F.concat(F.array(*known), added), lambda i: i.isNotNull())
-    return (_rows(bronze).select(F.explode(every).alias("i")).groupBy("i.field", "i.status")
-            .agg(F.schema_of_variant_agg("i.value").alias("found"), F.count(F.lit(1)).alias("records")))
+    known = [f.name for f in row.fields]
+    off = F.array(*[F.when(F.coalesce(retyped, F.lit(True)), name) for name, retyped in _retyped(row)])
+    names = F.concat(off, F.coalesce(_unknown(row), F.array().cast("array<string>")))
+    found = _apart(bronze, row).select("__all", F.explode(names).alias("field")).where(F.col("field").isNotNull())
+    found = found.withColumn("value", F.col("__all")[F.col("field")]).withColumn("type", F.schema_of_variant("value"))
+    added, missing = ~F.col("field").isin(known), _kind(F.col("type")).isNull()
+    status = F.when(added, "added").when(missing, "missing").otherwise("retyped")
+    return (found.select("field", status.alias("status"), F.when(added | ~missing, F.col("value")).alias("value"))
+            .groupBy("field", "status")
+            .agg(F.schema_of_variant_agg("value").alias("found"), F.count(F.lit(1)).alias("records")))

@@ -42,3 +42,31 @@ def test_empty_and_steady(spark, tmp_path):
     assert drift_report(b, ROW).count() == 0
     assert conform(b.limit(0), ROW).columns == ["id", "qty", "tag", "op", "_offset", "rest", "retyped"]
     assert drift_report(b.limit(0), ROW).count() == 0
+
+
+def test_report_names_every_deviation_of_a_record(spark, tmp_path):
+    b = _bronze(spark, tmp_path, [
+        {"op": "c", "after": {"id": "9", "qty": {"n": 1}, "tag": ["a"], "x": None, "y": True}},
+        {"op": "c", "after": {"id": 1, "qty": False, "tag": 5, "y": 1.5}}, {"op": "c", "after": {"id": 2}}])
+    report = {(r["field"], r["status"]): (r["found"], r["records"]) for r in drift_report(b, ROW).collect()}
+    assert report == {("id", "retyped"): ("STRING", 1), ("qty", "retyped"): ("VARIANT", 2), ("qty", "missing"): ("VOID", 1),
+                      ("tag", "retyped"): ("VARIANT", 2), ("tag", "missing"): ("VOID", 1),
+                      ("x", "added"): ("VOID", 1), ("y", "added"): ("VARIANT", 2)}
+    rest = [r["rest"] for r in conform(b, ROW).orderBy("_offset").collect()]
+    assert rest == ['{"x":null,"y":true}', '{"y":1.5}', None]
+
+
+def test_a_field_is_taken_out_of_its_image_once(spark, tmp_path):
+    b = _bronze(spark, tmp_path, [{"op": "c", "after": {"id": 1, "qty": 1, "tag": ""}}])
+    plan = drift_report(b, ROW)._jdf.queryExecution().optimizedPlan().toString()
+    # a type per field, and that of a deviation
+    assert plan.count("schemaOfVariant(") == len(ROW.fields) + 1
+
+
+def test_bronze_is_written_whole(spark):
+    import pyarrow.parquet as pq
+    from stratum.registry import _drifting_bronze
+    from stratum_test_data import SF_SMALL
+    files = [f.removeprefix("file:") for f in _drifting_bronze(spark, SF_SMALL).inputFiles()]
+    assert files and not any("typed_value" in str(pq.ParquetFile(f).schema) for f in files)
+    assert spark.conf.get("spark.sql.variant.inferShreddingSchema") == "true"
