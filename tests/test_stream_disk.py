@@ -16,7 +16,7 @@ def _shuffle_files(spark):
     return {f for f in blocks.getAllFiles().mkString(",").split(",") if "shuffle_" in f}
 
 
-@pytest.mark.parametrize("name, kept", [("stream_latest", "stream-latest")])
+@pytest.mark.parametrize("name, kept", [("stream_latest", "stream-latest"), ("rate_grid_stream", "rate-grid")])
 def test_only_the_output_stays(spark, name, kept):
     folder = f"{shared_dir(spark)}/stratum"
     before, shuffles = set(child_names(spark, folder)), _shuffle_files(spark)
